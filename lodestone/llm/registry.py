@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash, substrings
+from . import decontam, packing, simhash, substrings
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op4_substring_dedup": substrings.op4,
+    "op8_decontamination": decontam.op8,
+    "op10_best_fit_packing": packing.op10,
 }
 
 ORACLES = {
     "op4_substring_dedup": substrings.ORACLE,
+    "op8_decontamination": decontam.ORACLE,
 }
