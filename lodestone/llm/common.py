@@ -178,6 +178,25 @@ def word_hashes(words: Words, block: int = 1 << 20) -> np.ndarray:
     return out
 
 
+def prefix_hashes(words: Words, sizes: tuple[int, ...], block: int = 1 << 20) -> np.ndarray:
+    """word_hashes, then a column for each size: the hash of a word's first bytes, 0 where the word isn't longer than that."""
+    out = np.zeros((len(words), 1 + len(sizes)), dtype=np.uint64)
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(words.end, words.start[at] + block, side="right")))
+        lo, hi = int(words.start[at]), int(words.end[to - 1])
+        up, down = _OF_BYTES.to(hi - lo)
+        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[words.data[lo:hi]] * up, out=sums[1:])
+        s, e = words.start[at:to] - lo, words.end[at:to] - lo
+        out[at:to, 0] = mixed((sums[e] - sums[s]) * down[s])
+        for k, size in enumerate(sizes, 1):
+            long = np.flatnonzero(e - s > size)
+            out[at + long, k] = mixed((sums[s[long] + size] - sums[s[long]]) * down[s[long]] + U(size))
+        at = to
+    return out
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hash of every run of `width` hashes: n - width + 1 values."""
     n = len(hashes)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, simhash, substrings
+from . import decontam, packing, quality, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1,
+    "op3_quality_rules": quality.op3,
     "op4_substring_dedup": substrings.op4,
+    "op5_toxicity": toxicity.op5,
     "op8_decontamination": decontam.op8,
     "op10_best_fit_packing": packing.op10,
 }
