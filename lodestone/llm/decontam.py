@@ -13,7 +13,6 @@ columns beyond doc_id/item_id and text are ignored; with an empty benchmark noth
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,15 +194,37 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep_text: bool =
     A block of the benchmark holds about `block_chars` characters, so what is broadcast doesn't grow with the benchmark; each further block is
     one more pass over the words inside the same stage.
     """
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<s:long,e:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    for phrases, last in blocks_of(docs.sparkSession, benchmark, width, block_chars):
+        out = out.mapInArrow(lambda it, p=phrases, kept=keep_text or not last: scan(it, p.value, kept), FOUND)
+    return out
+
+
+def flag_rows(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
+    """Every column as it came; the last one becomes true where a window occurs."""
+    for batch in small_slices(batches, "text"):
+        words = Words(batch.column("text"), ALNUM, lower=True)
+        _, place = phrases.occurrences(words)
+        hit = batch.columns[-1].to_numpy(zero_copy_only=False).copy()
+        hit[np.searchsorted(words.first, place, side="right") - 1] = True
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit)], names=batch.schema.names)
+
+
+def blocks_of(spark, benchmark: DataFrame, width: int, block_chars: int) -> Iterator:
+    """Broadcast phrases of the benchmark, block by block."""
     total = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // block_chars))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<s:long,e:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for k in range(blocks):
         own = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").collect()
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases([r[0] for r in own], [r[1] for r in own], width))
-        kept = keep_text or k < blocks - 1
-        out = out.mapInArrow(lambda it, p=phrases, kept=kept: scan(it, p.value, kept), FOUND)
-    return out
+        yield spark.sparkContext.broadcast(Phrases([r[0] for r in own], [r[1] for r in own], width)), k == blocks - 1
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows in which a benchmark window occurs; all columns stay, nothing is shuffled."""
+    out = docs.withColumn("_hit", F.lit(False))
+    for phrases, _ in blocks_of(docs.sparkSession, benchmark, width, block_chars):
+        out = out.mapInArrow(lambda it, p=phrases: flag_rows(it, p.value), out.schema)
+    return out.filter(~F.col("_hit")).drop("_hit")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

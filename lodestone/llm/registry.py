@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, secrets, simhash, substrings, toxicity, warc
+from . import ann, decontam, licenses, packing, quality, secrets, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_substring_dedup": substrings.op4,
     "op5_toxicity": toxicity.op5,
     "op6_warc_index": warc.op6,
+    "op7_permutation_ann": ann.op7,
     "op8_decontamination": decontam.op8,
+    "op9_license_scan": licenses.op9,
     "op10_best_fit_packing": packing.op10,
 }
 
@@ -19,4 +21,5 @@ ORACLES = {
     "op4_substring_dedup": substrings.ORACLE,
     "op6_warc_index": warc.ORACLE,
     "op8_decontamination": decontam.ORACLE,
+    "op9_license_scan": licenses.ORACLE,
 }

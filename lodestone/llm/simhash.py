@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_slices, staged, table
@@ -208,6 +208,15 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """docs without near-duplicates: the row with the smallest doc_id of every component stays, once even if it is repeated; rows with null doc_id stay."""
+    heads = near_duplicates(docs, limit).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_head")).distinct()
+    joined = docs.join(heads, F.col("doc_id").cast("long") == F.col("_head"), "left")
+    one = Window.partitionBy("_head").orderBy(F.xxhash64("text"))
+    kept = joined.filter(F.col("_head").isNotNull()).withColumn("_turn", F.row_number().over(one)).filter("_turn = 1").select(*docs.columns)
+    return kept.union(docs.filter(F.col("doc_id").isNull()))
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ALNUM, U, Words, prefix_hashes, small_slices, table
 
@@ -244,8 +245,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column _score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("_score", "double")
-    return docs.mapInArrow(lambda it: bare_rows(it, held.value), schema)
+    return docs.mapInArrow(lambda it: bare_rows(it, held.value), StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
