@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .catalog import ORACLES, QUERIES
+from .plans import aggregates, graphs, joins, sampling, scalars, scans, screens, streams, windows  # noqa: F401
+
 FLAGSHIP = "win_rate"
