@@ -185,7 +185,7 @@ def _(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", "lang").join(load(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id").orderBy("doc_id")
 
 
-@query("resolve_ids", oracle("SELECT id, CASE WHEN n_name IS NULL THEN 'unknown' ELSE n_name END AS resolved FROM (SELECT r_name || '.' || k AS id, r_name, k FROM region, generate_series(0, 9) g(k)) LEFT JOIN (SELECT n_name, r_name AS rn, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS at FROM nation JOIN region ON n_regionkey = r_regionkey) ON rn = r_name AND at = k"))
+@query("resolve_ids", oracle("SELECT id, CASE WHEN n_name IS NULL THEN 'unknown' ELSE n_name END AS resolved FROM (SELECT r_name || '.' || k AS id, r_name, k FROM region, generate_series(0, 9) g(k)) LEFT JOIN (SELECT n_name, r_name AS rn, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS place FROM nation JOIN region ON n_regionkey = r_regionkey) ON rn = r_name AND place = k"))
 def _(spark, sf_dir):
     named = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     options = named.groupBy(F.col("r_name").alias("cat")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("o")).select("cat", F.posexplode("o").alias("at", "x")).select("cat", "at", "x.n_name")

@@ -1 +1,234 @@
-"""Queries."""
+"""Rule screens, filters and set-level checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..functions import text
+from ..operators import guards, rollups
+from ..operators.matching import snippet_overlap
+from ..operators.screens import MESSAGE_ROLES, canonicalize_tests, chats, domain_terms, message_problems, prompt_classes, prompt_classes_sql, screen_cascade, set_checks, test_io
+from ..tables import derived, load, oracle
+from .aggregates import rounded
+
+RULES = {"mail": r"[\w.]+@[\w.]+", "shout": r"[A-Z]{12,}", "digits": r"[0-9]{12,}", "license": r"License"}
+
+
+@query("rule_hits", oracle("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{r}') THEN '{k}' END" for k, r in RULES.items()) + "], lambda x: x IS NOT NULL), ',') AS hits FROM documents"))
+def _(spark, sf_dir):
+    hits = guards.reasons(*((k, F.col("text").rlike(r)) for k, r in RULES.items()))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(hits, ",").alias("hits"))
+
+
+CASCADE = [("language", "lang NOT IN ('en', 'fr')"), ("too_short", "n_chars < 200"), ("too_long", "n_chars > 8000"), ("toxic", "coalesce(toxic, 0) = 1"), ("low_quality", "coalesce(quality, 1) = 0")]
+_CASE = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in CASCADE) + " ELSE 'kept' END"
+
+
+@query("screen_cascade", oracle(f"SELECT {_CASE} AS reason, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"))
+def _(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    return screen_cascade(docs, [(n, F.expr(c)) for n, c in CASCADE]).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("screen_all", oracle("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in CASCADE) + "], lambda x: x IS NOT NULL), ',') AS problems FROM documents LEFT JOIN labels USING (doc_id)"))
+def _(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.select("doc_id", F.array_join(guards.reasons(*((n, F.expr(c)) for n, c in CASCADE)), ",").alias("problems"))
+
+
+@query("len_window", oracle("SELECT doc_id, n_chars FROM documents WHERE length(text) BETWEEN 200 AND 2000"))
+def _(spark, sf_dir):
+    return load(spark, sf_dir, "documents").filter(F.length("text").between(200, 2000)).select("doc_id", "n_chars")
+
+
+@query("lang_toxic_filter", oracle("SELECT coalesce(CASE WHEN lang <> 'en' THEN 'language' WHEN toxic = 1 THEN 'toxic' WHEN contains(text, '@example') OR contains(text, '@mail') THEN 'redacted' END, 'kept') AS reason, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"))
+def _(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    redacted = F.contains("text", F.lit("@example")) | F.contains("text", F.lit("@mail"))
+    return screen_cascade(docs, [("language", F.col("lang") != "en"), ("toxic", F.col("toxic") == 1), ("redacted", redacted)]).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("first_person_min", oracle("SELECT doc_id, len(regexp_extract_all(text, '[^a-z](of|the)[^a-z]')) AS hits FROM documents WHERE len(regexp_extract_all(text, '[^a-z](of|the)[^a-z]')) >= 5"))
+def _(spark, sf_dir):
+    n = F.regexp_count("text", F.lit("[^a-z](of|the)[^a-z]")).cast("bigint")
+    return load(spark, sf_dir, "documents").select("doc_id", n.alias("hits")).filter("hits >= 5")
+
+
+@query("refusal_filter", oracle("SELECT count(*) FILTER (refused) AS refused, count(*) AS n FROM (SELECT regexp_matches(coalesce(raw, ''), '^(?i)(i cannot|sorry|never)') AS refused FROM responses)"))
+def _(spark, sf_dir):
+    r = derived(spark, sf_dir, "responses").select(F.coalesce("raw", F.lit("")).rlike("^(?i)(i cannot|sorry|never)").alias("refused"))
+    return r.agg(F.count_if("refused").alias("refused"), F.count("*").alias("n"))
+
+
+@query("null_degenerate", oracle("SELECT count(*) FILTER (raw IS NULL) AS missing, count(*) FILTER (length(trim(raw)) < 3) AS degenerate, count(*) AS n FROM responses"))
+def _(spark, sf_dir):
+    return derived(spark, sf_dir, "responses").agg(F.count_if(F.col("raw").isNull()).alias("missing"), F.count_if(F.length(F.trim("raw")) < 3).alias("degenerate"), F.count("*").alias("n"))
+
+
+@query("quote_filter", oracle("SELECT conv_id, turn FROM conversations WHERE role = 'user' AND NOT regexp_matches(text, '\"|“|”')"))
+def _(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").filter((F.col("role") == "user") & ~F.col("text").rlike('"|“|”')).select("conv_id", "turn")
+
+
+@query("prompt_exclusion", oracle(f"SELECT doc_id, reasons FROM (SELECT doc_id, {prompt_classes_sql('text')} AS reasons FROM documents) WHERE reasons <> ''"))
+def _(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", F.array_join(prompt_classes("text"), ",").alias("reasons"))
+    return d.filter("reasons <> ''")
+
+
+_TESTS = "SELECT o_custkey AS record_id, o_orderkey AS pos, CAST(o_orderkey % 7 AS VARCHAR) AS input, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE CAST(o_orderkey % 7 + (o_orderkey % 91 = 0)::INT AS VARCHAR) END AS output FROM orders"
+
+
+@query("test_io_clean", oracle(f"WITH t AS ({_TESTS}), d AS (SELECT DISTINCT record_id, input, output FROM t) SELECT record_id, count(*) AS n_unique, max(k) > 1 AS conflict, bool_or(blank) AS blank, count(*) >= 3 AS enough FROM (SELECT *, count(*) OVER (PARTITION BY record_id, input) AS k, output = '' AS blank FROM d) GROUP BY record_id"))
+def _(spark, sf_dir):
+    return test_io(_tests(spark, sf_dir), least=3).select("record_id", "n_unique", "conflict", "blank", "enough")
+
+
+def _tests(spark, sf_dir):
+    return load(spark, sf_dir, "orders").selectExpr("o_custkey AS record_id", "o_orderkey AS pos", "cast(o_orderkey % 7 AS string) AS input", "CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE cast(o_orderkey % 7 + CASE WHEN o_orderkey % 91 = 0 THEN 1 ELSE 0 END AS string) END AS output")
+
+
+_REASONS = f"""WITH t AS ({_TESTS}), d AS (SELECT DISTINCT record_id, input, output FROM t), s AS (SELECT record_id, count(*) AS n, max(k) > 1 AS conflict, bool_or(output = '') AS blank FROM (SELECT *, count(*) OVER (PARTITION BY record_id, input) AS k FROM d) GROUP BY record_id)
+SELECT record_id, array_to_string(list_filter([CASE WHEN blank THEN 'blank_output' END, CASE WHEN conflict THEN 'conflicting_outputs' END, CASE WHEN n < 3 THEN 'too_few_tests' END], lambda x: x IS NOT NULL), ',') AS reasons FROM s"""
+
+
+@query("canonicalize_row", oracle(_REASONS))
+def _(spark, sf_dir):
+    return canonicalize_tests(_tests(spark, sf_dir), least=3).select("record_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("validate_formal", oracle(f"SELECT reasons = '' AS valid, count(*) AS n FROM ({_REASONS}) GROUP BY 1"))
+def _(spark, sf_dir):
+    return canonicalize_tests(_tests(spark, sf_dir), least=3).groupBy((F.size("reasons") == 0).alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query("cohort_contam", oracle(f"WITH t AS ({_TESTS}) SELECT bucket, count(*) AS n FROM (SELECT record_id, CASE WHEN record_id % 11 = 0 THEN 'bad_type' WHEN count(*) < 3 THEN 'no_tests' WHEN bool_or(input LIKE '%6') THEN 'contaminated' ELSE 'clean' END AS bucket FROM t GROUP BY record_id) GROUP BY bucket"))
+def _(spark, sf_dir):
+    g = _tests(spark, sf_dir).groupBy("record_id").agg(F.collect_list("input").alias("inputs"))
+    bucket = guards.first_reason(("bad_type", F.col("record_id") % 11 == 0), ("no_tests", F.size("inputs") < 3), ("contaminated", F.exists("inputs", lambda x: F.rtrim(x).endswith("6"))))
+    return g.select(F.coalesce(bucket, F.lit("clean")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("trailing_marker", oracle(f"WITH t AS ({_TESTS}) SELECT record_id, bool_or(regexp_matches(input, '5\\s*$')) AS marked FROM t WHERE record_id % 2 = 0 GROUP BY record_id"))
+def _(spark, sf_dir):
+    g = _tests(spark, sf_dir).filter("record_id % 2 = 0").groupBy("record_id").agg(F.collect_list("input").alias("inputs"))
+    return g.select("record_id", F.exists("inputs", lambda x: x.rlike(r"5\s*$")).alias("marked"))
+
+
+@query("messages_valid", oracle("""SELECT conv_id, array_to_string(list_filter([CASE WHEN count(*) < 2 THEN 'too_few' END, CASE WHEN bool_or(role NOT IN ('system', 'user', 'assistant')) THEN 'role' END, CASE WHEN bool_or(trim(text) = '') THEN 'empty' END, CASE WHEN NOT bool_or(role = 'user') THEN 'no_user' END, CASE WHEN arg_max(role, turn) <> 'assistant' THEN 'last_not_assistant' END], lambda x: x IS NOT NULL), ',') AS problems FROM conversations GROUP BY conv_id"""))
+def _(spark, sf_dir):
+    return chats(load(spark, sf_dir, "conversations")).select("conv_id", F.array_join(message_problems("messages"), ",").alias("problems"))
+
+
+@query("dataset_valid", oracle("""WITH c AS (SELECT conv_id, arg_min(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), turn) FILTER (role = 'user') AS first_user, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id)
+SELECT 'last_not_assistant' AS problem, count(*) FILTER (last_role <> 'assistant') AS n FROM c UNION ALL SELECT 'no_user', count(*) FILTER (first_user IS NULL) FROM c UNION ALL SELECT 'duplicate_user_prompt', count(*) FROM (SELECT first_user FROM c WHERE first_user IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"""))
+def _(spark, sf_dir):
+    turns = load(spark, sf_dir, "conversations")
+    user = F.col("role") == "user"
+    c = turns.groupBy("conv_id").agg(F.min_by(F.when(user, text.normalize_ws("text")), F.when(user, F.col("turn"))).alias("first_user"), F.max_by("role", "turn").alias("last_role"))
+    dup = guards.duplicates(c.filter("first_user IS NOT NULL"), "first_user").agg(F.lit("duplicate_user_prompt").alias("problem"), F.count("*").alias("n"))
+    own = c.agg(F.count_if(F.col("last_role") != "assistant").alias("x"), F.count_if(F.col("first_user").isNull()).alias("y"))
+    return own.select(F.inline(F.array(F.struct(F.lit("last_not_assistant").alias("problem"), F.col("x").alias("n")), F.struct(F.lit("no_user").alias("problem"), F.col("y").alias("n"))))).union(dup)
+
+
+@query("distill_valid", oracle("SELECT array_to_string(list_filter([CASE WHEN o_orderkey IS NULL THEN 'not_member' END, CASE WHEN coalesce(pass_rate, 0) <> 1 THEN 'not_passing' END, CASE WHEN api_error THEN 'api_error' END], lambda x: x IS NOT NULL), ',') AS problems, count(*) AS n FROM attempts LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) ON record_id = o_orderkey GROUP BY 1"))
+def _(spark, sf_dir):
+    members = load(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("record_id"), F.lit(True).alias("_m"))
+    j = derived(spark, sf_dir, "attempts").join(members, "record_id", "left")
+    why = guards.reasons(("not_member", F.col("_m").isNull()), ("not_passing", F.coalesce("pass_rate", F.lit(0.0)) != 1), ("api_error", F.col("api_error")))
+    return j.groupBy(F.array_join(why, ",").alias("problems")).agg(F.count("*").alias("n"))
+
+
+_TRACE = "CASE WHEN content = '' THEN 'empty' WHEN NOT contains(content, '</think>') AND contains(content, '<think>') THEN 'no_close' WHEN regexp_matches(content, 'YOUR CODE HERE') THEN 'template_leak' WHEN length(content) < 16 THEN 'too_short' WHEN length(content) > 60 THEN 'too_long' ELSE 'pass' END"
+
+
+def _trace():
+    c = F.col("content")
+    return F.coalesce(guards.first_reason(("empty", c == ""), ("no_close", ~c.contains("</think>") & c.contains("<think>")), ("template_leak", c.rlike("YOUR CODE HERE")), ("too_short", F.length(c) < 16), ("too_long", F.length(c) > 60)), F.lit("pass"))
+
+
+@query("trace_classify", oracle(f"SELECT cid, {_TRACE} AS reason FROM completions"))
+def _(spark, sf_dir):
+    return derived(spark, sf_dir, "completions").select("cid", _trace().alias("reason"))
+
+
+@query("trace_status", oracle(f"SELECT status, finish_reason, count(*) AS n FROM (SELECT CASE WHEN {_TRACE} = 'pass' AND finish_reason = 'length' THEN 'cut' ELSE {_TRACE} END AS status, finish_reason FROM completions) GROUP BY 1, 2"))
+def _(spark, sf_dir):
+    c = derived(spark, sf_dir, "completions").withColumn("t", _trace())
+    return c.groupBy(F.when((F.col("t") == "pass") & (F.col("finish_reason") == "length"), "cut").otherwise(F.col("t")).alias("status"), "finish_reason").agg(F.count("*").alias("n"))
+
+
+@query("trace_gate", oracle("""SELECT 'rows' AS gate, count(*) >= 100 AS passed FROM completions UNION ALL SELECT 'empty_share', avg((content = '')::INT) <= 0.2 FROM completions UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT cid) FROM completions UNION ALL SELECT 'cut_share', avg((finish_reason = 'length')::INT) <= 0.1 FROM completions UNION ALL SELECT 'closed', NOT bool_or(contains(content, '<think>') AND NOT contains(content, '</think>')) FROM completions"""))
+def _(spark, sf_dir):
+    c = F.col("content")
+    return set_checks(derived(spark, sf_dir, "completions"), {"rows": F.count("*") >= 100, "empty_share": rollups.rate(c == "") <= 0.2, "unique_ids": F.count("*") == F.countDistinct("cid"), "cut_share": rollups.rate(F.col("finish_reason") == "length") <= 0.1, "closed": ~F.bool_or(c.contains("<think>") & ~c.contains("</think>"))})
+
+
+@query("format_echo", oracle("SELECT cid, regexp_matches(split_part(content, '</think>', 1), '(?i)(ideas|thinking)') AS echo FROM completions"))
+def _(spark, sf_dir):
+    return derived(spark, sf_dir, "completions").select("cid", F.substring_index("content", "</think>", 1).rlike("(?i)(ideas|thinking)").alias("echo"))
+
+
+@query("suspicious_char", oracle("SELECT doc_id, regexp_matches(text, '[\\x{0000}-\\x{0008}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{3000}-\\x{FFFD}]') AS suspicious FROM documents"))
+def _(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"[\x{0000}-\x{0008}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{3000}-\x{FFFD}]").alias("suspicious"))
+
+
+@query("domain_terms", oracle("SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])license([^a-z0-9_]|$)') THEN 'license' END, CASE WHEN contains(lower(text), '2.0') THEN '2.0' END, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])token([^a-z0-9_]|$)') THEN 'token' END], lambda x: x IS NOT NULL), ',') AS terms FROM documents"))
+def _(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(domain_terms("text", ["license", "2.0", "token"]), ",").alias("terms"))
+
+
+_NORM = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+
+
+@query("snippet_overlap", oracle(f"SELECT DISTINCT doc_id FROM documents, (SELECT {_NORM.format('text')} AS s FROM benchmark) b WHERE length(s) >= 25 AND contains({_NORM.format('documents.text')}, s)"))
+def _(spark, sf_dir):
+    return snippet_overlap(load(spark, sf_dir, "documents"), "doc_id", load(spark, sf_dir, "benchmark"), "item_id").select("doc_id").distinct()
+
+
+@query("date_range", oracle("SELECT problem, contest_date FROM graded WHERE contest_date BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'"))
+def _(spark, sf_dir):
+    return derived(spark, sf_dir, "graded").filter("contest_date BETWEEN TIMESTAMP_NTZ '1995-01-01' AND TIMESTAMP_NTZ '1996-12-31'").select("problem", "contest_date")
+
+
+@query("eq_filters", oracle("SELECT problem, n, c FROM graded WHERE platform = 'F' AND difficulty IN ('1-URGENT', '2-HIGH')").replace("SELECT problem, n, c", "SELECT problem, n, CAST(c AS BIGINT) AS c"))
+def _(spark, sf_dir):
+    return derived(spark, sf_dir, "graded").filter("platform = 'F' AND difficulty IN ('1-URGENT', '2-HIGH')").select("problem", "n", "c")
+
+
+@query("score_band", oracle("SELECT record_id FROM rollouts WHERE reward IS NOT NULL GROUP BY record_id HAVING max(reward) >= 0.6 AND min(reward) <= 0.3 AND max(reward) - min(reward) >= 0.4 - 1e-9"))
+def _(spark, sf_dir):
+    s = derived(spark, sf_dir, "rollouts").filter("reward IS NOT NULL").groupBy("record_id").agg(F.collect_list("reward").alias("s"))
+    return s.filter((F.array_max("s") >= 0.6) & (F.array_min("s") <= 0.3) & (F.array_max("s") - F.array_min("s") >= 0.4 - 1e-9)).select("record_id")
+
+
+_WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
+
+
+@query("token_budget", oracle(f"SELECT doc_id, {_WORDS} AS n_tokens FROM documents WHERE {_WORDS} <= 256"))
+def _(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("n_tokens")).filter("n_tokens <= 256")
+
+
+@query("multi_tokenizer_gate", oracle(f"SELECT doc_id, greatest({_WORDS}, CAST(ceil(length(text) / 4) AS BIGINT)) AS worst, greatest({_WORDS}, CAST(ceil(length(text) / 4) AS BIGINT)) <= 300 AS fits FROM documents"))
+def _(spark, sf_dir):
+    worst = F.greatest(text.word_count("text"), F.ceil(F.length("text") / 4).cast("bigint"))
+    return load(spark, sf_dir, "documents").select("doc_id", worst.alias("worst"), (worst <= 300).alias("fits"))
+
+
+@query("cell_validate", oracle("SELECT id, array_to_string(list_filter([CASE WHEN mean < 1.3 THEN 'low_mean' END, CASE WHEN variance < 3 THEN 'flat' END, CASE WHEN id % 2 = 1 AND mean > 1.4 THEN 'odd_high' END], lambda x: x IS NOT NULL), ',') AS problems FROM utilities"))
+def _(spark, sf_dir):
+    why = guards.reasons(("low_mean", F.col("mean") < 1.3), ("flat", F.col("variance") < 3), ("odd_high", (F.col("id") % 2 == 1) & (F.col("mean") > 1.4)))
+    return derived(spark, sf_dir, "utilities").select("id", F.array_join(why, ",").alias("problems"))
+
+
+@query("cache_preflight", oracle("""WITH g AS (SELECT problem, count(*) AS n, avg((code = '')::INT) AS none FROM samples GROUP BY problem), e AS (SELECT o_orderkey AS problem FROM orders)
+SELECT (SELECT count(*) FROM e WHERE problem NOT IN (SELECT problem FROM g)) AS missing, (SELECT count(*) FROM g WHERE problem NOT IN (SELECT problem FROM e)) AS extra, count(*) FILTER (n < 2) AS short_lists, count(*) FILTER (none = 1) AS all_empty, avg((none < 1)::INT) >= 0.5 AS passed FROM g"""))
+def _(spark, sf_dir):
+    g = derived(spark, sf_dir, "samples").groupBy("problem").agg(F.count("*").alias("n"), rollups.rate(F.col("code") == "").alias("none"))
+    e = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("problem"))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    own = g.agg(F.count_if(F.col("n") < 2).alias("short_lists"), F.count_if(F.col("none") == 1).alias("all_empty"), (rollups.rate(F.col("none") < 1) >= 0.5).alias("passed"))
+    return count(guards.missing(e, g, "problem"), "missing").join(F.broadcast(count(guards.missing(g, e, "problem"), "extra"))).join(F.broadcast(own))
