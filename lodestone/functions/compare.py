@@ -53,7 +53,7 @@ def out_lcb(got: Column | str, want: Column | str) -> Column:
     """Line by line, after trimming: the counts and every line must agree."""
     cut = lambda c: F.transform(F.split(F.trim(F.coalesce(col(c), F.lit("")), F.lit(" \n\t\r")), "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
     a, b = cut(got), cut(want)
-    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, line_equal), lambda t: t)
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: line_equal(x, y)), lambda t: t)
 
 
 def prefix_to_first_failure(passed: Column | str) -> Column:

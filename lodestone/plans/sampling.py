@@ -20,9 +20,9 @@ def _(spark, sf_dir):
     return rounded(derived(spark, sf_dir, "utilities")).orderBy(F.desc("mean"), "id")
 
 
-@query("topk_abs", oracle("SELECT id, round(mean - 1.4, 6) AS delta FROM utilities ORDER BY abs(round(mean - 1.4, 6)) DESC, id LIMIT 5"))
+@query("topk_abs", oracle("SELECT id, round(mean - 0.948, 6) AS delta FROM utilities ORDER BY abs(round(mean - 0.948, 6)) DESC, id LIMIT 5"))
 def _(spark, sf_dir):
-    d = rounded(derived(spark, sf_dir, "utilities").select("id", (F.col("mean") - 1.4).alias("delta")))
+    d = rounded(derived(spark, sf_dir, "utilities").select("id", (F.col("mean") - 0.948).alias("delta")))
     return d.orderBy(F.desc(F.abs("delta")), "id").limit(5)
 
 

@@ -1 +1,244 @@
-"""Queries."""
+"""Scalar functions over derived texts, outputs and numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..catalog import query
+from ..functions import arrays, compare, maths, text
+from ..operators.screens import chats
+from ..tables import derived, load, oracle
+from .aggregates import rounded
+
+AB = ["A", "B"]
+
+
+def over(table: str, key: str, **columns):
+    """A query of a derived input's key and of columns, which are made when it runs."""
+
+    def run(spark, sf_dir):
+        return derived(spark, sf_dir, table).select(key, *(c().alias(n) for n, c in columns.items()))
+
+    return run
+
+
+def docs(**columns):
+    def run(spark, sf_dir):
+        return load(spark, sf_dir, "documents").select("doc_id", *(c().alias(n) for n, c in columns.items()))
+
+    return run
+
+
+_WS = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+query("normalize_ws", f"SELECT doc_id, md5({_WS}) AS h FROM documents")(docs(h=lambda: F.md5(text.normalize_ws("text").cast("binary"))))
+query("normalize_casefold", "SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), ' ')) AS h FROM documents")(docs(h=lambda: F.md5(text.normalize_casefold("text").cast("binary"))))
+query("word_count", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents")(docs(n=lambda: text.word_count("text")))
+query("clean_html_text", r"""SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\x{200B}\x{200C}\x{200D}\x{FEFF}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS h FROM pages""")(lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_html_text("html").cast("binary")).alias("h")))
+query("html_unescape")(lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.length(arrays.html_unescape("html")).alias("n")))
+query("scrub_sentences")(docs(text=lambda: text.scrub_sentences("text", ["of", "License"])["text"], scrubbed=lambda: text.scrub_sentences("text", ["of", "License"])["scrubbed"]))
+query("ask_from_title", "SELECT doc_id, upper(substr(t, 1, 1)) || substr(t, 2) || '?' AS ask FROM (SELECT doc_id, trim(regexp_replace(trim(split_part(text, chr(10), 1)), '[.!?\\s]+$', '')) AS t FROM documents)")(docs(ask=lambda: text.ask_from_title(F.substring_index("text", "\n", 1))))
+query("closer_by_hash", "SELECT doc_id, (['What now?', 'Any advice?', 'Was I wrong?'])[CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 3 + 1 AS BIGINT)] AS closer FROM documents")(docs(closer=lambda: text.closer_by_hash("doc_id", ["What now?", "Any advice?", "Was I wrong?"])))
+query("strip_wrapper", "SELECT doc_id, CASE WHEN starts_with(text, 'The ') THEN substr(text, 5) ELSE text END AS bare FROM documents")(docs(bare=lambda: text.strip_wrapper("text", "The ")))
+query("strip_speaker", """SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(t), '^[A-Z][A-Za-z]{0,20}:\\s*', ''), '^"(.*)"$', '\\1')) AS bare FROM (SELECT conv_id, turn, upper(substr(role, 1, 1)) || substr(role, 2) || ': "' || split_part(text, chr(10), 1) || '"' AS t FROM conversations)""")(
+    lambda spark, sf_dir: load(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip_speaker(F.concat(F.initcap("role"), F.lit(': "'), F.substring_index("text", "\n", 1), F.lit('"'))).alias("bare"))
+)
+
+# Answers by pattern of the derived responses: what each of the twelve kinds must give.
+_KIND = "SELECT doc_id AS rid, CASE doc_id % 12 {} END AS {} FROM documents"
+query("answer_lines", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'A,B' WHEN 3 THEN 'A' WHEN 10 THEN 'A' ELSE ''", "labels"))(over("responses", "rid", labels=lambda: F.array_join(text.answer_lines("raw", AB), ",")))
+query("terminal_answer", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'B' WHEN 10 THEN 'A'", "label"))(over("responses", "rid", label=lambda: text.terminal_answer("raw", AB)))
+query("terminal_choice", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'B' WHEN 4 THEN 'B' WHEN 10 THEN 'A'", "label"))(over("responses", "rid", label=lambda: text.terminal_choice("raw", AB)))
+query("multi_answer_flag", "SELECT doc_id AS rid, doc_id % 12 = 2 AS multiple FROM documents")(over("responses", "rid", multiple=lambda: text.multi_answer_flag("raw", AB)))
+query("parse_forced_choice", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'unparseable' WHEN 4 THEN 'B' WHEN 5 THEN 'A' WHEN 9 THEN 'A' WHEN 10 THEN 'A' ELSE 'unparseable'", "label"))(over("responses", "rid", label=lambda: text.parse_forced_choice("raw", AB)))
+query("parse_forecast", "SELECT event_id, CASE k % 4 WHEN 0 THEN 'MORE' WHEN 1 THEN 'LESS' WHEN 2 THEN 'SAME' ELSE 'unparseable' END AS label FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)")(
+    lambda spark, sf_dir: derived(spark, sf_dir, "acts").withColumn("raw", F.concat(F.lit("Thinking.\nAnswer: "), F.element_at(F.array(*map(F.lit, ("more", "LESS", "Same", "unsure"))), (F.col("k") % 4 + 1).cast("int")))).select("event_id", text.parse_forced_choice("raw", ["MORE", "LESS", "SAME"], "terminal").alias("label"))
+)
+query("parse_action", oracle("SELECT pos, CASE WHEN (choice = 'first') = (ord = 'forward') THEN 'first' ELSE 'second' END AS action FROM choices"))(
+    lambda spark, sf_dir: derived(spark, sf_dir, "choices").select("pos", text.parse_action(F.when(F.col("choice") == "first", "I take Action 1.").otherwise("action 2"), "ord").alias("action"))
+)
+query("recover_tier", _KIND.format("WHEN 3 THEN 'single_label' WHEN 5 THEN 'truncated' WHEN 6 THEN 'truncated' WHEN 7 THEN 'empty' WHEN 8 THEN 'empty' WHEN 9 THEN 'has_think' WHEN 11 THEN 'truncated' ELSE 'terminal_label'", "tier"))(over("responses", "rid", tier=lambda: text.recover_tier("raw", AB)))
+query("degenerate_loop", "SELECT doc_id, len(w) >= 40 AND len(list_distinct(w)) / len(w) < 0.35 AS looping FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)")(docs(looping=lambda: text.degenerate_loop("text")))
+query("rejoin_reasoning", oracle("SELECT rid, CASE WHEN raw IS NOT NULL AND rid % 2 = 0 THEN '<think>r</think>' || chr(10) || raw ELSE coalesce(raw, CASE WHEN rid % 2 = 0 THEN 'r' END) END AS whole FROM responses"))(over("responses", "rid", whole=lambda: text.rejoin_reasoning(F.when(F.col("rid") % 2 == 0, "r"), "raw")))
+query("split_think", oracle("""SELECT cid, CASE WHEN strpos(content, '</think>') > 0 THEN regexp_replace(split_part(content, '</think>', 1), '^\\s*<think>', '') WHEN strpos(content, '<think>') > 0 THEN split_part(content, '<think>', 2) ELSE content END AS reasoning,
+  CASE WHEN strpos(content, '</think>') > 0 THEN substr(content, strpos(content, '</think>') + 8) ELSE '' END AS visible FROM completions"""))(over("completions", "cid", reasoning=lambda: text.split_think("content")["reasoning"], visible=lambda: text.split_think("content")["visible"]))
+query("truncate_reasoning", oracle("SELECT cid, CASE WHEN cid % 8 = 1 THEN replace(content, 'ideas here for a while', 'ideas...while') ELSE content END AS short FROM completions"))(over("completions", "cid", short=lambda: text.truncate_reasoning("content", 10)))
+_CODE = "CASE cid % 8 WHEN 0 THEN 'y := 2' WHEN 1 THEN 'let z = 3;' || chr(10) || '// YOUR CODE HERE' WHEN 4 THEN 'plain' ELSE trim(content) END"
+query("extract_code", oracle(f"SELECT cid, {_CODE} AS code FROM completions"))(over("completions", "cid", code=lambda: text.extract_code("content")))
+query("extract_code_first", oracle("SELECT cid, CASE cid % 8 WHEN 0 THEN 'x = 1' WHEN 1 THEN 'let z = 3;' WHEN 4 THEN 'plain' ELSE '' END AS code FROM completions"))(over("completions", "cid", code=lambda: text.extract_code_first("content")))
+query("extract_code_status", oracle(f"SELECT cid, CASE WHEN cid % 8 = 2 OR finish_reason = 'length' THEN NULL ELSE {_CODE} END AS code, CASE WHEN cid % 8 = 2 OR finish_reason = 'length' THEN 'truncated' WHEN cid % 8 = 5 THEN 'empty' ELSE 'ok' END AS status FROM completions"))(
+    over("completions", "cid", code=lambda: text.extract_code_status("content", "finish_reason")["code"], status=lambda: text.extract_code_status("content", "finish_reason")["status"])
+)
+query("extract_code_lang", oracle("SELECT cid, CASE WHEN cid % 8 = 0 THEN 'y := 2' || chr(10) END AS code FROM completions"))(over("completions", "cid", code=lambda: text.extract_code_lang("content", ["go", "golang"])))
+query("exact_fence", "SELECT doc_id AS cid, doc_id % 8 = 4 AS exact FROM documents")(over("completions", "cid", exact=lambda: text.exact_fence("content")))
+query("bullets_to_prose", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'One item. Two items! Last' || doc_id || '.' ELSE 'plain.' END AS prose FROM documents")(docs(prose=lambda: text.bullets_to_prose(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("- One item\n* Two items!\n\n3. Last"), F.col("doc_id"))).otherwise("plain"))))
+query("semantic_answer", oracle("SELECT event_id, CASE label WHEN 'A' THEN a WHEN 'B' THEN b END AS chosen FROM votes"))(over("votes", "event_id", chosen=lambda: text.semantic_answer("label", F.array(F.lit("A"), F.lit("B")), F.array("a", "b"))))
+query("render_prompt", oracle("SELECT DISTINCT a, b, 'Prefer item ' || a || ' or item ' || b || '?' AS prompt FROM votes"))(lambda spark, sf_dir: derived(spark, sf_dir, "votes").select("a", "b", text.render_prompt("Prefer item {a} or item {b}?", a="a", b="b").alias("prompt")).distinct())
+query("label_order_rewrite", "SELECT doc_id, 'Say LESS, SAME or MORE on ' || doc_id AS prompt FROM documents")(docs(prompt=lambda: text.label_order_rewrite(F.concat(F.lit("Say MORE, LESS or SAME on "), F.col("doc_id")), ["MORE", "LESS", "SAME"], 1)))
+query("truncate_str", "SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 150) || '...' || substr(text, length(text) - 149) ELSE text END AS short FROM documents")(docs(short=lambda: text.truncate_str("text")))
+query("slug", "SELECT doc_id, substr(trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '_'), 1, 80) AS slug FROM documents")(docs(slug=lambda: text.slug(F.substring("text", 1, 60))))
+query("sanitize", "SELECT doc_id, regexp_replace(source || '/' || lang || ' ' || doc_id, '[^A-Za-z0-9._-]', '-', 'g') AS name FROM documents")(docs(name=lambda: F.regexp_replace(F.concat("source", F.lit("/"), "lang", F.lit(" "), "doc_id"), "[^A-Za-z0-9._-]", "-")))
+query("plang_fuzzy", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'csharp' WHEN 3 THEN 'go' END AS language FROM documents")(docs(language=lambda: text.plang_fuzzy(F.element_at(F.array(*map(F.lit, ("Python 3", "C++", "c#", "GoLang", "cobol"))), (F.col("doc_id") % 5 + 1).cast("int")))))
+query("field_leak", "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(text, 'token') THEN 'token' END, CASE WHEN contains(text, 'License') THEN 'License' END], lambda x: x IS NOT NULL), ',') AS leaks FROM documents")(docs(leaks=lambda: F.array_join(text.field_leak("text", ["token", "License"]), ",")))
+query("compose", "SELECT doc_id, split_part(text, chr(10), 1) || chr(10) || chr(10) || 'What now?' AS prompt FROM documents")(docs(prompt=lambda: F.concat(F.substring_index("text", "\n", 1), F.lit("\n\nWhat now?"))))
+query("seq_ratio")(lambda spark, sf_dir: rounded(load(spark, sf_dir, "conversations").filter("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 300))).alias("a"), F.max(F.when(F.col("turn") == 1, F.substring("text", 1, 300))).alias("b")).select("conv_id", arrays.seq_ratio("a", "b").alias("ratio"))))
+query("chat_render", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")(lambda spark, sf_dir: chats(load(spark, sf_dir, "conversations")).select("conv_id", F.md5(text.chat_render("messages").cast("binary")).alias("h")))
+
+def _review_text():
+    return F.concat(F.lit("# Title\n"), F.lit("## a"), F.col("doc_id"), F.lit("\nPrompt text one\nVerdict: keep\n## b"), F.col("doc_id"), F.lit("\nSecond\nVerdict: drop\n"))
+
+
+def _review(spark, sf_dir):
+    sections = load(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", F.explode(text.parse_md_sections(F.regexp_replace(_review_text(), "^# Title\n", ""))).alias("s"))
+    return sections.select("doc_id", "s.*")
+
+
+_SECTIONS = "SELECT doc_id, 'a' || doc_id AS id, 'Prompt text one' AS prompt, 'KEEP' AS verdict FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' || doc_id, 'Second', 'DROP' FROM documents WHERE doc_id % 2 = 0"
+query("parse_md_sections", _SECTIONS)(_review)
+query("apply_review", f"SELECT route, count(*) AS n FROM (SELECT CASE WHEN verdict = 'DROP' THEN 'dropped' WHEN length(prompt) < 8 THEN 'screened' WHEN doc_id % 10 = 0 THEN 'unsure' ELSE 'kept' END AS route FROM ({_SECTIONS})) GROUP BY route")(
+    lambda spark, sf_dir: _review(spark, sf_dir).groupBy(F.when(F.col("verdict") == "DROP", "dropped").when(F.length("prompt") < 8, "screened").when(F.col("doc_id") % 10 == 0, "unsure").otherwise("kept").alias("route")).agg(F.count("*").alias("n"))
+)
+
+# Output comparison: what each of the nine kinds of pairs must give.
+_PAIR = "SELECT event_id AS oid, event_id % 9 IN ({}) AS equal FROM events"
+query("out_tokens", _PAIR.format("0, 3, 6, 8"))(over("outputs", "oid", equal=lambda: compare.out_tokens("got", "want")))
+query("out_exact_lines", _PAIR.format("0"))(over("outputs", "oid", equal=lambda: compare.out_exact_lines("got", "want")))
+query("out_ci_tokens", _PAIR.format("0, 3, 4, 6, 7, 8"))(over("outputs", "oid", equal=lambda: compare.out_ci_tokens("got", "want")))
+query("out_float_tokens", _PAIR.format("0, 1, 3, 6, 8"))(over("outputs", "oid", equal=lambda: compare.out_float_tokens("got", "want")))
+query("out_lcb", _PAIR.format("0, 1, 3, 4"))(over("outputs", "oid", equal=lambda: compare.out_lcb("got", "want")))
+
+
+def _passed(spark, sf_dir):
+    """Test results of each problem in order, up to the first failure."""
+    s = derived(spark, sf_dir, "samples").groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("sample", "part", "correct"))).alias("t"))
+    return s.select("problem", F.transform("t", lambda x: x["correct"]).alias("passed"))
+
+
+query("pass_fraction", oracle("SELECT problem, round(avg(correct::INT), 6) AS fraction FROM samples GROUP BY problem"))(lambda spark, sf_dir: rounded(_passed(spark, sf_dir).select("problem", compare.pass_fraction("passed").alias("fraction"))))
+query("stop_at_failure", oracle("SELECT problem, CASE WHEN list_position(list(correct ORDER BY sample, part, correct), false) > 0 THEN list_position(list(correct ORDER BY sample, part, correct), false) ELSE count(*) END AS n_run FROM samples GROUP BY problem"))(
+    lambda spark, sf_dir: _passed(spark, sf_dir).select("problem", F.size(compare.prefix_to_first_failure("passed")).cast("bigint").alias("n_run"))
+)
+query("screen_then_full", oracle("SELECT problem, round(CASE WHEN avg(correct::INT) FILTER (sample <= 2) = 1.0 THEN avg(correct::INT) END, 6) AS score FROM samples GROUP BY problem"))(
+    lambda spark, sf_dir: rounded(derived(spark, sf_dir, "samples").groupBy("problem").agg(F.avg(F.when(F.col("sample") <= 2, F.col("correct").cast("double"))).alias("s"), F.avg(F.col("correct").cast("double")).alias("f")).select("problem", compare.screen_then_full("s", "f").alias("score")))
+)
+_STATUS = "CASE WHEN stderr LIKE '%compil%' AND exit_code <> 0 THEN 'compile_error' WHEN exit_code = 124 THEN 'timeout' WHEN exit_code = 137 THEN 'out_of_memory' WHEN exit_code <> 0 THEN 'runtime_error' ELSE 'ok' END"
+query("run_status", oracle(f"SELECT pos, {_STATUS} AS status FROM runs"))(over("runs", "pos", status=lambda: compare.run_status("exit_code", "stderr")))
+query("build_status", oracle(f"SELECT record_id, bool_or({_STATUS} = 'compile_error') AS broken, count(*) AS n FROM runs GROUP BY record_id"))(
+    lambda spark, sf_dir: derived(spark, sf_dir, "runs").groupBy("record_id").agg(F.bool_or(compare.run_status("exit_code", "stderr") == "compile_error").alias("broken"), F.count("*").alias("n"))
+)
+
+_PAIRS = "SELECT x.id AS a, y.id AS b, {} AS p FROM utilities x JOIN utilities y ON x.id < y.id".format(maths.normal_cdf_sql("(x.mean - y.mean) / sqrt(x.variance + y.variance + 1e-5)"))
+
+
+def _preferences(spark, sf_dir):
+    u = derived(spark, sf_dir, "utilities")
+    x, y = u.toDF("a", "ma", "va"), u.toDF("b", "mb", "vb")
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", maths.preference_probability("ma", "va", "mb", "vb").alias("p"))
+
+
+query("normal_cdf", oracle(f"SELECT a, b, round(p, 6) AS p FROM ({_PAIRS})"))(lambda spark, sf_dir: rounded(_preferences(spark, sf_dir)))
+query("log_loss_acc", oracle(f"SELECT count(*) AS n, round(avg(-(y * ln(greatest(least(p, 1 - 1e-5), 1e-5)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-5), 1e-5)))), 6) AS log_loss, round(avg(((p >= 0.5) = (y >= 0.5))::INT), 6) AS accuracy FROM (SELECT p, ((a + b) % 2)::DOUBLE AS y FROM ({_PAIRS}))"))(
+    lambda spark, sf_dir: rounded(_preferences(spark, sf_dir).withColumn("y", ((F.col("a") + F.col("b")) % 2).cast("double")).agg(F.count("*").alias("n"), F.avg(maths.log_loss("p", "y")).alias("log_loss"), F.avg(((F.col("p") >= 0.5) == (F.col("y") >= 0.5)).cast("double")).alias("accuracy")))
+)
+
+
+def _zscore(spark, sf_dir):
+    u = derived(spark, sf_dir, "utilities")
+    stats = u.agg(F.avg("mean").alias("m"), F.stddev_samp("mean").alias("s"))
+    return rounded(u.join(F.broadcast(stats)).select("id", ((F.col("mean") - F.col("m")) / (F.col("s") + 1e-5)).alias("z")))
+
+
+query("zscore_util", oracle("SELECT id, round((mean - (SELECT avg(mean) FROM utilities)) / ((SELECT stddev_samp(mean) FROM utilities) + 1e-5), 6) + 0 AS z FROM utilities"))(_zscore)
+query("pearson", "SELECT p_brand AS brand, round(CASE WHEN count(*) >= 2 AND stddev_pop(p_size) > 0 AND stddev_pop(p_retailprice) > 0 THEN corr(p_size, p_retailprice) END, 6) + 0 AS r FROM part GROUP BY p_brand")(
+    lambda spark, sf_dir: rounded(load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.when((F.count("*") >= 2) & (F.stddev_pop("p_size") > 0) & (F.stddev_pop("p_retailprice") > 0), F.corr("p_size", "p_retailprice")).alias("r")))
+)
+
+_DELTAS = "(SELECT brand, avg(d) AS d, row_number() OVER (ORDER BY brand) - 1 AS i, count(*) OVER () AS n FROM (SELECT p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN p_retailprice ELSE -p_retailprice END AS d FROM part) GROUP BY brand)"
+
+
+def _bootstrap(spark, sf_dir, draws: int = 1000):
+    """Resampled means of paired deltas: the place of each draw follows from a hash, so both engines draw alike.
+
+    Deltas are one a group, few; draws times deltas rows are made side by side and averaged by draw."""
+    p = load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.avg(F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice")).otherwise(-F.col("p_retailprice"))).alias("d"))
+    deltas = p.withColumn("i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("brand")) - 1).cast("bigint"))
+    n = deltas.count()
+    grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    drawn = grid.withColumn("i", F.conv(F.substring(F.sha2(F.concat_ws(":", "draw", "j"), 256), 1, 8), 16, 10).cast("bigint") % n)
+    means = drawn.join(F.broadcast(deltas), "i").groupBy("draw").agg(F.avg("d").alias("m"))
+    ranked = means.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("m")) - 1)  # one row a draw
+    pick = lambda k: F.max(F.when(F.col("r") == k, F.col("m")))
+    return ranked.agg(F.round(F.avg("m"), 4).alias("mean"), F.round(pick(int(0.025 * draws)), 4).alias("low"), F.round(pick(int(0.975 * draws)), 4).alias("high"))
+
+
+query("paired_bootstrap", f"WITH d AS {_DELTAS}, g AS (SELECT b AS draw, j, CAST('0x' || substr(sha256(b || ':' || j), 1, 8) AS BIGINT) % (SELECT max(n) FROM d) AS i FROM generate_series(0, 999) x(b), generate_series(0, (SELECT max(n) - 1 FROM d)) y(j)), m AS (SELECT draw, avg(d) AS m FROM g JOIN d USING (i) GROUP BY draw), r AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m) SELECT round(avg(m), 4) AS mean, round(max(m) FILTER (r = 25), 4) AS low, round(max(m) FILTER (r = 975), 4) AS high FROM r")(_bootstrap)
+
+_ARMS = "WITH s AS (SELECT avg(finished::INT) FILTER (arm = 'base') AS t0, avg(reward) FILTER (arm = 'base' AND finished) AS q0, avg(finished::INT) FILTER (arm = 'arm') AS t1, avg(reward) FILTER (arm = 'arm' AND finished) AS q1 FROM arms) "
+
+
+def _decompose(spark, sf_dir):
+    arm = lambda a, c: F.avg(F.when(F.col("arm") == a, c))
+    done, value = F.col("finished").cast("double"), F.when(F.col("finished"), F.col("reward"))
+    s = derived(spark, sf_dir, "arms").agg(arm("base", done).alias("t0"), arm("base", value).alias("q0"), arm("arm", done).alias("t1"), arm("arm", value).alias("q1"))
+    return rounded(s.select(maths.decompose("t0", "q0", "t1", "q1").alias("x")).select("x.*"))
+
+
+query("decompose", oracle(_ARMS + "SELECT round((t1 - t0) * q0, 6) + 0 AS from_termination, round(t1 * (q1 - q0), 6) + 0 AS from_quality, round(t1 * q1 - t0 * q0, 6) + 0 AS delta FROM s"))(_decompose)
+query("drift_label", oracle("SELECT id, CASE WHEN mean - 0.948 > 0.002 THEN 'MORE' WHEN mean - 0.948 < -0.002 THEN 'LESS' ELSE 'SAME' END AS drift FROM utilities"))(over("utilities", "id", drift=lambda: maths.drift_label(F.col("mean") - 0.948, 0.002)))
+_BAND = "CASE WHEN n <= 0 THEN 0 WHEN n < 32 THEN 0.4::DOUBLE * n / 32 WHEN n <= 256 THEN 0.4 + 0.6::DOUBLE * (n - 32) / 224 WHEN n < 500 THEN (500 - n)::DOUBLE / 244 ELSE 0 END"
+query("band_score", oracle(f"SELECT pos, round({_BAND.replace('n ', 'output_tokens * 2 ').replace(' n', ' output_tokens * 2').replace('(n', '(output_tokens * 2')}, 6) AS band FROM attempts"))(lambda spark, sf_dir: rounded(derived(spark, sf_dir, "attempts").select("pos", maths.band_score(F.col("output_tokens") * 2).alias("band"))))
+query("format_reward", oracle(f"SELECT pos, round(CASE WHEN NOT api_error THEN 0.5 + 0.3 * ({_BAND.replace('n ', 'output_tokens ').replace(' n', ' output_tokens').replace('(n', '(output_tokens')}) + 0.2 * CASE WHEN pos % 2 = 0 THEN (pass_rate >= 0.5)::INT ELSE 1 END ELSE 0 END - CASE WHEN pos % 5 = 0 THEN 0.25 ELSE 0 END, 6) + 0 AS reward FROM attempts"))(
+    lambda spark, sf_dir: rounded(derived(spark, sf_dir, "attempts").select("pos", maths.format_reward(~F.col("api_error"), maths.band_score("output_tokens"), F.col("pass_rate") >= 0.5, F.col("pos") % 2 == 0, F.when(F.col("pos") % 5 == 0, 0.25).otherwise(0.0)).alias("reward")))
+)
+query("scale_unit", oracle("SELECT record_id % 10 AS grp, round(1 / stddev_samp(elapsed_seconds), 6) AS scale, abs(stddev_samp(elapsed_seconds) / stddev_samp(elapsed_seconds) - 1) <= 0.1 AS fits FROM attempts GROUP BY 1"))(
+    lambda spark, sf_dir: rounded(derived(spark, sf_dir, "attempts").groupBy((F.col("record_id") % 10).alias("grp")).agg((1 / F.stddev_samp("elapsed_seconds")).alias("scale"), F.stddev_samp("elapsed_seconds").alias("sd")).select("grp", "scale", (F.abs(F.col("sd") * F.col("scale") - 1) <= 0.1).alias("fits")))
+)
+query("kv_budget", oracle("SELECT pos, (input_tokens + 1) * (output_tokens + 64) <= 100000 AS fits FROM attempts"))(over("attempts", "pos", fits=lambda: maths.kv_budget(F.col("input_tokens") + 1, "output_tokens", 64, 100000)))
+
+query("cyclic_rotations", "SELECT r, labels FROM (VALUES (0, 'MORE,LESS,SAME'), (1, 'LESS,SAME,MORE'), (2, 'SAME,MORE,LESS')) t(r, labels)")(
+    lambda spark, sf_dir: spark.range(1).select(F.posexplode(text.cyclic_rotations(F.array(*map(F.lit, ("MORE", "LESS", "SAME"))), 3)).alias("r", "x")).select("r", F.array_join("x", ",").alias("labels"))
+)
+
+
+def _tables(spark, sf_dir):
+    """Small tables of numbers: matrices, jagged ones and empty ones by order."""
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q")))).alias("t"))
+    row = lambda x: F.when(F.col("l_orderkey") % 3 == 0, F.array(x["l_partkey"].cast("string"))).otherwise(F.array(x["l_partkey"].cast("string"), x["q"].cast("string")))
+    rows = F.transform("t", lambda x: F.when((F.col("l_orderkey") % 3 == 2) & (x["q"] % 2 == 0), F.array(x["l_partkey"].cast("string"))).otherwise(row(x)))
+    return lines.select(F.col("l_orderkey").alias("id"), rows.alias("rows"))
+
+
+_ROWS = "WITH r AS (SELECT l_orderkey AS id, l_linenumber, l_partkey, CAST(l_quantity AS INT) AS q, CASE WHEN l_orderkey % 3 = 0 OR (l_orderkey % 3 = 2 AND CAST(l_quantity AS INT) % 2 = 0) THEN CAST(l_partkey AS VARCHAR) ELSE l_partkey || ' ' || CAST(l_quantity AS INT) END AS line FROM lineitem), t AS (SELECT id, string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, q) AS body, count(*) AS n, min(len(string_split(line, ' '))) AS lo, max(len(string_split(line, ' '))) AS hi FROM r GROUP BY id) "
+query("classify_value", _ROWS + "SELECT id, CASE WHEN lo = hi THEN 'matrix' ELSE 'jagged' END AS kind FROM t")(lambda spark, sf_dir: _tables(spark, sf_dir).select("id", arrays.classify_value("rows").alias("kind")))
+query("resolve_type", _ROWS + "SELECT id % 100 AS task, CASE WHEN min(lo = hi) = max(lo = hi) THEN CASE WHEN min(lo = hi) THEN 'matrix' ELSE 'jagged' END ELSE 'jagged' END AS kind FROM t GROUP BY 1")(
+    lambda spark, sf_dir: _tables(spark, sf_dir).groupBy((F.col("id") % 100).alias("task")).agg(F.collect_set(arrays.classify_value("rows")).alias("k")).select("task", arrays.resolve_type("k").alias("kind"))
+)
+query("task_category", _ROWS + "SELECT id % 100 AS task, CASE WHEN bool_or(lo = hi) THEN 'matrix' ELSE 'two_dim' END AS category FROM t GROUP BY 1")(
+    lambda spark, sf_dir: _tables(spark, sf_dir).groupBy((F.col("id") % 100).alias("task")).agg(F.collect_set(arrays.classify_value("rows")).alias("k")).select("task", arrays.task_category("k").alias("category"))
+)
+for _name, _head in (("convert_v1", "body"), ("convert_v2", "n || chr(10) || body"), ("convert_v3", "CASE WHEN lo = hi THEN n || ' ' || hi ELSE CAST(n AS VARCHAR) END || chr(10) || body")):
+    query(_name, _ROWS + f"SELECT id, {_head} AS stdin FROM t")(lambda spark, sf_dir, f=getattr(arrays, _name): _tables(spark, sf_dir).select("id", f("rows").alias("stdin")))
+query("parse_raw_json", "SELECT event_id, CAST(event_id AS VARCHAR) AS first, props AS second FROM events")(
+    lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", arrays.parse_raw_json(F.concat(F.col("event_id"), F.lit("\n\n"), F.col("props"))).alias("m")).select("event_id", F.col("m")["param_0"].alias("first"), F.col("m")["param_1"].alias("second"))
+)
+query("parse_examples")(lambda spark, sf_dir: load(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", F.explode(arrays.parse_examples(F.concat(F.lit("Example 1\nInput: ["), "o_custkey", F.lit(", 2]\nOutput: 'x'\nExample 2\nInput: a b\nOutput: 7\n")))).alias("e")).select("o_orderkey", "e.*"))
+query("pyrepr_list")(lambda spark, sf_dir: load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(arrays.pyrepr_list(F.concat(F.lit("['a', 'nan', '"), "o_custkey", F.lit("']"))), ",").alias("items")))
+
+
+def _ids(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"] % 5).alias("ids"))
+
+
+_IDS = "SELECT l_orderkey, list(l_partkey % 5 ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY l_orderkey"
+query("eos_terminated", f"SELECT l_orderkey, list_contains(ids, 0) OR list_contains(ids, 4) AS done FROM ({_IDS})")(lambda spark, sf_dir: _ids(spark, sf_dir).select("l_orderkey", arrays.eos_terminated("ids", [0, 4]).alias("done")))
+query("mask_after_eos", f"SELECT l_orderkey, array_to_string(CASE WHEN list_contains(ids, 0) THEN list_concat(ids[1:list_position(ids, 0)], list_transform(range(0, len(ids) - list_position(ids, 0)), lambda i: 99::BIGINT)) ELSE ids END, ',') AS masked FROM ({_IDS})")(
+    lambda spark, sf_dir: _ids(spark, sf_dir).select("l_orderkey", F.array_join(F.transform(arrays.mask_after_eos("ids", [0], 99), lambda x: x.cast("string")), ",").alias("masked"))
+)
+query("run_timestamp", "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM events")(lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("stamp")))
+query("parse_timestamp", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS seen FROM events")(
+    lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("t")).select("event_id", F.date_format(F.try_to_timestamp("t", F.lit("yyyy-MM-dd'T'HH:mm:ss")), "yyyy-MM-dd HH:mm:ss").alias("seen"))
+)
+query("level_filter", oracle("SELECT id, level FROM utilities, (VALUES ('primary'), ('weak'), ('strong')) l(level) WHERE level = 'primary' OR id % 4 = 0"))(
+    lambda spark, sf_dir: derived(spark, sf_dir, "utilities").select("id", F.explode(F.array(*map(F.lit, ("primary", "weak", "strong")))).alias("level")).filter("level = 'primary' OR id % 4 = 0")
+)
+query("analysis_tier", oracle("SELECT id, CASE WHEN id < 5 THEN 'primary' WHEN variance > 0.009 THEN 'secondary' ELSE 'exploratory' END AS tier FROM utilities"))(over("utilities", "id", tier=lambda: F.when(F.col("id") < 5, "primary").when(F.col("variance") > 0.009, "secondary").otherwise("exploratory")))

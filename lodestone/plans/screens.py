@@ -218,9 +218,9 @@ def _(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", worst.alias("worst"), (worst <= 300).alias("fits"))
 
 
-@query("cell_validate", oracle("SELECT id, array_to_string(list_filter([CASE WHEN mean < 1.3 THEN 'low_mean' END, CASE WHEN variance < 3 THEN 'flat' END, CASE WHEN id % 2 = 1 AND mean > 1.4 THEN 'odd_high' END], lambda x: x IS NOT NULL), ',') AS problems FROM utilities"))
+@query("cell_validate", oracle("SELECT id, array_to_string(list_filter([CASE WHEN mean < 0.946 THEN 'low_mean' END, CASE WHEN variance < 0.0085 THEN 'flat' END, CASE WHEN id % 2 = 1 AND mean > 0.95 THEN 'odd_high' END], lambda x: x IS NOT NULL), ',') AS problems FROM utilities"))
 def _(spark, sf_dir):
-    why = guards.reasons(("low_mean", F.col("mean") < 1.3), ("flat", F.col("variance") < 3), ("odd_high", (F.col("id") % 2 == 1) & (F.col("mean") > 1.4)))
+    why = guards.reasons(("low_mean", F.col("mean") < 0.946), ("flat", F.col("variance") < 0.0085), ("odd_high", (F.col("id") % 2 == 1) & (F.col("mean") > 0.95)))
     return derived(spark, sf_dir, "utilities").select("id", F.array_join(why, ",").alias("problems"))
 
 
