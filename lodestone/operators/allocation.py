@@ -51,11 +51,14 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, alloc: DataFrame, s
 def equal_cells(counts: DataFrame, key: str, want: int) -> DataFrame:
     """(key, n, keep): cells cut from the largest down until `want` rows remain.
 
-    The largest cap with a total of at most `want` holds for all; the remainder goes to the first cells, by key, that have more.  Counts are few: one row a cell.
+    The largest cap with a total of at most `want` holds for all; the remainder goes to the first cells, by key, that have more.  With cells
+    in ascending order, the first one that overflows the budget tells the cap: what is left over smaller cells, shared by it and the larger ones.
     """
-    caps = counts.agg(F.max("n").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("cap"))
-    total = caps.join(F.broadcast(counts)).groupBy("cap").agg(F.sum(F.least("n", "cap")).alias("t"))
-    best = total.filter(F.col("t") <= want).agg(F.max(F.struct("cap", "t")).alias("x")).select("x.cap", "x.t")
+    whole = Window.partitionBy(F.lit(0)).orderBy("n", key)  # one row a cell
+    ordered = counts.withColumn("_s", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_m", F.count("*").over(Window.partitionBy(F.lit(0))) - F.row_number().over(whole) + 1)
+    over = F.col("_s") + F.col("n") * F.col("_m") > want
+    found = ordered.agg(F.min_by(F.struct(F.floor((want - F.col("_s")) / F.col("_m")).alias("cap"), "_s", "_m"), F.when(over, F.struct("n", key))).alias("x"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    best = found.select(F.coalesce("x.cap", "most").alias("cap"), F.coalesce(F.col("x._s") + F.col("x.cap") * F.col("x._m"), "all").alias("t"))
     turn = F.row_number().over(Window.partitionBy(F.col("n") > F.col("cap")).orderBy(key))
     more = (F.col("n") > F.col("cap")) & (F.col("_turn") <= F.lit(want) - F.col("t"))
     return counts.join(F.broadcast(best)).withColumn("_turn", turn).select(key, "n", (F.least("n", "cap") + more.cast("int")).cast("bigint").alias("keep"))
