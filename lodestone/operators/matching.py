@@ -17,18 +17,26 @@ SNIPPET_ROWS = 10_000
 def snippet_overlap(texts: DataFrame, key: str, snippets: DataFrame, snippet_key: str, prefix: int | None = None, least: int = 25) -> DataFrame:
     """(key, snippet_key) where the normalised text contains the normalised snippet of `least` characters or more.
 
-    Up to `SNIPPET_ROWS` snippets travel to the texts.  Beyond that both sides meet on their first `least` characters: a text posts each of its windows of that
-    length, a snippet its own first one, and contains() decides; the join is an ordinary hash join then.
+    Words inside a snippet stand whole in every text that contains it, so three of them from its middle are an anchor: texts post their own runs of
+    three words, meet the anchors in a hash join, and contains() decides.  Snippets of fewer than five words have no anchor: up to `SNIPPET_ROWS` of
+    them travel to the texts; beyond that they meet the texts on their first `least` characters, which a text posts for each of its places.
     """
     own = snippets.select(snippet_key, normalize_ws("text").alias("_s")).filter(F.length("_s") >= least)
     if prefix:
         own = own.withColumn("_s", F.substring("_s", 1, prefix))
+    own = own.withColumn("_w", F.split("_s", " "))
     norm = texts.select(key, normalize_ws("text").alias("_t"))
-    if own.limit(SNIPPET_ROWS + 1).count() <= SNIPPET_ROWS:
-        return norm.join(F.broadcast(own), F.contains("_t", F.col("_s"))).select(key, snippet_key)
+    gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    long = own.filter(F.size("_w") >= 5).withColumn("_h", gram(F.col("_w"), F.floor((F.size("_w") - 3) / 2).cast("int"))).drop("_w")
+    words = F.split("_t", " ")
+    grams = F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: gram(words, i))))
+    found = norm.withColumn("_h", F.explode(grams)).join(long, "_h").filter(F.contains("_t", F.col("_s"))).select(key, snippet_key)
+    few = own.filter(F.size("_w") < 5).drop("_w")
+    if few.limit(SNIPPET_ROWS + 1).count() <= SNIPPET_ROWS:
+        return found.union(norm.join(F.broadcast(few), F.contains("_t", F.col("_s"))).select(key, snippet_key))
     head = lambda c, at: F.xxhash64(F.substring(c, at, F.lit(least)))
     posted = norm.filter(F.length("_t") >= least).withColumn("_h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - least + 1), lambda i: head("_t", i)))))
-    return posted.join(own.withColumn("_h", head("_s", F.lit(1))), "_h").filter(F.contains("_t", F.col("_s"))).select(key, snippet_key).distinct()
+    return found.union(posted.join(few.withColumn("_h", head("_s", F.lit(1))), "_h").filter(F.contains("_t", F.col("_s"))).select(key, snippet_key))
 
 
 def _ratios(least: float):

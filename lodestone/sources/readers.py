@@ -43,7 +43,7 @@ def scan_torn_tail(spark: SparkSession, path: str, schema: str, order: str) -> D
 
     A torn line has no fields, so its place is told by the byte order of lines inside a file: every file is read as one piece and its lines numbered there.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("place", "value")).filter(F.trim("value") != "")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("place", "value")).filter(F.trim("value") != "")
     lines = parsed_lines(whole, schema)
     last = lines.groupBy("file").agg(F.max("place").alias("_last"))
     judged = lines.join(F.broadcast(last), "file")
@@ -102,7 +102,7 @@ def flatten_options(spec: Column) -> Column:
 
 def scan_options(spark: SparkSession, path: str) -> DataFrame:
     """(file, category, option) of option files."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_name").alias("file"), F.explode(flatten_options(F.col("value"))).alias("o")).select("file", "o.*")
 
 
