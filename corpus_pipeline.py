@@ -21,7 +21,7 @@ from lodestone.llm.common import staged, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    return toxicity.clean_documents(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a scan; only sizes of hash partitions follow from it, never results."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, small_slices, table, word_hashes
+from .common import ALNUM, Words, fresh, small_slices, table, word_hashes
 
 WIDTH = 10
 BLOCK_CHARS = 4_000_000
@@ -221,10 +221,11 @@ def blocks_of(spark, benchmark: DataFrame, width: int, block_chars: int) -> Iter
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without the rows in which a benchmark window occurs; all columns stay, nothing is shuffled."""
-    out = docs.withColumn("_hit", F.lit(False))
+    name = fresh(docs, "_hit")
+    out = docs.withColumn(name, F.lit(False))
     for phrases, _ in blocks_of(docs.sparkSession, benchmark, width, block_chars):
         out = out.mapInArrow(lambda it, p=phrases: flag_rows(it, p.value), out.schema)
-    return out.filter(~F.col("_hit")).drop("_hit")
+    return out.filter(~F.col(name)).drop(name)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_slices, staged, table
+from .common import fresh, small_slices, staged, table
 from .components import components
 
 LIMIT = 4
@@ -210,10 +210,11 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def one_of_each(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs without near-duplicates: the row with the smallest doc_id of every component stays, once even if it is repeated; rows with null doc_id stay."""
-    heads = near_duplicates(docs, limit).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_head")).distinct()
-    joined = docs.join(heads, F.col("doc_id").cast("long") == F.col("_head"), "left")
-    one = Window.partitionBy("_head").orderBy(F.xxhash64("text"))
-    kept = joined.filter(F.col("_head").isNotNull()).withColumn("_turn", F.row_number().over(one)).filter("_turn = 1").select(*docs.columns)
+    head, turn = fresh(docs, "_head"), fresh(docs, "_turn")
+    heads = near_duplicates(docs, limit).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(head)).distinct()
+    joined = docs.join(heads, F.col("doc_id").cast("long") == F.col(head))
+    one = Window.partitionBy(head).orderBy(F.xxhash64("text"))
+    kept = joined.withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
     return kept.union(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ALNUM, U, Words, prefix_hashes, small_slices, table
+from .common import ALNUM, U, Words, fresh, prefix_hashes, small_slices, table
 
 FOLDS = 5
 MOST_POSITIVE, MOST_NEGATIVE = 2500, 5000
@@ -69,7 +69,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(fold("doc_id") != 0)
     joined = texts.join(F.broadcast(picked), "doc_id")  # at most the sample's bound
-    return joined.groupBy("doc_id", "_label").agg(F.min("text").alias("text")).select("text", "_label").orderBy(F.xxhash64("text")).collect()
+    rows = joined.groupBy("doc_id", "_label").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["_label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def slices_of(texts: list, rows: np.ndarray, size: int = 500) -> Iterator[tuple[Bags, np.ndarray]]:
@@ -225,10 +226,10 @@ def score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(spots, pa.string()), pa.array(top)], names=["doc_id", "score", "worst_sentence", "worst_score"])
 
 
-def bare_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def bare_rows(batches: Iterator[pa.RecordBatch], model: Model, name: str) -> Iterator[pa.RecordBatch]:
     """Every column as it came, and a score for each row."""
     for batch in small_slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(Bags(batch.column("text")))[0])], names=[*batch.schema.names, "_score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(Bags(batch.column("text")))[0])], names=[*batch.schema.names, name])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -242,10 +243,12 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: score_rows(it, held.value), SCORED)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column _score."""
+def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score the threshold or more; all columns stay, nothing is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda it: bare_rows(it, held.value), StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    name = fresh(docs, "_score")
+    scored = docs.mapInArrow(lambda it: bare_rows(it, held.value, name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return scored.filter(F.col(name) < threshold).drop(name)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
