@@ -56,16 +56,24 @@ def drift_label(delta: Column | str, tau: float) -> Column:
     return F.when(d > tau, "MORE").when(d < -tau, "LESS").otherwise("SAME")
 
 
-def band_score(n: Column | str, floor: int = 32, target: int = 256, budget: int = 500, floor_value: float = 0.4) -> Column:
-    """Length score: rises to the floor's value, then to 1 at the target, and falls to 0 at the budget."""
+#: Lengths in tokens of the score's band, and its value at the floor.
+BAND_FLOOR, BAND_TARGET, BAND_BUDGET, BAND_FLOOR_VALUE = 32, 256, 500, 0.4
+
+
+def band_score(n: Column | str, floor: int = BAND_FLOOR, target: int = BAND_TARGET, budget: int = BAND_BUDGET, floor_value: float = BAND_FLOOR_VALUE) -> Column:
+    """Length score: from the floor's value up to 1 at the floor, 1 up to the target, down to 0 at the budget."""
     n = col(n).cast("double")
-    return F.when(n <= 0, 0.0).when(n < floor, floor_value * n / floor).when(n <= target, floor_value + (1 - floor_value) * (n - floor) / (target - floor)).when(n < budget, (budget - n) / (budget - target)).otherwise(0.0)
+    return F.when(n > budget, 0.0).when(n > target, (budget - n) / max(budget - target, 1)).when(n >= floor, 1.0).otherwise(floor_value + (1 - floor_value) * n / max(floor, 1))
+
+
+#: What a commitment, the length score and a right answer weigh, and the penalty without a commitment.
+W_COMMIT, W_BAND, W_CORRECT, NO_COMMIT_PENALTY = 0.5, 0.3, 0.2, 0.2
 
 
-def format_reward(committed: Column, band: Column, correct: Column, verifiable: Column, penalty: Column) -> Column:
-    """Half for a commitment, 0.3 of the length score, 0.2 for a right answer where one is known; nothing without a commitment; less the penalty."""
-    base = F.when(committed, 0.5 + 0.3 * band + 0.2 * F.when(verifiable, correct.cast("double")).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
-    return base - penalty
+def format_reward(committed: Column, band: Column, correct: Column, verifiable: Column) -> Column:
+    """Weighted score of a commitment; the weight of correctness goes to the commitment where no answer is known; the penalty without one."""
+    right = F.when(verifiable, W_COMMIT + W_CORRECT * F.coalesce(correct.cast("double"), F.lit(0.0))).otherwise(W_COMMIT + W_CORRECT)
+    return F.when(committed, right + W_BAND * band).otherwise(F.lit(-NO_COMMIT_PENALTY))
 
 
 def kv_budget(batch: Column | str, max_tokens: Column | str, allowance: int, capacity: int) -> Column:

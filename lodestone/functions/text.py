@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Marks that may stand before an answer on its line, and after it.
 NOISE = r"""[ \t>*_"'`#-]*"""
 TAIL = r"""[ \t.,;:!?*_"'`)\]]*"""
 FENCE = "```"
@@ -80,9 +81,9 @@ def multi_answer_flag(c: Column | str, choices: list[str]) -> Column:
 
 
 def plain_choice(c: Column | str, choices: list[str]) -> Column:
-    """The text itself as a label, or the only one of the labels that stands in it as a word."""
-    text = F.trim(F.coalesce(col(c), F.lit("")))
-    named = F.array_compact(F.array(*(F.when(text.rlike(rf"(^|[^A-Za-z0-9_]){re.escape(x)}([^A-Za-z0-9_]|$)"), F.lit(x)) for x in choices)))
+    """The text itself as a label, or the only one of the labels that stands in it as a word; case doesn't matter."""
+    text = F.trim(F.coalesce(col(c), F.lit("")), F.lit(" \n\t\r"))
+    named = F.array_compact(F.array(*(F.when(text.rlike(rf"(?iU)(^|[^\w]){re.escape(x)}([^\w]|$)"), F.lit(x)) for x in choices)))
     return F.coalesce(canonical(text, choices), F.when(F.size(named) == 1, F.element_at(named, 1)))
 
 
@@ -100,26 +101,53 @@ def parse_action(c: Column | str, order: Column | str) -> Column:
 
 
 def degenerate_loop(c: Column | str, least_words: int = 40, ratio: float = 0.35) -> Column:
-    words = F.filter(F.split(F.lower(col(c)), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(col(c), r"\s+"), lambda w: w != "")
     return (F.size(words) >= least_words) & (F.size(F.array_distinct(words)) / F.size(words) < ratio)
 
 
-def recover_tier(c: Column | str, choices: list[str]) -> Column:
-    """Why a dropped response has no vote, or which weaker rule finds one; the first that holds."""
-    text = F.coalesce(col(c), F.lit(""))
-    named = F.size(F.array_distinct(answer_lines(text, choices)))
+#: A label by itself, an answer line in any dress, the instruction quoted back, and how a finished text ends.
+LABEL_TOKEN = r"(?<![A-Za-z0-9_])([AB])(?![A-Za-z0-9_])"
+ANSWER_DRESSED = r"(?i)^[\s>*_#`\-]*(?:answer|final answer|choice)\s*[:\-]?\s*\**\s*([AB])\b"
+INSTRUCTION_ECHO = r"(?i)(answer\s*[:\-]?\s*[\"'`]?A[\"'`]?\s*(?:or|/|,)\s*[\"'`]?(?:answer\s*[:\-]?\s*)?B)|(on (?:its|your) own line)|(exactly as)"
+SENTENCE_END = r"[.!?\"')\]]\s*$"
+
+
+def recover(c: Column | str, endorse: bool = True) -> Column:
+    """struct(tier, label): why a dropped response has no vote, or which weaker rule finds one; the first that holds.
+
+    Texts that name neither label are left to a comparison with the options' words (`semantic`).
+    """
+    text = F.trim(F.coalesce(col(c), F.lit("")), F.lit(" \n\t\r"))
+    tail = F.trim(F.coalesce(last_line(text), F.lit("")), F.lit(" \t\r"))
+    found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(LABEL_TOKEN), F.lit(1)))
+    closing = F.element_at(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x) != ""), -1)
+    dressed = F.upper(F.regexp_extract(tail, ANSWER_DRESSED, 1))
+    short = F.when(F.length(tail) <= 4, found(tail))
+    one = lambda xs: F.when(F.size(xs) == 1, F.element_at(xs, 1))
+    pair = lambda tier, label=None: F.struct(F.lit(tier).alias("tier"), (F.lit(None).cast("string") if label is None else label).alias("label"))
+    both = F.when(one(found(closing)).isNotNull(), pair("terminal_endorse", one(found(closing)))).otherwise(pair("ambiguous")) if endorse else pair("both_labels_skipped")
     return (
-        F.when(F.trim(text) == "", "empty")
-        .when(text.contains("<think>"), "has_think")
-        .when(degenerate_loop(text), "loop")
-        .when(terminal_choice(text, choices).isNotNull(), "terminal_label")
-        .when(named == 1, "single_label")
-        .when(named > 1, "ambiguous")
-        .when(~F.trim(text).rlike(r"[.!?)\"']$"), "truncated")
-        .otherwise("semantic")
+        F.when(text == "", pair("empty"))
+        .when(text.contains("<think>"), pair("has_think"))
+        .when(degenerate_loop(text), pair("degenerate_loop"))
+        .when(~text.rlike(SENTENCE_END), pair("truncated"))
+        .when(text.rlike(INSTRUCTION_ECHO), pair("instruction_echo"))
+        .when(dressed != "", pair("terminal_label", dressed))
+        .when(one(short).isNotNull(), pair("terminal_label", one(short)))
+        .when(F.size(found(text)) == 1, pair("single_label", one(found(text))))
+        .when(F.size(found(text)) == 2, both)
+        .otherwise(pair("semantic"))
     )
 
 
+def semantic_label(c: Column | str, first: Column | str, second: Column | str, margin: int = 2) -> Column:
+    """The option whose own words, those the other one lacks, a text uses more often by the margin; else null."""
+    words = lambda x: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(col(x), F.lit(""))), F.lit("[a-z']+"), F.lit(0)), lambda w: F.length(w) > 2))
+    a, b, body = words(first), words(second), words(c)
+    gap = F.size(F.array_intersect(body, F.array_except(a, b))) - F.size(F.array_intersect(body, F.array_except(b, a)))
+    return F.when(gap >= margin, "A").when(gap <= -margin, "B")
+
+
 def rejoin_reasoning(reasoning: Column | str, content: Column | str) -> Column:
     r, c = col(reasoning), col(content)
     return F.when(r.isNotNull() & c.isNotNull(), F.concat(F.lit("<think>"), r, F.lit("</think>\n"), c)).otherwise(F.coalesce(c, r))
@@ -138,33 +166,45 @@ def split_think(c: Column | str, open_prompt: bool = True) -> Column:
     return F.when(close > 0, pair(reasoning, rest)).when(opened > 0, pair(after_open, F.lit(""))).otherwise(pair(text, F.lit("") if open_prompt else text))
 
 
-def truncate_reasoning(c: Column | str, keep: int) -> Column:
-    """A reasoning block longer than `keep` keeps its ends around an ellipsis; the rest of the text stays."""
-    text = F.coalesce(col(c), F.lit(""))
-    block = F.regexp_extract(text, r"(?s)<think>(.*?)</think>", 1)
-    half = keep // 2
-    short = F.concat(F.substring(block, 1, half), F.lit("..."), F.substring(block, F.length(block) - half + 1, F.lit(half)))
-    return F.when(F.length(block) > keep, F.replace(text, F.concat(F.lit("<think>"), block, F.lit("</think>")), F.concat(F.lit("<think>"), short, F.lit("</think>")))).otherwise(text)
+def truncate_reasoning(c: Column | str, keep: int = 300) -> Column:
+    """Reasoning that ends at or beyond `keep` is cut so that it fills `keep` characters with a note of its length; an open block is closed first."""
+    text = F.trim(col(c), F.lit(" \n\t\r"))
+    start, close = F.instr(text, "<think>"), F.instr(text, "</think>")
+    whole = F.when((start > 0) & (close == 0), F.concat(text, F.lit("</think>"))).otherwise(text)
+    end = F.instr(whole, "</think>") - 1
+    size = F.when(start > 0, end - 7).otherwise(end)
+    note = F.concat(F.lit("... [total "), size.cast("string"), F.lit(" symbols]</think>"))
+    left = F.greatest(F.when(start > 0, start + 6).otherwise(F.lit(0)), F.lit(keep) - F.length(note))
+    cut = F.concat(F.substring(whole, F.lit(1), left), note, F.substring(whole, end + 9, F.length(whole)))
+    return F.when((end >= keep) & (text != ""), cut).otherwise(whole)
 
 
 def _blocks(text: Column, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?s){FENCE}([A-Za-z0-9_+#.-]*)[ \t]*\n(.*?){FENCE}"), F.lit(group))
+    return F.regexp_extract_all(text, F.lit(rf"(?s){FENCE}([a-zA-Z0-9_+-]*)\n(.*?){FENCE}"), F.lit(group))
+
+
+def _strip(x: Column) -> Column:
+    return F.trim(x, F.lit(" \n\t\r\x0b\x0c"))
 
 
 def extract_code(c: Column | str) -> Column:
     """The last fenced block, else the text, trimmed."""
     text = F.coalesce(col(c), F.lit(""))
     bodies = _blocks(text, 2)
-    return F.trim(F.when(F.size(bodies) > 0, F.element_at(bodies, -1)).otherwise(text), F.lit(" \n\t\r"))
+    return _strip(F.when(F.size(bodies) > 0, F.element_at(bodies, -1)).otherwise(text))
+
+
+#: Language tags of a fenced block.
+TAGS = "python|java|c\\+\\+|cpp|csharp|c\\#|ts|js|typescript|javascript|rust|ruby|go|php|scala|kotlin"
 
 
-def extract_code_first(c: Column | str, placeholder: str = "YOUR CODE HERE") -> Column:
-    """After any reasoning block the first fenced block, without lines that hold the placeholder; else empty."""
+def extract_code_first(c: Column | str) -> Column:
+    """After any reasoning block the first fenced block of a known language or none, without placeholder comments; else empty."""
     text = F.coalesce(col(c), F.lit(""))
-    after = F.when(F.instr(text, "</think>") > 0, F.substring_index(text, "</think>", -1)).otherwise(text)
-    bodies = _blocks(after, 2)
-    lines = F.filter(F.split(F.coalesce(F.get(bodies, F.lit(0)), F.lit("")), "\n"), lambda x: ~x.contains(placeholder))
-    return F.trim(F.array_join(lines, "\n"), F.lit(" \n\t\r"))
+    close = F.instr(text, "</think>")
+    after = F.when(close > 0, _strip(F.substring(text, close + 8, F.length(text)))).otherwise(text)
+    block = F.regexp_extract(after, rf"(?is){FENCE}(\s*({TAGS})\s*\n)?(.*?){FENCE}", 3)
+    return F.regexp_replace(block, "(?is)(#+|//+) YOUR CODE HERE", "")
 
 
 def fence_count(c: Column | str) -> Column:
@@ -173,43 +213,65 @@ def fence_count(c: Column | str) -> Column:
 
 
 def extract_code_status(c: Column | str, finish_reason: Column | str) -> Column:
-    """struct(code, status): truncated if a fence is open or the length limit ended it, empty without code, else ok."""
-    code = extract_code(c)
-    cut = (fence_count(c) % 2 == 1) | (F.coalesce(col(finish_reason), F.lit("")) == "length")
-    return F.struct(F.when(~cut, code).alias("code"), F.when(cut, "truncated").when(code == "", "empty").otherwise("ok").alias("status"))
+    """struct(code, status): truncated if a block is open or the length limit ended the text, empty without code, else ok; the code is the best there is."""
+    text = F.coalesce(col(c), F.lit(""))
+    opened = text.rlike(rf"{FENCE}[a-zA-Z0-9_+-]*\n") & (fence_count(text) % 2 == 1)
+    rest = F.element_at(F.split(text, rf"{FENCE}[a-zA-Z0-9_+-]*\n"), -1)
+    code = F.when(opened, _strip(rest)).otherwise(extract_code(text))
+    status = F.when(_strip(text) == "", "empty").when(opened | (F.coalesce(col(finish_reason), F.lit("")) == "length"), "truncated").when(code == "", "empty").otherwise("ok")
+    return F.struct(F.when(_strip(text) == "", "").otherwise(code).alias("code"), status.alias("status"))
 
 
-def extract_code_lang(c: Column | str, tags: list[str]) -> Column:
-    """The last block with one of the tags, else null."""
+def extract_code_lang(c: Column | str, finish_reason: Column | str, tags: list[str]) -> Column:
+    """As extract_code_status, but of a text that is ok the last block with one of the tags wins over the last one."""
     text = F.coalesce(col(c), F.lit(""))
-    both = F.arrays_zip(_blocks(text, 1).alias("tag"), _blocks(text, 2).alias("body"))
-    own = F.filter(both, lambda x: F.lower(x["tag"]).isin(tags))
-    return F.when(F.size(own) > 0, F.element_at(own, -1)["body"])
+    plain = extract_code_status(text, finish_reason)
+    own = F.filter(F.arrays_zip(_blocks(text, 1).alias("tag"), _blocks(text, 2).alias("body")), lambda x: F.lower(x["tag"]).isin(tags))
+    return F.struct(F.when((plain["status"] == "ok") & (F.size(own) > 0), _strip(F.element_at(own, -1)["body"])).otherwise(plain["code"]).alias("code"), plain["status"].alias("status"))
 
 
 def exact_fence(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit("")).rlike(rf"(?s)^\s*{FENCE}[A-Za-z0-9_+#.-]*[ \t]*\n.*\n{FENCE}\s*$") & (fence_count(c) == 2)
 
 
+#: How a bullet starts, and emphasis marks.
+BULLET, EMPHASIS = r"^\s*(?:[-*•]\s+|\d{1,2}[.)]\s+)+", r"\*\*|__"
+
+
 def bullets_to_prose(c: Column | str) -> Column:
-    """Bullet marks go, each item ends with a full stop, lines join with spaces."""
-    lines = F.transform(F.filter(F.split(F.coalesce(col(c), F.lit("")), "\n"), lambda x: F.trim(x) != ""), lambda x: F.trim(F.regexp_replace(x, r"^\s*([-*]|[0-9]+[.)])\s+", "")))
-    return F.array_join(F.transform(lines, lambda x: F.when(x.rlike(r"[.!?:]$"), x).otherwise(F.concat(x, F.lit(".")))), " ")
+    """Reasoning before the closing tag as prose: only its bullets if it has any, else all its lines, without marks; texts without the tag stay."""
+    text = col(c)
+    close = F.instr(text, "</think>")
+    lines = F.transform(nonempty_lines(F.substring(text, F.lit(1), close - 1)), lambda x: _strip(x))
+    bullets = F.filter(lines, lambda x: x.rlike(BULLET))
+    source = F.when(F.size(bullets) > 0, bullets).otherwise(lines)
+    bare = F.filter(F.transform(source, lambda x: _strip(F.regexp_replace(F.regexp_replace(x, BULLET, ""), EMPHASIS, ""))), lambda x: x != "")
+    return F.when(close > 0, F.concat(F.array_join(bare, " "), F.lit("\n"), F.substring(text, close, F.length(text)))).otherwise(text)
 
 
 def scrub_sentences(c: Column | str, banned: list[str]) -> Column:
-    """struct(text, scrubbed): sentences with a banned word go."""
-    parts = F.split(F.coalesce(col(c), F.lit("")), r"(?<=[.!?])\s+|\n+")
+    """struct(text, scrubbed): sentences with a banned word go; a text without any stays as it is."""
+    text = F.coalesce(col(c), F.lit(""))
+    parts = F.split(text, r"(?<=[.!?])\s+|\n+")
     pattern = "(?i)(^|[^A-Za-z0-9_])(" + "|".join(re.escape(b) for b in banned) + ")([^A-Za-z0-9_]|$)"
-    kept = F.filter(parts, lambda s: ~s.rlike(pattern))
-    joined = F.regexp_replace(F.array_join(kept, " "), r"\s+([,.!?;:])", "$1")
-    return F.struct(joined.alias("text"), (F.size(kept) < F.size(parts)).alias("scrubbed"))
+    kept = F.filter(parts, lambda s: (F.trim(s) != "") & ~s.rlike(pattern))
+    joined = _strip(F.regexp_replace(F.array_join(kept, " "), r"\s+([,.!?])", "$1"))
+    changed = F.size(kept) < F.size(parts)
+    return F.struct(F.when(changed, joined).otherwise(text).alias("text"), changed.alias("scrubbed"))
+
 
+def ask_from_title(c: Column | str, marks: list[str], opening: str = "Would I be wrong") -> Column:
+    """A title that opens with one of the marks and a connector as a plain question; null if it doesn't."""
+    pattern = rf"(?is)^\W*(?:{'|'.join(map(re.escape, marks))})\b\W*(if|for|to|when|by)\b\s*(.+?)\s*\??$"
+    title = _strip(F.coalesce(col(c), F.lit("")))
+    rest = _strip(F.regexp_extract(title, pattern, 2))
+    lowered = F.when(rest.rlike("^[A-HJ-Z][^A-Z ]*( |$)"), F.concat(F.lower(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.length(rest)))).otherwise(rest)
+    return F.when(rest != "", F.concat(F.lit(opening + " "), F.lower(F.regexp_extract(title, pattern, 1)), F.lit(" "), lowered, F.lit("?")))
 
-def ask_from_title(c: Column | str) -> Column:
-    """A title as a question: its first letter raised, end marks replaced by one question mark."""
-    t = F.trim(F.regexp_replace(F.trim(col(c)), r"[.!?\s]+$", ""))
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)), F.lit("?"))
+
+def compose(body: Column | str, ask: Column | str) -> Column:
+    """The ask as a closing paragraph."""
+    return F.concat(F.regexp_replace(col(body), r"\s+$", ""), F.lit("\n\n"), ask if isinstance(ask, Column) else F.lit(ask))
 
 
 def closer_by_hash(key: Column | str, closers: list[str]) -> Column:
@@ -224,8 +286,8 @@ def strip_wrapper(c: Column | str, prefix: str) -> Column:
 
 def strip_speaker(c: Column | str) -> Column:
     """Drops a leading `Name:` and quotes around the rest."""
-    bare = F.regexp_replace(F.trim(col(c)), r"^[A-Z][A-Za-z]{0,20}:\s*", "")
-    return F.trim(F.regexp_replace(bare, '^"(.*)"$', "$1"))
+    bare = F.regexp_replace(_strip(F.coalesce(col(c), F.lit(""))), r"^\s*[A-Z][\w' -]{0,30}:\s+", "")
+    return F.when(bare.rlike('(?s)^["“].*["”]$') & (F.length(bare) >= 2), _strip(F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
 
 
 def clean_html_text(c: Column | str) -> Column:
@@ -234,7 +296,7 @@ def clean_html_text(c: Column | str) -> Column:
     for _ in range(2):
         for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
             text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(text, "[​‌‍﻿]", ""), "\n{3,}", "\n\n")
+    return _strip(F.regexp_replace(F.regexp_replace(text, r"[\x{200B}-\x{200F}\x{FEFF}]|&#x200[bB];", ""), "\n{3,}", "\n\n"))
 
 
 def field_leak(c: Column | str, fields: list[str]) -> Column:
@@ -243,12 +305,19 @@ def field_leak(c: Column | str, fields: list[str]) -> Column:
 
 
 def truncate_str(c: Column | str, most: int = 300) -> Column:
-    half = most // 2
-    return F.when(F.length(col(c)) > most, F.concat(F.substring(col(c), 1, half), F.lit("..."), F.substring(col(c), F.length(col(c)) - half + 1, F.lit(half)))).otherwise(col(c))
+    return F.when(F.length(col(c)) > most, F.concat(F.substring(col(c), 1, most - 3), F.lit("..."))).otherwise(col(c))
+
+
+def slug(c: Column | str) -> Column:
+    """A name safe for files; `none` if nothing is left."""
+    cleaned = F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("none")), "[^A-Za-z0-9_.-]+", "-"), F.lit("-"))
+    return F.when(cleaned == "", "none").otherwise(cleaned)
 
 
-def slug(c: Column | str, most: int = 80) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "_"), F.lit("_")), 1, most)
+def safe_tag(c: Column | str) -> Column:
+    """A lower-case name safe for paths; null if nothing is left."""
+    tag = F.lower(F.trim(F.regexp_replace(col(c), "[^A-Za-z0-9_-]+", "-"), F.lit("-")))
+    return F.when(tag != "", tag)
 
 
 def render_prompt(template: str, **columns: Column | str) -> Column:
@@ -281,18 +350,24 @@ def semantic_answer(label: Column | str, labels: Column | str, options: Column |
     return F.when(at > 0, F.get(col(options), at - 1))
 
 
-#: Canonical language names and their aliases.
-LANGUAGES = {"python": ["python", "python3", "py"], "cpp": ["cpp", "c++", "cxx"], "csharp": ["csharp", "c#", "cs"], "javascript": ["javascript", "js", "node"], "typescript": ["typescript", "ts"], "go": ["go", "golang"], "rust": ["rust", "rs"], "java": ["java"], "kotlin": ["kotlin", "kt"], "ruby": ["ruby", "rb"], "php": ["php"], "scala": ["scala"]}
+#: Language names and their aliases.
+LANGUAGES = {"cpp": ["c++", "cpp"], "csharp": ["c#", "csharp"], "javascript": ["javascript", "js"], "typescript": ["typescript", "ts"], "python": ["python"], "java": ["java"], "rust": ["rust"], "go": ["go"], "ruby": ["ruby"], "php": ["php"], "scala": ["scala"], "kotlin": ["kotlin"]}
 
 
 def plang_fuzzy(c: Column | str) -> Column:
-    key = F.regexp_replace(F.lower(F.trim(col(c))), r"[\s_-]", "")
+    """The language an alias stands for; null if it isn't known."""
+    key = F.lower(F.trim(col(c)))
     out = F.lit(None).cast("string")
     for name, aliases in LANGUAGES.items():
         out = F.when(key.isin(aliases), F.lit(name)).otherwise(out)
     return out
 
 
+def parse_freeform(c: Column | str, judged: Column | str, choices: list[str]) -> Column:
+    """A label that the text itself settles, else the one a judge has given, else 'unparseable'."""
+    return F.coalesce(terminal_choice(c, choices), plain_choice(c, choices), canonical(F.trim(col(judged)), choices), F.lit("unparseable"))
+
+
 def parse_md_sections(c: Column | str) -> Column:
     """Review documents: array of struct(id, prompt, verdict) from `## id` sections with a `Verdict:` line."""
     parts = F.filter(F.split(F.coalesce(col(c), F.lit("")), r"(?m)^## "), lambda s: F.trim(s) != "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import safe_rate
 
+#: The share from which one position counts as a strategy, and how near to a half a tie is.
 STRATEGY_SHARE, TIE_EPS = 0.95, 1e-9
 
 

@@ -136,10 +136,10 @@ def _(spark, sf_dir):
     return rounded(pairwise.win_rate_delta(pairwise.win_rate(votes.filter("event_id % 3 = 0")), pairwise.win_rate(votes.filter("event_id % 3 = 1"))))
 
 
-@query("tier_counts", oracle("""WITH t AS (SELECT CASE doc_id % 12 WHEN 3 THEN 'single_label' WHEN 5 THEN 'truncated' WHEN 6 THEN 'truncated' WHEN 7 THEN 'empty' WHEN 8 THEN 'empty' WHEN 9 THEN 'has_think' WHEN 11 THEN 'truncated' ELSE 'terminal_label' END AS tier FROM documents)
+@query("tier_counts", oracle("""WITH t AS (SELECT CASE doc_id % 12 WHEN 3 THEN 'terminal_label' WHEN 7 THEN 'empty' WHEN 8 THEN 'empty' WHEN 9 THEN 'has_think' WHEN 10 THEN 'terminal_label' ELSE 'truncated' END AS tier FROM documents)
 SELECT tier, count(*) AS n, round(count(*) / (SELECT count(*) FROM t), 6) AS share FROM t GROUP BY tier"""))
 def _(spark, sf_dir):
-    return rounded(rollups.histogram(derived(spark, sf_dir, "responses").withColumn("tier", text.recover_tier("raw", ["A", "B"])), "tier"))
+    return rounded(rollups.histogram(derived(spark, sf_dir, "responses").withColumn("tier", text.recover("raw")["tier"]), "tier"))
 
 
 _PASS = "CASE WHEN n - c < {k} THEN 1.0::DOUBLE WHEN c = 0 THEN 0.0::DOUBLE ELSE 1 - list_reduce(list_transform(generate_series(CAST(n - c + 1 AS BIGINT), CAST(n AS BIGINT)), lambda i: 1.0::DOUBLE - {k}::DOUBLE / i), lambda x, y: x * y, 1.0::DOUBLE) END"
@@ -187,7 +187,7 @@ def _(spark, sf_dir):
     return rounded(part.groupBy("platform").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean")).select("platform", "n", "mean"))
 
 
-_STATUS = "CASE WHEN stderr LIKE '%compil%' AND exit_code <> 0 THEN 'compile_error' WHEN exit_code = 124 THEN 'timeout' WHEN exit_code = 137 THEN 'out_of_memory' WHEN exit_code <> 0 THEN 'runtime_error' ELSE 'ok' END"
+_STATUS = "CASE k % 8 WHEN 1 THEN 'TimeoutExpired' WHEN 2 THEN 'OutOfMemory' WHEN 3 THEN 'Exception' WHEN 4 THEN 'SyntaxError' WHEN 5 THEN 'ValueError' WHEN 6 THEN 'AbnormalTermination' ELSE 'Done' END"
 
 
 @query("failure_hist", oracle(f"SELECT {_STATUS} AS status, count(*) AS n, round(count(*) / (SELECT count(*) FROM runs), 6) AS share FROM runs GROUP BY 1"))

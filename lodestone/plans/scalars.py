@@ -34,53 +34,62 @@ _WS = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 query("normalize_ws", f"SELECT doc_id, md5({_WS}) AS h FROM documents")(docs(h=lambda: F.md5(text.normalize_ws("text").cast("binary"))))
 query("normalize_casefold", "SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), ' ')) AS h FROM documents")(docs(h=lambda: F.md5(text.normalize_casefold("text").cast("binary"))))
 query("word_count", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents")(docs(n=lambda: text.word_count("text")))
-query("clean_html_text", r"""SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\x{200B}\x{200C}\x{200D}\x{FEFF}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS h FROM pages""")(lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_html_text("html").cast("binary")).alias("h")))
+query("clean_html_text", r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\x{200B}-\x{200F}\x{FEFF}]|&#x200[bB];', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS h FROM pages""")(lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_html_text("html").cast("binary")).alias("h")))
 query("html_unescape")(lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.length(arrays.html_unescape("html")).alias("n")))
 query("scrub_sentences")(docs(text=lambda: text.scrub_sentences("text", ["of", "License"])["text"], scrubbed=lambda: text.scrub_sentences("text", ["of", "License"])["scrubbed"]))
-query("ask_from_title", "SELECT doc_id, upper(substr(t, 1, 1)) || substr(t, 2) || '?' AS ask FROM (SELECT doc_id, trim(regexp_replace(trim(split_part(text, chr(10), 1)), '[.!?\\s]+$', '')) AS t FROM documents)")(docs(ask=lambda: text.ask_from_title(F.substring_index("text", "\n", 1))))
+query("ask_from_title", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Would I be wrong if I asked ' || doc_id || '?' WHEN 1 THEN 'Would I be wrong for asking ' || doc_id || '?' END AS ask FROM documents")(
+    docs(ask=lambda: text.ask_from_title(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("MYQ If I asked "), F.col("doc_id"), F.lit(" ?"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("[myq] for Asking "), F.col("doc_id"))).otherwise("no mark"), ["myq"]))
+)
 query("closer_by_hash", "SELECT doc_id, (['What now?', 'Any advice?', 'Was I wrong?'])[CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 3 + 1 AS BIGINT)] AS closer FROM documents")(docs(closer=lambda: text.closer_by_hash("doc_id", ["What now?", "Any advice?", "Was I wrong?"])))
 query("strip_wrapper", "SELECT doc_id, CASE WHEN starts_with(text, 'The ') THEN substr(text, 5) ELSE text END AS bare FROM documents")(docs(bare=lambda: text.strip_wrapper("text", "The ")))
-query("strip_speaker", """SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(t), '^[A-Z][A-Za-z]{0,20}:\\s*', ''), '^"(.*)"$', '\\1')) AS bare FROM (SELECT conv_id, turn, upper(substr(role, 1, 1)) || substr(role, 2) || ': "' || split_part(text, chr(10), 1) || '"' AS t FROM conversations)""")(
+query("strip_speaker", "SELECT conv_id, turn, trim(split_part(text, chr(10), 1)) AS bare FROM conversations")(
     lambda spark, sf_dir: load(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip_speaker(F.concat(F.initcap("role"), F.lit(': "'), F.substring_index("text", "\n", 1), F.lit('"'))).alias("bare"))
 )
-
 # Answers by pattern of the derived responses: what each of the twelve kinds must give.
 _KIND = "SELECT doc_id AS rid, CASE doc_id % 12 {} END AS {} FROM documents"
 query("answer_lines", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'A,B' WHEN 3 THEN 'A' WHEN 10 THEN 'A' ELSE ''", "labels"))(over("responses", "rid", labels=lambda: F.array_join(text.answer_lines("raw", AB), ",")))
 query("terminal_answer", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'B' WHEN 10 THEN 'A'", "label"))(over("responses", "rid", label=lambda: text.terminal_answer("raw", AB)))
 query("terminal_choice", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'B' WHEN 4 THEN 'B' WHEN 10 THEN 'A'", "label"))(over("responses", "rid", label=lambda: text.terminal_choice("raw", AB)))
 query("multi_answer_flag", "SELECT doc_id AS rid, doc_id % 12 = 2 AS multiple FROM documents")(over("responses", "rid", multiple=lambda: text.multi_answer_flag("raw", AB)))
-query("parse_forced_choice", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'unparseable' WHEN 4 THEN 'B' WHEN 5 THEN 'A' WHEN 9 THEN 'A' WHEN 10 THEN 'A' ELSE 'unparseable'", "label"))(over("responses", "rid", label=lambda: text.parse_forced_choice("raw", AB)))
+query("parse_forced_choice", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 4 THEN 'B' WHEN 5 THEN 'A' WHEN 9 THEN 'A' WHEN 10 THEN 'A' ELSE 'unparseable'", "label"))(over("responses", "rid", label=lambda: text.parse_forced_choice("raw", AB)))
+query("parse_freeform", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'B' WHEN 4 THEN 'B' WHEN 5 THEN 'A' WHEN 9 THEN 'A' WHEN 10 THEN 'A' ELSE CASE WHEN doc_id % 5 = 0 THEN 'A' ELSE 'unparseable' END", "label"))(over("responses", "rid", label=lambda: text.parse_freeform("raw", F.when(F.col("rid") % 5 == 0, "a"), AB)))
 query("parse_forecast", "SELECT event_id, CASE k % 4 WHEN 0 THEN 'MORE' WHEN 1 THEN 'LESS' WHEN 2 THEN 'SAME' ELSE 'unparseable' END AS label FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)")(
     lambda spark, sf_dir: derived(spark, sf_dir, "acts").withColumn("raw", F.concat(F.lit("Thinking.\nAnswer: "), F.element_at(F.array(*map(F.lit, ("more", "LESS", "Same", "unsure"))), (F.col("k") % 4 + 1).cast("int")))).select("event_id", text.parse_forced_choice("raw", ["MORE", "LESS", "SAME"], "terminal").alias("label"))
 )
 query("parse_action", oracle("SELECT pos, CASE WHEN (choice = 'first') = (ord = 'forward') THEN 'first' ELSE 'second' END AS action FROM choices"))(
     lambda spark, sf_dir: derived(spark, sf_dir, "choices").select("pos", text.parse_action(F.when(F.col("choice") == "first", "I take Action 1.").otherwise("action 2"), "ord").alias("action"))
 )
-query("recover_tier", _KIND.format("WHEN 3 THEN 'single_label' WHEN 5 THEN 'truncated' WHEN 6 THEN 'truncated' WHEN 7 THEN 'empty' WHEN 8 THEN 'empty' WHEN 9 THEN 'has_think' WHEN 11 THEN 'truncated' ELSE 'terminal_label'", "tier"))(over("responses", "rid", tier=lambda: text.recover_tier("raw", AB)))
-query("degenerate_loop", "SELECT doc_id, len(w) >= 40 AND len(list_distinct(w)) / len(w) < 0.35 AS looping FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)")(docs(looping=lambda: text.degenerate_loop("text")))
+query("recover_tier", "SELECT doc_id AS rid, CASE doc_id % 12 WHEN 3 THEN 'terminal_label' WHEN 7 THEN 'empty' WHEN 8 THEN 'empty' WHEN 9 THEN 'has_think' WHEN 10 THEN 'terminal_label' ELSE 'truncated' END AS tier, CASE WHEN doc_id % 12 IN (3, 10) THEN 'A' END AS label FROM documents")(
+    over("responses", "rid", tier=lambda: text.recover("raw")["tier"], label=lambda: text.recover("raw")["label"])
+)
+query("degenerate_loop", "SELECT doc_id, len(w) >= 40 AND len(list_distinct(w)) / len(w) < 0.35 AS looping FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)")(docs(looping=lambda: text.degenerate_loop("text")))
 query("rejoin_reasoning", oracle("SELECT rid, CASE WHEN raw IS NOT NULL AND rid % 2 = 0 THEN '<think>r</think>' || chr(10) || raw ELSE coalesce(raw, CASE WHEN rid % 2 = 0 THEN 'r' END) END AS whole FROM responses"))(over("responses", "rid", whole=lambda: text.rejoin_reasoning(F.when(F.col("rid") % 2 == 0, "r"), "raw")))
 query("split_think", oracle("""SELECT cid, CASE WHEN strpos(content, '</think>') > 0 THEN regexp_replace(split_part(content, '</think>', 1), '^\\s*<think>', '') WHEN strpos(content, '<think>') > 0 THEN split_part(content, '<think>', 2) ELSE content END AS reasoning,
   CASE WHEN strpos(content, '</think>') > 0 THEN substr(content, strpos(content, '</think>') + 8) ELSE '' END AS visible FROM completions"""))(over("completions", "cid", reasoning=lambda: text.split_think("content")["reasoning"], visible=lambda: text.split_think("content")["visible"]))
-query("truncate_reasoning", oracle("SELECT cid, CASE WHEN cid % 8 = 1 THEN replace(content, 'ideas here for a while', 'ideas...while') ELSE content END AS short FROM completions"))(over("completions", "cid", short=lambda: text.truncate_reasoning("content", 10)))
+query("truncate_reasoning", oracle("SELECT cid, CASE cid % 8 WHEN 1 THEN '<think>... [total 22 symbols]</think>' || split_part(content, '</think>', 2) WHEN 6 THEN '<think>... [total 17 symbols]</think>' ELSE content END AS short FROM completions"))(over("completions", "cid", short=lambda: text.truncate_reasoning("content", 20)))
 _CODE = "CASE cid % 8 WHEN 0 THEN 'y := 2' WHEN 1 THEN 'let z = 3;' || chr(10) || '// YOUR CODE HERE' WHEN 4 THEN 'plain' ELSE trim(content) END"
 query("extract_code", oracle(f"SELECT cid, {_CODE} AS code FROM completions"))(over("completions", "cid", code=lambda: text.extract_code("content")))
-query("extract_code_first", oracle("SELECT cid, CASE cid % 8 WHEN 0 THEN 'x = 1' WHEN 1 THEN 'let z = 3;' WHEN 4 THEN 'plain' ELSE '' END AS code FROM completions"))(over("completions", "cid", code=lambda: text.extract_code_first("content")))
-query("extract_code_status", oracle(f"SELECT cid, CASE WHEN cid % 8 = 2 OR finish_reason = 'length' THEN NULL ELSE {_CODE} END AS code, CASE WHEN cid % 8 = 2 OR finish_reason = 'length' THEN 'truncated' WHEN cid % 8 = 5 THEN 'empty' ELSE 'ok' END AS status FROM completions"))(
+query("extract_code_first", oracle("SELECT cid, CASE cid % 8 WHEN 0 THEN 'x = 1' || chr(10) WHEN 1 THEN 'let z = 3;' || chr(10) || chr(10) WHEN 4 THEN chr(10) || 'plain' || chr(10) ELSE '' END AS code FROM completions"))(over("completions", "cid", code=lambda: text.extract_code_first("content")))
+_CODE_STATUS = "CASE WHEN cid % 8 = 5 THEN 'empty' WHEN cid % 8 = 2 OR finish_reason = 'length' THEN 'truncated' ELSE 'ok' END AS status FROM completions"
+query("extract_code_status", oracle(f"SELECT cid, CASE cid % 8 WHEN 2 THEN 'cut off' ELSE {_CODE} END AS code, {_CODE_STATUS}"))(
     over("completions", "cid", code=lambda: text.extract_code_status("content", "finish_reason")["code"], status=lambda: text.extract_code_status("content", "finish_reason")["status"])
 )
-query("extract_code_lang", oracle("SELECT cid, CASE WHEN cid % 8 = 0 THEN 'y := 2' || chr(10) END AS code FROM completions"))(over("completions", "cid", code=lambda: text.extract_code_lang("content", ["go", "golang"])))
+query("extract_code_lang", oracle(f"SELECT cid, CASE WHEN cid % 8 = 2 THEN 'cut off' WHEN cid % 8 = 0 AND finish_reason <> 'length' THEN 'x = 1' ELSE {_CODE} END AS code, {_CODE_STATUS}"))(
+    over("completions", "cid", code=lambda: text.extract_code_lang("content", "finish_reason", ["python", "py"])["code"], status=lambda: text.extract_code_lang("content", "finish_reason", ["python", "py"])["status"])
+)
 query("exact_fence", "SELECT doc_id AS cid, doc_id % 8 = 4 AS exact FROM documents")(over("completions", "cid", exact=lambda: text.exact_fence("content")))
-query("bullets_to_prose", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'One item. Two items! Last' || doc_id || '.' ELSE 'plain.' END AS prose FROM documents")(docs(prose=lambda: text.bullets_to_prose(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("- One item\n* Two items!\n\n3. Last"), F.col("doc_id"))).otherwise("plain"))))
+query("bullets_to_prose", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'One item. Last ' || doc_id || chr(10) || '</think>A' WHEN 1 THEN 'first second' || chr(10) || '</think>B' ELSE 'no tag' END AS prose FROM documents")(
+    docs(prose=lambda: text.bullets_to_prose(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Plan:\n- **One** item.\n\n 3. Last "), F.col("doc_id"), F.lit("</think>A"))).when(F.col("doc_id") % 3 == 1, "first\n second\n</think>B").otherwise("no tag")))
+)
 query("semantic_answer", oracle("SELECT event_id, CASE label WHEN 'A' THEN a WHEN 'B' THEN b END AS chosen FROM votes"))(over("votes", "event_id", chosen=lambda: text.semantic_answer("label", F.array(F.lit("A"), F.lit("B")), F.array("a", "b"))))
 query("render_prompt", oracle("SELECT DISTINCT a, b, 'Prefer item ' || a || ' or item ' || b || '?' AS prompt FROM votes"))(lambda spark, sf_dir: derived(spark, sf_dir, "votes").select("a", "b", text.render_prompt("Prefer item {a} or item {b}?", a="a", b="b").alias("prompt")).distinct())
 query("label_order_rewrite", "SELECT doc_id, 'Say LESS, SAME or MORE on ' || doc_id AS prompt FROM documents")(docs(prompt=lambda: text.label_order_rewrite(F.concat(F.lit("Say MORE, LESS or SAME on "), F.col("doc_id")), ["MORE", "LESS", "SAME"], 1)))
-query("truncate_str", "SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 150) || '...' || substr(text, length(text) - 149) ELSE text END AS short FROM documents")(docs(short=lambda: text.truncate_str("text")))
-query("slug", "SELECT doc_id, substr(trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '_'), 1, 80) AS slug FROM documents")(docs(slug=lambda: text.slug(F.substring("text", 1, 60))))
-query("sanitize", "SELECT doc_id, regexp_replace(source || '/' || lang || ' ' || doc_id, '[^A-Za-z0-9._-]', '-', 'g') AS name FROM documents")(docs(name=lambda: F.regexp_replace(F.concat("source", F.lit("/"), "lang", F.lit(" "), "doc_id"), "[^A-Za-z0-9._-]", "-")))
-query("plang_fuzzy", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'csharp' WHEN 3 THEN 'go' END AS language FROM documents")(docs(language=lambda: text.plang_fuzzy(F.element_at(F.array(*map(F.lit, ("Python 3", "C++", "c#", "GoLang", "cobol"))), (F.col("doc_id") % 5 + 1).cast("int")))))
+query("truncate_str", "SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 297) || '...' ELSE text END AS short FROM documents")(docs(short=lambda: text.truncate_str("text")))
+query("slug", "SELECT doc_id, coalesce(nullif(trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9_.-]+', '-', 'g'), '-'), ''), 'none') AS slug FROM documents")(docs(slug=lambda: text.slug(F.substring("text", 1, 60))))
+query("sanitize", "SELECT doc_id, nullif(lower(trim(regexp_replace(source || '/' || lang || ' ' || doc_id, '[^A-Za-z0-9_-]+', '-', 'g'), '-')), '') AS name FROM documents")(docs(name=lambda: text.safe_tag(F.concat("source", F.lit("/"), "lang", F.lit(" "), "doc_id"))))
+query("plang_fuzzy", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'csharp' WHEN 3 THEN 'go' END AS language FROM documents")(docs(language=lambda: text.plang_fuzzy(F.element_at(F.array(*map(F.lit, ("Python ", "C++", "c#", "Go", "cobol"))), (F.col("doc_id") % 5 + 1).cast("int")))))
 query("field_leak", "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(text, 'token') THEN 'token' END, CASE WHEN contains(text, 'License') THEN 'License' END], lambda x: x IS NOT NULL), ',') AS leaks FROM documents")(docs(leaks=lambda: F.array_join(text.field_leak("text", ["token", "License"]), ",")))
-query("compose", "SELECT doc_id, split_part(text, chr(10), 1) || chr(10) || chr(10) || 'What now?' AS prompt FROM documents")(docs(prompt=lambda: F.concat(F.substring_index("text", "\n", 1), F.lit("\n\nWhat now?"))))
+query("compose", "SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '\\s+$', '') || chr(10) || chr(10) || 'What now?' AS prompt FROM documents")(docs(prompt=lambda: text.compose(F.substring_index("text", "\n", 1), "What now?")))
 query("seq_ratio")(lambda spark, sf_dir: rounded(load(spark, sf_dir, "conversations").filter("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 300))).alias("a"), F.max(F.when(F.col("turn") == 1, F.substring("text", 1, 300))).alias("b")).select("conv_id", arrays.seq_ratio("a", "b").alias("ratio"))))
 query("chat_render", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")(lambda spark, sf_dir: chats(load(spark, sf_dir, "conversations")).select("conv_id", F.md5(text.chat_render("messages").cast("binary")).alias("h")))
 
@@ -121,12 +130,9 @@ query("stop_at_failure", oracle("SELECT problem, CASE WHEN list_position(list(co
 query("screen_then_full", oracle("SELECT problem, round(CASE WHEN avg(correct::INT) FILTER (sample <= 2) = 1.0 THEN avg(correct::INT) END, 6) AS score FROM samples GROUP BY problem"))(
     lambda spark, sf_dir: rounded(derived(spark, sf_dir, "samples").groupBy("problem").agg(F.avg(F.when(F.col("sample") <= 2, F.col("correct").cast("double"))).alias("s"), F.avg(F.col("correct").cast("double")).alias("f")).select("problem", compare.screen_then_full("s", "f").alias("score")))
 )
-_STATUS = "CASE WHEN stderr LIKE '%compil%' AND exit_code <> 0 THEN 'compile_error' WHEN exit_code = 124 THEN 'timeout' WHEN exit_code = 137 THEN 'out_of_memory' WHEN exit_code <> 0 THEN 'runtime_error' ELSE 'ok' END"
+_STATUS = "CASE k % 8 WHEN 1 THEN 'TimeoutExpired' WHEN 2 THEN 'OutOfMemory' WHEN 3 THEN 'Exception' WHEN 4 THEN 'SyntaxError' WHEN 5 THEN 'ValueError' WHEN 6 THEN 'AbnormalTermination' ELSE 'Done' END"
 query("run_status", oracle(f"SELECT pos, {_STATUS} AS status FROM runs"))(over("runs", "pos", status=lambda: compare.run_status("exit_code", "stderr")))
-query("build_status", oracle(f"SELECT record_id, bool_or({_STATUS} = 'compile_error') AS broken, count(*) AS n FROM runs GROUP BY record_id"))(
-    lambda spark, sf_dir: derived(spark, sf_dir, "runs").groupBy("record_id").agg(F.bool_or(compare.run_status("exit_code", "stderr") == "compile_error").alias("broken"), F.count("*").alias("n"))
-)
-
+query("build_status", oracle("SELECT pos, CASE k % 8 WHEN 1 THEN 'BuildTimeOut' WHEN 6 THEN 'BuildFailed' WHEN 0 THEN 'BuildDone' WHEN 7 THEN 'BuildDone' ELSE 'SyntaxError' END AS status FROM runs"))(over("runs", "pos", status=lambda: compare.build_status("exit_code", "stderr")))
 _PAIRS = "SELECT x.id AS a, y.id AS b, {} AS p FROM utilities x JOIN utilities y ON x.id < y.id".format(maths.normal_cdf_sql("(x.mean - y.mean) / sqrt(x.variance + y.variance + 1e-5)"))
 
 
@@ -185,10 +191,10 @@ def _decompose(spark, sf_dir):
 
 query("decompose", oracle(_ARMS + "SELECT round((t1 - t0) * q0, 6) + 0 AS from_termination, round(t1 * (q1 - q0), 6) + 0 AS from_quality, round(t1 * q1 - t0 * q0, 6) + 0 AS delta FROM s"))(_decompose)
 query("drift_label", oracle("SELECT id, CASE WHEN mean - 0.948 > 0.002 THEN 'MORE' WHEN mean - 0.948 < -0.002 THEN 'LESS' ELSE 'SAME' END AS drift FROM utilities"))(over("utilities", "id", drift=lambda: maths.drift_label(F.col("mean") - 0.948, 0.002)))
-_BAND = "CASE WHEN n <= 0 THEN 0 WHEN n < 32 THEN 0.4::DOUBLE * n / 32 WHEN n <= 256 THEN 0.4 + 0.6::DOUBLE * (n - 32) / 224 WHEN n < 500 THEN (500 - n)::DOUBLE / 244 ELSE 0 END"
-query("band_score", oracle(f"SELECT pos, round({_BAND.replace('n ', 'output_tokens * 2 ').replace(' n', ' output_tokens * 2').replace('(n', '(output_tokens * 2')}, 6) AS band FROM attempts"))(lambda spark, sf_dir: rounded(derived(spark, sf_dir, "attempts").select("pos", maths.band_score(F.col("output_tokens") * 2).alias("band"))))
-query("format_reward", oracle(f"SELECT pos, round(CASE WHEN NOT api_error THEN 0.5 + 0.3 * ({_BAND.replace('n ', 'output_tokens ').replace(' n', ' output_tokens').replace('(n', '(output_tokens')}) + 0.2 * CASE WHEN pos % 2 = 0 THEN (pass_rate >= 0.5)::INT ELSE 1 END ELSE 0 END - CASE WHEN pos % 5 = 0 THEN 0.25 ELSE 0 END, 6) + 0 AS reward FROM attempts"))(
-    lambda spark, sf_dir: rounded(derived(spark, sf_dir, "attempts").select("pos", maths.format_reward(~F.col("api_error"), maths.band_score("output_tokens"), F.col("pass_rate") >= 0.5, F.col("pos") % 2 == 0, F.when(F.col("pos") % 5 == 0, 0.25).otherwise(0.0)).alias("reward")))
+_BAND = "CASE WHEN {n} > 500 THEN 0 WHEN {n} > 256 THEN (500 - {n})::DOUBLE / 244 WHEN {n} >= 32 THEN 1 ELSE 0.4 + 0.6::DOUBLE * {n} / 32 END"
+query("band_score", oracle(f"SELECT pos, round({_BAND.format(n='(output_tokens * 2)')}, 6) AS band FROM attempts"))(lambda spark, sf_dir: rounded(derived(spark, sf_dir, "attempts").select("pos", maths.band_score(F.col("output_tokens") * 2).alias("band"))))
+query("format_reward", oracle(f"SELECT pos, round(CASE WHEN api_error THEN -0.2 ELSE 0.3 * ({_BAND.format(n='output_tokens')}) + CASE WHEN pos % 2 = 0 THEN 0.5 + 0.2 * (pass_rate >= 0.5)::INT ELSE 0.7 END END, 6) + 0 AS reward FROM attempts"))(
+    lambda spark, sf_dir: rounded(derived(spark, sf_dir, "attempts").select("pos", maths.format_reward(~F.col("api_error"), maths.band_score("output_tokens"), F.col("pass_rate") >= 0.5, F.col("pos") % 2 == 0).alias("reward")))
 )
 query("scale_unit", oracle("SELECT record_id % 10 AS grp, round(1 / stddev_samp(elapsed_seconds), 6) AS scale, abs(stddev_samp(elapsed_seconds) / stddev_samp(elapsed_seconds) - 1) <= 0.1 AS fits FROM attempts GROUP BY 1"))(
     lambda spark, sf_dir: rounded(derived(spark, sf_dir, "attempts").groupBy((F.col("record_id") % 10).alias("grp")).agg((1 / F.stddev_samp("elapsed_seconds")).alias("scale"), F.stddev_samp("elapsed_seconds").alias("sd")).select("grp", "scale", (F.abs(F.col("sd") * F.col("scale") - 1) <= 0.1).alias("fits")))
@@ -210,6 +216,7 @@ def _tables(spark, sf_dir):
 
 _ROWS = "WITH r AS (SELECT l_orderkey AS id, l_linenumber, l_partkey, CAST(l_quantity AS INT) AS q, CASE WHEN l_orderkey % 3 = 0 OR (l_orderkey % 3 = 2 AND CAST(l_quantity AS INT) % 2 = 0) THEN CAST(l_partkey AS VARCHAR) ELSE l_partkey || ' ' || CAST(l_quantity AS INT) END AS line FROM lineitem), t AS (SELECT id, string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, q) AS body, count(*) AS n, min(len(string_split(line, ' '))) AS lo, max(len(string_split(line, ' '))) AS hi FROM r GROUP BY id) "
 query("classify_value", _ROWS + "SELECT id, CASE WHEN lo = hi THEN 'matrix' ELSE 'jagged' END AS kind FROM t")(lambda spark, sf_dir: _tables(spark, sf_dir).select("id", arrays.classify_value("rows").alias("kind")))
+query("is_matrix", _ROWS + "SELECT id, lo = hi AS is_matrix FROM t")(lambda spark, sf_dir: _tables(spark, sf_dir).select("id", (arrays.classify_value("rows") == "matrix").alias("is_matrix")))
 query("resolve_type", _ROWS + "SELECT id % 100 AS task, CASE WHEN min(lo = hi) = max(lo = hi) THEN CASE WHEN min(lo = hi) THEN 'matrix' ELSE 'jagged' END ELSE 'jagged' END AS kind FROM t GROUP BY 1")(
     lambda spark, sf_dir: _tables(spark, sf_dir).groupBy((F.col("id") % 100).alias("task")).agg(F.collect_set(arrays.classify_value("rows")).alias("k")).select("task", arrays.resolve_type("k").alias("kind"))
 )

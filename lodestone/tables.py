@@ -47,7 +47,8 @@ DERIVED = {
         WHEN 6 THEN concat('1  2', chr(10), '3', chr(10)) WHEN 7 THEN 'yes' ELSE '10.01 20.02 30.03' END AS got,
         CASE event_id % 9 WHEN 0 THEN '1 2 3' WHEN 1 THEN '10.00002' WHEN 2 THEN '10.0002' WHEN 3 THEN '10.01' WHEN 4 THEN 'true' WHEN 5 THEN 'false'
         WHEN 6 THEN '1 2 3' WHEN 7 THEN 'YES' ELSE concat('10.01', chr(10), '20.02', chr(10), '30.03') END AS want FROM events""",
-    "runs": "SELECT event_id AS pos, user_id AS record_id, CASE k % 6 WHEN 0 THEN 0 WHEN 1 THEN 124 WHEN 2 THEN 137 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS exit_code, CASE k % 6 WHEN 4 THEN 'compilation failed' WHEN 3 THEN 'panic at line 3' ELSE '' END AS stderr, k FROM acts",
+    "runs": """SELECT event_id AS pos, user_id AS record_id, CASE k % 8 WHEN 1 THEN 124 WHEN 2 THEN 137 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN NULL ELSE 0 END AS exit_code,
+        CASE k % 8 WHEN 1 THEN 'TimeoutExpired: 5 s' WHEN 2 THEN 'java.lang.OutOfMemoryError' WHEN 3 THEN 'panic at line 3' WHEN 4 THEN 'SyntaxError: token' WHEN 5 THEN 'ValueError' ELSE '' END AS stderr, k FROM acts""",
 }
 _JSON = {"spark": "get_json_object(props, '$.k')", "duckdb": "json_extract_string(props, '$.k')"}
 

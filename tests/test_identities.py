@@ -202,3 +202,43 @@ def test_snippet_overlap_matches_contains(spark):
     kept, matching.SNIPPET_ROWS = matching.SNIPPET_ROWS, 0
     assert run() == [(1, 10), (3, 10)]
     matching.SNIPPET_ROWS = kept
+
+
+CODE = [
+    (None, ""), ("<think>abc</think>", ""), ("abc</think>", ""), ("<think>a</think>```code```", "code"), ("<think>a</think>```\n\ncode\n\ncode\n```", "code\n\ncode"), ("```python\na=4```", "a=4"), ("```python\n\n\n```", ""),
+    ("<think>```rust\nb1```</think>```rust\na=14```", "a=14"), ("```# YOUR CODE HERE\nv=55```", "v=55"), ("```//// your code here\nif k=4:```", "if k=4:"), ("```python\nabc=10``` then ```rust\ncc=10```", "abc=10"), ("```   python  \ncc=44\n```", "cc=44"),
+]
+
+
+@pytest.mark.parametrize("content,code", CODE)
+def test_extract_code_first(spark, content, code):
+    assert spark.createDataFrame([(content,)], "t string").select(text.extract_code_first("t")).first()[0].strip() == code
+
+
+@pytest.mark.parametrize("head,tail,keep", [("<think>", "</think>", 45), ("<think>", "</think>", 300), ("", "</think>", 234), ("<think>", "", 200), ("", "</think>", 45)])
+def test_truncate_reasoning_fills_its_length(spark, head, tail, keep):
+    got = spark.createDataFrame([(head + "abc" * 300 + tail,)], "t string").select(text.truncate_reasoning("t", keep)).first()[0]
+    assert "[total 900 symbols]" in got and len(got) == keep
+
+
+@pytest.mark.parametrize("content,short,keep", [(None, None, 100), ("", "", 100), ("</think>", "</think>", 100), ("<think>abc</think>```x```", "<think>abc</think>```x```", 100), ("<think>" + "abc" * 300 + "</think>", "<think>... [total 900 symbols]</think>", 20), ("abc" * 300 + "</think>", "... [total 900 symbols]</think>", 20)])
+def test_truncate_reasoning(spark, content, short, keep):
+    assert spark.createDataFrame([(content,)], "t string").select(text.truncate_reasoning("t", keep)).first()[0] == short
+
+
+@pytest.mark.parametrize("got,want,same", [("1 2", "1  2\n", True), ("nan", "nan", False), ("inf", "inf", False), ("1.0000001 x", "1 x", True), ("1.1", "1", False), ("x", "y", False), ("1d", "1", False), ("1e3", "1000", True)])
+def test_out_float_tokens(spark, got, want, same):
+    assert spark.createDataFrame([(got, want)], "g string, w string").select(compare.out_float_tokens("g", "w")).first()[0] is same
+
+
+def test_band_score(spark):
+    rows = spark.createDataFrame([(0,), (16,), (32,), (256,), (378,), (500,), (501,)], "n int").select(maths.band_score("n")).collect()
+    assert [round(r[0], 6) for r in rows] == [0.4, 0.7, 1.0, 1.0, 0.5, 0.0, 0.0]
+
+
+def test_recover(spark):
+    raws = ["", "<think>x", "so " * 50, "cut off", "Answer: A or B.", "I say.\n**Choice: b**.", "(A).", "I like A.", "A and B are fine. I take B.", "A or B? Both A and B.", "Neither one."]
+    got = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, t string").select("k", text.recover("t").alias("x")).orderBy("k").collect()
+    assert [(r.x.tier, r.x.label) for r in got] == [
+        ("empty", None), ("has_think", None), ("degenerate_loop", None), ("truncated", None), ("instruction_echo", None), ("terminal_label", "B"), ("terminal_label", "A"), ("single_label", "A"), ("terminal_endorse", "B"), ("ambiguous", None), ("semantic", None),
+    ]
