@@ -4,7 +4,7 @@ A document is a bag of sentences.  A sentence scores p = sigmoid(bias + sum of w
 1 - prod(1 - p) (noisy-or), so one bad sentence suffices and labels of documents are enough to learn which.  The highest sentence is reported.
 
 Learning: at most `MOST_POSITIVE` + `MOST_NEGATIVE` labelled rows (the smallest hashes of their ids) reach the driver; words and prefixes (`PREFIXES` bytes)
-that occur in `MIN_ROWS` of them at least, and in more labelled ones than chance allows by `MIN_SURPRISE` standard deviations, are features; weights are fitted by proximal gradient on the noisy-or likelihood with an L1 term, so few are not zero.
+that occur in `MIN_ROWS` of them at least, and in labelled ones more often than chance would let any of them (Chernoff's bound over all candidates), are features; weights are fitted by proximal gradient on the noisy-or likelihood with an L1 term, so few are not zero.
 Everything else covers all rows: whole texts are scored where they lie, nothing is shuffled.
 
 Defined cases: a null or empty text has one empty sentence and scores sigmoid(bias); rows without a label, or whose id hashes into
@@ -27,7 +27,7 @@ from .common import ALNUM, U, Words, fresh, prefix_hashes, small_slices, table
 FOLDS = 5
 MOST_POSITIVE, MOST_NEGATIVE = 2500, 5000
 MIN_ROWS = 5
-MIN_SURPRISE = 4.0
+MOST_BIAS = -9.0  # a sentence without any feature: thousands of them don't make a document toxic
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 THRESHOLD = 0.5
 BREAK = np.zeros(256, dtype=bool)
@@ -172,8 +172,9 @@ def fit(texts: list[str | None], labels: list[int], l1: float = 2e-4, steps: int
     for bags, _ in slices_of(texts, good):
         n_good += np.bincount(row_features(bags, vocabulary)[1], minlength=len(vocabulary))
     n_rows = n_bad + n_good
-    surprise = (n_bad - n_rows * base) / np.sqrt(n_rows * base * (1 - base))
-    chosen = vocabulary[(n_rows >= MIN_ROWS) & (surprise > MIN_SURPRISE)]  # noisy-or only adds evidence: features that speak for the label
+    share = n_bad / n_rows
+    surprise = n_bad * np.log(share / base) + (n_rows - n_bad) * np.log(np.maximum(1 - share, 1e-12) / (1 - base))  # minus the log of the chance of such a share, nearly
+    chosen = vocabulary[(n_rows >= MIN_ROWS) & (share > base) & (surprise > np.log(max(2, len(vocabulary))))]  # noisy-or only adds evidence: features that speak for the label
     if not len(chosen):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, float(base))
     pairs, row_live, n_live, plain = [], [], 0, np.zeros(len(y))
@@ -190,7 +191,7 @@ def fit(texts: list[str | None], labels: list[int], l1: float = 2e-4, steps: int
     s_at, w_of = np.concatenate(pairs, axis=1)
     row_live = np.concatenate(row_live)
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    w, bias = np.zeros(len(chosen)), -6.0
+    w, bias = np.zeros(len(chosen)), MOST_BIAS
     m = v = np.zeros(len(chosen) + 1)
     for step in range(1, steps + 1):
         logits = bias + np.bincount(s_at, weights=w[w_of], minlength=n_live)
@@ -204,7 +205,7 @@ def fit(texts: list[str | None], labels: list[int], l1: float = 2e-4, steps: int
         move = (0.2 * rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w = w + move[:-1]
         w = np.maximum(np.abs(w) - l1 * rate * 10, 0) * np.sign(w)
-        bias = min(bias + float(move[-1]), -4.0)
+        bias = min(bias + float(move[-1]), MOST_BIAS)
     keep = np.flatnonzero(np.abs(w) > 1e-3)
     return Model(chosen[keep], w[keep], bias)
 
