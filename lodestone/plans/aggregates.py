@@ -129,11 +129,11 @@ def _(spark, sf_dir):
     return rounded(pairwise.win_rate(derived(spark, sf_dir, "votes")))
 
 
-@query("win_rate_delta", oracle(f"""WITH d AS (SELECT item, abs(y.rate - x.rate) AS d FROM ({_WINS.format('event_id % 3 = 0')}) x JOIN ({_WINS.format('event_id % 3 = 1')}) y USING (item))
+@query("win_rate_delta", oracle(f"""WITH d AS (SELECT item, abs(y.rate - x.rate) AS d FROM ({_WINS.format('event_id % 2 = 0')}) x JOIN ({_WINS.format('event_id % 2 = 1')}) y USING (item))
 SELECT round(avg(d), 6) AS mean_abs, round(max(d), 6) AS max_abs, arg_max(item, (round(d, 9), item)) AS worst_item FROM d"""))
 def _(spark, sf_dir):
     votes = derived(spark, sf_dir, "votes")
-    return rounded(pairwise.win_rate_delta(pairwise.win_rate(votes.filter("event_id % 3 = 0")), pairwise.win_rate(votes.filter("event_id % 3 = 1"))))
+    return rounded(pairwise.win_rate_delta(pairwise.win_rate(votes.filter("event_id % 2 = 0")), pairwise.win_rate(votes.filter("event_id % 2 = 1"))))
 
 
 @query("tier_counts", oracle("""WITH t AS (SELECT CASE doc_id % 12 WHEN 3 THEN 'terminal_label' WHEN 7 THEN 'empty' WHEN 8 THEN 'empty' WHEN 9 THEN 'has_think' WHEN 10 THEN 'terminal_label' ELSE 'truncated' END AS tier FROM documents)

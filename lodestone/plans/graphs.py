@@ -33,20 +33,20 @@ def _(spark, sf_dir):
     return graphs.random_edges(_pool(spark, sf_dir).select("a", "b"), 40)
 
 
-@query("add_edges", oracle("WITH e AS (SELECT DISTINCT a, b FROM votes WHERE user_id < 10), n AS (SELECT DISTINCT b AS a, a AS b FROM votes WHERE user_id BETWEEN 5 AND 14) SELECT a, b, 'old' AS origin FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.a = e.b AND n.b = e.a) UNION ALL SELECT a, b, 'new' FROM n"))
+@query("add_edges", oracle("WITH e AS (SELECT DISTINCT a, b FROM votes WHERE k < 40), n AS (SELECT DISTINCT b AS a, a AS b FROM votes WHERE k >= 98) SELECT a, b, 'old' AS origin FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.a = e.b AND n.b = e.a) UNION ALL SELECT a, b, 'new' FROM n"))
 def _(spark, sf_dir):
     v = derived(spark, sf_dir, "votes")
-    old = v.filter("user_id < 10").select("a", "b").distinct().withColumn("origin", F.lit("old"))
-    new = v.filter("user_id BETWEEN 5 AND 14").select(F.col("b").alias("a"), F.col("a").alias("b")).distinct().withColumn("origin", F.lit("new"))
+    old = v.filter("k < 40").select("a", "b").distinct().withColumn("origin", F.lit("old"))
+    new = v.filter("k >= 98").select(F.col("b").alias("a"), F.col("a").alias("b")).distinct().withColumn("origin", F.lit("new"))
     return graphs.add_edges(old, new, v.select("a", "b").distinct())[0]
 
 
-@query("degree", oracle("SELECT id, count(*) AS degree FROM (SELECT DISTINCT a, b FROM votes WHERE user_id < 40) e, (VALUES (0), (1)) s(s), LATERAL (SELECT CASE s WHEN 0 THEN a ELSE b END AS id) GROUP BY id"))
+@query("degree", oracle("SELECT id, count(*) AS degree FROM (SELECT DISTINCT a, b FROM votes) e, (VALUES (0), (1)) s(s), LATERAL (SELECT CASE s WHEN 0 THEN a ELSE b END AS id) GROUP BY id"))
 def _(spark, sf_dir):
-    return graphs.degree(derived(spark, sf_dir, "votes").filter("user_id < 40").select("a", "b").distinct())
+    return graphs.degree(derived(spark, sf_dir, "votes").select("a", "b").distinct())
 
 
-_RATED = f"""WITH e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM votes WHERE user_id < 3), d AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY id),
+_RATED = f"""WITH e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM votes WHERE k = 7), d AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY id),
 r AS (SELECT p.a, p.b, abs(x.mean - y.mean) AS gap, coalesce(dx.degree, 0) + coalesce(dy.degree, 0) AS s FROM ({_POOL}) p JOIN utilities x ON p.a = x.id JOIN utilities y ON p.b = y.id LEFT JOIN d dx ON p.a = dx.id LEFT JOIN d dy ON p.b = dy.id),
 l AS (SELECT a, b, CASE """ + " ".join(f"WHEN gap <= (SELECT quantile_cont(gap, {min(1.0, 0.1 * 1.5**k)!r}) FROM r) AND s <= (SELECT quantile_cont(CAST(s AS DOUBLE), {min(1.0, 0.2 * 1.5**k)!r}) FROM r) THEN {k}" for k in range(6)) + """ ELSE 6 END AS level FROM r),
 c AS (SELECT level, sum(count(*)) OVER (ORDER BY level) AS upto FROM l GROUP BY level), k AS (SELECT coalesce(min(level) FILTER (upto >= 20 AND level < 6), 6) AS reach FROM c) """
@@ -54,7 +54,7 @@ c AS (SELECT level, sum(count(*)) OVER (ORDER BY level) AS upto FROM l GROUP BY
 
 @query("active_select", oracle(_RATED + f"SELECT a, b FROM l, k ORDER BY level > reach, {_HASH} LIMIT 20"))
 def _(spark, sf_dir):
-    edges = derived(spark, sf_dir, "votes").filter("user_id < 3").select("a", "b").distinct()
+    edges = derived(spark, sf_dir, "votes").filter("k = 7").select("a", "b").distinct()
     return graphs.active_select(derived(spark, sf_dir, "utilities"), edges, _pool(spark, sf_dir), 20, 0.1, 0.2)
 
 

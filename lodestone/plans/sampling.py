@@ -36,12 +36,12 @@ def _(spark, sf_dir):
     return al.hash_order_sample(load(spark, sf_dir, "documents").select("doc_id"), "doc_id", 200)
 
 
-@query("amend_in_place", oracle(f"""WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE doc_id < 300), g AS (SELECT place, row_number() OVER (ORDER BY place) AS r FROM c WHERE doc_id % 7 = 0),
-n AS (SELECT doc_id, row_number() OVER (ORDER BY {HASH.format('doc_id')}) AS r FROM documents WHERE doc_id >= 300 AND lang = 'en') SELECT place, doc_id FROM c WHERE doc_id % 7 <> 0 UNION ALL SELECT place, doc_id FROM g JOIN n USING (r)"""))
+@query("amend_in_place", oracle(f"""WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE lang = 'fr'), g AS (SELECT place, row_number() OVER (ORDER BY place) AS r FROM c JOIN documents USING (doc_id) WHERE n_chars < 1000),
+n AS (SELECT doc_id, row_number() OVER (ORDER BY {HASH.format('doc_id')}) AS r FROM documents WHERE lang = 'en') SELECT place, doc_id FROM c JOIN documents USING (doc_id) WHERE n_chars >= 1000 UNION ALL SELECT place, doc_id FROM g JOIN n USING (r)"""))
 def _(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    cohort = ranking.ranked(docs.filter("doc_id < 300").select("doc_id"), "doc_id").withColumnRenamed("_rank", "place")
-    return al.amend_in_place(cohort, F.col("doc_id") % 7 == 0, docs.filter("doc_id >= 300 AND lang = 'en'").select("doc_id"), "doc_id").select("place", "doc_id")
+    cohort = ranking.ranked(docs.filter("lang = 'fr'").select("doc_id", "n_chars"), "doc_id").withColumnRenamed("_rank", "place")
+    return al.amend_in_place(cohort, F.col("n_chars") < 1000, docs.filter("lang = 'en'").select("doc_id"), "doc_id").select("place", "doc_id")
 
 
 @query("seed_sample", oracle(f"SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' ORDER BY sha256('7:' || o_orderkey) LIMIT 100"))

@@ -42,8 +42,8 @@ query("ask_from_title", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Would I be
 )
 query("closer_by_hash", "SELECT doc_id, (['What now?', 'Any advice?', 'Was I wrong?'])[CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 3 + 1 AS BIGINT)] AS closer FROM documents")(docs(closer=lambda: text.closer_by_hash("doc_id", ["What now?", "Any advice?", "Was I wrong?"])))
 query("strip_wrapper", "SELECT doc_id, CASE WHEN starts_with(text, 'The ') THEN substr(text, 5) ELSE text END AS bare FROM documents")(docs(bare=lambda: text.strip_wrapper("text", "The ")))
-query("strip_speaker", "SELECT conv_id, turn, trim(split_part(text, chr(10), 1)) AS bare FROM conversations")(
-    lambda spark, sf_dir: load(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip_speaker(F.concat(F.initcap("role"), F.lit(': "'), F.substring_index("text", "\n", 1), F.lit('"'))).alias("bare"))
+query("strip_speaker", "SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM conversations")(
+    lambda spark, sf_dir: load(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip_speaker(F.concat(F.initcap("role"), F.lit(': "'), "text", F.lit('"'))).alias("bare"))
 )
 # Answers by pattern of the derived responses: what each of the twelve kinds must give.
 _KIND = "SELECT doc_id AS rid, CASE doc_id % 12 {} END AS {} FROM documents"
@@ -85,12 +85,12 @@ query("semantic_answer", oracle("SELECT event_id, CASE label WHEN 'A' THEN a WHE
 query("render_prompt", oracle("SELECT DISTINCT a, b, 'Prefer item ' || a || ' or item ' || b || '?' AS prompt FROM votes"))(lambda spark, sf_dir: derived(spark, sf_dir, "votes").select("a", "b", text.render_prompt("Prefer item {a} or item {b}?", a="a", b="b").alias("prompt")).distinct())
 query("label_order_rewrite", "SELECT doc_id, 'Say LESS, SAME or MORE on ' || doc_id AS prompt FROM documents")(docs(prompt=lambda: text.label_order_rewrite(F.concat(F.lit("Say MORE, LESS or SAME on "), F.col("doc_id")), ["MORE", "LESS", "SAME"], 1)))
 query("truncate_str", "SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 297) || '...' ELSE text END AS short FROM documents")(docs(short=lambda: text.truncate_str("text")))
-query("slug", "SELECT doc_id, coalesce(nullif(trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9_.-]+', '-', 'g'), '-'), ''), 'none') AS slug FROM documents")(docs(slug=lambda: text.slug(F.substring("text", 1, 60))))
+query("slug", "SELECT doc_id, coalesce(nullif(trim(regexp_replace(text, '[^A-Za-z0-9_.-]+', '-', 'g'), '-'), ''), 'none') AS slug FROM documents")(docs(slug=lambda: text.slug("text")))
 query("sanitize", "SELECT doc_id, nullif(lower(trim(regexp_replace(source || '/' || lang || ' ' || doc_id, '[^A-Za-z0-9_-]+', '-', 'g'), '-')), '') AS name FROM documents")(docs(name=lambda: text.safe_tag(F.concat("source", F.lit("/"), "lang", F.lit(" "), "doc_id"))))
 query("plang_fuzzy", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'csharp' WHEN 3 THEN 'go' END AS language FROM documents")(docs(language=lambda: text.plang_fuzzy(F.element_at(F.array(*map(F.lit, ("Python ", "C++", "c#", "Go", "cobol"))), (F.col("doc_id") % 5 + 1).cast("int")))))
 query("field_leak", "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(text, 'token') THEN 'token' END, CASE WHEN contains(text, 'License') THEN 'License' END], lambda x: x IS NOT NULL), ',') AS leaks FROM documents")(docs(leaks=lambda: F.array_join(text.field_leak("text", ["token", "License"]), ",")))
-query("compose", "SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '\\s+$', '') || chr(10) || chr(10) || 'What now?' AS prompt FROM documents")(docs(prompt=lambda: text.compose(F.substring_index("text", "\n", 1), "What now?")))
-query("seq_ratio")(lambda spark, sf_dir: rounded(load(spark, sf_dir, "conversations").filter("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 300))).alias("a"), F.max(F.when(F.col("turn") == 1, F.substring("text", 1, 300))).alias("b")).select("conv_id", arrays.seq_ratio("a", "b").alias("ratio"))))
+query("compose", "SELECT doc_id, regexp_replace(text, '\\s+$', '') || chr(10) || chr(10) || 'What now?' AS prompt FROM documents")(docs(prompt=lambda: text.compose("text", "What now?")))
+query("seq_ratio")(lambda spark, sf_dir: rounded(load(spark, sf_dir, "conversations").filter("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b")).select("conv_id", arrays.seq_ratio("a", "b").alias("ratio"))))
 query("chat_render", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")(lambda spark, sf_dir: chats(load(spark, sf_dir, "conversations")).select("conv_id", F.md5(text.chat_render("messages").cast("binary")).alias("h")))
 
 def _review_text():
@@ -98,11 +98,11 @@ def _review_text():
 
 
 def _review(spark, sf_dir):
-    sections = load(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", F.explode(text.parse_md_sections(F.regexp_replace(_review_text(), "^# Title\n", ""))).alias("s"))
+    sections = load(spark, sf_dir, "documents").select("doc_id", F.explode(text.parse_md_sections(F.regexp_replace(_review_text(), "^# Title\n", ""))).alias("s"))
     return sections.select("doc_id", "s.*")
 
 
-_SECTIONS = "SELECT doc_id, 'a' || doc_id AS id, 'Prompt text one' AS prompt, 'KEEP' AS verdict FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b' || doc_id, 'Second', 'DROP' FROM documents WHERE doc_id % 2 = 0"
+_SECTIONS = "SELECT doc_id, 'a' || doc_id AS id, 'Prompt text one' AS prompt, 'KEEP' AS verdict FROM documents UNION ALL SELECT doc_id, 'b' || doc_id, 'Second', 'DROP' FROM documents"
 query("parse_md_sections", _SECTIONS)(_review)
 query("apply_review", f"SELECT route, count(*) AS n FROM (SELECT CASE WHEN verdict = 'DROP' THEN 'dropped' WHEN length(prompt) < 8 THEN 'screened' WHEN doc_id % 10 = 0 THEN 'unsure' ELSE 'kept' END AS route FROM ({_SECTIONS})) GROUP BY route")(
     lambda spark, sf_dir: _review(spark, sf_dir).groupBy(F.when(F.col("verdict") == "DROP", "dropped").when(F.length("prompt") < 8, "screened").when(F.col("doc_id") % 10 == 0, "unsure").otherwise("kept").alias("route")).agg(F.count("*").alias("n"))
@@ -228,7 +228,7 @@ for _name, _head in (("convert_v1", "body"), ("convert_v2", "n || chr(10) || bod
 query("parse_raw_json", "SELECT event_id, CAST(event_id AS VARCHAR) AS first, props AS second FROM events")(
     lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", arrays.parse_raw_json(F.concat(F.col("event_id"), F.lit("\n\n"), F.col("props"))).alias("m")).select("event_id", F.col("m")["param_0"].alias("first"), F.col("m")["param_1"].alias("second"))
 )
-query("parse_examples")(lambda spark, sf_dir: load(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", F.explode(arrays.parse_examples(F.concat(F.lit("Example 1\nInput: ["), "o_custkey", F.lit(", 2]\nOutput: 'x'\nExample 2\nInput: a b\nOutput: 7\n")))).alias("e")).select("o_orderkey", "e.*"))
+query("parse_examples")(lambda spark, sf_dir: load(spark, sf_dir, "orders").select("o_orderkey", F.explode(arrays.parse_examples(F.concat(F.lit("Example 1\nInput: ["), "o_custkey", F.lit(", 2]\nOutput: 'x'\nExample 2\nInput: a b\nOutput: 7\n")))).alias("e")).select("o_orderkey", "e.*"))
 query("pyrepr_list")(lambda spark, sf_dir: load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(arrays.pyrepr_list(F.concat(F.lit("['a', 'nan', '"), "o_custkey", F.lit("']"))), ",").alias("items")))
 
 

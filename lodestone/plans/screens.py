@@ -110,9 +110,9 @@ def _(spark, sf_dir):
     return g.select(F.coalesce(bucket, F.lit("clean")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("trailing_marker", oracle(f"WITH t AS ({_TESTS}) SELECT record_id, bool_or(regexp_matches(input, '5\\s*$')) AS marked FROM t WHERE record_id % 2 = 0 GROUP BY record_id"))
+@query("trailing_marker", oracle(f"WITH t AS ({_TESTS}) SELECT record_id, bool_or(regexp_matches(input, '5\\s*$')) AS marked FROM t GROUP BY record_id"))
 def _(spark, sf_dir):
-    g = _tests(spark, sf_dir).filter("record_id % 2 = 0").groupBy("record_id").agg(F.collect_list("input").alias("inputs"))
+    g = _tests(spark, sf_dir).groupBy("record_id").agg(F.collect_list("input").alias("inputs"))
     return g.select("record_id", F.exists("inputs", lambda x: x.rlike(r"5\s*$")).alias("marked"))
 
 
@@ -132,9 +132,9 @@ def _(spark, sf_dir):
     return own.select(F.inline(F.array(F.struct(F.lit("last_not_assistant").alias("problem"), F.col("x").alias("n")), F.struct(F.lit("no_user").alias("problem"), F.col("y").alias("n"))))).union(dup)
 
 
-@query("distill_valid", oracle("SELECT array_to_string(list_filter([CASE WHEN o_orderkey IS NULL THEN 'not_member' END, CASE WHEN coalesce(pass_rate, 0) <> 1 THEN 'not_passing' END, CASE WHEN api_error THEN 'api_error' END], lambda x: x IS NOT NULL), ',') AS problems, count(*) AS n FROM attempts LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) ON record_id = o_orderkey GROUP BY 1"))
+@query("distill_valid", oracle("SELECT array_to_string(list_filter([CASE WHEN o_orderkey IS NULL THEN 'not_member' END, CASE WHEN coalesce(pass_rate, 0) <> 1 THEN 'not_passing' END, CASE WHEN api_error THEN 'api_error' END], lambda x: x IS NOT NULL), ',') AS problems, count(*) AS n FROM attempts LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON record_id = o_orderkey GROUP BY 1"))
 def _(spark, sf_dir):
-    members = load(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("record_id"), F.lit(True).alias("_m"))
+    members = load(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("record_id"), F.lit(True).alias("_m"))
     j = derived(spark, sf_dir, "attempts").join(members, "record_id", "left")
     why = guards.reasons(("not_member", F.col("_m").isNull()), ("not_passing", F.coalesce("pass_rate", F.lit(0.0)) != 1), ("api_error", F.col("api_error")))
     return j.groupBy(F.array_join(why, ",").alias("problems")).agg(F.count("*").alias("n"))
