@@ -144,7 +144,7 @@ def _(spark, sf_dir):
     return g.select("problem", F.array_join(F.transform(even_indices("n", 4), lambda x: x.cast("string")), ",").alias("places"))
 
 
-@query("step_split", oracle("SELECT s AS stage, 1000 // 7 + (s < 1000 % 7)::INT AS steps FROM generate_series(0, 6) g(s)").replace("SELECT s AS stage", "SELECT CAST(s AS BIGINT) AS stage").replace("AS steps", "AS steps"))
+@query("step_split", oracle("SELECT CAST(s AS BIGINT) AS stage, CAST(1000 // 7 + (s < 1000 % 7)::INT AS BIGINT) AS steps FROM generate_series(0, 6) g(s)"))
 def _(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(ranking.step_split(1000, 7))), "stage long, steps long")
 

@@ -80,7 +80,7 @@ def _(spark, sf_dir):
     return readers.scan_parquet_cols(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"]).filter("l_quantity > 45")
 
 
-@query("scan_shards_complete", "SELECT 'split' || r_regionkey AS split, 4 - (r_regionkey % 2) AS found, 4 AS expected, r_regionkey % 2 = 0 AS complete FROM region".replace("4 - (r_regionkey % 2) AS found, 4 AS expected", "CAST(4 - (r_regionkey % 2) AS BIGINT) AS found, CAST(4 AS BIGINT) AS expected"))
+@query("scan_shards_complete", "SELECT 'split' || r_regionkey AS split, CAST(4 - (r_regionkey % 2) AS BIGINT) AS found, CAST(4 AS BIGINT) AS expected, r_regionkey % 2 = 0 AS complete FROM region")
 def _(spark, sf_dir):
     names = load(spark, sf_dir, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).filter("i < 4 - r_regionkey % 2")
     return readers.shard_check(names.select(F.format_string("split%d-%05d-of-00004.parquet", "r_regionkey", "i").alias("name")))
@@ -101,7 +101,7 @@ def _(spark, sf_dir):
     return readers.merge_options(named.select(F.col("r_name").alias("category"), F.col("n_name").alias("option"))).select("category", F.array_join("options", ",").alias("options"))
 
 
-@query("scan_tree_by_key", oracle("SELECT record_id AS id, arg_max(pos, pos) AS pos, 'train' AS split FROM attempts WHERE event_id_ok GROUP BY record_id").replace("WHERE event_id_ok ", "WHERE pos % 3 <> 0 "))
+@query("scan_tree_by_key", oracle("SELECT record_id AS id, arg_max(pos, pos) AS pos, 'train' AS split FROM attempts WHERE pos % 3 <> 0 GROUP BY record_id"))
 def _(spark, sf_dir):
     path = writers.scratch(spark, "tree")
     log = derived(spark, sf_dir, "attempts").selectExpr("record_id AS id", "pos", "CASE WHEN pos % 3 = 0 THEN 'test' ELSE 'train' END AS split", "lpad(cast(pos div 1000 as string), 8, '0') AS day")

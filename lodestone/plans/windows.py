@@ -51,7 +51,7 @@ def _(spark, sf_dir):
 
 @query("round_robin", oracle("SELECT doc_id, source, turn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, source LIMIT 50"))
 def _(spark, sf_dir):
-    return ranking.round_robin(load(spark, sf_dir, "documents").select("doc_id", "source"), "source", 50, "doc_id")
+    return ranking.round_robin(load(spark, sf_dir, "documents").select("doc_id", "source"), "source", 50, "doc_id").withColumn("turn", F.col("turn").cast("bigint"))
 
 
 @query("stage_slices", oracle("SELECT doc_id, CASE WHEN r <= (n + 2) // 3 THEN 0 WHEN r <= (n + 2) // 3 + (n + 1) // 3 THEN 1 ELSE 2 END AS stage FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents)"))
