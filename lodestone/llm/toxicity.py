@@ -25,7 +25,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import ALNUM, U, Words, fresh, prefix_hashes, small_slices, table
 
 FOLDS = 5
-MOST_POSITIVE, MOST_NEGATIVE = 2500, 5000
+MOST_POSITIVE, MOST_NEGATIVE = 2000, 4000
 MIN_ROWS = 5
 MOST_BIAS = -9.0  # a sentence without any feature: thousands of them don't make a document toxic
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
@@ -59,8 +59,8 @@ class Bags:
         self.rows = self.words.rows
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> list:
-    """(text, label) of a bounded sample of labelled rows outside the held-out fold: by label the smallest hashes of ids."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> tuple[pa.Array, list[int]]:
+    """Texts and labels of a bounded sample of labelled rows outside the held-out fold: by label the smallest hashes of ids."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label")).dropna()
     known = known.filter(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("_label").alias("_label"))
     picked = None
@@ -69,14 +69,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(fold("doc_id") != 0)
     joined = texts.join(F.broadcast(picked), "doc_id")  # at most the sample's bound
-    rows = joined.groupBy("doc_id", "_label").agg(F.min("text").alias("text")).collect()
-    return [(r["text"], r["_label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    rows = joined.groupBy("doc_id", "_label").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
+    return rows.column("text").combine_chunks().cast(pa.string()), rows.column("_label").to_pylist()
 
 
-def slices_of(texts: list, rows: np.ndarray, size: int = 500) -> Iterator[tuple[Bags, np.ndarray]]:
+def slices_of(texts: pa.Array, rows: np.ndarray, size: int = 100) -> Iterator[tuple[Bags, np.ndarray]]:
     for at in range(0, len(rows), size):
         part = rows[at : at + size]
-        yield Bags(pa.array([texts[k] for k in part], pa.string())), part
+        yield Bags(texts.take(pa.array(part))), part
 
 
 def matches(bags: Bags, features: np.ndarray, maybe: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +154,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(texts: list[str | None], labels: list[int], l1: float = 2e-4, steps: int = 400, rate: float = 0.5) -> Model:
+def fit(texts: pa.Array, labels: list[int], l1: float = 2e-4, steps: int = 400, rate: float = 0.5) -> Model:
     """Noisy-or likelihood, L1 on word weights; Adam with soft thresholds, from log-odds of a word's rows."""
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -234,8 +234,7 @@ def bare_rows(batches: Iterator[pa.RecordBatch], model: Model, name: str) -> Ite
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels, "toxic", {1: MOST_POSITIVE, 0: MOST_NEGATIVE})
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    return fit(*training_rows(docs, labels, "toxic", {1: MOST_POSITIVE, 0: MOST_NEGATIVE}))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
