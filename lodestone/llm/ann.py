@@ -2,7 +2,8 @@
 
 A vector is represented by its `PREFIX` nearest pivots of `PIVOTS`, in order.  A shard of vectors (at most `SHARD`, as they lie in a partition) posts each in the inverted
 files of those pivots together with its place there.  A query reads the files of its own nearest pivots and adds up footrule distances
-(a pivot outside a prefix counts as place `PREFIX`); the `SHARE` of the shard with the smallest distance is reranked by the inner product in double precision.
+(a pivot outside a prefix counts as place `PREFIX`); the `SHARE` of the shard with the smallest distance is reranked by the inner product in double precision,
+and with it every vector as far as the last of them, so a group of copies is never cut.
 The pivots are fitted on a bounded sample (`SAMPLE` rows, the smallest hashes of ids); every row is indexed, nothing is routed away, and hot copies stay
 where they lie.  Queries go to the shards in blocks of about `BLOCK`, so what is broadcast is bounded.
 Vectors get one more coordinate, sqrt(M^2 - |x|^2) with the largest norm M, so that the largest inner product is the nearest vector.
@@ -89,7 +90,8 @@ class Shard:
         few = max(LEAST, int(np.ceil(SHARE * n)))
         rows = np.arange(n)
         if few < n:
-            rows = np.sort(np.argpartition(self.footrule(order), few)[:few])
+            distance = self.footrule(order)
+            rows = np.flatnonzero(distance <= np.partition(distance, few - 1)[few - 1])
         rows = rows[self.ids[rows] != query_id]
         score = (self.x[rows] * q).sum(axis=1)  # row by row, so that equal vectors score the same to the last bit
         best = np.lexsort((self.ids[rows], -score))[:k]

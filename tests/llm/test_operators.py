@@ -336,6 +336,21 @@ def test_nearest(spark):
     assert hit / (150 * 20) >= 0.9
 
 
+def test_large_groups_of_copies_are_not_cut():
+    rng = np.random.default_rng(3)
+    n, k = 8192, 20
+    x = rng.normal(size=(n, 32))
+    copies = rng.random(n) < 1 / 3
+    x[copies] = rng.normal(size=32)
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    pivots = ann.Pivots(x[rng.permutation(n)[: ann.SAMPLE]], 1.0)
+    shard = ann.Shard(np.arange(n), x, pivots)
+    members = np.flatnonzero(copies)
+    for q in members[rng.permutation(len(members))[:20]].tolist():
+        found, score = shard.search(q, x[q], pivots.nearest(x[q : q + 1], query=True)[0], k)
+        assert found.tolist() == [m for m in members.tolist() if m != q][:k] and len(set(score.tolist())) == 1
+
+
 def test_nearest_odd(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [2.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 2.0, 3.0]), (40, []), (None, [1.0, 1.0]), (11, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("hits", F.lit(1)).withColumn("score", F.lit(2))
