@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence scores p = sigmoid(bias + sum of weights of its distinct words and word prefixes); a document scores
-1 - prod(1 - p) (noisy-or), so one bad sentence suffices and labels of documents are enough to learn which.  The highest sentence is reported.
+1 - (1 - p0) prod((1 - p) / (1 - p0)) over its sentences above p0 = sigmoid(bias) (noisy-or), so one bad sentence suffices and labels of documents are enough
+to learn which.  The bias counts once a document: a sentence adds only what its words add, so plain ones add nothing however many they are.  The highest sentence is reported.
 
 Learning: at most `MOST_POSITIVE` + `MOST_NEGATIVE` labelled rows (the smallest hashes of their ids) reach the driver; words and prefixes (`PREFIXES` bytes)
 that occur in `MIN_ROWS` of them at least, and in labelled ones more often than chance would let any of them (Chernoff's bound over all candidates), are features; weights are fitted by proximal gradient on the noisy-or likelihood with an L1 term, so few are not zero.
@@ -27,7 +28,7 @@ from .common import ALNUM, U, Words, fresh, prefix_hashes, small_slices, table
 FOLDS = 5
 MOST_POSITIVE, MOST_NEGATIVE = 2000, 4000
 MIN_ROWS = 5
-MOST_BIAS = -9.0  # a sentence without any feature: thousands of them don't make a document toxic
+MOST_BIAS = -9.0  # a document without any feature
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 THRESHOLD = 0.5
 BREAK = np.zeros(256, dtype=bool)
@@ -142,9 +143,8 @@ class Model:
             order = np.lexsort((-np.arange(len(logits)), logits, row))
             best = order[np.r_[row[order][1:] != row[order][:-1], True]]
             worst[row[best]], top[row[best]] = first[best], sigmoid(logits[best])
-            score = -np.bincount(row, weights=np.logaddexp(0, logits), minlength=bags.rows)  # log of prod(1 - p)
-        empty = np.diff(bags.words.first) == 0
-        score = np.where(empty, sigmoid(np.array(self.bias)), -np.expm1(score))
+            score = np.bincount(row, weights=added(logits, self.bias), minlength=bags.rows)
+        score = -np.expm1(-np.logaddexp(0, self.bias) - score)
         if self.constant is not None:
             score = np.full(bags.rows, self.constant)
         return np.clip(score, 0, 1), worst, top
@@ -154,8 +154,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def added(logits: np.ndarray, bias: float) -> np.ndarray:
+    """What sentences add to a document's -log(1 - score) beside its bias."""
+    return np.maximum(np.logaddexp(0, logits) - np.logaddexp(0, bias), 0)
+
+
 def fit(texts: pa.Array, labels: list[int], l1: float = 2e-4, steps: int = 400, rate: float = 0.5) -> Model:
-    """Noisy-or likelihood, L1 on word weights; Adam with soft thresholds, from log-odds of a word's rows."""
+    """Noisy-or likelihood, L1 on word weights; Adam with soft thresholds, from log-odds of a word's rows.
+
+    Here every plain sentence holds the bias, so a long clean row says something of it; scores count it once a document.
+    """
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, float(y.mean()) if len(y) else 0.5)

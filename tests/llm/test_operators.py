@@ -181,6 +181,17 @@ def test_classifiers_on_held_out_rows(spark):
     assert toxicity.clean_documents(docs, model).count() == sum(r.score < toxicity.THRESHOLD for r in toxic)
 
 
+def test_long_clean_texts_are_not_toxic(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.learn(docs, labels)
+    plain = "sun river stone lamp\n" * 20_000
+    bad = next(r.worst_sentence for r in toxicity.toxicity(docs, model).orderBy(F.desc("score")).limit(1).collect())
+    rows = spark.createDataFrame([(1, plain), (2, plain + bad), (3, ""), (4, None)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.toxicity(rows, model).collect()}
+    assert score[1] == score[3] == score[4] < 0.001 and score[2] >= toxicity.THRESHOLD
+    assert {r.doc_id for r in toxicity.clean_documents(rows, model).collect()} == {1, 3, 4}
+
+
 def test_held_out_labels_teach_nothing(spark):
     docs, labels = labelled(spark, 300)
     turned = labels.withColumn("toxic", F.when(toxicity.fold("doc_id") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))).withColumn("quality", F.when(toxicity.fold("doc_id") == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
