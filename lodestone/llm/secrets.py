@@ -1,7 +1,8 @@
 """Secret scan by assignment-aware lexing.
 
 Three base patterns find assigned secrets, access keys and long hexadecimal runs.  Beside them a lexer reads source and configuration lines into
-name-literal pairs (name = value, name: value, "name": "value", name => value), with quoted literals, bare words, concatenations and references.
+name-literal pairs (name = value, name: value, name: type = value, "name": "value", name => value), with quoted literals, bare words, concatenations and references.
+A value may start on the next line: a quoted literal that is no name there, or a word that stands alone.
 Constants are propagated: `k = "..."` and later `password = k + "..."` make the literals of both count for `password`.  A literal is scored
 by how sensitive the best name it reaches is and by its length, variety and entropy; those over `LEAST_SCORE` are added as spans of kind `literal`,
 unless a base span holds them already.
@@ -38,9 +39,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a run's end is the same from any st
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 OPERATOR = re.compile(r"[=:]")
-PAIR = re.compile(r"""(?<![A-Za-z0-9_.$-])["']?([A-Za-z_$][A-Za-z0-9_.$-]{0,79})["']?[ \t]{0,8}(?::=|=>|=(?![=>])|:(?![:=/]))[ \t]{0,8}""")
+PAIR = re.compile(r"""(?<![A-Za-z0-9_.$-])["']?([A-Za-z_$][A-Za-z0-9_.$-]*+)["']?[ \t]*+(:=|=>|=(?![=>])|:(?![:=/]))[ \t]*+""")  # possessive: no run is read twice
+TYPED = re.compile(r"([A-Za-z0-9_.|&*?<>\[\](),' \t]++)=(?![=>])[ \t]*+")
+TYPE = re.compile(r"(?:[&*]*(?:const|mut|static|dyn|final|readonly|unsigned)[ \t]++|&'[a-z_]++[ \t]++)*+[&*]*+[A-Za-z_][A-Za-z_.]*+[0-9]{0,3}[?&*]*+")
+NEXT = re.compile(r"(?:[(\\][ \t]*+)?\r?\n[ \t]*+")
+ALONE = re.compile(r"[ \t]*+[,;)]*+[ \t]*+(?:\r?\n|\r?\Z)")
+NAMED = re.compile(r"[ \t]*+[:=]")
 TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9_.$+/=@!#%^&*~-]+)""")
-PLUS = re.compile(r"[ \t]{0,8}(?:\+|\.\.|\.)[ \t]{0,8}(?=[\"'`A-Za-z_$])")
+PLUS = re.compile(r"[ \t]*+(?:\+|\.\.|\.)[ \t]*+(?:(?=[\"'`A-Za-z_$])|\\?\r?\n[ \t]*+(?=[\"'`]))")
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
 #: How sensitive a name is that holds one of these words.
 SENSITIVE = ((1.0, ("password", "passwd", "passphrase", "pwd", "private_key", "client_secret", "secret")), (0.9, ("api_key", "apikey", "access_key", "auth_token", "access_token", "token", "credential", "bearer")), (0.5, ("auth", "_key", "signature", "signing", "salt", "cert")))
@@ -73,6 +79,18 @@ def literal_score(literal: str, weight: float) -> float:
     return weight * (0.4 * min(1, entropy / 3.5) + 0.3 * min(1, n / 16) + 0.3 * min(1, (kinds - 1) / 2))
 
 
+def is_type(text: str) -> bool:
+    """Whether text reads as a type: words that | joins, with anything in brackets behind them."""
+    depth, out = 0, []
+    for c in text:
+        depth += (c in "[<(") - (c in "]>)")
+        if depth < 0:
+            return False
+        if not depth and c not in "]>)":
+            out.append(c)
+    return not depth and all(TYPE.fullmatch(x.strip()) for x in "".join(out).split("|"))
+
+
 class Lexed:
     """Name-literal pairs of a text and the names that reach each literal."""
 
@@ -82,27 +100,35 @@ class Lexed:
         for m in OPERATOR.finditer(text):
             if m.start() < done:
                 continue
-            a = text.rfind("\n", 0, m.start()) + 1
+            a = max(text.rfind("\n", 0, m.start()) + 1, done)
             b = text.find("\n", m.start())
-            done = len(text) if b < 0 else b
-            self._line(text, max(a, 0), done)
+            to = len(text) if b < 0 else b
+            done = max(to, self._line(text, a, to))
 
-    def _line(self, text: str, at: int, to: int) -> None:
+    def _line(self, text: str, at: int, to: int) -> int:
+        """Reads the pairs of a line and tells where it ended; a value may lie on later lines."""
         while m := PAIR.search(text, at, to):
             at, literals, references = m.end(), [], []
-            while t := TERM.match(text, at, to):
+            if m.group(2) == ":" and (typed := TYPED.match(text, at, to)) and is_type(typed.group(1)):
+                at = typed.end()
+            if (below := NEXT.match(text, at)) and (t := TERM.match(text, below.end())):
+                bare = t.group(4) is not None
+                if not PAIR.match(text, t.start()) and (ALONE.match(text, t.end()) if bare else not NAMED.match(text, t.end())):
+                    at = below.end()
+            while t := TERM.match(text, at):
                 group = next(k for k in (1, 2, 3, 4) if t.group(k) is not None)
                 value = t.group(group)
                 if group == 4 and NAME.match(value):
                     references.append(value)
                 literals.append((value, t.start(group), t.end(group), group == 4))
                 at = t.end()
-                plus = PLUS.match(text, at, to)
+                plus = PLUS.match(text, at)
                 if not plus:
                     break
                 at = plus.end()
             self.names.append((m.group(1), literals, references))
             at = max(at, m.end())
+        return at
 
     def findings(self) -> list[tuple[int, int, str, float]]:
         """(start, end, name, score) of every literal, with the most sensitive name that it reaches."""

@@ -138,6 +138,37 @@ def test_constants_reach_sensitive_names():
     assert secrets.find("a = b\nb = a\npassword1 = a\n") == []
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("db_pwd" + " " * 13 + '= "', '"'),
+        ("db_pwd =" + "\t" * 20 + '"', '"'),
+        ("x" * 100 + '_pwd = "', '"'),
+        ('pwd: str = "', '"'),
+        ('pwd: Optional[Dict[str, str]] | None = "', '"'),
+        ("const PWD: &'static str = \"", '";'),
+        ('pwd =\n    "', '"'),
+        ('pwd = (\r\n    "', '"\n)'),
+        ('pwd: str = \\\n  "', '"'),
+        ('"pwd":\n  "', '",\n'),
+        ("pwd:\n  ", "\n"),
+        ('pwd = "short"' + " " * 12 + '+ "', '"'),
+        ('pwd = "short" +\n  "', '"'),
+        ('k    :    str =\n "', '"\npassword = k\n'),
+    ],
+)
+def test_values_far_from_their_names(before, after):
+    found = secrets.find(before + "Zx9kQw7LmT2p" + after)
+    assert [(x["kind"], x["start"], x["end"]) for x in found] == [("literal", len(before), len(before) + 12)]
+    assert "Zx9kQw7LmT2p" not in secrets.masked(before + "Zx9kQw7LmT2p" + after)
+
+
+def test_names_and_types_are_no_values():
+    assert secrets.find('pwd: Optional[str] = None\npwd:\n  Database9Url: x\n"pwd":\n "Database9Url": 1\nnote: set name = "Zx9kQw7LmT2p"\n') == []
+    found = secrets.find('note: the pwd = "Zx9kQw7LmT2p", pwd: Zx9kQw7LmT2p = 1')
+    assert [x["name"] for x in found] == ["pwd", "pwd"]
+
+
 def test_secrets_odd(odd, odd_rows, none):
     got = secrets.scan(odd).collect()
     assert len(got) == len(odd_rows) and {r.doc_id: len(r.findings) for r in got if r.doc_id is not None}[13] == 1
