@@ -4,7 +4,7 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is writt
 All but the last return the columns of documents.
 
 1. toxicity: documents with a noisy-or score of 0.5 or more go; the model learns from `labels`.
-2. near_dedup: of documents that SimHash links join, the one with the smallest doc_id stays.
+2. near_dedup: of documents that SimHash links join, the one with the smallest doc_id stays (null ids last, then the smallest hash of the text).
 3. decontamination: documents that hold a ten-word window of `benchmark` go.
 4. secrets: found secrets are masked in the text, and n_chars follows; no document goes.
 5. packing: pieces of the documents take their places in sequences of 2,048 tokens.

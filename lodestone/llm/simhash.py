@@ -61,12 +61,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_slices(batches, "text", 16 << 20):
         found = [fingerprint(x.as_buffer().to_pybytes()) if x.is_valid else 0 for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        kept = batch.drop_columns("text")
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.int64())], names=[*kept.schema.names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(fingerprint_rows, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; keyed: (doc_id, key, fp), where key is the text's hash."""
+    key, name = ([F.xxhash64("text").alias("key")], "key long, ") if keyed else ([], "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text").mapInArrow(fingerprint_rows, f"doc_id long, {name}fp long")
 
 
 def gray_rank(fp) -> "F.Column":
@@ -197,25 +199,32 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     return placed.mapInArrow(lambda it: link_nodes(it, limit), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links of up to `limit` bits reach."""
-    fps = staged(fingerprints(docs), "fingerprints")
+def members(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """rows, which have doc_id and fp, with component (a fingerprint) and component_id (the smallest doc_id of the component)."""
+    fps = staged(rows, "fingerprints")
     groups = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
     member = components(links(groups.select("fp"), limit))
     joined = groups.join(member, groups["fp"] == member["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = joined.join(least, "component").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = joined.join(least, "component").select("fp", "component", "component_id")
+    return fps.join(of_fp, "fp")
+
+
+def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that links of up to `limit` bits reach."""
+    return members(fingerprints(docs), limit).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """docs without near-duplicates: the row with the smallest doc_id of every component stays, once even if it is repeated; rows with null doc_id stay."""
-    head, turn = fresh(docs, "_head"), fresh(docs, "_turn")
-    heads = near_duplicates(docs, limit).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(head)).distinct()
-    joined = docs.join(heads, F.col("doc_id").cast("long") == F.col(head))
-    one = Window.partitionBy(head).orderBy(F.xxhash64("text"))
-    kept = joined.withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
-    return kept.union(docs.filter(F.col("doc_id").isNull()))
+    """docs without near-duplicates: of every component one row stays, that with the smallest doc_id (null ids last), then the smallest hash of the text."""
+    none, number, key, turn = (fresh(docs, c) for c in ("_none", "_id", "_hash", "_turn"))
+    row_key = [none, number, key]
+    told = lambda doc_id, text_hash: (doc_id.isNull().alias(none), F.coalesce(doc_id, F.lit(0)).alias(number), text_hash.alias(key))
+    found = members(fingerprints(docs, keyed=True), limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = found.groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key")).select(*told(F.col("doc_id"), F.col("key")))
+    joined = docs.select("*", *told(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(heads, row_key)
+    one = Window.partitionBy(*row_key).orderBy(F.xxhash64("text"))  # the same row again
+    return joined.withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -78,6 +78,14 @@ def test_simhash_odd(odd, odd_rows, none):
     assert kept.columns == odd.columns and sum(r.doc_id == 5 for r in kept.collect()) == 1
 
 
+def test_every_component_keeps_one_row(spark):
+    rnd = random.Random(11)
+    a, b, c, d = (" ".join(str(rnd.randrange(10**6)) for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a), (None, b), (2, b), (9, b), (3, c), (3, c), (3, d), (4, d), (None, d), (7, c)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, a), (2, b), (3, c), (3, d)], key=str)
+
+
 def test_crowded_nodes_get_lower_ones(spark):
     rnd = random.Random(2)
     fps = set()
