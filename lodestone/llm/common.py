@@ -104,7 +104,7 @@ def small_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
 
 
 class Words:
-    """Words of a slice: byte ranges [start, end), and `first`, the word offsets of its rows."""
+    """Words of a slice: byte ranges [start, end), `first`, the word offsets of its rows, and `offsets`, their bytes."""
 
     def __init__(self, column: pa.Array, kinds: np.ndarray, lower: bool = False):
         raw, offs = text_buffers(column)
@@ -120,7 +120,7 @@ class Words:
         self.start = np.flatnonzero(inside & (~before | cut[:-1]))
         self.end = np.flatnonzero(inside & (~after | cut[1:])) + 1
         self.first = np.searchsorted(self.start, offs)
-        self.rows = len(offs) - 1
+        self.rows, self.offsets = len(offs) - 1, offs
 
     def __len__(self) -> int:
         return len(self.start)

@@ -2,7 +2,9 @@
 
 A document is a bag of sentences.  A sentence scores p = sigmoid(bias + sum of weights of its distinct words and word prefixes); a document scores
 1 - (1 - p0) prod((1 - p) / (1 - p0)) over its sentences above p0 = sigmoid(bias) (noisy-or), so one bad sentence suffices and labels of documents are enough
-to learn which.  The bias counts once a document: a sentence adds only what its words add, so plain ones add nothing however many they are.  The highest sentence is reported.
+to learn which.  The bias counts once a document: a sentence adds only what its words add, so plain ones add nothing however many they are.
+The highest sentence is reported, and for documents that score `THRESHOLD` or more the offending sentences with their places (code points, ends exclusive):
+the fewest, highest first and then in order, without which the rest of the document scores less; every sentence that scores the threshold is one.
 
 Learning: at most `MOST_POSITIVE` + `MOST_NEGATIVE` labelled rows (the smallest hashes of their ids) reach the driver; words and prefixes (`PREFIXES` bytes)
 that occur in `MIN_ROWS` of them at least, and in labelled ones more often than chance would let any of them (Chernoff's bound over all candidates), are features; weights are fitted by proximal gradient on the noisy-or likelihood with an L1 term, so few are not zero.
@@ -133,9 +135,9 @@ class Model:
             np.add.at(out, pair // len(self.hashes), self.weights[pair % len(self.hashes)])
         return out
 
-    def score(self, bags: Bags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, bags: Bags, logits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score, place of the worst sentence (its first word's byte; -1 without words) and that sentence's score, by row."""
-        logits = self.sentence_logits(bags)
+        logits = self.sentence_logits(bags) if logits is None else logits
         score, worst, top = np.zeros(bags.rows), np.full(bags.rows, -1), np.full(bags.rows, sigmoid(np.array(self.bias)))
         if len(logits):
             first = np.flatnonzero(np.r_[True, np.diff(bags.sentence) > 0])
@@ -150,6 +152,33 @@ class Model:
         return np.clip(score, 0, 1), worst, top
 
 
+    def offending(self, bags: Bags, logits: np.ndarray, threshold: float) -> list[list[dict]]:
+        """By row the sentences (start, end, score), in order, without which the row scores less than threshold."""
+        out: list[list[dict]] = [[] for _ in range(bags.rows)]
+        if self.constant is not None or not len(logits):
+            return out
+        edges = np.flatnonzero(np.r_[True, np.diff(bags.sentence) > 0, True])
+        first, last = edges[:-1], edges[1:] - 1
+        row, part = bags.row[first], added(logits, self.bias)
+        live = np.flatnonzero(part > 0)
+        live = live[np.lexsort((live, -part[live], row[live]))[::-1]]  # by row the lowest first
+        total = np.cumsum(part[live])
+        head = np.flatnonzero(np.r_[True, row[live][1:] != row[live][:-1]]) if len(live) else np.zeros(0, int)
+        before = np.repeat(np.r_[0, total][head], np.diff(np.r_[head, len(live)]))
+        rest = np.logaddexp(0, self.bias) + total - before  # with all that are lower in the row
+        picked = np.sort(live[-np.expm1(-rest) >= threshold])
+        if not len(picked):
+            return out
+        words, p = bags.words, sigmoid(logits)
+        for own in np.split(picked, np.flatnonzero(np.diff(row[picked])) + 1):
+            r = int(row[own[0]])
+            at = int(words.offsets[r])
+            points = np.r_[0, np.cumsum((words.data[at : words.offsets[r + 1]] & 0xC0) != 0x80)]  # code points up to a byte
+            starts, ends = points[words.start[first[own]] - at], points[words.end[last[own]] - at]
+            out[r] = [{"start": a, "end": b, "score": x} for a, b, x in zip(starts.tolist(), ends.tolist(), p[own].tolist(), strict=True)]
+        return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -218,13 +247,16 @@ def fit(texts: pa.Array, labels: list[int], l1: float = 2e-4, steps: int = 400,
     return Model(chosen[keep], w[keep], bias)
 
 
-SCORED = "doc_id long, score double, worst_sentence string, worst_score double"
+SENTENCE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+SCORED = "doc_id long, score double, worst_sentence string, worst_score double, sentences array<struct<start:long,end:long,score:double>>"
 
 
 def score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in small_slices(batches, "text"):
         bags = Bags(batch.column("text"))
-        score, worst, top = model.score(bags)
+        logits = model.sentence_logits(bags)
+        score, worst, top = model.score(bags, logits)
+        located = pa.array(model.offending(bags, logits, THRESHOLD), pa.list_(SENTENCE))
         spots = []
         for k in worst.tolist():
             if k < 0:
@@ -232,7 +264,7 @@ def score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
                 continue
             upto = int(np.searchsorted(bags.sentence, bags.sentence[k], side="right"))
             spots.append(bytes(bags.words.data[bags.words.start[k] : bags.words.end[upto - 1]]).decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(spots, pa.string()), pa.array(top)], names=["doc_id", "score", "worst_sentence", "worst_score"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(spots, pa.string()), pa.array(top), located], names=["doc_id", "score", "worst_sentence", "worst_score", "sentences"])
 
 
 def bare_rows(batches: Iterator[pa.RecordBatch], model: Model, name: str) -> Iterator[pa.RecordBatch]:
@@ -246,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, worst_sentence, worst_score) of every row."""
+    """(doc_id, score, worst_sentence, worst_score, sentences) of every row; sentences are the offending ones, in order."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: score_rows(it, held.value), SCORED)
 
@@ -262,4 +294,5 @@ def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_sentence")
+    spans = F.array_join(F.transform("sentences", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_sentence", spans.alias("toxic_spans"))

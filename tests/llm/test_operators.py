@@ -231,6 +231,26 @@ def test_long_clean_texts_are_not_toxic(spark):
     assert {r.doc_id for r in toxicity.clean_documents(rows, model).collect()} == {1, 3, 4}
 
 
+def test_all_offending_sentences_are_located(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.learn(docs, labels)
+    scored = toxicity.toxicity(docs, model).orderBy(F.desc("worst_score")).limit(1).collect()[0]
+    bad = scored.worst_sentence
+    texts = [f"Sún river. {bad}. stone\n\u65e5\u672c {bad}! lamp {bad}", "sun river. stone", "", None, f"{bad}.", f"é. {bad}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in toxicity.toxicity(rows, model).collect()}
+    cut = {k: [texts[k][s.start : s.end] for s in r.sentences] for k, r in got.items()}
+    assert cut == {0: [bad, f"\u65e5\u672c {bad}", f"lamp {bad}"], 1: [], 2: [], 3: [], 4: [bad], 5: [bad]}
+    assert all((len(r.sentences) > 0) == (r.score >= toxicity.THRESHOLD) for r in got.values())
+    known = toxicity.Bags(pa.array(["x"])).grams
+    known = np.unique(known[known != 0])
+    weak = toxicity.Model(known, np.full(len(known), 8.0 / len(known)), -9.0)  # sigmoid(-1) = 0.27 a sentence: only together over the threshold
+    bags = toxicity.Bags(pa.array(["x. x. x. x", "x", "x. y. x. x"]))
+    logits = weak.sentence_logits(bags)
+    score = weak.score(bags, logits)[0]
+    assert [len(s) for s in weak.offending(bags, logits, 0.5)] == [2, 0, 1] and ((score >= 0.5) == [True, False, True]).all()
+
+
 def test_held_out_labels_teach_nothing(spark):
     docs, labels = labelled(spark, 300)
     turned = labels.withColumn("toxic", F.when(toxicity.fold("doc_id") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))).withColumn("quality", F.when(toxicity.fold("doc_id") == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
