@@ -25,7 +25,7 @@ from .common import table
 
 SHINGLE, LEAST, BANDS = 5, 0.8, 64
 
-#: Public license notices by SPDX-like name.
+#: Public license notices by SPDX-like name; README lists them with what they leave out.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",

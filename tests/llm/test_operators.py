@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -540,6 +541,11 @@ def test_licenses(spark, odd, odd_rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_readme_lists_the_licenses():
+    listed = (Path(__file__).parents[2] / "README.md").read_text()
+    assert all(f"`{name}`" in listed for name in licenses.TEMPLATES) and f"these {len(licenses.TEMPLATES)} templates" in listed
+
+
 def test_anchors_cover_a_fifth():
     for text in licenses.TEMPLATES.values():
         w = licenses.words_of(text)
