@@ -6,37 +6,54 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_ws
 
-SNIPPET_ROWS = 10_000
+def _inner_grams(words: Column, size: int) -> Column:
+    """Hashes of all runs of `size` words; the words are bound once, so a text costs as much as it has words."""
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(F.lit(size), *(F.get(w, i + k) for k in range(size))))
+    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) >= size, F.array_distinct(runs(w)))), F.lit(0))
+
+
+def _long_word_grams(words: Column, size: int) -> Column:
+    """Hashes of all runs of `size` characters inside words that have as many."""
+    long = F.filter(words, lambda w: F.length(w) >= size)
+    return F.array_distinct(F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.xxhash64(F.lit(0), F.substring(w, i, F.lit(size)))))))
 
 
 def snippet_overlap(texts: DataFrame, key: str, snippets: DataFrame, snippet_key: str, prefix: int | None = None, least: int = 25) -> DataFrame:
-    """(key, snippet_key) where the normalised text contains the normalised snippet of `least` characters or more.
+    """Distinct (key, snippet_key) where a normalised text of that key contains the normalised snippet of `least` characters or more.
 
-    Words inside a snippet stand whole in every text that contains it, so three of them from its middle are an anchor: texts post their own runs of
-    three words, meet the anchors in a hash join, and contains() decides.  Snippets of fewer than five words have no anchor: up to `SNIPPET_ROWS` of
-    them travel to the texts; beyond that they meet the texts on their first `least` characters, which a text posts for each of its places.
+    Words inside a snippet stand whole in every text that contains it, so up to three of them from its middle are an anchor.  A snippet of one or two
+    words has no inner word; its longer one has (least - 1) / 2 characters at least, and as many from its start stand in one word of the text.
+    Texts post (key, hash) of their own runs, anchors (snippet_key, hash); the two meet in a hash join, which carries no text.  Only the
+    pairs that meet fetch their texts again, and contains() decides.  Null keys pair like others.
     """
-    own = snippets.select(snippet_key, normalize_ws("text").alias("_s")).filter(F.length("_s") >= least)
+    if least < 5:
+        raise ValueError("snippets under five characters have no anchor")
+    half = (least - 1) // 2
+    own = snippets.select(F.col(snippet_key), normalize_ws("text").alias("_s")).filter(F.length("_s") >= least)
     if prefix:
         own = own.withColumn("_s", F.substring("_s", 1, prefix))
-    own = own.withColumn("_w", F.split("_s", " "))
-    norm = texts.select(key, normalize_ws("text").alias("_t"))
-    gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    long = own.filter(F.size("_w") >= 5).withColumn("_h", gram(F.col("_w"), F.floor((F.size("_w") - 3) / 2).cast("int"))).drop("_w")
+    own = own.withColumn("_w", F.split("_s", " ")).withColumn("_k", F.least(F.greatest(F.size("_w") - 2, F.lit(0)), F.lit(3)))
+    kinds = sorted(r[0] for r in own.select("_k").distinct().collect())  # of 0, 1, 2, 3
+    middle = F.floor((F.size("_w") - F.col("_k")) / 2).cast("int")
+    longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    anchor = F.when(F.col("_k") == 0, F.xxhash64(F.lit(0), F.substring(longest, F.lit(1), F.lit(half))))
+    for k in (1, 2, 3):
+        anchor = F.when(F.col("_k") == k, F.xxhash64(F.lit(k), *(F.get("_w", middle + j) for j in range(k)))).otherwise(anchor)
+    anchors = own.select(F.col(snippet_key).alias("_b"), anchor.alias("_h")).distinct()
+    norm = texts.select(F.col(key).alias("_a"), normalize_ws("text").alias("_t"))
     words = F.split("_t", " ")
-    grams = F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: gram(words, i))))
-    found = norm.withColumn("_h", F.explode(grams)).join(long, "_h").filter(F.contains("_t", F.col("_s"))).select(key, snippet_key)
-    few = own.filter(F.size("_w") < 5).drop("_w")
-    if few.limit(SNIPPET_ROWS + 1).count() <= SNIPPET_ROWS:
-        return found.union(norm.join(F.broadcast(few), F.contains("_t", F.col("_s"))).select(key, snippet_key))
-    head = lambda c, at: F.xxhash64(F.substring(c, at, F.lit(least)))
-    posted = norm.filter(F.length("_t") >= least).withColumn("_h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - least + 1), lambda i: head("_t", i)))))
-    return found.union(posted.join(few.withColumn("_h", head("_s", F.lit(1))), "_h").filter(F.contains("_t", F.col("_s"))).select(key, snippet_key))
+    grams = [_inner_grams(words, k) if k else _long_word_grams(words, half) for k in kinds] or [F.array().cast("array<bigint>")]
+    posted = norm.select("_a", F.explode(F.concat(*(F.coalesce(g, F.array().cast("array<bigint>")) for g in grams))).alias("_h"))
+    met = posted.join(anchors, "_h").select("_a", "_b").distinct()
+    told = own.select(F.col(snippet_key).alias("_bb"), "_s")
+    with_text = met.join(norm.withColumnRenamed("_a", "_aa"), F.col("_a").eqNullSafe(F.col("_aa")))
+    found = with_text.join(told, F.col("_b").eqNullSafe(F.col("_bb"))).filter(F.contains("_t", F.col("_s")))
+    return found.select(F.col("_a").alias(key), F.col("_b").alias(snippet_key)).distinct()
 
 
 def _ratios(least: float):
