@@ -112,10 +112,18 @@ INSTRUCTION_ECHO = r"(?i)(answer\s*[:\-]?\s*[\"'`]?A[\"'`]?\s*(?:or|/|,)\s*[\"'`
 SENTENCE_END = r"[.!?\"')\]]\s*$"
 
 
-def recover(c: Column | str, endorse: bool = True) -> Column:
+#: Words that tell no option from another.
+STOP_WORDS = """
+a an and are as at be been being but by can could did do does for from had has have he her hers him his how i if in
+into is it its me my no not of on or our ours she should so that the their theirs them then there these they this
+to was we were what when where which who whom why will with would you your yours
+""".split()
+
+
+def recover(c: Column | str, endorse: bool = True, first: Column | str | None = None, second: Column | str | None = None, margin: int = 3) -> Column:
     """struct(tier, label): why a dropped response has no vote, or which weaker rule finds one; the first that holds.
 
-    Texts that name neither label are left to a comparison with the options' words (`semantic`).
+    Texts that name neither label are compared with the words of the two options, if given: `semantic`, or `semantic_below_margin` without a label.
     """
     text = F.trim(F.coalesce(col(c), F.lit("")), F.lit(" \n\t\r"))
     tail = F.trim(F.coalesce(last_line(text), F.lit("")), F.lit(" \t\r"))
@@ -126,6 +134,11 @@ def recover(c: Column | str, endorse: bool = True) -> Column:
     one = lambda xs: F.when(F.size(xs) == 1, F.element_at(xs, 1))
     pair = lambda tier, label=None: F.struct(F.lit(tier).alias("tier"), (F.lit(None).cast("string") if label is None else label).alias("label"))
     both = F.when(one(found(closing)).isNotNull(), pair("terminal_endorse", one(found(closing)))).otherwise(pair("ambiguous")) if endorse else pair("both_labels_skipped")
+    if first is None or second is None:
+        neither = pair("semantic_skipped")
+    else:
+        meant = semantic_label(text, first, second, margin)
+        neither = F.when(meant.isNull(), pair("semantic_below_margin")).otherwise(pair("semantic", meant))
     return (
         F.when(text == "", pair("empty"))
         .when(text.contains("<think>"), pair("has_think"))
@@ -136,16 +149,36 @@ def recover(c: Column | str, endorse: bool = True) -> Column:
         .when(one(short).isNotNull(), pair("terminal_label", one(short)))
         .when(F.size(found(text)) == 1, pair("single_label", one(found(text))))
         .when(F.size(found(text)) == 2, both)
-        .otherwise(pair("semantic"))
+        .otherwise(neither)
     )
 
 
-def semantic_label(c: Column | str, first: Column | str, second: Column | str, margin: int = 2) -> Column:
+def content_words(c: Column | str) -> Column:
+    """Distinct lower-case words of a-z and ' with three characters or more that are no stop words."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[a-z']+"), F.lit(0))
+    return F.array_except(F.filter(words, lambda w: F.length(w) > 2), F.array(*map(F.lit, STOP_WORDS)))
+
+
+def semantic_label(c: Column | str, first: Column | str, second: Column | str, margin: int = 3) -> Column:
     """The option whose own words, those the other one lacks, a text uses more often by the margin; else null."""
-    words = lambda x: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(col(x), F.lit(""))), F.lit("[a-z']+"), F.lit(0)), lambda w: F.length(w) > 2))
-    a, b, body = words(first), words(second), words(c)
+    a, b, body = content_words(first), content_words(second), content_words(c)
     gap = F.size(F.array_intersect(body, F.array_except(a, b))) - F.size(F.array_intersect(body, F.array_except(b, a)))
-    return F.when(gap >= margin, "A").when(gap <= -margin, "B")
+    return F.when((gap >= margin) & (gap > 0), "A").when(F.abs(gap) >= margin, "B")
+
+
+#: Pronouns of a writer's own matter, and how boilerplate refusals start.
+FIRST_PERSON = r"(?iU)\b(i|i'm|im|i've|i'd|i'll|my|me|mine|myself|we|we're|our|us)\b"
+REFUSAL = r"(?iU)^i\s*('m|am)?\s*(sorry[,.]?\s*)?(but\s+)?(cannot|can't|can not|won't|will not|am not able to|'m not able to)\b"
+
+
+def first_person_hits(c: Column | str) -> Column:
+    """How often a text speaks of its writer."""
+    return F.regexp_count(F.coalesce(col(c), F.lit("")), F.lit(FIRST_PERSON)).cast("bigint")
+
+
+def refuses(c: Column | str) -> Column:
+    """Whether a turn starts as a refusal; one in the middle of a dialogue doesn't count."""
+    return _strip(F.coalesce(col(c), F.lit(""))).rlike(REFUSAL)
 
 
 def rejoin_reasoning(reasoning: Column | str, content: Column | str) -> Column:
@@ -291,11 +324,10 @@ def strip_speaker(c: Column | str) -> Column:
 
 
 def clean_html_text(c: Column | str) -> Column:
-    """Two rounds of the named and numeric entities that pages use, zero-width characters out, blank lines squeezed."""
-    text = F.coalesce(col(c), F.lit(""))
-    for _ in range(2):
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            text = F.replace(text, F.lit(entity), F.lit(char))
+    """Two rounds of all named and numeric entities (an Arrow function), zero-width characters out, blank lines squeezed."""
+    from .arrays import html_unescape
+
+    text = html_unescape(F.coalesce(col(c), F.lit("")))
     return _strip(F.regexp_replace(F.regexp_replace(text, r"[\x{200B}-\x{200F}\x{FEFF}]|&#x200[bB];", ""), "\n{3,}", "\n\n"))
 
 
@@ -375,5 +407,16 @@ def parse_md_sections(c: Column | str) -> Column:
     return F.transform(parts, lambda s: F.struct(F.trim(F.substring_index(s, "\n", 1)).alias("id"), F.trim(F.regexp_replace(body(s), r"(?m)^Verdict:.*$", ""), F.lit(" \n")).alias("prompt"), F.upper(F.regexp_extract(s, r"(?m)^Verdict:\s*(\w+)", 1)).alias("verdict")))
 
 
-def chat_render(messages: Column | str) -> Column:
-    return F.array_join(F.transform(col(messages), lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+def chat_render(messages: Column | str, most_chars: int | None = None, banned: list[str] | None = None) -> Column:
+    """`User: ...` and `Assistant:` with the last content of each role, from array of struct(role, text).
+
+    Null without either role, if the result has more than `most_chars` characters (it is never cut), or if it holds a banned term, whatever its case.
+    """
+    last = lambda role: F.element_at(F.filter(col(messages), lambda m: m["role"] == role), -1)["text"]
+    whole = F.concat(F.lit("User: "), last("user"), F.lit("\nAssistant:\n"), last("assistant"))
+    fine = F.exists(col(messages), lambda m: m["role"] == "user") & F.exists(col(messages), lambda m: m["role"] == "assistant")
+    if most_chars is not None:
+        fine = fine & (F.length(whole) <= most_chars)
+    for term in banned or []:
+        fine = fine & ~F.contains(F.lower(whole), F.lit(term.lower()))
+    return F.when(fine, whole)

@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dedup_first(df: DataFrame, keys: Sequence[str], *order: str | Column) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+def dedup_first(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """The first row of each key in the order of columns (null order values last), aggregated map-side, so no window over a hot key."""
+    return _picked(df, keys, F.min_by, *order)
+
+
+def _picked(df: DataFrame, keys: Sequence[str], pick, *order: str) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    by = F.struct(*(x for c in order for x in (F.col(c).isNull(), F.col(c))))
+    best = df.groupBy(*keys).agg(pick(F.struct(*rest) if rest else F.lit(0), by).alias("_x"))
+    return best.select(*keys, *(F.col("_x")[c].alias(c) for c in rest)).select(*df.columns)
 
 
 def dedup_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -22,9 +28,10 @@ def dedup_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def dedup_drop_all(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose key no other row has."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("_n", F.count("*").over(w)).filter("_n = 1").drop("_n")
+    """Rows whose key no other row has: an aggregate carries one row of each key and its count."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.any_value(F.struct(*rest) if rest else F.lit(0)).alias("_x"), F.count("*").alias("_n")).filter("_n = 1")
+    return one.select(*keys, *(F.col("_x")[c].alias(c) for c in rest)).select(*df.columns)
 
 
 def latest_complete_group(df: DataFrame, key: str, call: str, pos: str, size: int) -> DataFrame:
@@ -34,9 +41,13 @@ def latest_complete_group(df: DataFrame, key: str, call: str, pos: str, size: in
 
 
 def cap_per_key(df: DataFrame, key: str, most: int, *order: str) -> DataFrame:
-    """The first `most` rows of each key; rows without a key stay."""
+    """The first `most` rows of each key; rows without a key stay and never meet in a window.
+
+    The filter on the rank is one that Spark applies before the shuffle too (WindowGroupLimit), so a hot key sends `most` rows a task.
+    """
     w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= most) | F.col(key).isNull()).drop("_r")
+    capped = df.filter(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+    return capped.union(df.filter(F.col(key).isNull()))
 
 
 def round_robin(df: DataFrame, group: str, n: int, *order: str) -> DataFrame:

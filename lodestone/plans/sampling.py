@@ -26,9 +26,9 @@ def _(spark, sf_dir):
     return d.orderBy(F.desc(F.abs("delta")), "id").limit(5)
 
 
-@query("longer_short_pick", oracle("SELECT source, arg_min(doc_id, (n_chars, doc_id)) AS doc_id FROM documents WHERE lang = 'en' GROUP BY source"))
+@query("longer_short_pick", oracle("SELECT source, arg_min(doc_id, (n_chars, doc_id)) AS doc_id FROM documents GROUP BY source"))
 def _(spark, sf_dir):
-    return load(spark, sf_dir, "documents").filter("lang = 'en'").groupBy("source").agg(F.min_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
+    return load(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
 
 
 @query("hash_order_sample", oracle(f"SELECT doc_id FROM documents ORDER BY {HASH.format('doc_id')} LIMIT 200"))
@@ -44,9 +44,9 @@ def _(spark, sf_dir):
     return al.amend_in_place(cohort, F.col("n_chars") < 1000, docs.filter("lang = 'en'").select("doc_id"), "doc_id").select("place", "doc_id")
 
 
-@query("seed_sample", oracle(f"SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' ORDER BY sha256('7:' || o_orderkey) LIMIT 100"))
+@query("seed_sample", oracle(f"SELECT o_orderkey AS id FROM orders ORDER BY sha256('7:' || o_orderkey) LIMIT 100"))
 def _(spark, sf_dir):
-    return al.hash_order_sample(load(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")), "id", 100, seed=7)
+    return al.hash_order_sample(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", 100, seed=7)
 
 
 @query("split_train_dev_heldout", oracle(f"SELECT doc_id, CASE WHEN r <= 100 THEN 'heldout' WHEN r <= 150 THEN 'dev' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY {HASH.format('doc_id')}) AS r FROM documents)"))
@@ -87,12 +87,12 @@ def _(spark, sf_dir):
     return r.select("doc_id", "lang", F.when(F.col("_rank") <= held, "heldout").when(F.col("_rank") <= held + dev, "dev").otherwise("train").alias("split"))
 
 
-_CELLS = "WITH c AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source), caps AS (SELECT unnest(generate_series(0, (SELECT max(n) FROM c))) AS cap), t AS (SELECT cap, sum(least(n, cap)) AS t FROM caps, c GROUP BY cap), b AS (SELECT max(cap) AS cap, max(t) AS t FROM t WHERE t <= 300) "
+_CELLS = "WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), caps AS (SELECT unnest(generate_series(0, (SELECT max(n) FROM c))) AS cap), t AS (SELECT cap, sum(least(n, cap)) AS t FROM caps, c GROUP BY cap), b AS (SELECT max(cap) AS cap, max(t) AS t FROM t WHERE t <= 300) "
 
 
 @query("equal_cells_trim", oracle(_CELLS + "SELECT source, n, CAST(least(n, cap) + (n > cap AND row_number() OVER (PARTITION BY n > cap ORDER BY source) <= 300 - t)::INT AS BIGINT) AS keep FROM c, b"))
 def _(spark, sf_dir):
-    return al.equal_cells(load(spark, sf_dir, "documents").filter("lang = 'en'").groupBy("source").agg(F.count("*").alias("n")), "source", 300)
+    return al.equal_cells(load(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")), "source", 300)
 
 
 @query("ternary_deal", oracle("SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) + length(lang)) % 3 AS presentation FROM documents"))
@@ -132,10 +132,10 @@ def _(spark, sf_dir):
     return al.quota_batches(load(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 10, 16)
 
 
-@query("quota_floor", oracle("SELECT source, count(*) AS n, greatest(0, 30 - count(*)) AS needed FROM documents WHERE lang = 'en' GROUP BY source HAVING count(*) < 30"))
+@query("quota_floor", oracle("SELECT source, count(*) AS n, greatest(0, 60 - count(*)) AS needed FROM documents GROUP BY source HAVING count(*) < 60"))
 def _(spark, sf_dir):
-    g = load(spark, sf_dir, "documents").filter("lang = 'en'").groupBy("source").agg(F.count("*").alias("n"))
-    return g.filter("n < 30").withColumn("needed", F.greatest(F.lit(0).cast("bigint"), 30 - F.col("n")))
+    g = load(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return g.filter("n < 60").withColumn("needed", F.greatest(F.lit(0).cast("bigint"), 60 - F.col("n")))
 
 
 @query("even_subsample", oracle("SELECT problem, CASE WHEN n <= 4 THEN array_to_string(range(0, n), ',') ELSE array_to_string(list_transform(range(0, 4), lambda i: CAST(round_even(i::DOUBLE * (n - 1) / 3, 0) AS INT)), ',') END AS places FROM graded"))

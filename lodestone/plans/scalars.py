@@ -59,9 +59,6 @@ query("parse_forecast", "SELECT event_id, CASE k % 4 WHEN 0 THEN 'MORE' WHEN 1 T
 query("parse_action", oracle("SELECT pos, CASE WHEN (choice = 'first') = (ord = 'forward') THEN 'first' ELSE 'second' END AS action FROM choices"))(
     lambda spark, sf_dir: derived(spark, sf_dir, "choices").select("pos", text.parse_action(F.when(F.col("choice") == "first", "I take Action 1.").otherwise("action 2"), "ord").alias("action"))
 )
-query("recover_tier", "SELECT doc_id AS rid, CASE doc_id % 12 WHEN 3 THEN 'terminal_label' WHEN 7 THEN 'empty' WHEN 8 THEN 'empty' WHEN 9 THEN 'has_think' WHEN 10 THEN 'terminal_label' ELSE 'truncated' END AS tier, CASE WHEN doc_id % 12 IN (3, 10) THEN 'A' END AS label FROM documents")(
-    over("responses", "rid", tier=lambda: text.recover("raw")["tier"], label=lambda: text.recover("raw")["label"])
-)
 query("degenerate_loop", "SELECT doc_id, len(w) >= 40 AND len(list_distinct(w)) / len(w) < 0.35 AS looping FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)")(docs(looping=lambda: text.degenerate_loop("text")))
 query("rejoin_reasoning", oracle("SELECT rid, CASE WHEN raw IS NOT NULL AND rid % 2 = 0 THEN '<think>r</think>' || chr(10) || raw ELSE coalesce(raw, CASE WHEN rid % 2 = 0 THEN 'r' END) END AS whole FROM responses"))(over("responses", "rid", whole=lambda: text.rejoin_reasoning(F.when(F.col("rid") % 2 == 0, "r"), "raw")))
 query("split_think", oracle("""SELECT cid, CASE WHEN strpos(content, '</think>') > 0 THEN regexp_replace(split_part(content, '</think>', 1), '^\\s*<think>', '') WHEN strpos(content, '<think>') > 0 THEN split_part(content, '<think>', 2) ELSE content END AS reasoning,

@@ -49,18 +49,6 @@ def _(spark, sf_dir):
     return screen_cascade(docs, [("language", F.col("lang") != "en"), ("toxic", F.col("toxic") == 1), ("redacted", redacted)]).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("first_person_min", oracle("SELECT doc_id, len(regexp_extract_all(text, '[^a-z](of|the)[^a-z]')) AS hits FROM documents WHERE len(regexp_extract_all(text, '[^a-z](of|the)[^a-z]')) >= 5"))
-def _(spark, sf_dir):
-    n = F.regexp_count("text", F.lit("[^a-z](of|the)[^a-z]")).cast("bigint")
-    return load(spark, sf_dir, "documents").select("doc_id", n.alias("hits")).filter("hits >= 5")
-
-
-@query("refusal_filter", oracle("SELECT count(*) FILTER (refused) AS refused, count(*) AS n FROM (SELECT regexp_matches(coalesce(raw, ''), '^(?i)(i cannot|sorry|never)') AS refused FROM responses)"))
-def _(spark, sf_dir):
-    r = derived(spark, sf_dir, "responses").select(F.coalesce("raw", F.lit("")).rlike("^(?i)(i cannot|sorry|never)").alias("refused"))
-    return r.agg(F.count_if("refused").alias("refused"), F.count("*").alias("n"))
-
-
 @query("null_degenerate", oracle("SELECT count(*) FILTER (raw IS NULL) AS missing, count(*) FILTER (length(trim(raw)) < 3) AS degenerate, count(*) AS n FROM responses"))
 def _(spark, sf_dir):
     return derived(spark, sf_dir, "responses").agg(F.count_if(F.col("raw").isNull()).alias("missing"), F.count_if(F.length(F.trim("raw")) < 3).alias("degenerate"), F.count("*").alias("n"))
@@ -121,60 +109,6 @@ def _(spark, sf_dir):
     return chats(load(spark, sf_dir, "conversations")).select("conv_id", F.array_join(message_problems("messages"), ",").alias("problems"))
 
 
-@query("dataset_valid", oracle("""WITH c AS (SELECT conv_id, arg_min(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), turn) FILTER (role = 'user') AS first_user, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id)
-SELECT 'last_not_assistant' AS problem, count(*) FILTER (last_role <> 'assistant') AS n FROM c UNION ALL SELECT 'no_user', count(*) FILTER (first_user IS NULL) FROM c UNION ALL SELECT 'duplicate_user_prompt', count(*) FROM (SELECT first_user FROM c WHERE first_user IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"""))
-def _(spark, sf_dir):
-    turns = load(spark, sf_dir, "conversations")
-    user = F.col("role") == "user"
-    c = turns.groupBy("conv_id").agg(F.min_by(F.when(user, text.normalize_ws("text")), F.when(user, F.col("turn"))).alias("first_user"), F.max_by("role", "turn").alias("last_role"))
-    dup = guards.duplicates(c.filter("first_user IS NOT NULL"), "first_user").agg(F.lit("duplicate_user_prompt").alias("problem"), F.count("*").alias("n"))
-    own = c.agg(F.count_if(F.col("last_role") != "assistant").alias("x"), F.count_if(F.col("first_user").isNull()).alias("y"))
-    return own.select(F.inline(F.array(F.struct(F.lit("last_not_assistant").alias("problem"), F.col("x").alias("n")), F.struct(F.lit("no_user").alias("problem"), F.col("y").alias("n"))))).union(dup)
-
-
-@query("distill_valid", oracle("SELECT array_to_string(list_filter([CASE WHEN o_orderkey IS NULL THEN 'not_member' END, CASE WHEN coalesce(pass_rate, 0) <> 1 THEN 'not_passing' END, CASE WHEN api_error THEN 'api_error' END], lambda x: x IS NOT NULL), ',') AS problems, count(*) AS n FROM attempts LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON record_id = o_orderkey GROUP BY 1"))
-def _(spark, sf_dir):
-    members = load(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("record_id"), F.lit(True).alias("_m"))
-    j = derived(spark, sf_dir, "attempts").join(members, "record_id", "left")
-    why = guards.reasons(("not_member", F.col("_m").isNull()), ("not_passing", F.coalesce("pass_rate", F.lit(0.0)) != 1), ("api_error", F.col("api_error")))
-    return j.groupBy(F.array_join(why, ",").alias("problems")).agg(F.count("*").alias("n"))
-
-
-_TRACE = "CASE WHEN content = '' THEN 'empty' WHEN NOT contains(content, '</think>') AND contains(content, '<think>') THEN 'no_close' WHEN regexp_matches(content, 'YOUR CODE HERE') THEN 'template_leak' WHEN length(content) < 16 THEN 'too_short' WHEN length(content) > 60 THEN 'too_long' ELSE 'pass' END"
-
-
-def _trace():
-    c = F.col("content")
-    return F.coalesce(guards.first_reason(("empty", c == ""), ("no_close", ~c.contains("</think>") & c.contains("<think>")), ("template_leak", c.rlike("YOUR CODE HERE")), ("too_short", F.length(c) < 16), ("too_long", F.length(c) > 60)), F.lit("pass"))
-
-
-@query("trace_classify", oracle(f"SELECT cid, {_TRACE} AS reason FROM completions"))
-def _(spark, sf_dir):
-    return derived(spark, sf_dir, "completions").select("cid", _trace().alias("reason"))
-
-
-@query("trace_status", oracle(f"SELECT status, finish_reason, count(*) AS n FROM (SELECT CASE WHEN {_TRACE} = 'pass' AND finish_reason = 'length' THEN 'cut' ELSE {_TRACE} END AS status, finish_reason FROM completions) GROUP BY 1, 2"))
-def _(spark, sf_dir):
-    c = derived(spark, sf_dir, "completions").withColumn("t", _trace())
-    return c.groupBy(F.when((F.col("t") == "pass") & (F.col("finish_reason") == "length"), "cut").otherwise(F.col("t")).alias("status"), "finish_reason").agg(F.count("*").alias("n"))
-
-
-@query("trace_gate", oracle("""SELECT 'rows' AS gate, count(*) >= 100 AS passed FROM completions UNION ALL SELECT 'empty_share', avg((content = '')::INT) <= 0.2 FROM completions UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT cid) FROM completions UNION ALL SELECT 'cut_share', avg((finish_reason = 'length')::INT) <= 0.1 FROM completions UNION ALL SELECT 'closed', NOT bool_or(contains(content, '<think>') AND NOT contains(content, '</think>')) FROM completions"""))
-def _(spark, sf_dir):
-    c = F.col("content")
-    return set_checks(derived(spark, sf_dir, "completions"), {"rows": F.count("*") >= 100, "empty_share": rollups.rate(c == "") <= 0.2, "unique_ids": F.count("*") == F.countDistinct("cid"), "cut_share": rollups.rate(F.col("finish_reason") == "length") <= 0.1, "closed": ~F.bool_or(c.contains("<think>") & ~c.contains("</think>"))})
-
-
-@query("format_echo", oracle("SELECT cid, regexp_matches(split_part(content, '</think>', 1), '(?i)(ideas|thinking)') AS echo FROM completions"))
-def _(spark, sf_dir):
-    return derived(spark, sf_dir, "completions").select("cid", F.substring_index("content", "</think>", 1).rlike("(?i)(ideas|thinking)").alias("echo"))
-
-
-@query("suspicious_char", oracle("SELECT doc_id, regexp_matches(text, '[\\x{0000}-\\x{0008}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{3000}-\\x{FFFD}]') AS suspicious FROM documents"))
-def _(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"[\x{0000}-\x{0008}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{3000}-\x{FFFD}]").alias("suspicious"))
-
-
 @query("domain_terms", oracle("SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])license([^a-z0-9_]|$)') THEN 'license' END, CASE WHEN contains(lower(text), '2.0') THEN '2.0' END, CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])token([^a-z0-9_]|$)') THEN 'token' END], lambda x: x IS NOT NULL), ',') AS terms FROM documents"))
 def _(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.array_join(domain_terms("text", ["license", "2.0", "token"]), ",").alias("terms"))
@@ -218,17 +152,3 @@ def _(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", worst.alias("worst"), (worst <= 300).alias("fits"))
 
 
-@query("cell_validate", oracle("SELECT id, array_to_string(list_filter([CASE WHEN mean < 0.946 THEN 'low_mean' END, CASE WHEN variance < 0.0085 THEN 'flat' END, CASE WHEN id % 2 = 1 AND mean > 0.95 THEN 'odd_high' END], lambda x: x IS NOT NULL), ',') AS problems FROM utilities"))
-def _(spark, sf_dir):
-    why = guards.reasons(("low_mean", F.col("mean") < 0.946), ("flat", F.col("variance") < 0.0085), ("odd_high", (F.col("id") % 2 == 1) & (F.col("mean") > 0.95)))
-    return derived(spark, sf_dir, "utilities").select("id", F.array_join(why, ",").alias("problems"))
-
-
-@query("cache_preflight", oracle("""WITH g AS (SELECT problem, count(*) AS n, avg((code = '')::INT) AS none FROM samples GROUP BY problem), e AS (SELECT o_orderkey AS problem FROM orders)
-SELECT (SELECT count(*) FROM e WHERE problem NOT IN (SELECT problem FROM g)) AS missing, (SELECT count(*) FROM g WHERE problem NOT IN (SELECT problem FROM e)) AS extra, count(*) FILTER (n < 2) AS short_lists, count(*) FILTER (none = 1) AS all_empty, avg((none < 1)::INT) >= 0.5 AS passed FROM g"""))
-def _(spark, sf_dir):
-    g = derived(spark, sf_dir, "samples").groupBy("problem").agg(F.count("*").alias("n"), rollups.rate(F.col("code") == "").alias("none"))
-    e = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("problem"))
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    own = g.agg(F.count_if(F.col("n") < 2).alias("short_lists"), F.count_if(F.col("none") == 1).alias("all_empty"), (rollups.rate(F.col("none") < 1) >= 0.5).alias("passed"))
-    return count(guards.missing(e, g, "problem"), "missing").join(F.broadcast(count(guards.missing(g, e, "problem"), "extra"))).join(F.broadcast(own))

@@ -14,16 +14,19 @@ from .aggregates import rounded
 _NORM = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 
 
-@query("dedup_first", oracle(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({_NORM})"))
+def _keyed(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_ws("text").cast("binary")).alias("k"), "lang", "n_chars")
+
+
+@query("dedup_first", oracle(f"SELECT arg_min(doc_id, doc_id) AS doc_id, md5({_NORM}) AS k, arg_min(lang, doc_id) AS lang, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY 2"))
 def _(spark, sf_dir):
-    """The smallest id of each normalised text, by aggregation over its digest."""
-    return load(spark, sf_dir, "documents").groupBy(F.md5(text.normalize_ws("text").cast("binary")).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    """The row with the smallest id of each normalised text."""
+    return ranking.dedup_first(_keyed(spark, sf_dir), ["k"], "doc_id")
 
 
-@query("dedup_drop_all", oracle(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({_NORM}) HAVING count(*) = 1"))
+@query("dedup_drop_all", oracle(f"SELECT min(doc_id) AS doc_id, md5({_NORM}) AS k, min(lang) AS lang, min(n_chars) AS n_chars FROM documents GROUP BY 2 HAVING count(*) = 1"))
 def _(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_ws("text").cast("binary")).alias("k"))
-    return d.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter("n = 1").select("doc_id")
+    return ranking.dedup_drop_all(_keyed(spark, sf_dir), "k")
 
 
 @query("dedup_last", oracle("SELECT record_id, arg_max(run_id, pos) AS run_id, max(pos) AS pos, arg_max(elapsed_seconds, pos) AS elapsed_seconds FROM attempts GROUP BY record_id"))
@@ -36,10 +39,10 @@ def _(spark, sf_dir):
     return ranking.latest_complete_group(derived(spark, sf_dir, "attempts"), "record_id", "run_id", "pos", 20)
 
 
-@query("author_cap", oracle("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE lang = 'en' AND n_chars >= 200) WHERE r <= 5"))
+@query("author_cap", oracle("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS source FROM documents)) WHERE r <= 3 OR source IS NULL"))
 def _(spark, sf_dir):
-    kept = load(spark, sf_dir, "documents").filter("lang = 'en' AND n_chars >= 200").select("doc_id", "source")
-    return ranking.cap_per_key(kept, "source", 5, "doc_id")
+    """At most three rows a source; rows without one stay."""
+    return ranking.cap_per_key(load(spark, sf_dir, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 3 <> 0 THEN source END AS source"), "source", 3, "doc_id")
 
 
 @query("group_advantage", oracle("WITH g AS (SELECT record_id, reward_call, avg(reward) AS m, max(reward) = min(reward) AS flat, count(reward) AS n FROM rollouts GROUP BY 1, 2) SELECT record_id, reward_call, pos, text, round(reward - m, 6) + 0 AS advantage, flat FROM rollouts JOIN g USING (record_id, reward_call) WHERE reward IS NOT NULL"))

@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .catalog import ORACLES, QUERIES
-from .plans import aggregates, graphs, joins, sampling, scalars, scans, screens, streams, windows  # noqa: F401
+from .plans import aggregates, graphs, joins, sampling, scalars, scans, screens, streams, validity, windows  # noqa: F401
 
 FLAGSHIP = "win_rate"
