@@ -6,6 +6,8 @@ import ast
 import difflib
 import html
 import json
+import re
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
@@ -103,22 +105,74 @@ def pyrepr_list(cells: pd.Series) -> pd.Series:
     return cells.map(one)
 
 
+#: How examples, their lines and named inputs look.
+EXAMPLE, INPUT, OUTPUT, NAMED = r"(?is)Example\s+\d+:(.*?)(?=Example\s+\d+:|$)", r"(?i)Input:\s*(.+)", r"(?i)Output:\s*(.+)", r"\s*([A-Za-z_]\w*)\s*=\s*"
+_PAIRS = {"[": "]", "(": ")", "{": "}"}
+
+
+def read_value(x: str) -> Any:
+    """A value as JSON, else as a literal of a scripting language, else the text itself."""
+    for read in (json.loads, ast.literal_eval):
+        try:
+            return read(x.strip())
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            continue
+    return x.strip()
+
+
+def value_end(line: str, at: int) -> int:
+    """Where a value ends that starts at a place: at the first comma outside quotes and brackets."""
+    expected, quote = [], ""
+    for k in range(at, len(line)):
+        ch = line[k]
+        if quote:
+            quote = "" if ch == quote else quote
+        elif ch in "\"'":
+            quote = ch
+        elif ch in _PAIRS:
+            expected.append(_PAIRS[ch])
+        elif expected and ch == expected[-1]:
+            expected.pop()
+        elif ch == "," and not expected:
+            return k
+    return len(line)
+
+
+def read_inputs(line: str) -> dict[str, Any]:
+    """Named values (`a = 1, b = [2, 3]`) by name; a line without names gives its values as _param_0, _param_1, ...  What follows a value without a name is not read."""
+    out: dict[str, Any] = {}
+    at, name = 0, re.compile(NAMED)
+    while m := name.match(line, at):
+        end = value_end(line, m.end())
+        out[m[1]] = read_value(line[m.end() : end])
+        at = end
+        while at < len(line) and line[at] in " \t,":
+            at += 1
+    if out:
+        return out
+    at, values = 0, []
+    while at < len(line):
+        end = value_end(line, at)
+        if line[at:end].strip():
+            values.append(read_value(line[at:end]))
+        at = end + 1
+    return {f"_param_{k}": v for k, v in enumerate(values)}
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("example_id", T.IntegerType()), T.StructField("input", T.StringType()), T.StructField("output", T.StringType())])))
 def parse_examples(texts: pd.Series) -> pd.Series:
-    """`Input:` / `Output:` blocks of a problem text; values as JSON where they are, else as literals, else as they stand."""
-    import re
+    """Of `Example n:` blocks that have an `Input:` and an `Output:` line: their number in the text, the inputs as a JSON object and the output as JSON."""
+    block, given, wanted = re.compile(EXAMPLE), re.compile(INPUT), re.compile(OUTPUT)
 
-    block = re.compile(r"(?is)input\s*:\s*(.*?)\s*output\s*:\s*(.*?)(?=\n\s*(?:explanation|example|input|constraints|note)\b|\Z)")
+    def one(t: str | None) -> list[dict]:
+        out = []
+        for i, body in enumerate(block.findall(t or ""), 1):
+            x, y = given.search(body), wanted.search(body)
+            if x and y:
+                out.append({"example_id": i, "input": json.dumps(read_inputs(x[1].strip()), default=str), "output": json.dumps(read_value(y[1]), default=str)})
+        return out
 
-    def value(x: str) -> str:
-        for read in (json.loads, ast.literal_eval):
-            try:
-                return json.dumps(read(x))
-            except (ValueError, SyntaxError):
-                continue
-        return x
-
-    return texts.map(lambda t: [{"example_id": i, "input": value(m[1].strip()), "output": value(m[2].strip())} for i, m in enumerate(block.finditer(t or ""), 1)])
+    return texts.map(one)
 
 
 @F.pandas_udf(T.BooleanType())

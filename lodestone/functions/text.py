@@ -128,7 +128,7 @@ def recover(c: Column | str, endorse: bool = True, first: Column | str | None =
     text = F.trim(F.coalesce(col(c), F.lit("")), F.lit(" \n\t\r"))
     tail = F.trim(F.coalesce(last_line(text), F.lit("")), F.lit(" \t\r"))
     found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(LABEL_TOKEN), F.lit(1)))
-    closing = F.element_at(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x) != ""), -1)
+    closing = F.try_element_at(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x) != ""), F.lit(-1))
     dressed = F.upper(F.regexp_extract(tail, ANSWER_DRESSED, 1))
     short = F.when(F.length(tail) <= 4, found(tail))
     one = lambda xs: F.when(F.size(xs) == 1, F.element_at(xs, 1))
@@ -412,7 +412,7 @@ def chat_render(messages: Column | str, most_chars: int | None = None, banned: l
 
     Null without either role, if the result has more than `most_chars` characters (it is never cut), or if it holds a banned term, whatever its case.
     """
-    last = lambda role: F.element_at(F.filter(col(messages), lambda m: m["role"] == role), -1)["text"]
+    last = lambda role: F.try_element_at(F.filter(col(messages), lambda m: m["role"] == role), F.lit(-1))["text"]
     whole = F.concat(F.lit("User: "), last("user"), F.lit("\nAssistant:\n"), last("assistant"))
     fine = F.exists(col(messages), lambda m: m["role"] == "user") & F.exists(col(messages), lambda m: m["role"] == "assistant")
     if most_chars is not None:
@@ -420,3 +420,13 @@ def chat_render(messages: Column | str, most_chars: int | None = None, banned: l
     for term in banned or []:
         fine = fine & ~F.contains(F.lower(whole), F.lit(term.lower()))
     return F.when(fine, whole)
+
+
+def run_timestamp(c: Column | str) -> Column:
+    """A compact UTC stamp; the session's time zone is to be UTC."""
+    return F.date_format(col(c), "yyyyMMdd'T'HHmmss'Z'")
+
+
+def parse_timestamp(c: Column | str) -> Column:
+    """The time that an ISO text tells, with or without fractions and an offset (Z too); null if it is none."""
+    return F.coalesce(*(F.try_to_timestamp(col(c), F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd")))

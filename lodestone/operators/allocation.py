@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .guards import require_empty
+
 
 def hash_key(seed: int, key: str | Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), (F.col(key) if isinstance(key, str) else key).cast("string")), 256)
@@ -107,23 +111,39 @@ def choose_swaps(df: DataFrame, cell: str, key: str) -> DataFrame:
     return ranked.join(counts, cell).select(cell, key, (F.col("_rank") <= surplus).alias("flipped"))
 
 
-def greedy_assign(df: DataFrame, family: str, key: str, slots: int) -> DataFrame:
-    """(family, key, slot): in key order each question takes the slot with the fewest so far, then the one its tie-break number prefers.
+def greedy_assign(df: DataFrame, total: int, seed: int = 42) -> DataFrame:
+    """(family, question, record, cell, slot, turn): `total` different questions, each in one presentation, balanced over slots and cells.
 
-    A slot whose count is least is always free in a run of `slots` questions, so the greedy walk is a sequence of blocks: inside a block the preferences settle one by one.
+    df: family, question, record (an id of the presentation), cell, slot.  Families share the total by largest remainder of their rows.  In each the next one is the
+    presentation whose slot, then whose cell, was taken least, then the question that stands first in hash order, then the smallest record.
+    A turn takes one question, so of every (slot, cell) only the first `total` rows can ever be reached: they are picked by rank before anything is
+    gathered, and the walk looks at the heads of those lists only.  Cells and slots belong to one family each.  Raises if a family has too few questions.
     """
+    share = largest_remainder(df.groupBy("family").agg(F.count("*").alias("n")), "family", total).select("family", "alloc")
+    short = df.groupBy("family").agg(F.countDistinct("question").alias("have")).join(share, "family").filter("have < alloc")
+    require_empty(short, "families with too few questions")
+    keyed = df.withColumn("tie", hash_key(seed, "question"))
+    w = Window.partitionBy("family", "slot", "cell").orderBy("tie", "question", "record")
+    distinct = keyed.groupBy("family", "slot", "cell", "tie", "question").agg(F.min("record").alias("record"))  # a question's later records of the same slot and cell never come first
+    heads = distinct.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= total).drop("_r").join(F.broadcast(share), "family")  # one row a family
 
     def walk(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(key)
-        counts, out = [0] * slots, []
-        for pref in f["prefer"]:
-            best = min(range(slots), key=lambda s: (counts[s], (s - pref) % slots))
-            counts[best] += 1
-            out.append(best)
-        return f.assign(slot=out)[[family, key, "slot"]]
+        lists = {k: deque(g[["tie", "question", "record"]].itertuples(index=False, name=None)) for k, g in f.sort_values(["tie", "question", "record"]).groupby(["slot", "cell"], sort=True)}
+        slots, cells, taken, out = Counter(), Counter(), set(), []
+        for turn in range(int(f["alloc"].iloc[0])):
+            for rows in lists.values():
+                while rows and rows[0][1] in taken:
+                    rows.popleft()
+            slot, cell = min((k for k, rows in lists.items() if rows), key=lambda k: (slots[k[0]], cells[k[1]], *lists[k][0]))
+            _, question, record = lists[slot, cell].popleft()
+            taken.add(question)
+            slots[slot] += 1
+            cells[cell] += 1
+            out.append((f["family"].iloc[0], question, record, cell, slot, turn))
+        return pd.DataFrame(out, columns=["family", "question", "record", "cell", "slot", "turn"])
 
     kinds = dict(df.dtypes)
-    return df.groupBy(family).applyInPandas(walk, f"{family} {kinds[family]}, {key} {kinds[key]}, slot int")
+    return heads.groupBy("family").applyInPandas(walk, ", ".join(f"{c} {kinds[c]}" for c in ("family", "question", "record", "cell", "slot")) + ", turn long")
 
 
 def quota_batches(df: DataFrame, slot: str, key: str, quota: int, batch: int) -> DataFrame:

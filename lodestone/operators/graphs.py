@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.maths import log_loss, preference_probability
+from ..functions.maths import ERF_A, ERF_P, log_loss, preference_probability
+from ..sources.writers import scratch
 from .allocation import hash_key, hash_rank
 
-MOST_EDGES = 2_000_000  # an edge table of a battery; beyond it fit by groups
+MOST_EDGES = 2_000_000  # edges that one task fits
+#: Fixed value: passes of a fit.
+EPOCHS = 1000
 
 
 def pair_pool(options: DataFrame, share: float = 0.1, most: int = 1000, seed: int = 42) -> DataFrame:
@@ -93,37 +97,89 @@ def pseudolabel(utilities: DataFrame, pool: DataFrame, threshold: float) -> Data
     return p.filter((F.col("p") >= threshold) | (F.col("p") <= 1 - threshold)).select("a", "b", F.when(F.col("p") >= threshold, 1.0).otherwise(0.0).alias("probability_a"))
 
 
-def fit_arrays(a: np.ndarray, b: np.ndarray, y: np.ndarray, n: int, epochs: int = 1000, rate: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Means (mean 0, unit deviation) and variances that fit win probabilities y of a over b, by Adam on the cross entropy."""
+def _gradient(a: np.ndarray, b: np.ndarray, y: np.ndarray, mu: np.ndarray, log_s2: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the cross entropy of some edges by normed means and by log variances; `total` edges share it."""
+    n, s2 = len(mu), np.exp(log_s2)
+    z_mu = (mu - mu.mean()) / (mu.std(ddof=1) + 1e-5)
+    scale = np.sqrt(s2[a] + s2[b] + 1e-5)
+    z = (z_mu[a] - z_mu[b]) / scale
+    p = np.clip(0.5 * (1 + _erf(z / math.sqrt(2))), 1e-5, 1 - 1e-5)
+    g = (p - y) / (p * (1 - p)) * np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / total
+    g_s = -0.5 * g * z / scale**2
+    return np.bincount(a, g / scale, n) - np.bincount(b, g / scale, n), (np.bincount(a, g_s, n) + np.bincount(b, g_s, n)) * s2
+
+
+def _descend(gradient: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], n: int, epochs: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Adam over means and log variances; means come out with mean 0 and unit deviation, variances as they are."""
     mu, log_s2 = np.linspace(-0.01, 0.01, n), np.zeros(n)
     m = v = np.zeros(2 * n)
-    erf = np.vectorize(math.erf)
     for step in range(1, epochs + 1):
+        g_z, g_log = gradient(mu, log_s2)
         sd = mu.std(ddof=1) + 1e-5
-        z_mu, s2 = (mu - mu.mean()) / sd, np.exp(log_s2)
-        scale = np.sqrt(s2[a] + s2[b] + 1e-5)
-        z = (z_mu[a] - z_mu[b]) / scale
-        p = np.clip(0.5 * (1 + erf(z / math.sqrt(2))), 1e-5, 1 - 1e-5)
-        g = (p - y) / (p * (1 - p)) * np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / len(y)
-        g_z = np.bincount(a, g / scale, n) - np.bincount(b, g / scale, n)
-        g_mu = (g_z - g_z.mean() - z_mu * (g_z @ z_mu) / (n - 1)) / sd
-        g_s = -0.5 * g * z / scale**2
-        g_log = (np.bincount(a, g_s, n) + np.bincount(b, g_s, n)) * s2
-        grad = np.r_[g_mu, g_log]
+        z_mu = (mu - mu.mean()) / sd
+        grad = np.r_[(g_z - g_z.mean() - z_mu * (g_z @ z_mu) / max(1, n - 1)) / sd, g_log]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         mu, log_s2 = mu - move[:n], log_s2 - move[n:]
     return (mu - mu.mean()) / (mu.std(ddof=1) + 1e-5), np.exp(log_s2)
 
 
-def fit_thurstone(edges: DataFrame, group: str | None = None, epochs: int = 1000) -> DataFrame:
-    """([group,] id, mean, variance): one fit a battery; batteries are fitted side by side, each in one task, and hold `MOST_EDGES` at most."""
+def _erf(x: np.ndarray) -> np.ndarray:
+    """By the rational approximation of normal_cdf."""
+    t = 1 / (1 + ERF_P * np.abs(x))
+    return np.sign(x) * (1 - t * np.polyval([*reversed(ERF_A)], t) * np.exp(-x * x))
+
+
+def fit_arrays(a: np.ndarray, b: np.ndarray, y: np.ndarray, n: int, epochs: int = EPOCHS, rate: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Means (mean 0, unit deviation) and variances that fit win probabilities y of a over b."""
+    return _descend(lambda mu, log_s2: _gradient(a, b, y, mu, log_s2, len(y)), n, epochs, rate)
+
+
+def fit_spread(edges: DataFrame, epochs: int = EPOCHS, rate: float = 0.01) -> DataFrame:
+    """(id, mean, variance) of one battery of any number of edges: each epoch is a pass over the edges where they lie, whose partitions send a gradient of options.
+
+    Options, unlike edges, fit one machine; edges are written once to the shared folder.  The same numbers as fit_thurstone up to the order of sums.
+    """
+    spark = edges.sparkSession
+    ids = [r[0] for r in edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().orderBy("id").collect()]
+    place = spark.sparkContext.broadcast(np.array(ids, dtype=np.int64))
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"a": np.searchsorted(place.value, f["a"]), "b": np.searchsorted(place.value, f["b"]), "y": f["probability_a"].to_numpy(float)})
+
+    path = scratch(spark, "edges")
+    edges.select("a", "b", "probability_a").mapInPandas(placed, "a long, b long, y double").write.parquet(path)
+    own = spark.read.schema("a long, b long, y double").parquet(path)
+    total = own.count()
+
+    def gradient(mu: np.ndarray, log_s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((2, len(mu)))
+            for f in frames:
+                sums += _gradient(f["a"].to_numpy(), f["b"].to_numpy(), f["y"].to_numpy(), mu, log_s2, total)
+            yield pd.DataFrame({"i": np.arange(len(mu)), "z": sums[0], "s": sums[1]})
+
+        sums = own.mapInPandas(part, "i long, z double, s double").groupBy("i").agg(F.sum("z").alias("z"), F.sum("s").alias("s")).toPandas().sort_values("i")
+        return sums["z"].to_numpy(), sums["s"].to_numpy()
+
+    mu, s2 = _descend(gradient, len(ids), epochs, rate)
+    return spark.createDataFrame(pd.DataFrame({"id": ids, "mean": mu, "variance": s2}), "id long, mean double, variance double")
+
+
+def fit_thurstone(edges: DataFrame, group: str | None = None, epochs: int = EPOCHS) -> DataFrame:
+    """([group,] id, mean, variance): one fit a battery; batteries are fitted side by side, each in one task.
+
+    Without groups a battery of more than `MOST_EDGES` edges goes to fit_spread; a group that large raises: fit it alone.
+    """
+    if group is None and edges.count() > MOST_EDGES:
+        return fit_spread(edges, epochs)
     grouped = edges.withColumn("_g", F.col(group) if group else F.lit(0))
     kind = dict(grouped.dtypes)["_g"]
 
     def fit(f: pd.DataFrame) -> pd.DataFrame:
         if len(f) > MOST_EDGES:
-            raise ValueError(f"a battery of {len(f)} edges; {MOST_EDGES} is the bound")
+            raise ValueError(f"a battery of {len(f)} edges; {MOST_EDGES} is the bound of a group")
         f = f.sort_values(["a", "b"])
         ids, place = np.unique(np.r_[f["a"], f["b"]], return_inverse=True)
         mu, s2 = fit_arrays(place[: len(f)], place[len(f) :], f["probability_a"].to_numpy(float), len(ids), epochs)
@@ -140,13 +196,39 @@ def eval_thurstone(utilities: DataFrame, edges: DataFrame) -> DataFrame:
     return p.agg(F.count("*").alias("n"), F.avg(log_loss("p", "probability_a")).alias("log_loss"), F.avg(right.cast("double")).alias("accuracy"))
 
 
-def active_loop(options: DataFrame, answers: DataFrame, degree_: int, rounds: int, batch: int, epochs: int = 200) -> DataFrame:
-    """Replay of the loop over known answers (a, b, probability_a): a regular start, then rounds of fit, select, ask and add; the utilities after the last one."""
-    pool = pair_pool(options, 0.0).select("a", "b")
-    edges = answers.join(regular_graph(options, degree_), ["a", "b"], "left_semi")
+def target_edges(options: int, multiplier: float) -> int:
+    """How many comparisons a battery aims at: multiplier * N * log2 N."""
+    return int(multiplier * options * math.log2(options)) if options > 1 else 0
+
+
+def active_loop(options: DataFrame, answers: DataFrame, degree_: int, batch: int, multiplier: float = 2.0, p: float = 0.1, q: float = 0.2, threshold: float | None = None, epochs: int = EPOCHS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(utilities, edges) of the loop replayed over known answers (a, b, probability_a).
+
+    It starts from a regular graph; each round fits, selects up to `batch` of the pairs that are left, asks and adds them, until the target is reached
+    or no pair is left.  With a threshold the pairs that were not asked get pseudo-labels from the last fit where it is sure enough, and it fits once more.
+    Edges are written to the shared folder each round, so a lost executor costs a reread; of a round the driver sees counts only.
+    """
+    spark = options.sparkSession
+    n = options.count()
+    want, have = target_edges(n, multiplier), n * degree_ // 2
+    rounds = max(0, -(-(want - have) // batch))
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch(spark, "edges")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    pool = kept(pair_pool(options, 0.0).select("a", "b"))
+    edges = kept(answers.join(regular_graph(options, degree_), ["a", "b"], "left_semi"))
+    fitted = kept(fit_thurstone(edges, epochs=epochs))
     for _ in range(rounds):
-        edges = edges.checkpoint() if options.sparkSession.sparkContext.getCheckpointDir() else edges.cache()
         rest = pool.join(edges, ["a", "b"], "left_anti")
-        chosen = active_select(fit_thurstone(edges, epochs=epochs), edges, rest, batch, 0.3, 0.5)
-        edges = edges.unionByName(answers.join(chosen, ["a", "b"], "left_semi"))
-    return fit_thurstone(edges, epochs=epochs)
+        chosen = kept(active_select(fitted, edges, rest, batch, p, q, seed))
+        if chosen.isEmpty():
+            break
+        edges = kept(edges.unionByName(answers.join(chosen, ["a", "b"], "left_semi")))
+        fitted = kept(fit_thurstone(edges, epochs=epochs))
+    if threshold is not None:
+        edges = kept(edges.unionByName(pseudolabel(fitted, pool.join(edges, ["a", "b"], "left_anti"), threshold).select(*edges.columns)))
+        fitted = fit_thurstone(edges, epochs=epochs)
+    return fitted, edges

@@ -72,6 +72,13 @@ def ranked(df: DataFrame, *order: str | Column, buckets: int = 64) -> DataFrame:
     return part.withColumn("_r", F.row_number().over(own)).join(F.broadcast(before), "_b").withColumn("_rank", F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
 
 
+def ranked_by_hash(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """df with `_rank` from 1 in order of the key's SHA-256 (then of the key), without a window over all rows."""
+    from .allocation import hash_rank
+
+    return hash_rank(df, key, 0, buckets=buckets)
+
+
 def step_split(total: int, stages: int) -> list[int]:
     """Sizes of stages; the first ones take the remainder."""
     size, more = divmod(total, stages)

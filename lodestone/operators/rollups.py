@@ -65,3 +65,49 @@ def summary_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """n, mean, sample deviation (0 of one), standard error, least and most."""
     sd = F.coalesce(F.stddev_samp(value), F.lit(0.0))
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), sd.alias("sd"), (sd / F.sqrt(F.count(value))).alias("se"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def paired_deltas(scores: DataFrame, item: str, arm: str, value: str, baseline: str, candidate: str) -> DataFrame:
+    """(item, delta) of the items that both arms have a value for."""
+    of = lambda a: F.avg(F.when(F.col(arm) == a, F.col(value)))
+    return scores.groupBy(item).agg((of(candidate) - of(baseline)).alias("delta")).filter("delta IS NOT NULL")
+
+
+#: Fixed value: resamples of a paired bootstrap.
+DRAWS = 10_000
+MOST_BROADCAST = 1_000_000
+
+
+def paired_bootstrap(deltas: DataFrame, item: str, draws: int = DRAWS) -> DataFrame:
+    """(n_paired, mean_delta, low, high): mean of the deltas and the places 0.025 and 0.975 of the ascending means of resamples; no row for fewer than two.
+
+    The j-th pick of a draw is the item at place hash(draw, j) mod n in order of items, so every engine draws alike.  Draws are made where they lie and
+    averaged map-side; up to a million deltas travel to them, more meet them in a hash join.
+    """
+    from .ranking import ranked_by_hash
+
+    placed = ranked_by_hash(deltas.select(F.col(item).alias("_i"), F.col("delta").cast("double").alias("delta")), "_i").select((F.col("_rank") - 1).alias("_p"), "delta")
+    facts = deltas.agg(F.count("*").alias("n_paired"), F.avg("delta").alias("mean_delta"))
+    n = facts.first()["n_paired"]
+    spark = deltas.sparkSession
+    if n < 2:
+        return spark.createDataFrame([], "n_paired bigint, mean_delta double, low double, high double")
+    grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    drawn = grid.select("draw", (F.conv(F.substring(F.sha2(F.concat_ws(":", "draw", "j"), 256), 1, 8), 16, 10).cast("bigint") % n).alias("_p"))
+    means = drawn.join(F.broadcast(placed) if n <= MOST_BROADCAST else placed, "_p").groupBy("draw").agg(F.avg("delta").alias("m"))
+    turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("m")) - 1  # one row a draw
+    pick = lambda k: F.max(F.when(F.col("r") == k, F.col("m")))
+    ends = means.withColumn("r", turn).agg(pick(int(0.025 * draws)).alias("low"), pick(int(0.975 * draws)).alias("high"))
+    return facts.join(F.broadcast(ends))
+
+
+def pearson(x: str, y: str) -> Column:
+    """Correlation of two columns; null of fewer than two rows and where one doesn't vary."""
+    varies = (F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) >= 2) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
+    return F.when(varies, F.corr(x, y))
+
+
+def zscores(df: DataFrame, value: str, name: str = "z", eps: float = 1e-5) -> DataFrame:
+    """df with the value in sample deviations from the mean of all rows."""
+    facts = df.agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    return df.join(F.broadcast(facts)).withColumn(name, (F.col(value) - F.col("_m")) / (F.col("_s") + eps)).drop("_m", "_s")

@@ -70,3 +70,12 @@ def set_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """(gate, passed) of aggregates over the whole table, in one pass."""
     one = df.agg(*(c.alias(k) for k, c in checks.items()))
     return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("gate"), F.col(k).alias("passed")) for k in checks))))
+
+
+def level_filter(targets: DataFrame, levels: list[str], primary: str, full: Column) -> DataFrame:
+    """Each target with each level: the primary one for all, the others only where `full` holds."""
+    return targets.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).filter((F.col("level") == primary) | full)
+
+
+def analysis_tier(primary: Column, secondary: Column) -> Column:
+    return F.when(primary, "primary").when(secondary, "secondary").otherwise("exploratory")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import guards
-from ..operators.matching import similar_in_group, snippet_overlap
+from ..operators.matching import linked_in_group, snippet_overlap
 from ..tables import derived, load, oracle
 from .aggregates import rounded
 
@@ -149,8 +149,8 @@ def _(spark, sf_dir):
 
 @query("theta_similarity")
 def _(spark, sf_dir):
-    """Pairs of questions inside a group with a matching ratio of 0.5 or more; the ratio is beyond SQL."""
-    return rounded(similar_in_group(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 4).alias("grp"), F.col("text")), 0.5))
+    """For each document its class of equal texts in its language, and how many other classes there have a matching ratio of 0.7 or more; the ratio is beyond SQL."""
+    return linked_in_group(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "text"), 0.7).select("id", "class_id", "n_links")
 
 
 @query("set_intersect_all", oracle("SELECT item FROM arms GROUP BY item HAVING count(DISTINCT arm) = 2"))

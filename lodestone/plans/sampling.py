@@ -117,8 +117,10 @@ def _(spark, sf_dir):
 
 @query("greedy_assign")
 def _(spark, sf_dir):
-    """A sequential walk in each family: rows only."""
-    return al.greedy_assign(load(spark, sf_dir, "part").selectExpr("p_brand AS family", "p_partkey AS question", "cast(p_size % 3 AS int) AS prefer"), "family", "question", 3)
+    """200 questions in one of two presentations each, balanced over answers; sequential, so beyond SQL: a test holds it against the plain walk."""
+    p = load(spark, sf_dir, "part").select(F.substring("p_brand", 1, 7).alias("family"), F.col("p_partkey").alias("question"), (F.col("p_size") % 3).alias("_a"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_side"))
+    cell = F.concat_ws("|", "family", "_side")
+    return al.greedy_assign(p.select("family", "question", (F.col("question") * 2 + F.col("_side")).alias("record"), cell.alias("cell"), F.concat_ws("|", cell, "_a").alias("slot")), 200)
 
 
 @query("trim_to_balance")

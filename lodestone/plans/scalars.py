@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import arrays, compare, maths, text
-from ..operators.screens import chats
+from ..operators import rollups
+from ..operators.screens import analysis_tier, chats, level_filter
 from ..tables import derived, load, oracle
 from .aggregates import rounded
 
@@ -34,9 +35,15 @@ _WS = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 query("normalize_ws", f"SELECT doc_id, md5({_WS}) AS h FROM documents")(docs(h=lambda: F.md5(text.normalize_ws("text").cast("binary"))))
 query("normalize_casefold", "SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), ' ')) AS h FROM documents")(docs(h=lambda: F.md5(text.normalize_casefold("text").cast("binary"))))
 query("word_count", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents")(docs(n=lambda: text.word_count("text")))
-query("clean_html_text", r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\x{200B}-\x{200F}\x{FEFF}]|&#x200[bB];', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS h FROM pages""")(lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_html_text("html").cast("binary")).alias("h")))
-query("html_unescape")(lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.length(arrays.html_unescape("html")).alias("n")))
-query("scrub_sentences")(docs(text=lambda: text.scrub_sentences("text", ["of", "License"])["text"], scrubbed=lambda: text.scrub_sentences("text", ["of", "License"])["scrubbed"]))
+_ONE = "replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"  # the entities that pages hold; the ampersand last
+_TWICE = _ONE.format(_ONE.format("html"))
+query("clean_html_text", rf"""SELECT page_id, md5(trim(regexp_replace(regexp_replace({_TWICE}, '[\x{{200B}}-\x{{200F}}\x{{FEFF}}]|&#x200[bB];', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS h FROM pages""".replace('\\"', '"'))(
+    lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_html_text("html").cast("binary")).alias("h"))
+)
+query("html_unescape", f"SELECT page_id, md5({_TWICE}) AS h FROM pages".replace('\\"', '"'))(lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.md5(arrays.html_unescape("html").cast("binary")).alias("h")))
+_KEPT = "list_filter(parts, lambda s: trim(s) <> '' AND NOT regexp_matches(s, '(?i)(^|[^A-Za-z0-9_])(of|License)([^A-Za-z0-9_]|$)'))"
+query("scrub_sentences", rf"""WITH p AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS parts FROM documents)
+SELECT doc_id, len({_KEPT}) < len(parts) AS scrubbed, CASE WHEN len({_KEPT}) < len(parts) THEN trim(regexp_replace(array_to_string({_KEPT}, ' '), '\s+([,.!?])', '\1', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE text END AS text FROM p""".replace("\\\\", "\\"))(docs(text=lambda: text.scrub_sentences("text", ["of", "License"])["text"], scrubbed=lambda: text.scrub_sentences("text", ["of", "License"])["scrubbed"]))
 query("ask_from_title", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Would I be wrong if I asked ' || doc_id || '?' WHEN 1 THEN 'Would I be wrong for asking ' || doc_id || '?' END AS ask FROM documents")(
     docs(ask=lambda: text.ask_from_title(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("MYQ If I asked "), F.col("doc_id"), F.lit(" ?"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("[myq] for Asking "), F.col("doc_id"))).otherwise("no mark"), ["myq"]))
 )
@@ -87,8 +94,12 @@ query("sanitize", "SELECT doc_id, nullif(lower(trim(regexp_replace(source || '/'
 query("plang_fuzzy", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'csharp' WHEN 3 THEN 'go' END AS language FROM documents")(docs(language=lambda: text.plang_fuzzy(F.element_at(F.array(*map(F.lit, ("Python ", "C++", "c#", "Go", "cobol"))), (F.col("doc_id") % 5 + 1).cast("int")))))
 query("field_leak", "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(text, 'token') THEN 'token' END, CASE WHEN contains(text, 'License') THEN 'License' END], lambda x: x IS NOT NULL), ',') AS leaks FROM documents")(docs(leaks=lambda: F.array_join(text.field_leak("text", ["token", "License"]), ",")))
 query("compose", "SELECT doc_id, regexp_replace(text, '\\s+$', '') || chr(10) || chr(10) || 'What now?' AS prompt FROM documents")(docs(prompt=lambda: text.compose("text", "What now?")))
-query("seq_ratio")(lambda spark, sf_dir: rounded(load(spark, sf_dir, "conversations").filter("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b")).select("conv_id", arrays.seq_ratio("a", "b").alias("ratio"))))
-query("chat_render", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id")(lambda spark, sf_dir: chats(load(spark, sf_dir, "conversations")).select("conv_id", F.md5(text.chat_render("messages").cast("binary")).alias("h")))
+query("seq_ratio")(lambda spark, sf_dir: rounded(load(spark, sf_dir, "conversations").withColumn("after", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("after IS NOT NULL").select("conv_id", "turn", arrays.seq_ratio("text", "after").alias("ratio"))))
+_CHAT = "'User: ' || arg_max(text, turn) FILTER (role = 'user') || chr(10) || 'Assistant:' || chr(10) || arg_max(text, turn) FILTER (role = 'assistant')"
+query("chat_render", f"SELECT conv_id, md5(t) AS h FROM (SELECT conv_id, {_CHAT} AS t FROM conversations GROUP BY conv_id) WHERE t IS NOT NULL AND length(t) <= 1500 AND NOT contains(lower(t), 'tionere') AND NOT contains(lower(t), 'license')")(
+    lambda spark, sf_dir: chats(load(spark, sf_dir, "conversations")).select("conv_id", F.md5(text.chat_render("messages", 1500, ["TionEre", "license"]).cast("binary")).alias("h")).filter("h IS NOT NULL")
+)
+
 
 def _review_text():
     return F.concat(F.lit("# Title\n"), F.lit("## a"), F.col("doc_id"), F.lit("\nPrompt text one\nVerdict: keep\n## b"), F.col("doc_id"), F.lit("\nSecond\nVerdict: drop\n"))
@@ -145,36 +156,20 @@ query("log_loss_acc", oracle(f"SELECT count(*) AS n, round(avg(-(y * ln(greatest
 )
 
 
-def _zscore(spark, sf_dir):
-    u = derived(spark, sf_dir, "utilities")
-    stats = u.agg(F.avg("mean").alias("m"), F.stddev_samp("mean").alias("s"))
-    return rounded(u.join(F.broadcast(stats)).select("id", ((F.col("mean") - F.col("m")) / (F.col("s") + 1e-5)).alias("z")))
-
-
-query("zscore_util", oracle("SELECT id, round((mean - (SELECT avg(mean) FROM utilities)) / ((SELECT stddev_samp(mean) FROM utilities) + 1e-5), 6) + 0 AS z FROM utilities"))(_zscore)
+query("zscore_util", oracle("SELECT id, round((mean - (SELECT avg(mean) FROM utilities)) / ((SELECT stddev_samp(mean) FROM utilities) + 1e-5), 6) + 0 AS z FROM utilities"))(lambda spark, sf_dir: rounded(rollups.zscores(derived(spark, sf_dir, "utilities"), "mean").select("id", "z")))
 query("pearson", "SELECT p_brand AS brand, round(CASE WHEN count(*) >= 2 AND stddev_pop(p_size) > 0 AND stddev_pop(p_retailprice) > 0 THEN corr(p_size, p_retailprice) END, 6) + 0 AS r FROM part GROUP BY p_brand")(
-    lambda spark, sf_dir: rounded(load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.when((F.count("*") >= 2) & (F.stddev_pop("p_size") > 0) & (F.stddev_pop("p_retailprice") > 0), F.corr("p_size", "p_retailprice")).alias("r")))
+    lambda spark, sf_dir: rounded(load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(rollups.pearson("p_size", "p_retailprice").alias("r")))
 )
 
-_DELTAS = "(SELECT brand, avg(d) AS d, row_number() OVER (ORDER BY brand) - 1 AS i, count(*) OVER () AS n FROM (SELECT p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN p_retailprice ELSE -p_retailprice END AS d FROM part) GROUP BY brand)"
-
+_DELTAS = "SELECT item, avg(x) FILTER (arm = 'arm') - avg(x) FILTER (arm = 'base') AS d FROM (SELECT p_brand AS item, CASE WHEN p_size % 2 = 0 THEN 'arm' ELSE 'base' END AS arm, p_retailprice AS x FROM part) GROUP BY item"
 
-def _bootstrap(spark, sf_dir, draws: int = 1000):
-    """Resampled means of paired deltas: the place of each draw follows from a hash, so both engines draw alike.
 
-    Deltas are one a group, few; draws times deltas rows are made side by side and averaged by draw."""
-    p = load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.avg(F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice")).otherwise(-F.col("p_retailprice"))).alias("d"))
-    deltas = p.withColumn("i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("brand")) - 1).cast("bigint"))
-    n = deltas.count()
-    grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    drawn = grid.withColumn("i", F.conv(F.substring(F.sha2(F.concat_ws(":", "draw", "j"), 256), 1, 8), 16, 10).cast("bigint") % n)
-    means = drawn.join(F.broadcast(deltas), "i").groupBy("draw").agg(F.avg("d").alias("m"))
-    ranked = means.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("m")) - 1)  # one row a draw
-    pick = lambda k: F.max(F.when(F.col("r") == k, F.col("m")))
-    return ranked.agg(F.round(F.avg("m"), 4).alias("mean"), F.round(pick(int(0.025 * draws)), 4).alias("low"), F.round(pick(int(0.975 * draws)), 4).alias("high"))
+def _bootstrap(spark, sf_dir):
+    scores = load(spark, sf_dir, "part").select(F.col("p_brand").alias("item"), F.when(F.col("p_size") % 2 == 0, "arm").otherwise("base").alias("arm"), F.col("p_retailprice").alias("x"))
+    return rounded(rollups.paired_bootstrap(rollups.paired_deltas(scores, "item", "arm", "x", "base", "arm"), "item"), 4)
 
 
-query("paired_bootstrap", f"WITH d AS {_DELTAS}, g AS (SELECT b AS draw, j, CAST('0x' || substr(sha256(b || ':' || j), 1, 8) AS BIGINT) % (SELECT max(n) FROM d) AS i FROM generate_series(0, 999) x(b), generate_series(0, (SELECT max(n) - 1 FROM d)) y(j)), m AS (SELECT draw, avg(d) AS m FROM g JOIN d USING (i) GROUP BY draw), r AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m) SELECT round(avg(m), 4) AS mean, round(max(m) FILTER (r = 25), 4) AS low, round(max(m) FILTER (r = 975), 4) AS high FROM r")(_bootstrap)
+query("paired_bootstrap", f"WITH d AS (SELECT d, row_number() OVER (ORDER BY sha256('0:' || item), item) - 1 AS i, count(*) OVER () AS n FROM ({_DELTAS}) WHERE d IS NOT NULL), g AS (SELECT b AS draw, CAST('0x' || substr(sha256(b || ':' || j), 1, 8) AS BIGINT) % (SELECT max(n) FROM d) AS i FROM generate_series(0, 9999) x(b), generate_series(0, (SELECT max(n) - 1 FROM d)) y(j)), m AS (SELECT draw, avg(d) AS m FROM g JOIN d USING (i) GROUP BY draw), r AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM m) SELECT (SELECT count(*) FROM d) AS n_paired, round((SELECT avg(d) FROM d), 4) AS mean_delta, round(max(m) FILTER (r = 250), 4) AS low, round(max(m) FILTER (r = 9750), 4) AS high FROM r")(_bootstrap)
 
 _ARMS = "WITH s AS (SELECT avg(finished::INT) FILTER (arm = 'base') AS t0, avg(reward) FILTER (arm = 'base' AND finished) AS q0, avg(finished::INT) FILTER (arm = 'arm') AS t1, avg(reward) FILTER (arm = 'arm' AND finished) AS q1 FROM arms) "
 
@@ -225,8 +220,14 @@ for _name, _head in (("convert_v1", "body"), ("convert_v2", "n || chr(10) || bod
 query("parse_raw_json", "SELECT event_id, CAST(event_id AS VARCHAR) AS first, props AS second FROM events")(
     lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", arrays.parse_raw_json(F.concat(F.col("event_id"), F.lit("\n\n"), F.col("props"))).alias("m")).select("event_id", F.col("m")["param_0"].alias("first"), F.col("m")["param_1"].alias("second"))
 )
-query("parse_examples")(lambda spark, sf_dir: load(spark, sf_dir, "orders").select("o_orderkey", F.explode(arrays.parse_examples(F.concat(F.lit("Example 1\nInput: ["), "o_custkey", F.lit(", 2]\nOutput: 'x'\nExample 2\nInput: a b\nOutput: 7\n")))).alias("e")).select("o_orderkey", "e.*"))
-query("pyrepr_list")(lambda spark, sf_dir: load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(arrays.pyrepr_list(F.concat(F.lit("['a', 'nan', '"), "o_custkey", F.lit("']"))), ",").alias("items")))
+def _examples(spark, sf_dir):
+    """Problem texts with named inputs, plain ones, nested lists, commas inside quotes and a block without an output."""
+    t = F.concat(F.lit("Sum it.\nExample 1:\nInput: nums = ["), "o_custkey", F.lit(", 2], s = \"a, b\", m = [[1, 2], [3]]\nOutput: 'x'\nExample 2:\nInput: ["), "o_orderkey", F.lit("],7\nOutput: 7\nExample 3:\nInput: a = 1\nExample 4:\nInput: a b\nOutput: not json"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.explode(arrays.parse_examples(t)).alias("e")).select("o_orderkey", "e.*")
+
+
+query("parse_examples", """SELECT o_orderkey, unnest([1, 2, 4]) AS example_id, unnest(['{"nums": [' || o_custkey || ', 2], "s": "a, b", "m": [[1, 2], [3]]}', '{"_param_0": [' || o_orderkey || '], "_param_1": 7}', '{"_param_0": "a b"}']) AS input, unnest(['"x"', '7', '"not json"']) AS output FROM orders""")(_examples)
+query("pyrepr_list", "SELECT o_orderkey, 'a,' || o_custkey AS items FROM orders")(lambda spark, sf_dir: load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(arrays.pyrepr_list(F.concat(F.lit("['a', 'nan', '"), "o_custkey", F.lit("']"))), ",").alias("items")))
 
 
 def _ids(spark, sf_dir):
@@ -238,11 +239,11 @@ query("eos_terminated", f"SELECT l_orderkey, list_contains(ids, 0) OR list_conta
 query("mask_after_eos", f"SELECT l_orderkey, array_to_string(CASE WHEN list_contains(ids, 0) THEN list_concat(ids[1:list_position(ids, 0)], list_transform(range(0, len(ids) - list_position(ids, 0)), lambda i: 99::BIGINT)) ELSE ids END, ',') AS masked FROM ({_IDS})")(
     lambda spark, sf_dir: _ids(spark, sf_dir).select("l_orderkey", F.array_join(F.transform(arrays.mask_after_eos("ids", [0], 99), lambda x: x.cast("string")), ",").alias("masked"))
 )
-query("run_timestamp", "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM events")(lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("stamp")))
+query("run_timestamp", "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM events")(lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", text.run_timestamp("ts").alias("stamp")))
 query("parse_timestamp", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS seen FROM events")(
-    lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("t")).select("event_id", F.date_format(F.try_to_timestamp("t", F.lit("yyyy-MM-dd'T'HH:mm:ss")), "yyyy-MM-dd HH:mm:ss").alias("seen"))
+    lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("t")).select("event_id", F.date_format(text.parse_timestamp("t"), "yyyy-MM-dd HH:mm:ss").alias("seen"))
 )
 query("level_filter", oracle("SELECT id, level FROM utilities, (VALUES ('primary'), ('weak'), ('strong')) l(level) WHERE level = 'primary' OR id % 4 = 0"))(
-    lambda spark, sf_dir: derived(spark, sf_dir, "utilities").select("id", F.explode(F.array(*map(F.lit, ("primary", "weak", "strong")))).alias("level")).filter("level = 'primary' OR id % 4 = 0")
+    lambda spark, sf_dir: level_filter(derived(spark, sf_dir, "utilities").select("id"), ["primary", "weak", "strong"], "primary", F.col("id") % 4 == 0).select("id", "level")
 )
-query("analysis_tier", oracle("SELECT id, CASE WHEN id < 5 THEN 'primary' WHEN variance > 0.009 THEN 'secondary' ELSE 'exploratory' END AS tier FROM utilities"))(over("utilities", "id", tier=lambda: F.when(F.col("id") < 5, "primary").when(F.col("variance") > 0.009, "secondary").otherwise("exploratory")))
+query("analysis_tier", oracle("SELECT id, CASE WHEN id < 5 THEN 'primary' WHEN variance > 0.009 THEN 'secondary' ELSE 'exploratory' END AS tier FROM utilities"))(over("utilities", "id", tier=lambda: analysis_tier(F.col("id") < 5, F.col("variance") > 0.009)))

@@ -45,14 +45,14 @@ def _torn(spark, sf_dir, name):
 
 @query("scan_jsonl_torn_tail", "SELECT c_custkey AS id FROM customer")
 def _(spark, sf_dir):
-    return readers.scan_torn_tail(spark, _torn(spark, sf_dir, "torn"), "id long", "id")
+    return readers.scan_torn_tail(spark, _torn(spark, sf_dir, "torn"), "id long")
 
 
 @query("scan_torn_repair", "SELECT count(*) AS n, max(c_custkey) AS last_id FROM customer")
 def _(spark, sf_dir):
     """The repaired log is a new one; inputs are never changed."""
     path = writers.scratch(spark, "repaired")
-    writers.sink_freeze(readers.scan_torn_tail(spark, _torn(spark, sf_dir, "torn"), "id long", "id"), path)
+    writers.sink_freeze(readers.scan_torn_tail(spark, _torn(spark, sf_dir, "torn"), "id long"), path)
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
@@ -80,19 +80,29 @@ def _(spark, sf_dir):
     return readers.scan_parquet_cols(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"]).filter("l_quantity > 45")
 
 
-@query("scan_shards_complete", "SELECT 'split' || r_regionkey AS split, CAST(4 - (r_regionkey % 2) AS BIGINT) AS found, CAST(4 AS BIGINT) AS expected, r_regionkey % 2 = 0 AS complete FROM region")
+@query("scan_shards_complete", "SELECT doc_id, lang FROM documents")
 def _(spark, sf_dir):
-    names = load(spark, sf_dir, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).filter("i < 4 - r_regionkey % 2")
-    return readers.shard_check(names.select(F.format_string("split%d-%05d-of-00004.parquet", "r_regionkey", "i").alias("name")))
+    path = writers.scratch(spark, "shards")
+    writers.sink_shards(_docs(spark, sf_dir), path, "train", 4)
+    return readers.scan_shards_complete(spark, path, "train", ["doc_id", "lang"])
 
 
+@query("shard_check", "SELECT 'split' || r_regionkey AS split, CAST(4 - (r_regionkey % 2) AS BIGINT) AS found, CAST(4 AS BIGINT) AS expected, r_regionkey % 2 = 0 AS complete FROM region")
+def _(spark, sf_dir):
+    names = load(spark, sf_dir, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).filter("i < 4 - r_regionkey % 2")
+    return readers.shard_check(names.select(F.format_string("split%d-%05d-of-00004.parquet", "r_regionkey", "i").alias("name")))
 
 
-@query("scan_options", "SELECT n_regionkey AS region, n_name AS category, unnest(['a' || n_nationkey, 'b']) AS option FROM nation")
+@query("scan_options", "SELECT CASE n_regionkey % 3 WHEN 1 THEN '' WHEN 2 THEN 'pole.' || n_name ELSE n_name END AS category, unnest(['a' || n_nationkey, 'b']) AS option FROM nation")
 def _(spark, sf_dir):
-    maps = load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("n_name", F.array(F.concat(F.lit("a"), "n_nationkey"), F.lit("b"))))).alias("m"))
-    spec = F.to_json(F.map_concat(F.create_map(F.lit("_note"), F.array(F.lit("dropped"))), "m"))
-    return maps.select(F.col("n_regionkey").alias("region"), F.explode(readers.flatten_options(spec)).alias("o")).select("region", "o.*")
+    """One file a region, in the three shapes that there are: a map of lists, a list, a map of maps of lists; keys with a leading underscore go."""
+    path = writers.scratch(spark, "options")
+    listed = F.array(F.concat(F.lit("a"), "n_nationkey"), F.lit("b"))
+    r = load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("n_name", listed))).alias("m"), F.flatten(F.collect_list(listed)).alias("l"))
+    note = F.create_map(F.lit("_note"), F.array(F.lit("dropped")))
+    spec = F.when(F.col("n_regionkey") % 3 == 1, F.to_json("l")).when(F.col("n_regionkey") % 3 == 2, F.to_json(F.create_map(F.lit("pole"), F.map_concat(note, "m")))).otherwise(F.to_json(F.map_concat(note, "m")))
+    r.select(spec.alias("value"), "n_regionkey").write.partitionBy("n_regionkey").text(path)
+    return readers.scan_options(spark, f"{path}/n_regionkey=*").select("category", "option")
 
 
 @query("merge_options", "SELECT r_name AS category, string_agg(n_name, ',' ORDER BY n_name) AS options FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -155,7 +165,7 @@ def _(spark, sf_dir):
     path = writers.scratch(spark, "sink-atomic")
     writers.sink_atomic(_docs(spark, sf_dir).withColumn("n_chars", F.lit(-1).cast("bigint")), path)
     writers.sink_atomic(_docs(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    return writers.read_atomic(spark, path)
 
 
 @query("sink_freeze", _DOC_SQL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import text
+from ..functions import text, tokens
 from ..operators import guards, rollups
 from ..operators.matching import snippet_overlap
 from ..operators.screens import MESSAGE_ROLES, canonicalize_tests, chats, domain_terms, message_problems, prompt_classes, prompt_classes_sql, screen_cascade, set_checks, test_io
@@ -141,14 +141,24 @@ def _(spark, sf_dir):
 _WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
 
 
-@query("token_budget", oracle(f"SELECT doc_id, {_WORDS} AS n_tokens FROM documents WHERE {_WORDS} <= 256"))
+@query("token_budget_words", oracle(f"SELECT doc_id, {_WORDS} AS n_tokens FROM documents WHERE {_WORDS} <= 256"))
 def _(spark, sf_dir):
+    """The fallback without a tokenizer."""
     return load(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("n_tokens")).filter("n_tokens <= 256")
 
 
-@query("multi_tokenizer_gate", oracle(f"SELECT doc_id, greatest({_WORDS}, CAST(ceil(length(text) / 4) AS BIGINT)) AS worst, greatest({_WORDS}, CAST(ceil(length(text) / 4) AS BIGINT)) <= 300 AS fits FROM documents"))
+def _prompt():
+    return F.concat(F.lit("User: "), F.coalesce("text", F.lit("")), F.lit("\nAssistant:\n"))
+
+
+@query("token_budget")
 def _(spark, sf_dir):
-    worst = F.greatest(text.word_count("text"), F.ceil(F.length("text") / 4).cast("bigint"))
-    return load(spark, sf_dir, "documents").select("doc_id", worst.alias("worst"), (worst <= 300).alias("fits"))
+    """Rendered prompts of at most 512 ids of a public tokenizer; beyond SQL, a test counts them again."""
+    return load(spark, sf_dir, "documents").select("doc_id", tokens.token_count(_prompt(), "byte_bpe_50k.json").alias("n_tokens")).filter("n_tokens <= 512")
 
 
+@query("multi_tokenizer_gate")
+def _(spark, sf_dir):
+    """Whether a rendered prompt has at most 600 ids under every one of four tokenizers of three kinds; beyond SQL, a test counts them again."""
+    worst = tokens.worst_count(_prompt(), ["byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"])
+    return load(spark, sf_dir, "documents").select("doc_id", worst.alias("worst")).withColumn("fits", F.col("worst") <= 600)

@@ -38,18 +38,18 @@ def scan_jsonl_typed(spark: SparkSession, path: str, schema: str, required: Sequ
     return judged.filter("problem IS NULL").select(*(F.col(f"row.{n}") for n in names)), judged.filter("problem IS NOT NULL").select("file", "value", "problem")
 
 
-def scan_torn_tail(spark: SparkSession, path: str, schema: str, order: str) -> DataFrame:
+def scan_torn_tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a log whose last line may be torn: a malformed line is dropped if no row of its file comes after it, else it is an error.
 
-    A torn line has no fields, so its place is told by the byte order of lines inside a file: every file is read as one piece and its lines numbered there.
+    A line's place in its file is the start of its block and its turn in the task that reads the block, so files are split like any others and no
+    file is ever one cell; one aggregate over files finds malformed lines that are not the last.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("place", "value")).filter(F.trim("value") != "")
-    lines = parsed_lines(whole, schema)
-    last = lines.groupBy("file").agg(F.max("place").alias("_last"))
-    judged = lines.join(F.broadcast(last), "file")
-    require_empty(judged.filter(F.col("bad") & (F.col("place") < F.col("_last"))).select("file", "place"), "malformed lines before the end of a log")
-    names = [f.name for f in judged.schema["row"].dataType.fields if f.name != "_corrupt"]
-    return judged.filter(~F.col("bad")).select(*(F.col(f"row.{n}") for n in names))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"))
+    lines = parsed_lines(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place")).filter(F.trim("value") != ""), schema)
+    files = lines.groupBy("file").agg(F.count_if("bad").alias("n_bad"), F.max_by("bad", "place").alias("last_bad"))
+    require_empty(files.filter(F.col("n_bad") > F.col("last_bad").cast("int")).select("file", "n_bad"), "malformed lines before the end of a log")
+    names = [f.name for f in lines.schema["row"].dataType.fields if f.name != "_corrupt"]
+    return lines.filter(~F.col("bad")).select(*(F.col(f"row.{n}") for n in names))
 
 
 def scan_unique_by_id(df: DataFrame, key: str) -> DataFrame:

@@ -15,9 +15,11 @@ _FALLBACK: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir); a local one only where that is unset and the master is local, as in tests."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not told and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not told:
         told = _FALLBACK.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="lodestone-"))
     path = f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -54,16 +56,60 @@ def sink_append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+MARK = "_version-"
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, name) of the complete versions below a path, oldest first."""
+    fs, root = _fs(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted((int(n), v) for n, v in (x.removeprefix(MARK).split("-", 1) for x in names if x.startswith(MARK)))
+
+
 def sink_atomic(df: DataFrame, path: str) -> None:
-    """Writes beside the target and renames, so that readers see all of it or nothing; an older result is replaced."""
+    """A new version of a table: its rows are written to a folder of their own, then an empty mark, named by number and folder, makes it the current one.
+
+    Creating the mark is the only step that readers (read_atomic) can see, so they get all of the old version or all of the new one, and a crash
+    before it changes nothing.  The version before the new one stays for readers that still use it, older ones go.
+    """
     spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    fs, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(_fs(spark, staging)[1], target):
-        raise OSError(f"{staging} could not become {path}")
+    before = _versions(spark, path)
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{path.rstrip('/')}/{name}")
+    number = before[-1][0] + 1 if before else 0
+    fs, mark = _fs(spark, f"{path.rstrip('/')}/{MARK}{number:012d}-{name}")
+    if not fs.createNewFile(mark):
+        raise OSError(f"{mark} could not be made")
+    for n, old in before[:-1]:
+        fs.delete(_fs(spark, f"{path.rstrip('/')}/{MARK}{n:012d}-{old}")[1], False)
+        fs.delete(_fs(spark, f"{path.rstrip('/')}/{old}")[1], True)
+
+
+def read_atomic(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that sink_atomic has written."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no version below {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{found[-1][1]}")
+
+
+def sink_shards(df: DataFrame, folder: str, split: str, shards: int) -> None:
+    """Parquet files `split-i-of-n` in a folder: written beside it, then moved one by one; shards without rows are files too."""
+    spark = df.sparkSession
+    staging = f"{folder.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    df.withColumn("_shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).repartitionByRange(shards, "_shard").write.partitionBy("_shard").parquet(staging)
+    fs, target = _fs(spark, folder)
+    fs.mkdirs(target)
+    for k in range(shards):
+        part = _fs(spark, f"{staging}/_shard={k}")[1]
+        files = [x.getPath() for x in fs.listStatus(part)] if fs.exists(part) else []
+        if not files:
+            spark.createDataFrame([], df.schema).coalesce(1).write.parquet(f"{staging}/empty-{k}")
+            files = [x.getPath() for x in fs.listStatus(_fs(spark, f"{staging}/empty-{k}")[1])]
+        (one,) = [f for f in files if f.getName().endswith(".parquet")]
+        if not fs.rename(one, _fs(spark, f"{folder.rstrip('/')}/{split}-{k:05d}-of-{shards:05d}.parquet")[1]):
+            raise OSError(f"shard {k} of {split} could not be moved")
+    fs.delete(_fs(spark, staging)[1], True)
 
 
 def manifest(counts: DataFrame, key: str, value: str, files: DataFrame, **criteria: object) -> DataFrame:
@@ -74,7 +120,7 @@ def manifest(counts: DataFrame, key: str, value: str, files: DataFrame, **criter
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256) of the files below a path."""
+    """(file, sha256) of the files below a path; Spark hands a file over as one cell, so files of 2 GB and more raise."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
 

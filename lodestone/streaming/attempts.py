@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,20 +31,44 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def latest(stream: DataFrame, name: str, keys: list[str], order: str) -> DataFrame:
-    """Last write wins, batch by batch: each micro-batch is compacted and merged into the table so far; a repeated batch changes nothing."""
+def _parts(spark: SparkSession, folder: str) -> tuple[str | None, list[str]]:
+    """The newest complete base below a folder and the complete deltas after it."""
+    from ..sources.writers import _fs
+
+    fs, root = _fs(spark, folder)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(root)) if fs.exists(root) else []
+    done = [n for n in names if fs.exists(_fs(spark, f"{folder}/{n}/_SUCCESS")[1])]
+    bases = [n for n in done if n.startswith("base-")]
+    base = bases[-1] if bases else None
+    return base, [n for n in done if n.startswith("delta-") and (base is None or n.removeprefix("delta-") > base.removeprefix("base-"))]
+
+
+def read_latest(spark: SparkSession, folder: str, schema, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key among a base and its deltas."""
+    from ..operators.ranking import dedup_last
+
+    base, deltas = _parts(spark, folder)
+    paths = [f"{folder}/{n}" for n in ([base] if base else []) + deltas]
+    return dedup_last(spark.read.schema(schema).parquet(*paths), keys, order) if paths else spark.createDataFrame([], schema)
+
+
+def latest(stream: DataFrame, folder: str, progress: str, keys: list[str], order: str, compact_every: int = 16) -> DataFrame:
+    """Last write wins, with everything in the two folders, so that a restart goes on where it stopped.
+
+    A micro-batch is compacted and written as a delta under its number: a repeated batch replaces its own delta.  Every `compact_every` batches base and
+    deltas become the next base, so a batch costs its own size, not that of the table.
+    """
     spark = stream.sparkSession
-    folder, at = scratch(spark, name), scratch(spark, f"{name}-progress")
-    state = {"path": None}
+    schema = stream.schema
 
     def merge(batch: DataFrame, epoch: int) -> None:
         from ..operators.ranking import dedup_last
 
-        all_rows = batch if state["path"] is None else batch.unionByName(spark.read.schema(batch.schema).parquet(state["path"]))
-        path = f"{folder}/{epoch}-{uuid.uuid4().hex}"
-        dedup_last(all_rows, keys, order).write.parquet(path)
-        state["path"] = path
+        own = batch.sparkSession
+        dedup_last(batch, keys, order).write.mode("overwrite").parquet(f"{folder}/delta-{epoch:012d}")
+        if epoch % compact_every == compact_every - 1:
+            read_latest(own, folder, schema, keys, order).write.mode("overwrite").parquet(f"{folder}/base-{epoch:012d}")
 
-    run = stream.writeStream.foreachBatch(merge).option("checkpointLocation", at).trigger(availableNow=True).start()
+    run = stream.writeStream.foreachBatch(merge).option("checkpointLocation", progress).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(state["path"]) if state["path"] else spark.createDataFrame([], stream.schema)
+    return read_latest(spark, folder, schema, keys, order)

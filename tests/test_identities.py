@@ -1,5 +1,6 @@
 """Identities that hold whatever the data, and cases that define semantics."""
 
+import json
 import math
 import random
 
@@ -129,9 +130,23 @@ def test_even_indices(spark):
 def test_parsers(spark):
     df = spark.createDataFrame([("['a', 'nan', 3]",), ("a, b,nan",), (None,)], "c string")
     assert [r[0] for r in df.select(arrays.pyrepr_list("c")).collect()] == [["a", "3"], ["a", "b"], []]
-    doc = "Input: [1, 2]\nOutput: 'x'\nExample 2\nInput: a b\nOutput: 7\n"
+
+
+EXAMPLES = [
+    ("\nExample 1:\nInput: nums = [1,2,3], target = 6\nOutput: 2\n\nExample 2:\nInput: nums = [1,1,1], target = 3\nOutput: 3\n", [(1, {"nums": [1, 2, 3], "target": 6}, 2), (2, {"nums": [1, 1, 1], "target": 3}, 3)]),
+    ('Example 1:\nInput: target = "a, b", words = ["a","b"], costs = [1,2]\nOutput: [[1],[2]]', [(1, {"target": "a, b", "words": ["a", "b"], "costs": [1, 2]}, [[1], [2]])]),
+    ('Example 1:\nInput: grid = [[1,2],[3,4]], s = "hello", b = true, f = 3.14\nOutput: null', [(1, {"grid": [[1, 2], [3, 4]], "s": "hello", "b": True, "f": 3.14}, None)]),
+    ('example 7:\nINPUT: [1,2],"hello",42\noutput: \'x\'', [(1, {"_param_0": [1, 2], "_param_1": "hello", "_param_2": 42}, "x")]),
+    ("Example 1:\nInput: [1,2,3]\nno more\nExample 2:\nInput: n = 5\nOutput: plain text", [(2, {"n": 5}, "plain text")]),
+    ("Input: 1\nOutput: 2", []),
+    (None, []),
+]
+
+
+@pytest.mark.parametrize("doc,want", EXAMPLES)
+def test_parse_examples(spark, doc, want):
     got = spark.createDataFrame([(doc,)], "t string").select(arrays.parse_examples("t")).first()[0]
-    assert [(e.example_id, e.input, e.output) for e in got] == [(1, "[1, 2]", '"x"'), (2, "a b", "7")]
+    assert [(e.example_id, json.loads(e.input), json.loads(e.output)) for e in got] == want
 
 
 def test_trim_to_balance(spark):
@@ -183,7 +198,7 @@ def test_torn_line_inside_a_log_is_an_error(spark):
     path = writers.scratch(spark, "torn")
     spark.createDataFrame([('{"id": 1}',), ('{"id": ',), ('{"id": 3}',)], "value string").coalesce(1).write.text(path)
     with pytest.raises(guards.GuardError):
-        readers.scan_torn_tail(spark, path, "id long", "id")
+        readers.scan_torn_tail(spark, path, "id long")
 
 
 def test_options_in_three_shapes(spark):
@@ -240,5 +255,5 @@ def test_recover(spark):
     raws = ["", "<think>x", "so " * 50, "cut off", "Answer: A or B.", "I say.\n**Choice: b**.", "(A).", "I like A.", "A and B are fine. I take B.", "A or B? Both A and B.", "Neither one."]
     got = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, t string").select("k", text.recover("t").alias("x")).orderBy("k").collect()
     assert [(r.x.tier, r.x.label) for r in got] == [
-        ("empty", None), ("has_think", None), ("degenerate_loop", None), ("truncated", None), ("instruction_echo", None), ("terminal_label", "B"), ("terminal_label", "A"), ("single_label", "A"), ("terminal_endorse", "B"), ("ambiguous", None), ("semantic", None),
+        ("empty", None), ("has_think", None), ("degenerate_loop", None), ("truncated", None), ("instruction_echo", None), ("terminal_label", "B"), ("terminal_label", "A"), ("single_label", "A"), ("terminal_endorse", "B"), ("ambiguous", None), ("semantic_skipped", None),
     ]
