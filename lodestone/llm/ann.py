@@ -1,11 +1,19 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its `PREFIX` nearest pivots of `PIVOTS`, in order.  A shard of vectors (at most `SHARD`, as they lie in a partition) posts each in the inverted
-files of those pivots together with its place there.  A query reads the files of its own nearest pivots and adds up footrule distances
-(a pivot outside a prefix counts as place `PREFIX`); the `SHARE` of the shard with the smallest distance is reranked by the inner product in double precision,
-and with it every vector as far as the last of them, so a group of copies is never cut.
-The pivots are fitted on a bounded sample (`SAMPLE` rows, the smallest hashes of ids); every row is indexed, nothing is routed away, and hot copies stay
-where they lie.  Queries go to the shards in blocks of about `BLOCK`, so what is broadcast is bounded.
+Equal vectors are one class with its `k` + 1 smallest ids, which is all that any search can ask of it, so a hot group of copies is indexed and searched once.
+A class is represented by its `PREFIX` nearest pivots of `PIVOTS`, in order.  The index is the table of classes in order of those permutations, cut into shards of
+at most `SHARD`; a shard posts each class in the inverted files of its pivots together with its place there.  A query reads the files of its own
+pivots and adds up footrule distances (a pivot outside a prefix counts as place `PREFIX`).  Classes within the query's radius are
+candidates and are reranked by the inner product in double precision.
+
+The radius: a bounded sample of classes (`SAMPLE`, the smallest hashes) gives the pivots and, for each query, the distance that a share of the sample lies within.  The
+share is measured on the data: for `TRIALS` queries the true neighbours are found among all classes, and it is the smallest share that would have held
+`TARGET` of them (`WIDEST` ids of candidates at least).  So the work follows from how well permutations tell these vectors apart, radii
+don't depend on shards or partitions, and nothing is cut: all that lies within the radius, ties too, is reranked.
+
+A shard's directory holds, by pivot, the best place any of its classes has; a query whose radius no class with those places could reach skips the shard, and shards
+that all queries of a block skip aren't read.  Queries go out in blocks of about `BLOCK` in the same order; each block is a job of its own that writes its hits to the shared
+folder, so neither the driver nor a plan grows with their number, and a lost executor costs a part of one block.
 Vectors get one more coordinate, sqrt(M^2 - |x|^2) with the largest norm M, so that the largest inner product is the nearest vector.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or differ in length from the commonest length (ties: the shorter),
@@ -19,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import new_path, staged, table
 
 PIVOTS, PREFIX = 256, 64
-SAMPLE, SHARD, BLOCK = 2048, 8192, 16384
-SHARE, LEAST = 0.22, 512
+SAMPLE, TRIALS, TARGET = 4096, 128, 0.97
+SHARD, BLOCK = 8192, 16384
+WIDEST = 4  # a radius holds 4 k classes at least
+DIRECTORY_BYTES = 64 << 20
 K = 20
 
 
@@ -43,12 +53,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def packed(prefixes: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in prefixes.astype(np.uint16)], pa.binary())
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in column]).astype(np.int64) if len(column) else np.zeros((0, 0), np.int64)
+
+
 class Pivots:
     def __init__(self, sample: np.ndarray, norm: float, count: int = PIVOTS, prefix: int = PREFIX):
         self.norm = norm
-        distinct = np.unique(sample, axis=0)
-        order = np.random.default_rng(7).permutation(len(distinct))[:count]
-        self.points = self.lifted(distinct[order])
+        order = np.random.default_rng(7).permutation(len(sample))[:count]
+        self.points = self.lifted(sample[order])
         self.prefix = min(prefix, len(self.points))
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
@@ -60,100 +77,216 @@ class Pivots:
         return np.argsort(-near, axis=1, kind="stable")[:, : self.prefix]
 
 
-class Shard:
-    """Pivot inverted files over some vectors."""
+class Files:
+    """Pivot inverted files over some prefixes."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: Pivots):
-        by = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.prefix = ids[by], x[by], pivots.prefix
-        near = pivots.nearest(self.x)
-        pivot, place = near.ravel(), np.tile(np.arange(self.prefix), len(ids))
-        owner = np.repeat(np.arange(len(ids)), self.prefix)
+    def __init__(self, near: np.ndarray, pivots: int):
+        self.n, self.prefix = near.shape
+        pivot, place = near.ravel(), np.tile(np.arange(self.prefix), self.n)
+        owner = np.repeat(np.arange(self.n), self.prefix)
         order = np.argsort(pivot, kind="stable")
-        self.owner, self.place = owner[order], place[order].astype(np.int32)
-        self.edges = np.searchsorted(pivot[order], np.arange(len(pivots.points) + 1))
+        self.owner, self.place = owner[order], place[order]
+        self.edges = np.searchsorted(pivot[order], np.arange(pivots + 1))
+        self.best = np.full(pivots, self.prefix, np.int64)
+        np.minimum.at(self.best, pivot, place)
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
-        """Distance of every vector to a query's pivots, up to the part that all share.
+        """Distance of every owner to a query's pivots, up to the part that all share.
 
-        A pivot that only the vector has costs prefix - its place; summed over all its pivots that is the same for every vector, and each shared one is taken off again.
+        A pivot that only the owner has costs prefix - its place; summed over all its pivots that is the same for every owner, and each shared one is taken off
+        again: twice what is left of the prefix behind the later of its two places.
         """
-        out = np.zeros(len(self.ids), dtype=np.int32)
-        for at, p in enumerate(order.tolist()):
-            s = slice(self.edges[p], self.edges[p + 1])
-            place = self.place[s]
-            out[self.owner[s]] += np.abs(place - at) - (self.prefix - place) - (self.prefix - at)
-        return out
-
-    def search(self, query_id: int, q: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.ids)
-        few = max(LEAST, int(np.ceil(SHARE * n)))
-        rows = np.arange(n)
-        if few < n:
-            distance = self.footrule(order)
-            rows = np.flatnonzero(distance <= np.partition(distance, few - 1)[few - 1])
-        rows = rows[self.ids[rows] != query_id]
-        score = (self.x[rows] * q).sum(axis=1)  # row by row, so that equal vectors score the same to the last bit
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows[best]], score[best]
-
-
-HITS = pa.list_(pa.struct([("cost", pa.float64()), ("vec_id", pa.int64())]))
-
-
-def search_rows(batches: Iterator[pa.RecordBatch], pivots: Pivots, block: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
-    query_ids, queries = block
-    orders = pivots.nearest(queries, query=True)
+        lows, highs = self.edges[order], self.edges[order + 1]
+        owner = np.concatenate([self.owner[a:b] for a, b in zip(lows.tolist(), highs.tolist(), strict=True)])
+        place = np.concatenate([self.place[a:b] for a, b in zip(lows.tolist(), highs.tolist(), strict=True)])
+        own = np.repeat(np.arange(len(order)), highs - lows)
+        return -np.bincount(owner, weights=2 * (self.prefix - np.maximum(place, own)), minlength=self.n).astype(np.int64)
+
+
+def reachable(best: np.ndarray, orders: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Of queries (prefixes, radii) those that some class of a shard could lie within, by the best places of the shard's directory."""
+    m = orders.shape[1]
+    return -2 * (m - np.maximum(best[orders], np.arange(m))).sum(axis=1) <= radii
+
+
+def radius(files: Files, order: np.ndarray, share: float, least: int, total: int) -> int:
+    """The distance within which the share of the sample lies, and `least` of `total` at least; everything where that is all."""
+    want = int(np.ceil(max(share, least / max(1, total)) * files.n))
+    return np.iinfo(np.int32).max if want >= files.n else int(np.partition(files.footrule(order), want - 1)[want - 1])
+
+
+CLASS = "rep long, embedding array<double>, ids array<long>, k1 long, k2 long, p0 int, p1 int, prefix binary"
+
+
+def classes_of(rows: DataFrame, k: int) -> DataFrame:
+    """(k1, k2, rep, embedding, ids): equal vectors with their k + 1 smallest ids; the limit of ranks works before the shuffle too."""
+    w = Window.partitionBy("k1", "k2").orderBy("vec_id")
+    few = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1)
+    return few.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.any_value("embedding").alias("embedding"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+
+
+def place_rows(batches: Iterator[pa.RecordBatch], pivots: Pivots) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            near = pivots.nearest(matrix(batch.column("embedding")))
+            second = near[:, min(1, near.shape[1] - 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "embedding", "ids", "k1", "k2")), pa.array(near[:, 0].astype(np.int32)), pa.array(second.astype(np.int32)), packed(near)], names=[x.split()[0] for x in CLASS.split(", ")])
+
+
+def number_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition in runs of at most SHARD, numbered."""
+    from pyspark import TaskContext
 
-    def answer(ids: list[np.ndarray], x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(np.concatenate(ids), np.concatenate(x), pivots)
-        for at in range(0, len(query_ids), 1024):
-            part = range(at, min(at + 1024, len(query_ids)))
-            found = [shard.search(int(query_ids[i]), queries[i], orders[i], k) for i in part]
-            costs, vecs = np.concatenate([-s for _, s in found]), np.concatenate([v for v, _ in found])
-            offsets = np.r_[0, np.cumsum([len(v) for v, _ in found])].astype(np.int32)
-            hits = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(costs), pa.array(vecs)], fields=list(HITS.value_type)))
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[at : at + 1024]), hits], names=["query_id", "hits"])
-
-    ids, x, n = [], [], 0
+    base, n = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        for at in range(0, batch.num_rows, SHARD):
-            part = batch.slice(at, SHARD)
-            if n and n + part.num_rows > SHARD:
-                yield from answer(ids, x)
-                ids, x, n = [], [], 0
-            ids.append(part.column("vec_id").to_numpy())
-            x.append(matrix(part.column("embedding")))
-            n += part.num_rows
-    if n:
-        yield from answer(ids, x)
+        yield batch.append_column("shard", pa.array(base + (n + np.arange(batch.num_rows)) // SHARD))
+        n += batch.num_rows
+
+
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Whole shards of a partition whose rows stand in order of shards."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and held[0].column("shard")[0].as_py() != shard[a]:
+                yield held[0].column("shard")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held[0].column("shard")[0].as_py(), pa.Table.from_batches(held)
+
+
+def directory_rows(batches: Iterator[pa.RecordBatch], pivots: int) -> Iterator[pa.RecordBatch]:
+    for shard, rows in by_shard(batches):
+        best = Files(unpacked(rows.column("prefix").combine_chunks()), pivots).best
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), packed(best[None])], names=["shard", "best"])
+
+
+def exact_top(x: np.ndarray, reps: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the k rows with the largest inner product, ties to the smaller rep; row by row, so that equal vectors score the same to the last bit."""
+    score = (x * q).sum(axis=1)
+    best = np.lexsort((reps, -score))[:k]
+    return best, score[best]
+
+
+def trial_rows(batches: Iterator[pa.RecordBatch], trials: tuple, k: int) -> Iterator[pa.RecordBatch]:
+    """(trial, score, rep, distance): of every batch the k true neighbours of each trial query and their footrule distances."""
+    ids, queries, orders, pivots = trials
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, reps = matrix(batch.column("embedding")), batch.column("rep").to_numpy()
+        files = Files(unpacked(batch.column("prefix")), pivots)
+        for t in range(len(ids)):
+            far = files.footrule(orders[t])
+            best, score = exact_top(x, reps, queries[t], k + 1)
+            own = best[reps[best] != ids[t]][:k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t)), pa.array((x[own] * queries[t]).sum(axis=1)), pa.array(reps[own]), pa.array(far[own])], names=["trial", "score", "rep", "distance"])
+
+
+def radius_rows(batches: Iterator[pa.RecordBatch], sample: Files, pivots: Pivots, share: float, least: int, total: int) -> Iterator[pa.RecordBatch]:
+    """Queries with the order of their pivots and their radius."""
+    for batch in batches:
+        if batch.num_rows:
+            orders = pivots.nearest(matrix(batch.column("embedding")), query=True)
+            radii = np.array([radius(sample, o, share, least, total) for o in orders], np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "embedding", "block")), packed(orders), pa.array(radii)], names=["rep", "embedding", "block", "prefix", "radius"])
+
+
+def search_rows(batches: Iterator[pa.RecordBatch], block: tuple, pivots: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(query, score, ids): for each query of a block its k + 1 best classes in every shard."""
+    asked, queries, orders, radii = block
+    for _, rows in by_shard(batches):
+        x, reps = matrix(rows.column("embedding").combine_chunks()), rows.column("rep").to_numpy()
+        files = Files(unpacked(rows.column("prefix").combine_chunks()), pivots)
+        found_q, found_s, found_r = [], [], []
+        for i in np.flatnonzero(reachable(files.best, orders, radii)).tolist():
+            near = np.flatnonzero(files.footrule(orders[i]) <= radii[i])
+            best, score = exact_top(x[near], reps[near], queries[i], k + 1)
+            found_q.append(np.full(len(best), asked[i]))
+            found_s.append(score)
+            found_r.append(near[best])
+        if found_q:
+            ids = rows.column("ids").combine_chunks().take(pa.array(np.concatenate(found_r)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_q)), pa.array(np.concatenate(found_s)), ids], names=["query", "score", "ids"])
+
+
+def measured_share(spark, index: DataFrame, asked: DataFrame, sample: Files, pivots: Pivots, k: int) -> float:
+    """The share of the sample that TARGET of the true neighbours of some queries lie within."""
+    own = asked.orderBy(F.xxhash64("rep"), "rep").limit(TRIALS).select("rep", "embedding").collect()
+    if not own:
+        return 1.0
+    queries = np.array([r["embedding"] for r in own])
+    orders = pivots.nearest(queries, query=True)
+    held = spark.sparkContext.broadcast((np.array([r["rep"] for r in own]), queries, orders, len(pivots.points)))
+    found = index.select("rep", "embedding", "prefix").mapInArrow(lambda it: trial_rows(it, held.value, k), "trial long, score double, rep long, distance long")
+    w = Window.partitionBy("trial").orderBy(F.desc("score"), "rep")
+    true = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).select("trial", "distance").collect()  # TRIALS * k rows
+    held.unpersist()
+    if not true:
+        return 1.0
+    at = np.array([r["trial"] for r in true])
+    far = np.array([r["distance"] for r in true])
+    shares = np.concatenate([(sample.footrule(orders[t])[None] <= far[at == t][:, None]).mean(axis=1) for t in np.unique(at)])
+    return float(np.quantile(shares, TARGET))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row with is_query its k nearest by inner product, nearest first."""
     spark = vectors.sparkSession
-    rows = staged(usable(vectors), "vectors")
-    norm = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
+    context = spark.sparkContext
     schema = "query_id long, rank int, vec_id long, score double"
-    if norm is None:
+    rows = usable(vectors).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
+    rows = staged(rows, "vectors")
+    classes = staged(classes_of(rows, k), "classes")
+    facts = classes.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.count("*").alias("n")).first()
+    if facts["norm"] is None:
         return spark.createDataFrame([], schema)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
-    pivots = spark.sparkContext.broadcast(Pivots(np.array([r[0] for r in sample]), norm))
-    asked = rows.filter(is_query)
-    blocks = max(1, -(-asked.count() // BLOCK))
-    found = None
+    chosen = np.array([r[0] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()])
+    pivots = Pivots(chosen, facts["norm"])
+    sample = Files(pivots.nearest(chosen), len(pivots.points))
+    held = context.broadcast((pivots, sample))
+    placed = classes.select("rep", "embedding", "ids", "k1", "k2").mapInArrow(lambda it: place_rows(it, held.value[0]), CLASS)
+    shards = max(1, -(-facts["n"] // SHARD))
+    ordered = placed.repartitionByRange(shards, "p0", "p1", "rep").sortWithinPartitions("p0", "p1", "rep")
+    index = staged(ordered.mapInArrow(number_shards, f"{CLASS}, shard long"), "permutations")
+    member = staged(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "k1", "k2").join(index.select("k1", "k2", "rep"), ["k1", "k2"]).select("query_id", "rep"), "members")
+    asked = index.join(member.select("rep").distinct(), "rep", "left_semi")
+    share = measured_share(spark, index, asked, sample, pivots, k)
+    total = facts["n"]
+    blocks = max(1, -(-member.select("rep").distinct().count() // BLOCK))
+    lined = asked.select("rep", "embedding", "p0", "p1").repartitionByRange(blocks, "p0", "p1", "rep").withColumn("block", F.spark_partition_id())
+    queries = staged(lined.select("rep", "embedding", "block").mapInArrow(lambda it: radius_rows(it, held.value[1], held.value[0], share, WIDEST * k, total), "rep long, embedding array<double>, block int, prefix binary, radius long"), "queries")
+    directory = None
+    if 2 * len(pivots.points) * shards <= DIRECTORY_BYTES:
+        told = index.select("shard", "prefix").mapInArrow(lambda it: directory_rows(it, len(held.value[0].points)), "shard long, best binary").collect()
+        directory = {}
+        for r in told:  # a shard that several tasks read has a row of each
+            best = np.frombuffer(r["best"], np.uint16).astype(np.int64)
+            directory[r["shard"]] = np.minimum(directory.get(r["shard"], best), best)
+    path = new_path(spark, "hits")
     for b in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas()
-        if not len(own):
+        own = queries.filter(F.col("block") == b).toArrow()
+        if not own.num_rows:
             continue
-        block = spark.sparkContext.broadcast((own["vec_id"].to_numpy(np.int64), np.stack(own["embedding"].to_numpy()).astype(np.float64)))
-        part = rows.mapInArrow(lambda it, block=block: search_rows(it, pivots.value, block.value, k), "query_id long, hits array<struct<cost:double,vec_id:long>>")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
-    out = best.select("query_id", F.posexplode("hits").alias("at", "hit"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.cost")).alias("score"))
+        block = (own.column("rep").to_numpy(), matrix(own.column("embedding").combine_chunks()), unpacked(own.column("prefix").combine_chunks()), own.column("radius").to_numpy())
+        sent = context.broadcast(block)
+        part = index.select("shard", "rep", "embedding", "prefix", "ids")
+        if directory is not None:
+            live = [s for s, best in directory.items() if reachable(best, block[2], block[3]).any()]
+            if len(live) < len(directory):
+                part = part.filter(F.col("shard").isin(live))
+        n_pivots = len(pivots.points)
+        part.mapInArrow(lambda it, sent=sent: search_rows(it, sent.value, n_pivots, k), "query long, score double, ids array<long>").write.mode("append").parquet(path)
+        sent.unpersist()
+    found = spark.read.schema("query long, score double, ids array<long>").parquet(path)
+    by_class = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = found.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("_r", F.row_number().over(by_class)).filter(F.col("_r") <= k + 1).drop("_r")
+    own = member.join(best, member["rep"] == best["query"]).filter("vec_id <> query_id")
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return own.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

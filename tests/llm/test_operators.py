@@ -407,19 +407,83 @@ def test_nearest(spark):
     assert hit / (150 * 20) >= 0.9
 
 
-def test_large_groups_of_copies_are_not_cut():
+def recall(spark, vectors, k=20):
+    """Share of the true neighbours found, by id, with every score exact and every order right."""
+    rows = [r for r in vectors.select("vec_id", "embedding").collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    place = {v: k for k, v in enumerate(ids.tolist())}
+    got = defaultdict(list)
+    for r in ann.nearest(vectors, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    asked = [v for v in ids.tolist() if v % 20 == 0]
+    assert sorted(got) == sorted(asked)
+    hit = 0
+    for q in asked:
+        score = (x * x[place[q]]).sum(axis=1)
+        best = [v for v in ids[np.lexsort((ids, -score))[: k + 1]].tolist() if v != q][:k]
+        assert got[q] == sorted(got[q], key=lambda f: (-f[1], f[0])) and all(score[place[v]] == s for v, s in got[q]) and len(got[q]) == k
+        hit += len(set(best) & {v for v, _ in got[q]})
+    return hit / (k * len(asked))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, sf):
+    assert recall(spark, spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")) >= 0.9
+
+
+def test_large_groups_of_copies_are_whole(spark):
     rng = np.random.default_rng(3)
-    n, k = 8192, 20
-    x = rng.normal(size=(n, 32))
-    copies = rng.random(n) < 1 / 3
+    x = rng.normal(size=(9000, 32))
+    copies = rng.random(9000) < 1 / 3
     x[copies] = rng.normal(size=32)
-    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
-    pivots = ann.Pivots(x[rng.permutation(n)[: ann.SAMPLE]], 1.0)
-    shard = ann.Shard(np.arange(n), x, pivots)
-    members = np.flatnonzero(copies)
-    for q in members[rng.permutation(len(members))[:20]].tolist():
-        found, score = shard.search(q, x[q], pivots.nearest(x[q : q + 1], query=True)[0], k)
-        assert found.tolist() == [m for m in members.tolist() if m != q][:k] and len(set(score.tolist())) == 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall(spark, df) >= 0.93
+    members = np.flatnonzero(copies).tolist()
+    found = defaultdict(list)
+    for r in ann.nearest(df.repartition(7), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    assert all(found[q] == [m for m in members if m != q][:20] for q in members if q % 20 == 0)
+
+
+def test_results_do_not_follow_partitions_shards_or_blocks(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    answers = lambda t: sorted(tuple(r) for r in ann.nearest(t, F.col("vec_id") % 20 == 0).collect())
+    one = answers(df)
+    monkeypatch.setattr(ann, "SHARD", 150)
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    assert answers(df.repartition(5)) == one
+    monkeypatch.setattr(ann, "DIRECTORY_BYTES", 0)
+    assert answers(df) == one
+
+
+def test_clusters_need_a_small_share(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16)) * 5
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)) * 0.2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall(spark, df) >= 0.93
+    pivots = ann.Pivots(x[: ann.SAMPLE], 1.0)
+    sample = ann.Files(pivots.nearest(x[: ann.SAMPLE]), ann.PIVOTS)
+    index = spark.createDataFrame([(k, v.tolist(), bytes(pivots.nearest(x[k : k + 1])[0].astype(np.uint16))) for k, v in enumerate(x)], "rep long, embedding array<double>, prefix binary")
+    assert ann.measured_share(spark, index, index, sample, pivots, 20) < 0.05
+
+
+def test_directory_skips_only_what_nothing_reaches():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 6)) * 0.1 + c for c in np.eye(6) * 4])
+    pivots = ann.Pivots(x, float(np.linalg.norm(x, axis=1).max()), 48, 8)
+    near = pivots.nearest(x)
+    orders = pivots.nearest(x[::50], query=True)
+    skipped = 0
+    for shard in np.split(np.argsort(near[:, 0], kind="stable"), 12):
+        files = ann.Files(near[shard], 48)
+        for reach in (-60, -30, -10):
+            could = ann.reachable(files.best, orders, np.full(len(orders), reach))
+            does = np.array([(files.footrule(o) <= reach).any() for o in orders])
+            assert not (does & ~could).any()
+            skipped += int((~could).sum())
+    assert skipped
 
 
 def test_nearest_odd(spark):
@@ -435,14 +499,14 @@ def test_footrule_of_inverted_files():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 8))
     pivots = ann.Pivots(x[:40], float(np.linalg.norm(x, axis=1).max()), 30, 12)
-    shard, order = ann.Shard(np.arange(200), x, pivots), pivots.nearest(x[:1])[0]
+    files, order = ann.Files(pivots.nearest(x), 30), pivots.nearest(x[:1])[0]
     ranks = lambda o: {p: i for i, p in enumerate(o.tolist())}
     q = ranks(order)
     plain = []
     for o in pivots.nearest(x):
         r = ranks(o)
         plain.append(sum(abs(r.get(p, 12) - q.get(p, 12)) for p in r.keys() | q.keys()))
-    fast = shard.footrule(order)
+    fast = files.footrule(order)
     assert np.ptp(np.array(plain) - fast) == 0
 
 
