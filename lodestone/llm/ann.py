@@ -78,17 +78,18 @@ class Pivots:
 
 
 class Files:
-    """Pivot inverted files over some prefixes."""
+    """Pivot inverted files over some prefixes: a file has a slot for each owner with the pivot's place there, or the prefix's length where it isn't posted.
+
+    A quarter of all slots are postings (PREFIX of PIVOTS), so a byte each is less than a list of owners and places, and a query adds up whole files.
+    """
 
     def __init__(self, near: np.ndarray, pivots: int):
         self.n, self.prefix = near.shape
-        pivot, place = near.ravel(), np.tile(np.arange(self.prefix), self.n)
-        owner = np.repeat(np.arange(self.n), self.prefix)
-        order = np.argsort(pivot, kind="stable")
-        self.owner, self.place = owner[order], place[order]
-        self.edges = np.searchsorted(pivot[order], np.arange(pivots + 1))
-        self.best = np.full(pivots, self.prefix, np.int64)
-        np.minimum.at(self.best, pivot, place)
+        kind = np.uint8 if self.prefix < 256 else np.uint32
+        self.slots = np.full((pivots, self.n), self.prefix, kind)
+        self.slots[near.ravel(), np.repeat(np.arange(self.n), self.prefix)] = np.tile(np.arange(self.prefix, dtype=kind), self.n)
+        self.best = self.slots.min(axis=1, initial=self.prefix).astype(np.int64)
+        self.own, self.kind = np.arange(self.prefix, dtype=kind)[:, None], np.uint16 if self.prefix < 256 else np.uint32
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Distance of every owner to a query's pivots, up to the part that all share.
@@ -96,11 +97,9 @@ class Files:
         A pivot that only the owner has costs prefix - its place; summed over all its pivots that is the same for every owner, and each shared one is taken off
         again: twice what is left of the prefix behind the later of its two places.
         """
-        lows, highs = self.edges[order], self.edges[order + 1]
-        owner = np.concatenate([self.owner[a:b] for a, b in zip(lows.tolist(), highs.tolist(), strict=True)])
-        place = np.concatenate([self.place[a:b] for a, b in zip(lows.tolist(), highs.tolist(), strict=True)])
-        own = np.repeat(np.arange(len(order)), highs - lows)
-        return -np.bincount(owner, weights=2 * (self.prefix - np.maximum(place, own)), minlength=self.n).astype(np.int64)
+        files = self.slots[order]
+        np.maximum(files, self.own, out=files)
+        return 2 * (files.sum(axis=0, dtype=self.kind).astype(np.int64) - self.prefix * len(order))
 
 
 def reachable(best: np.ndarray, orders: np.ndarray, radii: np.ndarray) -> np.ndarray:
