@@ -1,14 +1,17 @@
 """Substring de-duplication: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Every window of `width` consecutive words is hashed with Rabin-Karp modulo 2^64.  The hashes travel packed: a window goes to
-the bucket of the smallest four-word hash inside it, so equal windows meet in one bucket and neighbours mostly travel as one run.
-Before the shuffle a slice keeps, of windows that several of its documents hold, only those of its smallest doc_id (the others
-are removed already), so a passage that a third of all rows share reaches its bucket once a slice, not once a row.
+Every window of `width` consecutive words is hashed with Rabin-Karp modulo 2^64.  Neighbouring windows travel as one row: a run of windows that share their smallest
+`GRAM`-word hash, which is the key of the shuffle, so equal windows meet.  There Spark unpacks the runs, takes the smallest doc_id of each window
+hash, and what a smaller doc_id holds too becomes removal intervals, merged to maximal ones by document.
+A task remembers windows that several of its documents have held, with their smallest doc_id; those of later documents are decided on the spot, so a passage that a
+third of all rows share reaches its partition once a task, not once a row.
+Partitions hold about `PARTITION` bytes of input up to `MOST_PARTITIONS` of them; then they grow to `LARGEST`, and beyond that the keys are dealt out to
+passes over the input, each of which writes its intervals to the shared folder.  Nothing is dropped at any size.
 
 Defined cases: null or empty text has no words; a text shorter than the window is never cut; a window repeated inside one
 document only is kept; rows with equal doc_id never remove each other; a null doc_id counts as larger than any other, and rows
 with null doc_id don't remove each other; columns beyond doc_id and text are ignored, whatever their names; an empty table gives an empty result.
-Two different windows are taken as equal if their 64-bit hashes are (about n^2 / 2^65 chances among n windows).
+Two different windows are taken as equal if their 64-bit hashes and their smallest `GRAM`-word hashes are (fewer than n^2 / 2^65 chances among n windows).
 """
 
 from __future__ import annotations
@@ -18,19 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, U, Words, input_bytes, mixed, small_slices, window_hashes, word_hashes
+from .common import SPACED, U, Words, input_bytes, mixed, small_slices, staged, window_hashes, word_hashes
 
 WIDTH = 50
-GRAM = 4
+GRAM = 16
 NO_ID = np.iinfo(np.int64).max
+PARTITION, LARGEST, MOST_PARTITIONS = 8 << 20, 64 << 20, 50_000
+REMEMBERED = 1 << 20
 
 
-def bucket_bits(size: int) -> int:
-    """About a million windows (3 bytes of compressed text each) to a bucket; 1,024 buckets at least, 65,536 at most."""
-    return int(np.clip(np.ceil(np.log2(max(1, size) / 3e6)), 10, 16))
+def passes_and_partitions(size: int) -> tuple[int, int]:
+    """How many passes over an input of some bytes, and into how many partitions each deals its windows."""
+    passes = -(-size // (LARGEST * MOST_PARTITIONS)) or 1
+    return passes, max(1, min(MOST_PARTITIONS, -(-size // (PARTITION * passes))))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -63,7 +69,7 @@ def runs_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def windows_of(batch: pa.RecordBatch, width: int) -> dict[str, np.ndarray] | None:
-    """Window hash, bucket hash, row and position of every window of a slice."""
+    """Window hash, key, row and position of every window of a slice."""
     words = Words(batch.column("text"), SPACED)
     if len(words) < width:
         return None
@@ -78,84 +84,95 @@ def windows_of(batch: pa.RecordBatch, width: int) -> dict[str, np.ndarray] | Non
     return {"hash": window_hashes(hashes, width)[good], "least": least[good], "row": row, "pos": good - words.first[row]}
 
 
-def pack_windows(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Slices of documents to rows (bucket, runs): packed windows, or word intervals that a slice has decided by itself."""
-    turn = 0
+class Seen:
+    """Window hashes that several documents of a task have held, with their smallest id; at most `most` of them, the latest."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def smallest(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """ids, or what is remembered of their windows where that is smaller."""
+        if not len(self.hashes):
+            return ids
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, np.minimum(ids, self.ids[at]), ids)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray) -> None:
+        if not len(hashes):
+            return
+        if len(self.hashes) + len(hashes) <= self.most:
+            hashes, ids = np.concatenate([self.hashes, hashes]), np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, hashes))
+        first = order[np.r_[True, hashes[order][1:] != hashes[order][:-1]]][: self.most]
+        self.hashes, self.ids = hashes[first], ids[first]
+
+
+RUN = "least long, doc_id long, _key long, s long, e long, hashes array<long>"
+
+
+def pack_windows(batches: Iterator[pa.RecordBatch], width: int, part: int = 0, passes: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of documents to runs of windows; rows without hashes are word intervals [s, e) that a task has decided by itself.  Keys of other passes are left out."""
+    seen = Seen(REMEMBERED)
     for batch in small_slices(batches, "text"):
         found = windows_of(batch, width)
         if found is None:
             continue
         ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
         keys = batch.column("_key").to_numpy(zero_copy_only=False)
-        row, pos, hashes = found["row"], found["pos"], found["hash"]
-        gone = ids[row] > smallest_of_group(hashes, ids[row])
-        turn += 1
-        buckets, blobs, local = [], [], []
+        row, pos, hashes, least = (found[k] for k in ("row", "pos", "hash", "least"))
+        if passes > 1:
+            own = np.flatnonzero(mixed(least) % U(passes) == U(part))
+            row, pos, hashes, least = row[own], pos[own], hashes[own], least[own]
+        smallest = seen.smallest(hashes, smallest_of_group(hashes, ids[row]))
+        gone = ids[row] > smallest
+        out = []
         if gone.any():
+            known, first = np.unique(hashes[gone], return_index=True)
+            seen.add(known, smallest[gone][first])
             row_gone, pos_gone = row[gone], pos[gone]
             head = runs_of(row_gone, pos_gone - np.arange(len(pos_gone)))
             size = np.diff(np.r_[head, len(row_gone)])
             r, s = row_gone[head], pos_gone[head]
-            buckets.append(turn % (1 << bits))
-            blobs.append(None)
-            local.append(np.concatenate([ids[r], keys[r], s, s + size + width - 1]).astype(np.int64).tobytes())
-        kept = np.flatnonzero(~gone)
-        bucket = (mixed(found["least"][kept]) >> U(64 - bits)).astype(np.int64)
-        row, pos, hashes = row[kept], pos[kept], hashes[kept]
-        head = runs_of(bucket, row, pos - np.arange(len(pos)))
-        size = np.diff(np.r_[head, len(row)])
-        by = np.argsort(bucket[head], kind="stable")
-        head, size = head[by], size[by]
-        shifts = np.repeat(head - np.r_[0, np.cumsum(size)[:-1]], size)
-        hashes = hashes[np.arange(len(row)) + shifts]
-        run_bucket = bucket[head]
-        edges = np.r_[runs_of(run_bucket), len(head)]
-        ends = np.r_[0, np.cumsum(size)]
-        id_of, key_of, pos_of = ids[row[head]], keys[row[head]], pos[head].astype(np.int32)
-        size = size.astype(np.int32)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            buckets.append(int(run_bucket[a]))
-            blobs.append(b"".join((np.int64(b - a).tobytes(), id_of[a:b].tobytes(), key_of[a:b].tobytes(), pos_of[a:b].tobytes(), size[a:b].tobytes(), hashes[ends[a] : ends[b]].tobytes())))
-            local.append(None)
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary()), pa.array(local, pa.binary())], names=["bucket", "runs", "local"])
-
-
-def settle_bucket(table: pa.Table, width: int) -> pa.Table:
-    """One bucket: entries whose hash also belongs to a smaller doc_id become word intervals (doc_id, _key, s, e)."""
-    parts = [np.frombuffer(x, np.int64).reshape(4, -1) for x in table.column("local").to_pylist() if x is not None]
-    ids, keys, starts, sizes, hashes = [], [], [], [], []
-    for blob in table.column("runs").to_pylist():
-        if blob is None:
-            continue
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        ids.append(np.frombuffer(blob, np.int64, n, 8))
-        keys.append(np.frombuffer(blob, np.int64, n, 8 + 8 * n))
-        starts.append(np.frombuffer(blob, np.int32, n, 8 + 16 * n))
-        sizes.append(np.frombuffer(blob, np.int32, n, 8 + 20 * n))
-        hashes.append(np.frombuffer(blob, np.uint64, -1, 8 + 24 * n))
-    if ids:
-        ids, keys, starts, sizes, hashes = map(np.concatenate, (ids, keys, starts, sizes, hashes))
-        run = np.repeat(np.arange(len(ids)), sizes)
-        gone = np.flatnonzero(ids[run] > smallest_of_group(hashes, ids[run]))
-        if len(gone):
-            run_gone = run[gone]
-            offset = np.r_[0, np.cumsum(sizes)[:-1]]
-            pos = starts[run_gone] + gone - offset[run_gone]
-            head = runs_of(run_gone, gone - np.arange(len(gone)))
-            size = np.diff(np.r_[head, len(gone)])
-            r, s = run_gone[head], pos[head]
-            parts.append(np.stack([ids[r], keys[r], s, s + size + width - 1]))
-    out = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
-    return pa.table({"doc_id": pa.array(out[0], mask=out[0] == NO_ID), "_key": out[1], "s": out[2], "e": out[3]})
+            none = pa.array([None] * len(r), pa.list_(pa.int64()))
+            out.append((keys[r] ^ s, ids[r], keys[r], s, s + size + width - 1, none))  # any key will do
+        row, pos, hashes, least = (x[~gone] for x in (row, pos, hashes, least))
+        head = runs_of(least, row, pos - np.arange(len(pos)))
+        if len(head):
+            ends = np.r_[head, len(row)]
+            r = row[head]
+            out.append((least[head].view(np.int64), ids[r], keys[r], pos[head], pos[head] + np.diff(ends), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))))
+        for columns in out:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), columns[5]], names=[x.split()[0] for x in RUN.split(", ")])
+
+
+def counted(runs: DataFrame, width: int, partitions: int) -> DataFrame:
+    """(doc_id, _key, spans) of runs of windows: places whose hash a smaller doc_id holds too; intervals that are decided pass through.
+
+    One shuffle, of packed runs by key; smallest ids of hashes and intervals of runs are found inside its partitions.
+    """
+    met = runs.repartition(partitions, "least").select("least", "doc_id", "_key", "s", "e", F.posexplode_outer("hashes").alias("_at", "hash"))
+    smaller = F.min("doc_id").over(Window.partitionBy("hash", "least"))
+    gone = met.withColumn("_least_id", smaller).filter(F.col("hash").isNull() | (F.col("doc_id") > F.col("_least_id")))
+    places = gone.groupBy("least", "doc_id", "_key", "s", "e").agg(F.array_sort(F.collect_list(F.col("s") + F.col("_at"))).alias("_p"))
+    span = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
+    low, high = F.get("_p", F.lit(0)), F.get("_p", F.size("_p") - 1)
+    spans = F.when(F.size("_p") == 0, F.array(span(F.col("s"), F.col("e")))).when(high - low + 1 == F.size("_p"), F.array(span(low, high + width))).otherwise(F.transform("_p", lambda p: span(p, p + width)))
+    return places.select("doc_id", "_key", spans.alias("spans"))
 
 
 def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, _key, spans): word intervals [s, e), per document, that a smaller doc_id holds too; _key is xxhash64 of the text."""
-    bits = bucket_bits(input_bytes(docs))
+    passes, partitions = passes_and_partitions(input_bytes(docs))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("_key"))
-    packed = keyed.mapInArrow(lambda it: pack_windows(it, width, bits), "bucket int, runs binary, local binary")
-    found = packed.groupBy("bucket").applyInArrow(lambda t: settle_bucket(t, width), "doc_id long, _key long, s long, e long")
-    return found.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    found = None
+    for part in range(passes):
+        own = counted(keyed.mapInArrow(lambda it, part=part: pack_windows(it, width, part, passes), RUN), width, partitions)
+        if passes > 1:
+            own = staged(own, "intervals")
+        found = own if found is None else found.union(own)
+    spans = F.array_distinct(F.array_sort(F.flatten(F.collect_list("spans"))))
+    return found.groupBy("doc_id", "_key").agg(spans.alias("spans")).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:

@@ -22,6 +22,10 @@ from lodestone.llm import ann, common, components, decontam, licenses, packing,
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def sentence(rnd, n, words):
+    return " ".join(rnd.choice(words) for _ in range(n))
+
+
 def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t)
 
@@ -304,17 +308,53 @@ def test_substrings(some, width):
     assert got == plain_cut(rows, width)
 
 
-def test_substrings_in_small_slices(some, monkeypatch):
+def gone_words(packed, width):
+    """Removed places by document, from runs and intervals, by plain counting."""
+    gone, least, held = defaultdict(set), {}, []
+    for r in packed.to_pylist():
+        if r["hashes"] is None:
+            gone[r["doc_id"]] |= set(range(r["s"], r["e"]))
+        for k, h in enumerate(r["hashes"] or []):
+            held.append((h, r["doc_id"], r["s"] + k))
+            least[h] = min(least.get(h, r["doc_id"]), r["doc_id"])
+    for h, d, at in held:
+        if d > least[h]:
+            gone[d] |= set(range(at, at + width))
+    return {k: len(v) for k, v in gone.items() if v}
+
+
+@pytest.mark.parametrize("remembered", [1, 40, 1 << 20])
+def test_substrings_in_small_slices(some, monkeypatch, remembered):
     rows = sorted((r.doc_id, r.text) for r in some.collect())
+    random.Random(2).shuffle(rows)  # smaller ids after larger ones
     table = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(range(len(rows)), pa.int64())], names=["doc_id", "text", "_key"])
     monkeypatch.setattr(substrings, "small_slices", lambda it, c: common.small_slices(it, c, 3000))
-    packed = pa.Table.from_batches(substrings.pack_windows(iter([table]), 10, 10))
-    gone = defaultdict(set)
-    for b in sorted(set(packed.column("bucket").to_pylist())):
-        found = substrings.settle_bucket(packed.filter(pa.compute.equal(packed.column("bucket"), b)), 10)
-        for r in found.to_pylist():
-            gone[r["doc_id"]] |= set(range(r["s"], r["e"]))
-    assert {k: n for k, _, n, _ in plain_cut(rows, 10) if n} == {k: len(v) for k, v in gone.items() if v}
+    monkeypatch.setattr(substrings, "REMEMBERED", remembered)
+    want = {k: n for k, _, n, _ in plain_cut(rows, 10) if n}
+    assert gone_words(pa.Table.from_batches(substrings.pack_windows(iter([table]), 10)), 10) == want
+    parts = [pa.Table.from_batches(substrings.pack_windows(iter([table]), 10, part, 3)) for part in range(3)]
+    assert all(len(p) for p in parts)
+    for p in parts:  # a key is in one pass only
+        others = {k for q in parts if q is not p for k in q.filter(pa.compute.is_valid(q.column("hashes"))).column("least").to_pylist()}
+        assert not others & set(p.filter(pa.compute.is_valid(p.column("hashes"))).column("least").to_pylist())
+    assert gone_words(pa.concat_tables(parts), 10) == want
+
+
+def test_passes_over_large_inputs(some, monkeypatch):
+    assert substrings.passes_and_partitions(1) == (1, 1) and substrings.passes_and_partitions(10**14)[0] > 20 and substrings.passes_and_partitions(10**14)[1] <= substrings.MOST_PARTITIONS
+    monkeypatch.setattr(substrings, "passes_and_partitions", lambda size: (3, 2))
+    rows = [(r.doc_id, r.text) for r in some.collect()]
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(some, 10).collect()) == plain_cut(rows, 10)
+
+
+def test_a_passage_in_most_documents(spark):
+    rnd = random.Random(6)
+    words = [a + b for a in "bcdfgh" for b in "aeiou"]
+    passage = sentence(rnd, 80, words)
+    rows = [(k, f"{sentence(rnd, 60, words)} {passage} {sentence(rnd, 55, words)}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(df).collect()}
+    assert got == {k: 0 if k == 0 else 80 for k in range(600)}
 
 
 def test_substrings_odd(odd, odd_rows, none):
