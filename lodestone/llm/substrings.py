@@ -39,6 +39,12 @@ def passes_and_partitions(size: int) -> tuple[int, int]:
     return passes, max(1, min(MOST_PARTITIONS, -(-size // (PARTITION * passes))))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Catalyst's estimate of the input's size; where that is unknown or from a terabyte on, half the bytes of all texts, counted."""
+    size = input_bytes(docs)
+    return size if size < 1 << 40 else int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // 2
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     have = 1
     while have * 2 <= width:
@@ -49,6 +55,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def smallest_of_group(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each entry the smallest id among entries with its hash."""
+    if not len(hashes):
+        return ids
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
     heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
@@ -163,7 +171,7 @@ def counted(runs: DataFrame, width: int, partitions: int) -> DataFrame:
 
 def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, _key, spans): word intervals [s, e), per document, that a smaller doc_id holds too; _key is xxhash64 of the text."""
-    passes, partitions = passes_and_partitions(input_bytes(docs))
+    passes, partitions = passes_and_partitions(text_bytes(docs))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("_key"))
     found = None
     for part in range(passes):
