@@ -351,7 +351,7 @@ def test_a_passage_in_most_documents(spark):
     rnd = random.Random(6)
     words = [a + b for a in "bcdfgh" for b in "aeiou"]
     passage = sentence(rnd, 80, words)
-    rows = [(k, f"{sentence(rnd, 60, words)} {passage} {sentence(rnd, 55, words)}") for k in range(600)]
+    rows = [(k, f"{sentence(rnd, 60, words)} x{k} {passage} y{k} {sentence(rnd, 55, words)}") for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(df).collect()}
     assert got == {k: 0 if k == 0 else 80 for k in range(600)}
