@@ -11,16 +11,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the setting is missing, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the setting is missing and the master is local, as in tests."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _FALLBACK:
         _FALLBACK[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return _FALLBACK[sc.applicationId]
@@ -50,6 +53,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """As staged, at a path that the caller removes when nothing reads it any more."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+LEAST_HOT, MOST_HOT = 512, 2000
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame | None:
+    """Keys with over `LEAST_HOT` rows and over 1 / `MOST_HOT` of all rows, so at most `MOST_HOT` of them; none is None."""
+    found = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > max(LEAST_HOT, total // MOST_HOT)).select(key).collect() if total > LEAST_HOT else []
+    return rows.sparkSession.createDataFrame([tuple(r) for r in found], rows.select(key).schema) if found else None
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """big joined with small (unique keys) on a key that a large share of big's `total` rows may have: hot keys meet their few rows of small by broadcast, the rest by shuffle."""
+    hot = hot_keys(big, key, total)
+    if hot is None:
+        return big.join(small, key)
+    few = F.broadcast(small.join(F.broadcast(hot), key, "left_semi"))  # at most MOST_HOT rows
+    return big.join(few, key).unionByName(big.join(F.broadcast(hot), key, "left_anti").join(small, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

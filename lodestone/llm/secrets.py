@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -141,13 +143,13 @@ class Lexed:
                 if r in defined and r != n:
                     users.setdefault(r, set()).add(n)
         best = {n: (name_weight(n), n) for n in defined}
-        ready = sorted(defined, key=lambda n: (-best[n][0], n))
+        ready = deque(sorted(defined, key=lambda n: (-best[n][0], n)))
         sources: dict[str, list[str]] = {}
         for r, ns in users.items():
             for n in ns:
                 sources.setdefault(n, []).append(r)
         while ready:  # the most sensitive name flows back to what its value is made of
-            n = ready.pop(0)
+            n = ready.popleft()
             for r in sources.get(n, ()):
                 if best[n][0] > best[r][0]:
                     best[r] = best[n]
@@ -171,8 +173,10 @@ def find(text: str) -> list[dict]:
     base = base_spans(text)
     out = [{"kind": KINDS[k], "start": a, "end": b, "name": None, "score": 1.0} for a, k, b in base]
     if "=" in text or ":" in text:
+        starts, reach = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))  # how far the base spans up to one go
         for a, b, name, score in Lexed(text).findings():
-            if not any(x <= a and b <= y for x, _, y in base):
+            k = bisect_right(starts, a)
+            if not k or reach[k - 1] < b:
                 out.append({"kind": "literal", "start": a, "end": b, "name": name, "score": score})
     return sorted(out, key=lambda x: (x["start"], KINDS.index(x["kind"]), x["end"]))
 

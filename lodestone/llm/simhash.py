@@ -6,7 +6,7 @@ Index: the top nodes are masked bit patterns.  The 64 bits fall into six blocks;
 at most, at least two blocks agree, so the 15 choices of two agreeing blocks find every link.  A node with more than `NODE_CAP`
 fingerprints gets lower nodes: its free bits fall into six blocks again.  Two rounds of that leave 28 free bits, three 19, so a node
 is bounded.  Within a node fingerprints stand in Gray order, leaves hold 64 of them and factor out the bits they share; a pair of leaves is compared
-only if the shared patterns of their parents, then their own, differ in four bits at most.  A node passes on a spanning set of links, not all
+only if the shared patterns of their parents, then their own, differ in four bits at most; a node of up to eight is one leaf.  A node passes on a spanning set of links, not all
 pairs; links between different fingerprints are never lost to components, as all pairs not yet joined are compared.
 
 Defined cases: null or empty text has fingerprint zero, linked like any other; fewer than four words are one shingle; equal texts
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, small_slices, staged, table
+from .common import fresh, join_hot, small_slices, staged, table
 from .components import components
 
 LIMIT = 4
@@ -160,7 +160,7 @@ def link_nodes(batches: Iterator[pa.RecordBatch], limit: int = LIMIT) -> Iterato
         sizes = np.diff(np.r_[heads, len(node)])
         a, b = [], []
         small = np.repeat(sizes <= 8, sizes)
-        for lag in range(1, 8):  # nodes of up to eight: all pairs, side by side
+        for lag in range(1, 8):  # leaves by themselves: their pairs side by side, all such nodes at once
             if len(node) <= lag:
                 break
             hit = np.flatnonzero((node[lag:] == node[:-lag]) & small[lag:] & (np.bitwise_count(fp[lag:] ^ fp[:-lag]) <= limit))
@@ -200,14 +200,19 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def members(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """rows, which have doc_id and fp, with component (a fingerprint) and component_id (the smallest doc_id of the component)."""
+    """rows, which have doc_id and fp, with component (a fingerprint) and component_id (the smallest doc_id of the component).
+
+    A fingerprint, or a component, that a large share of the rows has meets its one row by broadcast (join_hot), whatever its size.
+    """
     fps = staged(rows, "fingerprints")
-    groups = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
+    groups = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("fps")).first()
     member = components(links(groups.select("fp"), limit))
     joined = groups.join(member, groups["fp"] == member["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    joined = staged(joined, "components")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = joined.join(least, "component").select("fp", "component", "component_id")
-    return fps.join(of_fp, "fp")
+    of_fp = join_hot(joined.select("fp", "component"), least, "component", total["fps"])
+    return join_hot(fps, of_fp, "fp", total["rows"])
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -222,9 +227,9 @@ def one_of_each(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     told = lambda doc_id, text_hash: (doc_id.isNull().alias(none), F.coalesce(doc_id, F.lit(0)).alias(number), text_hash.alias(key))
     found = members(fingerprints(docs, keyed=True), limit).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     heads = found.groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key")).select(*told(F.col("doc_id"), F.col("key")))
-    joined = docs.select("*", *told(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(heads, row_key)
-    one = Window.partitionBy(*row_key).orderBy(F.xxhash64("text"))  # the same row again
-    return joined.withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
+    one = Window.partitionBy(*row_key).orderBy(key)  # the same row again; the limit of ranks works before the shuffle too, so a row repeated many times is no task of its own
+    rows = docs.select("*", *told(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1)
+    return rows.join(heads, row_key).select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

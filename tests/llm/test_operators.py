@@ -121,6 +121,29 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99}
 
 
+def test_hubs_and_hot_keys(spark):
+    star = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(30)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(3000), 0), **dict.fromkeys(range(5000, 5031), 5000)}
+    big = spark.createDataFrame([(k, 7 if k % 3 == 0 else k) for k in range(6000)], "id long, fp long")
+    small = spark.createDataFrame([(k, k * 2) for k in range(0, 6000)], "fp long, twice long")
+    assert [r[0] for r in common.hot_keys(big, "fp", 6000).collect()] == [7] and common.hot_keys(big.filter("fp <> 7"), "fp", 4000) is None
+    joined = {(r.id, r.fp, r.twice) for r in common.join_hot(big, small, "fp", 6000).collect()}
+    assert joined == {(k, f, 2 * f) for k in range(6000) for f in [7 if k % 3 == 0 else k]}
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rnd = random.Random(4)
+    words = [a + b + c for a in "bcdfgh" for b in "aeiou" for c in ("n", "st", "l", "mo")]
+    one = sentence(rnd, 60, words)
+    rows = [(k, one if k % 3 == 0 else sentence(rnd, 40, words)) for k in range(2400)] + [(None, one)] * 700
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id is None or r.doc_id % 3 == 0} == {0}
+    kept = simhash.one_of_each(df).collect()
+    assert sum(r.text == one for r in kept) == 1 and {r.doc_id for r in kept} == {r.component_id for r in got}
+
+
 # ---------------------------------------------------------------- 2 secrets
 
 
