@@ -68,13 +68,17 @@ def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame | None:
     return rows.sparkSession.createDataFrame([tuple(r) for r in found], rows.select(key).schema) if found else None
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
-    """big joined with small (unique keys) on a key that a large share of big's `total` rows may have: hot keys meet their few rows of small by broadcast, the rest by shuffle."""
+def join_hot(big: DataFrame, small: DataFrame, key: str, total: int, partitions: int | None = None) -> DataFrame:
+    """big joined with small (unique keys) on a key that a large share of big's `total` rows may have: hot keys meet their few rows of small by broadcast, the rest by shuffle.
+
+    With `partitions` the shuffle deals both sides into as many, for rows that are large.
+    """
+    dealt = lambda df: df.repartition(partitions, key) if partitions else df
     hot = hot_keys(big, key, total)
     if hot is None:
-        return big.join(small, key)
+        return dealt(big).join(dealt(small), key)
     few = F.broadcast(small.join(F.broadcast(hot), key, "left_semi"))  # at most MOST_HOT rows
-    return big.join(few, key).unionByName(big.join(F.broadcast(hot), key, "left_anti").join(small, key))
+    return big.join(few, key).unionByName(dealt(big.join(F.broadcast(hot), key, "left_anti")).join(dealt(small), key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """WARC archives and a merged capture index.
 
 Writing: every page becomes a WARC/1.1 record.  Of pages with equal payloads (SHA-1) the one with the smallest page_id is a response, the others are
-revisits that refer to it.  Spark's own writer puts the records into gzipped archives, so its commit protocol keeps lost executors from leaving halves.
-Reading: archives are parsed where they lie; each file gives capture runs sorted by URL key, timestamp and page_id, which are written beside them.
-Index merge: runs are dealt out by ranges of (URL key, timestamp, page_id), so that one site or one URL never has to fit one task, and every range
-merges its pieces of runs with a loser tree.  The result, in partition order, is the globally ordered capture history.
+revisits that refer to it.  A payload that a large share of all pages has never meets in one task (join_hot).  Each record is a gzip member of its own, so places in
+the index can be sought; Spark's own writer puts the members into archives, so its commit protocol keeps lost executors from leaving halves.
+An archive holds at most `RECORDS_PER_FILE` records of a partition, and partitions hold about `PARTITION` bytes of payload.
+Reading: archives are parsed where they lie, member by member; each file gives capture runs sorted by URL key, timestamp and page_id, which are written beside them.
+Index merge: runs are dealt out by ranges of (URL key, timestamp, page_id, file, offset), about `RANGE` entries each however many there are, so that one site or one URL
+never has to fit one task.  A range holds its entries as Arrow columns, cuts them where the order breaks, which gives back the pieces of runs, and merges these with
+a loser tree; nothing is sorted again.  The result, in partition order, is the globally ordered capture history.
 
 Defined cases: null payload is empty, null url makes a record without a target and an empty URL key; control characters of a url are percent-coded;
 a null page_id counts as larger than any other and is written as "null"; rows that repeat page_id and payload are responses each if that id is the smallest;
@@ -14,21 +17,23 @@ columns beyond page_id, url, html and the optional timestamp column are ignored;
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, staged, table
+from .common import join_hot, new_path, small_slices, staged, table
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z, of records without a timestamp column
 RECORDS_PER_FILE = 2000
+PARTITION, RANGE = 64 << 20, 200_000
 NO_ID = (1 << 63) - 1
 
 
@@ -42,14 +47,15 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def records(pages: DataFrame, timestamp: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """(record) of every page: WARC headers and block, without the two line ends that close a record."""
+    """(record) of every page: WARC headers, block and the two line ends that close a record."""
     when = F.col(timestamp) if timestamp else F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(1_000_000_000)))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date")
     ).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
-    least = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.min(F.coalesce("page_id", F.lit(NO_ID))).alias("least"))
-    joined = rows.join(least, "sha", "left")
-    revisit = F.col("least").isNotNull() & (F.coalesce("page_id", F.lit(NO_ID)) != F.col("least"))
+    least = rows.select("sha", F.coalesce("page_id", F.lit(NO_ID)).alias("id")).groupBy("sha").agg(F.min("id").alias("least"))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes")).first()
+    joined = join_hot(rows, least, "sha", size["n"], max(1, -(-size["bytes"] // PARTITION)))
+    revisit = (F.octet_length("payload") >= min_bytes) & (F.coalesce("page_id", F.lit(NO_ID)) != F.col("least"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), "[\\x00-\\x1f]", "%00")
@@ -67,11 +73,47 @@ def records(pages: DataFrame, timestamp: str | None = None, min_bytes: int = 0)
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return joined.select(F.concat(head, block).alias("record"))
+    return joined.select(F.concat(head, block, F.lit("\r\n\r\n")).alias("record"))
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member of a record; it is closed by a zero byte (the highest of a length below 16 MB), for longer records by an empty member after it."""
+
+    def packed(x: bytes) -> bytes:
+        deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return deflate.compress(x) + deflate.flush()
+
+    one = packed(record)
+    return one if one[-1] == 0 else one + packed(b"")
+
+
+def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records to members without their last byte, which the writer puts between them as its line end."""
+    for batch in small_slices(batches, "record", 16 << 20):
+        out = [member(x.as_buffer())[:-1] for x in batch.column("record")]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
 
 def write_archives(pages: DataFrame, path: str, **options: Any) -> None:
-    records(pages, **options).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Archives of gzip members below a path.  The text writer writes the bytes of a string as they are, and every member ends with its line end, a zero byte."""
+    members = records(pages, **options).mapInArrow(member_rows, "member binary").select(F.col("member").cast("string").alias("value"))
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
+
+def open_members(data: Any, chunk: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of the members of an archive that hold anything."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        inflate, out, to = zlib.decompressobj(31), [], at
+        while not inflate.eof:
+            if to >= len(view):
+                raise ValueError(f"the member at offset {at} doesn't end")
+            out.append(inflate.decompress(view[to : to + chunk]))
+            to += len(view[to : to + chunk])
+        to -= len(inflate.unused_data)
+        if content := b"".join(out):
+            yield at, to - at, content
+        at = to
 
 
 def url_key(url: str | None) -> str:
@@ -88,20 +130,17 @@ def url_key(url: str | None) -> str:
     return (key + (f"?{parts.query}" if parts.query else "")).lower()
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
-    """(offset, length, headers, block) of every record of an uncompressed archive."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at offset {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        end = stop + 4 + int(headers["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at offset {at} doesn't end where its length says")
-        yield at, end + 4 - at, headers, view[stop + 4 : end]
-        at = end + 4
+def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], memoryview]:
+    """(headers, block) of the one record that a member holds; `at` names it in errors."""
+    stop = data.find(b"\r\n\r\n")
+    lines = data[: max(stop, 0)].decode("utf-8").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"no record at offset {at}")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    end = stop + 4 + int(headers["content-length"])
+    if data[end:] != b"\r\n\r\n":
+        raise ValueError(f"the record at offset {at} doesn't end where its length says")
+    return headers, memoryview(data)[stop + 4 : end]
 
 
 def _id(name: str | None) -> int | None:
@@ -134,12 +173,11 @@ def order_of(entry: dict[str, Any]) -> tuple:
 
 
 def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Archives to runs: the entries of a file, sorted, with the file as the run's name."""
+    """Archives to runs: the entries of a file, sorted, with the file as the run's name and the place of the member."""
     for batch in batches:
         for k in range(batch.num_rows):
             name = batch.column("path")[k].as_py().rpartition("/")[2]
-            data = gzip.decompress(batch.column("content")[k].as_buffer())
-            entries = sorted(({**capture(h, b), "file": name, "offset": at, "length": n} for at, n, h, b in parse_archive(data)), key=order_of)
+            entries = sorted(({**capture(*parse_record(x, at)), "file": name, "offset": at, "length": n} for at, n, x in open_members(batch.column("content")[k].as_buffer())), key=order_of)
             yield pa.RecordBatch.from_pylist(entries, schema=_ENTRY)
 
 
@@ -185,28 +223,25 @@ class LoserTree:
 
 
 def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range: its pieces of runs, each sorted, merged."""
-    runs: dict[str, list[dict[str, Any]]] = {}
-    for batch in batches:
-        for x in batch.to_pylist():
-            runs.setdefault(x["file"], []).append(x)
-    for run in runs.values():  # already in order unless the shuffle took a run's blocks out of turn; then this costs one pass
-        run.sort(key=order_of)
-    out: list[dict[str, Any]] = []
-    for x in LoserTree(list(runs.values()), order_of):
-        out.append(x)
-        if len(out) == 4096:
-            yield pa.RecordBatch.from_pylist(out, schema=_ENTRY)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema=_ENTRY)
+    """One range: its pieces of runs, wherever the order of its entries breaks, merged."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    ids = rows.column("page_id").fill_null(NO_ID)
+    keys = list(zip(*(c.to_pylist() for c in (rows.column("urlkey"), rows.column("timestamp"), ids, rows.column("file"), rows.column("offset"))), strict=True))
+    cuts = [0, *(k for k in range(1, len(keys)) if keys[k] < keys[k - 1]), len(keys)]
+    order = np.fromiter(LoserTree([range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], keys.__getitem__), np.int64, len(keys))
+    for at in range(0, len(order), 8192):
+        yield from rows.take(pa.array(order[at : at + 8192])).combine_chunks().to_batches()
 
 
 def capture_history(spark, path: str) -> DataFrame:
     """The merged index of all archives under a path, in order of partitions."""
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     runs = staged(archives.mapInArrow(run_rows, ENTRY), "capture-runs")
-    dealt = runs.repartitionByRange(F.col("urlkey"), F.col("timestamp"), F.col("page_id"))
+    ranges = max(1, -(-runs.count() // RANGE))
+    dealt = runs.repartitionByRange(ranges, "urlkey", "timestamp", F.coalesce("page_id", F.lit(NO_ID)), "file", "offset")
     return dealt.mapInArrow(merge_rows, ENTRY)
 
 

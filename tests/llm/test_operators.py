@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import heapq
 import random
@@ -427,6 +428,34 @@ def test_warc_round_trip(spark):
     assert order == sorted(order)
 
 
+def test_places_in_the_index_can_be_sought(spark):
+    rnd = random.Random(7)
+    rows = [(k, f"http://h{k % 5}.org/{k}", "same" * 300 if k % 3 else "".join(rnd.choice("abc <p>é") for _ in range(rnd.randrange(900))), k) for k in range(2300)]
+    rows.append((9999, "http://long.org/", "x" * (17 << 20), 1))
+    path = common.new_path(spark, "archives")
+    warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(2), path)
+    files = {p.name: p.read_bytes() for p in Path(path.removeprefix("file://")).glob("part-*")}
+    got = warc.capture_history(spark, path).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
+    for r in got:
+        one = gzip.decompress(files[r.file][r.offset : r.offset + r.length])  # the member alone
+        headers, block = warc.parse_record(one)
+        assert headers["warc-record-id"] == f"<urn:page:{r.page_id}>" and (r.record_type == "revisit" or bytes(block).endswith(rows[min(r.page_id, 2300)][2].encode()))
+    assert sum(len(gzip.decompress(f)) for f in files.values()) == sum(len(x) for f in files.values() for _, _, x in warc.open_members(f))
+    assert max(Counter(r.file for r in got).values()) <= warc.RECORDS_PER_FILE
+    with pytest.raises(ValueError):
+        list(warc.open_members(next(iter(files.values()))[:-1]))
+
+
+def test_ranges_merge_pieces_of_runs():
+    rnd = random.Random(3)
+    entries = [{"urlkey": f"k{rnd.randrange(9)}", "timestamp": f"t{rnd.randrange(3)}", "page_id": rnd.choice([None, k]), "file": f"f{k % 4}", "offset": k} for k in range(500)]
+    pieces = [sorted(entries[a : a + 37], key=warc.order_of) for a in range(0, 500, 37)]
+    batches = [pa.RecordBatch.from_pylist(x, schema=warc._ENTRY) for p in pieces for x in (p[:11], p[11:])]
+    out = pa.Table.from_batches(list(warc.merge_rows(iter(batches)))).to_pylist()
+    assert [warc.order_of(x) for x in out] == sorted(map(warc.order_of, entries)) and list(warc.merge_rows(iter([]))) == []
+
+
 def test_warc_odd(spark):
     path = common.new_path(spark, "archives")
     warc.write_archives(spark.createDataFrame([], PAGES), path)
