@@ -4,7 +4,8 @@ A shard is a slice of documents (about 4 MB of text).  Its words become symbols;
 of an occurrence, so the index keeps only maximal runs of benchmark words that are long enough, each ended by a separator.
 Windows are searched from their last word to their first by ranks in a wavelet matrix over the Burrows-Wheeler transform,
 all windows side by side; occurrences are located by walking back to sampled suffix positions, and overlapping ones merge into spans.
-Documents are never shuffled.  The benchmark travels to the executors in blocks of at most `BLOCK_CHARS` characters, whatever its size.
+The benchmark travels to the executors in blocks of about `BLOCK_CHARS` characters.  With one block, the usual case, documents are never shuffled.  With more, each block is a job
+of its own that writes its hits to the shared folder and then lets go of its broadcast, so at no time is more than one block held; hits meet the documents once at the end.
 
 Defined cases: null or empty text has no words; an item of one to nine words is one window of its words; an item without words never
 hits; items with equal item_id count once; a null item_id is named "null"; repeated documents are judged row by row;
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, fresh, small_slices, table, word_hashes
+from .common import ALNUM, Words, fresh, new_path, small_slices, table, word_hashes
 
 WIDTH = 10
 BLOCK_CHARS = 4_000_000
@@ -157,11 +158,16 @@ class Phrases:
 
 
 SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-FOUND = "doc_id long, text string, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
+FOUND = "doc_id long, _key long, text string, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
+
+
+def merged(marks: np.ndarray) -> list[dict]:
+    flips = np.flatnonzero(np.diff(np.r_[0, marks.astype(np.int8), 0]))
+    return [{"s": s, "e": e} for s, e in flips.reshape(-1, 2).tolist()]
 
 
 def scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, spans, items) with the spans and items of one more block of the benchmark."""
+    """Rows (doc_id, _key, text) with the merged spans of their words that windows cover, and the items these come from."""
     for batch in small_slices(batches, "text"):
         words = Words(batch.column("text"), ALNUM, lower=True)
         which, place = phrases.occurrences(words)
@@ -170,34 +176,75 @@ def scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, keep_text: bool) -
         np.add.at(edge, place, 1)
         np.add.at(edge, place + phrases.lengths[which], -1)
         covered = np.cumsum(edge[:-1]) > 0
-        spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-        marks = covered.copy()
-        touched = set(np.unique(row).tolist())
-        for k in touched:
-            items[k] = sorted({*items[k], *(x for w in np.unique(which[row == k]).tolist() for x in phrases.items[w])})
-        for k in range(words.rows):
-            a, b = int(words.first[k]), int(words.first[k + 1])
-            if k in touched:
-                for x in spans[k]:
-                    marks[a + x["s"] : a + x["e"]] = True
-                flips = np.flatnonzero(np.diff(np.r_[0, marks[a:b].astype(np.int8), 0]))
-                spans[k] = [{"s": s, "e": e} for s, e in flips.reshape(-1, 2).tolist()]
+        spans, items = [[] for _ in range(words.rows)], [[] for _ in range(words.rows)]
+        pair = np.unique(row * max(1, len(phrases.items)) + which)  # by row the windows that hit it, each once
+        for own in np.split(pair, np.flatnonzero(np.diff(pair // max(1, len(phrases.items)))) + 1) if len(pair) else ():
+            k = int(own[0] // len(phrases.items))
+            items[k] = sorted({x for w in (own % len(phrases.items)).tolist() for x in phrases.items[w]})
+            spans[k] = merged(covered[words.first[k] : words.first[k + 1]])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text") if keep_text else pa.nulls(words.rows, pa.string()), pa.array(np.diff(words.first), pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
-            names=["doc_id", "text", "n_words", "spans", "items"],
+            [batch.column("doc_id"), batch.column("_key"), batch.column("text") if keep_text else pa.nulls(words.rows, pa.string()), pa.array(np.diff(words.first), pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
+            names=[x.split()[0] for x in FOUND.split(", ")],
         )
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True, width: int = WIDTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, text, n_words, spans, items): merged word spans that benchmark windows cover, and the items they come from.
+def join_spans(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, _key, text, spans, items) with the spans of several blocks as merged ones, and n_words."""
+    for batch in small_slices(batches, "text"):
+        words = Words(batch.column("text"), ALNUM, lower=True)
+        n_words = np.diff(words.first)
+        spans = batch.column("spans").to_pylist()
+        for k, own in enumerate(spans):
+            if own:
+                marks = np.zeros(int(n_words[k]), dtype=bool)
+                for x in own:
+                    marks[x["s"] : x["e"]] = True
+                spans[k] = merged(marks)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("_key"), batch.column("text") if keep_text else pa.nulls(words.rows, pa.string()), pa.array(n_words, pa.int64()), pa.array(spans, SPANS), batch.column("items")],
+            names=[x.split()[0] for x in FOUND.split(", ")],
+        )
+
+
+def phrases_of(benchmark: DataFrame, width: int, blocks: int, k: int) -> Phrases:
+    own = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").collect()
+    return Phrases([r[0] for r in own], [r[1] for r in own], width)
+
+
+def blocks_of(benchmark: DataFrame, block_chars: int) -> int:
+    total = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    return max(1, -(-int(total) // block_chars))
 
-    A block of the benchmark holds about `block_chars` characters, so what is broadcast doesn't grow with the benchmark; each further block is
-    one more pass over the words inside the same stage.
-    """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<s:long,e:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for phrases, last in blocks_of(docs.sparkSession, benchmark, width, block_chars):
-        out = out.mapInArrow(lambda it, p=phrases, kept=keep_text or not last: scan(it, p.value, kept), FOUND)
-    return out
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_key"), "text")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, width: int, blocks: int) -> DataFrame:
+    """(doc_id, _key, spans, items) of the rows that any of several blocks hits; equal rows have one."""
+    spark = docs.sparkSession
+    path = new_path(spark, "hits")
+    for k in range(blocks):
+        sent = spark.sparkContext.broadcast(phrases_of(benchmark, width, blocks, k))
+        found = keyed(docs).mapInArrow(lambda it, sent=sent: scan(it, sent.value, False), FOUND)
+        found.filter(F.size("spans") > 0).select("doc_id", "_key", "spans", "items").write.mode("append").parquet(path)
+        sent.unpersist()
+    read = spark.read.schema(", ".join(x for x in FOUND.split(", ") if x.split()[0] in ("doc_id", "_key", "spans", "items"))).parquet(path)
+    whole = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    return read.groupBy("doc_id", "_key").agg(whole("spans"), whole("items"))
+
+
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True, width: int = WIDTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, text, n_words, spans, items): merged word spans that benchmark windows cover, and the items they come from."""
+    blocks = blocks_of(benchmark, block_chars)
+    if blocks == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(phrases_of(benchmark, width, 1, 0))
+        return keyed(docs).mapInArrow(lambda it: scan(it, sent.value, keep_text), FOUND).drop("_key")
+    found = hits(docs, benchmark, width, blocks).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), "spans", "items")
+    joined = keyed(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    rows = joined.select("doc_id", "_key", "text", none("spans", "array<struct<s:long,e:long>>"), none("items", "array<string>"))
+    return rows.mapInArrow(lambda it: join_spans(it, keep_text), FOUND).drop("_key")
 
 
 def flag_rows(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
@@ -210,22 +257,17 @@ def flag_rows(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[p
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit)], names=batch.schema.names)
 
 
-def blocks_of(spark, benchmark: DataFrame, width: int, block_chars: int) -> Iterator:
-    """Broadcast phrases of the benchmark, block by block."""
-    total = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-int(total) // block_chars))
-    for k in range(blocks):
-        own = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Phrases([r[0] for r in own], [r[1] for r in own], width)), k == blocks - 1
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs without the rows in which a benchmark window occurs; all columns stay, nothing is shuffled."""
-    name = fresh(docs, "_hit")
-    out = docs.withColumn(name, F.lit(False))
-    for phrases, _ in blocks_of(docs.sparkSession, benchmark, width, block_chars):
-        out = out.mapInArrow(lambda it, p=phrases: flag_rows(it, p.value), out.schema)
-    return out.filter(~F.col(name)).drop(name)
+    """docs without the rows in which a benchmark window occurs; all columns stay."""
+    blocks = blocks_of(benchmark, block_chars)
+    if blocks == 1:
+        name = fresh(docs, "_hit")
+        flagged = docs.withColumn(name, F.lit(False))
+        sent = docs.sparkSession.sparkContext.broadcast(phrases_of(benchmark, width, 1, 0))
+        return flagged.mapInArrow(lambda it: flag_rows(it, sent.value), flagged.schema).filter(~F.col(name)).drop(name)
+    number, key = fresh(docs, "_id"), fresh(docs, "_of")
+    found = hits(docs, benchmark, width, blocks).select(F.col("doc_id").alias(number), F.col("_key").alias(key))
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col(number)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -640,13 +640,14 @@ def test_decontamination(spark, some, block):
     assert kept == {k for k, _, n, _ in plain_hits(texts, bench) if not n}
 
 
-def test_decontamination_odd(spark, odd, odd_rows, none):
+@pytest.mark.parametrize("block", [4_000_000, 12])
+def test_decontamination_odd(spark, odd, odd_rows, none, block):
     bench = spark.createDataFrame([(1, "one"), (2, "released UNDER the mit licence"), (3, "é ñ")], "item_id long, text string")
     want = plain_hits([(r[0], r[1]) for r in odd_rows], [(1, "one"), (2, "released UNDER the mit licence"), (3, "é ñ")])
-    assert hits(decontam.contaminated_spans(odd, bench)) == want
-    assert decontam.contaminated_spans(none, bench).count() == 0
-    assert all(not r.spans for r in decontam.contaminated_spans(odd, bench.limit(0)).collect())
-    clean = decontam.clean_documents(odd, bench)
+    assert hits(decontam.contaminated_spans(odd, bench, block_chars=block)) == want
+    assert decontam.contaminated_spans(none, bench, block_chars=block).count() == 0
+    assert all(not r.spans for r in decontam.contaminated_spans(odd, bench.limit(0), block_chars=block).collect())
+    clean = decontam.clean_documents(odd, bench, block_chars=block)
     assert clean.columns == odd.columns and clean.count() == sum(not n for _, _, n, _ in want)
 
 
