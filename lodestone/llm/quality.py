@@ -5,7 +5,7 @@ propose rules: every path from the root is a conjunction of comparisons.  Logist
 rules; the few with a weight are compiled into one Spark column over the statistics, which scores all rows.
 
 Learning: at most `MOST_ROWS` labelled rows (the smallest hashes of their ids) outside the held-out fold; the driver sees their statistics, never texts.
-Defined cases: null or empty text has statistics of zero and is scored by the same rules; rows without a label, or whose id hashes into the held-out
+Defined cases: a row with a null doc_id is scored, teaches nothing and is no held-out one; null or empty text has statistics of zero and is scored by the same rules; rows without a label, or whose id hashes into the held-out
 fold, teach nothing; with labels of one kind only, or none, their mean (0.5 without labels) is the score of every row;
 doc_ids that repeat in labels count as good if any of their rows is; columns beyond doc_id, text and quality are ignored; an empty table gives an empty result.
 """
@@ -219,4 +219,4 @@ def quality(docs: DataFrame, model: RuleModel) -> DataFrame:
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

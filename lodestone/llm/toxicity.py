@@ -6,13 +6,15 @@ to learn which.  The bias counts once a document: a sentence adds only what its
 The highest sentence is reported, and for documents that score `THRESHOLD` or more the offending sentences with their places (code points, ends exclusive):
 the fewest, highest first and then in order, without which the rest of the document scores less; every sentence that scores the threshold is one.
 
-Learning: at most `MOST_POSITIVE` + `MOST_NEGATIVE` labelled rows (the smallest hashes of their ids) reach the driver; words and prefixes (`PREFIXES` bytes)
-that occur in `MIN_ROWS` of them at least, and in labelled ones more often than chance would let any of them (Chernoff's bound over all candidates), are features; weights are fitted by proximal gradient on the noisy-or likelihood with an L1 term, so few are not zero.
+Learning: at most `MOST_POSITIVE` + `MOST_NEGATIVE` labelled rows (the smallest hashes of their ids) are the sample; words and prefixes (`PREFIXES` bytes)
+that occur in `MIN_ROWS` of them at least, and in labelled ones more often than chance would let any of them (Chernoff's bound over all candidates), are features.  They are
+counted in Spark; the driver gets, of the sample, the numbers of those features by sentence and how many sentences have none, never a text.  Weights are fitted by
+proximal gradient on the noisy-or likelihood with an L1 term, so few are not zero.
 Everything else covers all rows: whole texts are scored where they lie, nothing is shuffled.
 
 Defined cases: a null or empty text has one empty sentence and scores sigmoid(bias); rows without a label, or whose id hashes into
 the held-out fold, teach nothing; without any label, or with one kind only, the share of positives (0.5 without labels) is the score of every document;
-doc_ids that repeat in labels count as toxic if any of their rows is; columns beyond doc_id, text and toxic are ignored; an empty table gives an empty result.
+doc_ids that repeat in labels count as toxic if any of their rows is; a row with a null doc_id teaches nothing and is no held-out one; columns beyond doc_id, text and toxic are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ALNUM, U, Words, fresh, prefix_hashes, small_slices, table
+from .common import ALNUM, U, Words, fresh, prefix_hashes, small_slices, staged, table
 
 FOLDS = 5
 MOST_POSITIVE, MOST_NEGATIVE = 2000, 4000
@@ -62,24 +64,56 @@ class Bags:
         self.rows = self.words.rows
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> tuple[pa.Array, list[int]]:
-    """Texts and labels of a bounded sample of labelled rows outside the held-out fold: by label the smallest hashes of ids."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label")).dropna()
-    known = known.filter(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("_label").alias("_label"))
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """(doc_id, bad, text) of a bounded sample of labelled rows outside the held-out fold: by label the smallest hashes of ids."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("bad")).dropna()
+    known = known.filter(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("bad").alias("bad"))
     picked = None
     for value, n in most.items():
-        part = known.filter(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = known.filter(F.col("bad") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(fold("doc_id") != 0)
     joined = texts.join(F.broadcast(picked), "doc_id")  # at most the sample's bound
-    rows = joined.groupBy("doc_id", "_label").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
-    return rows.column("text").combine_chunks().cast(pa.string()), rows.column("_label").to_pylist()
+    return staged(joined.groupBy("doc_id", "bad").agg(F.min("text").alias("text")), "sample")
 
 
-def slices_of(texts: pa.Array, rows: np.ndarray, size: int = 100) -> Iterator[tuple[Bags, np.ndarray]]:
-    for at in range(0, len(rows), size):
-        part = rows[at : at + size]
-        yield Bags(texts.take(pa.array(part))), part
+def counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, bad, n): in how many toxic rows of a slice, and in how many of all, a word or prefix occurs."""
+    for batch in small_slices(batches, "text", 1 << 20):
+        row, found = row_features(Bags(batch.column("text")), None)
+        hashes, at = np.unique(found, return_inverse=True)
+        bad = np.bincount(at, weights=batch.column("bad").to_numpy()[row] > 0, minlength=len(hashes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(bad), pa.array(np.bincount(at, minlength=len(hashes)))], names=["hash", "bad", "n"])
+
+
+def chosen_features(sample: DataFrame, base: float) -> np.ndarray:
+    """Ascending hashes of the features of a sample of which a share `base` is toxic."""
+    counts = sample.mapInArrow(counted_rows, "hash long, bad long, n long").groupBy("hash").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    known = staged(counts.filter("bad >= 2"), "features")  # features that no toxic row holds can't be chosen
+    least = float(np.log(max(2, known.count())))
+    share, good = F.col("bad") / F.col("n"), F.col("n") - F.col("bad")
+    surprise = F.col("bad") * F.ln(share / base) + good * F.ln(F.greatest(1 - share, F.lit(1e-12)) / (1 - base))  # minus the log of the chance of such a share, nearly
+    told = known.filter((F.col("n") >= MIN_ROWS) & (share > base) & (surprise > least)).select("hash").toArrow()  # noisy-or only adds evidence: features that speak for the label
+    return np.sort(told.column("hash").to_numpy().view(np.uint64)) if told.num_rows else np.zeros(0, np.uint64)
+
+
+INCIDENCE = "doc_id long, bad int, plain long, sizes array<int>, features array<int>"
+
+
+def incidence_rows(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a sample as numbers: sentences without a chosen feature, and the features of each other sentence, one after the other."""
+    for batch in small_slices(batches, "text", 1 << 20):
+        bags = Bags(batch.column("text"))
+        first = np.flatnonzero(np.r_[True, np.diff(bags.sentence) > 0]) if len(bags.sentence) else np.zeros(0, int)
+        row = bags.row[first]
+        word, feature = matches(bags, chosen)
+        pair = np.unique(bags.sentence[word] * max(1, len(chosen)) + feature)
+        live, size = np.unique(pair // max(1, len(chosen)), return_counts=True)
+        per_row = lambda at: np.r_[0, np.cumsum(np.bincount(at, minlength=bags.rows))].astype(np.int32)
+        plain = np.bincount(row, minlength=bags.rows) - np.bincount(row[live], minlength=bags.rows)
+        sizes = pa.ListArray.from_arrays(pa.array(per_row(row[live])), pa.array(size.astype(np.int32)))
+        features = pa.ListArray.from_arrays(pa.array(per_row(np.repeat(row[live], size))), pa.array((pair % max(1, len(chosen))).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bad"), pa.array(plain), sizes, features], names=["doc_id", "bad", "plain", "sizes", "features"])
 
 
 def matches(bags: Bags, features: np.ndarray, maybe: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -188,45 +222,24 @@ def added(logits: np.ndarray, bias: float) -> np.ndarray:
     return np.maximum(np.logaddexp(0, logits) - np.logaddexp(0, bias), 0)
 
 
-def fit(texts: pa.Array, labels: list[int], l1: float = 2e-4, steps: int = 400, rate: float = 0.5) -> Model:
-    """Noisy-or likelihood, L1 on word weights; Adam with soft thresholds, from log-odds of a word's rows.
+def fit(sample: DataFrame, l1: float = 2e-4, steps: int = 400, rate: float = 0.5) -> Model:
+    """Noisy-or likelihood, L1 on word weights; Adam with soft thresholds.  sample: doc_id, bad, text.
 
     Here every plain sentence holds the bias, so a long clean row says something of it; scores count it once a document.
     """
-    y = np.asarray(labels, dtype=np.float64)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, float(y.mean()) if len(y) else 0.5)
-    base = y.mean()
-    good, bad = np.flatnonzero(y == 0), np.flatnonzero(y > 0)
-    vocabulary = n_bad = n_good = np.zeros(0, np.int64)
-    for bags, _ in slices_of(texts, bad):  # features that no toxic row holds can't be chosen
-        found, times = np.unique(row_features(bags, None)[1], return_counts=True)
-        both, place = np.unique(np.r_[vocabulary.astype(np.uint64), found], return_inverse=True)
-        n_bad = np.bincount(place, weights=np.r_[n_bad, times], minlength=len(both)).astype(np.int64)
-        vocabulary = both
-    vocabulary, n_bad = vocabulary[n_bad >= 2], n_bad[n_bad >= 2]
-    n_good = np.zeros(len(vocabulary), np.int64)
-    for bags, _ in slices_of(texts, good):
-        n_good += np.bincount(row_features(bags, vocabulary)[1], minlength=len(vocabulary))
-    n_rows = n_bad + n_good
-    share = n_bad / n_rows
-    surprise = n_bad * np.log(share / base) + (n_rows - n_bad) * np.log(np.maximum(1 - share, 1e-12) / (1 - base))  # minus the log of the chance of such a share, nearly
-    chosen = vocabulary[(n_rows >= MIN_ROWS) & (share > base) & (surprise > np.log(max(2, len(vocabulary))))]  # noisy-or only adds evidence: features that speak for the label
+    facts = sample.agg(F.count("*").alias("n"), F.avg("bad").alias("base")).first()
+    if not facts["n"] or facts["base"] in (0, 1):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, float(facts["base"]) if facts["n"] else 0.5)
+    chosen = chosen_features(sample, facts["base"])
     if not len(chosen):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, float(base))
-    pairs, row_live, n_live, plain = [], [], 0, np.zeros(len(y))
-    for bags, rows in slices_of(texts, np.arange(len(y))):
-        first = np.flatnonzero(np.r_[True, np.diff(bags.sentence) > 0]) if len(bags.sentence) else np.zeros(0, int)
-        row_of_sentence = rows[bags.row[first]]
-        word, feature = matches(bags, chosen)
-        pair = np.unique(bags.sentence[word] * len(chosen) + feature)
-        live, at = np.unique(pair // len(chosen), return_inverse=True)  # sentences without a feature share the bias
-        pairs.append(np.stack([at + n_live, pair % len(chosen)]))
-        row_live.append(row_of_sentence[live])
-        n_live += len(live)
-        plain += np.bincount(row_of_sentence, minlength=len(y)) - np.bincount(row_of_sentence[live], minlength=len(y))
-    s_at, w_of = np.concatenate(pairs, axis=1)
-    row_live = np.concatenate(row_live)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, float(facts["base"]))
+    held = sample.sparkSession.sparkContext.broadcast(chosen)
+    rows = sample.mapInArrow(lambda it: incidence_rows(it, held.value), INCIDENCE).toArrow().sort_by("doc_id").combine_chunks()
+    y, plain = rows.column("bad").to_numpy().astype(np.float64), rows.column("plain").to_numpy()
+    sizes, features = rows.column("sizes").combine_chunks(), rows.column("features").combine_chunks()
+    size = sizes.flatten().to_numpy()
+    row_live = np.repeat(np.arange(len(y)), sizes.value_lengths().to_numpy())
+    n_live, s_at, w_of = len(size), np.repeat(np.arange(len(size)), size), features.flatten().to_numpy()
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, bias = np.zeros(len(chosen)), MOST_BIAS
     m = v = np.zeros(len(chosen) + 1)
@@ -274,7 +287,7 @@ def bare_rows(batches: Iterator[pa.RecordBatch], model: Model, name: str) -> Ite
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*training_rows(docs, labels, "toxic", {1: MOST_POSITIVE, 0: MOST_NEGATIVE}))
+    return fit(training_rows(docs, labels, "toxic", {1: MOST_POSITIVE, 0: MOST_NEGATIVE}))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -295,4 +308,4 @@ def op5(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
     spans = F.array_join(F.transform("sentences", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
-    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_sentence", spans.alias("toxic_spans"))
+    return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_sentence", spans.alias("toxic_spans"))
