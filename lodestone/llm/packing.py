@@ -6,7 +6,7 @@ The plan is a short table of slots (length, ranks, sequences, offset); pieces ta
 Ranks come from counts by (length, salt) and row numbers inside each, so one frequent length is spread over many tasks.
 
 Token ids are those of the `tokenizers` file with add_special_tokens=False.  Its byte-level vocabulary is also at hand as ranks, which
-encode the same chunks of white space and word faster; a text with the string of a special token, or with white space beyond ASCII, is encoded whole.
+give the same ids faster; a text with the string of a special token, or with white space beyond ASCII, goes through `tokenizers` itself.
 
 Defined cases: null text is empty, and an empty text is the single id 0; repeated rows are packed each; pieces with equal ids are
 interchangeable; columns beyond doc_id and text are ignored; an empty table gives an empty result.
@@ -30,9 +30,7 @@ from .common import small_slices, staged, table
 
 SIZE = 2048
 END_ID = 0
-CACHE = 200_000
 RANK_GROUP = 200_000
-CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -42,8 +40,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder(dict):
-    """Chunks of text to their ids as little-endian unsigned 32-bit numbers; holds `CACHE` chunks at most."""
+class Encoder:
+    """Texts to their ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, json_path: str, ranks_path: str):
         import public_tokenizers
@@ -58,18 +56,12 @@ class Encoder(dict):
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = np.array(self.core(chunk), dtype="<u4").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(chunk) < 64:
-            self[chunk] = out
-        return out
-
     def ids(self, text: str) -> bytes:
         if WIDE_SPACE.search(text) or (self.special and self.special.search(text)):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, CHUNK.findall(text)))
+            found = self.whole.encode(text, add_special_tokens=False).ids
+        else:
+            found = self.core(text)
+        return np.array(found, dtype="<u4").tobytes()
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
