@@ -212,11 +212,9 @@ def test_snippet_overlap_matches_contains(spark):
 
     texts = spark.createDataFrame([(1, "Some words here that the snippet of words repeats at length today"), (2, "nothing"), (3, "xsome words here that the snippet of words repeatsy")], "doc_id int, text string")
     snippets = spark.createDataFrame([(10, "some  words here that THE snippet of words repeats"), (11, "thesnippetwithoutanyspaceinit"), (12, "short")], "item_id int, text string")
-    run = lambda: sorted((r.doc_id, r.item_id) for r in matching.snippet_overlap(texts, "doc_id", snippets, "item_id").collect())
-    assert run() == [(1, 10), (3, 10)]
-    kept, matching.SNIPPET_ROWS = matching.SNIPPET_ROWS, 0
-    assert run() == [(1, 10), (3, 10)]
-    matching.SNIPPET_ROWS = kept
+    assert sorted((r.doc_id, r.item_id) for r in matching.snippet_overlap(texts, "doc_id", snippets, "item_id").collect()) == [(1, 10), (3, 10)]
+    cut = matching.snippet_overlap(texts, "doc_id", snippets, "item_id", prefix=30)
+    assert sorted((r.doc_id, r.item_id) for r in cut.collect()) == [(1, 10), (3, 10)]
 
 
 CODE = [
