@@ -82,6 +82,12 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def casefolded(x: pd.Series) -> pd.Series:
+    """Case-folded words, joined by one space."""
+    return x.map(lambda t: None if t is None else " ".join(t.casefold().split()))
+
+
 @F.pandas_udf(T.StringType())
 def html_unescape(x: pd.Series) -> pd.Series:
     """Two rounds of all named and numeric entities."""

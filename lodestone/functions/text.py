@@ -22,8 +22,10 @@ def normalize_ws(c: Column | str) -> Column:
 
 
 def normalize_casefold(c: Column | str) -> Column:
-    """Lower case instead of full case folding: neither engine has the latter."""
-    return F.array_join(F.filter(F.split(F.lower(col(c)), r"\s+"), lambda w: w != ""), " ")
+    """Full case folding, then words joined by one space (an Arrow function: neither Spark nor SQL folds ß to ss)."""
+    from .arrays import casefolded
+
+    return casefolded(col(c))
 
 
 def word_count(c: Column | str) -> Column:

@@ -83,3 +83,9 @@ def step_split(total: int, stages: int) -> list[int]:
     """Sizes of stages; the first ones take the remainder."""
     size, more = divmod(total, stages)
     return [size + (k < more) for k in range(stages)]
+
+
+def stage_sizes(total: Column | str, stages: int) -> Column:
+    """step_split of a column, as an array."""
+    n = (F.col(total) if isinstance(total, str) else total).cast("bigint")
+    return F.transform(F.sequence(F.lit(0), F.lit(stages - 1)), lambda k: F.floor(n / stages) + (k < n % stages).cast("bigint"))

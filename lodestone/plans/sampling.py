@@ -146,9 +146,11 @@ def _(spark, sf_dir):
     return g.select("problem", F.array_join(F.transform(even_indices("n", 4), lambda x: x.cast("string")), ",").alias("places"))
 
 
-@query("step_split", oracle("SELECT CAST(s AS BIGINT) AS stage, CAST(1000 // 7 + (s < 1000 % 7)::INT AS BIGINT) AS steps FROM generate_series(0, 6) g(s)"))
+@query("step_split", "SELECT lang, CAST(s AS BIGINT) AS stage, CAST(n // 7 + (s < n % 7)::INT AS BIGINT) AS steps FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang), generate_series(0, 6) g(s)")
 def _(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(ranking.step_split(1000, 7))), "stage long, steps long")
+    """The rows of each language over seven stages."""
+    counts = load(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return counts.select("lang", F.posexplode(ranking.stage_sizes("n", 7)).alias("stage", "steps")).withColumn("stage", F.col("stage").cast("bigint"))
 
 
 @query("fact_pairs_balanced", oracle("""WITH p AS (SELECT x.id AS a, y.id AS b, length(CAST(x.id AS VARCHAR)) > length(CAST(y.id AS VARCHAR)) AS longer FROM utilities x JOIN utilities y ON x.mean >= y.mean + 0.001), r AS (SELECT *, row_number() OVER (PARTITION BY longer ORDER BY a, b) - 1 AS k, count(*) OVER (PARTITION BY longer) AS n FROM p), m AS (SELECT min(n) AS m FROM r)

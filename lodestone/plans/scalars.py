@@ -33,7 +33,7 @@ def docs(**columns):
 
 _WS = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 query("normalize_ws", f"SELECT doc_id, md5({_WS}) AS h FROM documents")(docs(h=lambda: F.md5(text.normalize_ws("text").cast("binary"))))
-query("normalize_casefold", "SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), ' ')) AS h FROM documents")(docs(h=lambda: F.md5(text.normalize_casefold("text").cast("binary"))))
+query("normalize_casefold", "SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(replace(lower(text), 'ß', 'ss'), '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]+'), lambda w: w <> ''), ' ')) AS h FROM documents")(docs(h=lambda: F.md5(text.normalize_casefold("text").cast("binary"))))
 query("word_count", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents")(docs(n=lambda: text.word_count("text")))
 _ONE = "replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"  # the entities that pages hold; the ampersand last
 _TWICE = _ONE.format(_ONE.format("html"))

@@ -191,9 +191,15 @@ def _(spark, sf_dir):
     return m.select(F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("counts"), "seed")
 
 
-@query("hash_pin", "SELECT 1 AS files, true AS pinned")
-def _(spark, sf_dir):
-    path = f"{sf_dir}/region.parquet"
-    expected = {r["file"]: r["sha256"] for r in writers.file_digests(spark, path).collect()}
-    writers.hash_pin(spark, path, expected)
-    return spark.createDataFrame([(len(expected), True)], "files int, pinned boolean")
+@query("hash_pin", "SELECT n_regionkey AS region, sha256(string_agg(n_name, chr(10) ORDER BY n_name) || chr(10)) AS sha256, true AS pinned FROM nation GROUP BY n_regionkey")
+def _(spark, sf_dir):
+    """One text file a region; its digest must be the one that its lines have."""
+    path = writers.scratch(spark, "pins")
+    names = load(spark, sf_dir, "nation").select("n_name", "n_regionkey")
+    names.repartition(1).sortWithinPartitions("n_regionkey", "n_name").select(F.col("n_name").alias("value"), "n_regionkey").write.partitionBy("n_regionkey").text(path)
+    lines = names.groupBy("n_regionkey").agg(F.concat(F.array_join(F.array_sort(F.collect_list("n_name")), "\n"), F.lit("\n")).alias("text"))
+    expected = {r["n_regionkey"]: r["sha"] for r in lines.select("n_regionkey", F.sha2("text", 256).alias("sha")).collect()}  # one row a region
+    for region, sha in expected.items():
+        (file,) = [r["file"] for r in writers.file_digests(spark, f"{path}/n_regionkey={region}").collect()]
+        writers.hash_pin(spark, f"{path}/n_regionkey={region}", {file: sha})
+    return lines.select(F.col("n_regionkey").alias("region"), F.sha2("text", 256).alias("sha256"), F.lit(True).alias("pinned"))
