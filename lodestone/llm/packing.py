@@ -64,17 +64,17 @@ class Encoder:
         return np.array(found, dtype="<u4").tobytes()
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str | None, str | None], Encoder] = {}
 
 
-def encoder(json_path: str, ranks_path: str) -> Encoder:
-    """One encoder to a Python worker."""
+def encoder(json_path: str | None = None, ranks_path: str | None = None) -> Encoder:
+    """One encoder to a Python worker, which looks for the files where it runs."""
     if (json_path, ranks_path) not in _ENCODERS:
-        _ENCODERS[json_path, ranks_path] = Encoder(json_path, ranks_path)
+        _ENCODERS[json_path, ranks_path] = Encoder(json_path or tokenizer_path(), ranks_path or tokenizer_path("byte_bpe_50k.tiktoken"))
     return _ENCODERS[json_path, ranks_path]
 
 
-def piece_rows(batches: Iterator[pa.RecordBatch], json_path: str, ranks_path: str, size: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+def piece_rows(batches: Iterator[pa.RecordBatch], json_path: str | None, ranks_path: str | None, size: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(json_path, ranks_path)
     end = np.array([END_ID], dtype="<u4").tobytes()
     for batch in small_slices(batches, "text", 16 << 20):
@@ -97,7 +97,6 @@ def piece_rows(batches: Iterator[pa.RecordBatch], json_path: str, ranks_path: st
 
 def pieces(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, size: int = SIZE, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every row."""
-    json_path, ranks_path = json_path or tokenizer_path(), ranks_path or tokenizer_path("byte_bpe_50k.tiktoken")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: piece_rows(it, json_path, ranks_path, size, keep_ids), schema)
 
