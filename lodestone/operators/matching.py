@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import normalize_ws
+from ..sources.writers import scratch
+
+MOST_BROADCAST = 500_000  # rows of two numbers each
+
 
 def _inner_grams(words: Column, size: int) -> Column:
     """Hashes of all runs of `size` words; the words are bound once, so a text costs as much as it has words."""
@@ -30,17 +34,19 @@ def snippet_overlap(texts: DataFrame, key: str, snippets: DataFrame, snippet_key
 
     Words inside a snippet stand whole in every text that contains it, so up to three of them from its middle are an anchor.  A snippet of one or two
     words has no inner word; its longer one has (least - 1) / 2 characters at least, and as many from its start stand in one word of the text.
-    Texts post (key, hash) of their own runs, anchors (snippet_key, hash); the two meet in a hash join, which carries no text.  Only the
-    pairs that meet fetch their texts again, and contains() decides.  Null keys pair like others.
+    Texts post (key, hash) of their own runs, anchors (snippet_key, hash); the two meet in a hash join, which carries no text.  The pairs that
+    met are written to the shared folder, fetch their texts again, and contains() decides.  Up to `MOST_BROADCAST` anchors, or pairs, travel to the texts, so
+    that texts stay where they lie; more are shuffled.  Null keys pair like others.
     """
-    if least < 5:
-        raise ValueError("snippets under five characters have no anchor")
+    if least < 5 or (prefix is not None and prefix < least):
+        raise ValueError("snippets under five characters, and prefixes under the least length, have no anchor")
     half = (least - 1) // 2
     own = snippets.select(F.col(snippet_key), normalize_ws("text").alias("_s")).filter(F.length("_s") >= least)
-    if prefix:
+    if prefix is not None:
         own = own.withColumn("_s", F.substring("_s", 1, prefix))
     own = own.withColumn("_w", F.split("_s", " ")).withColumn("_k", F.least(F.greatest(F.size("_w") - 2, F.lit(0)), F.lit(3)))
-    kinds = sorted(r[0] for r in own.select("_k").distinct().collect())  # of 0, 1, 2, 3
+    counts = {r["_k"]: r["n"] for r in own.groupBy("_k").agg(F.count("*").alias("n")).collect()}
+    kinds = sorted(counts)  # of 0, 1, 2, 3
     middle = F.floor((F.size("_w") - F.col("_k")) / 2).cast("int")
     longest = F.array_max(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     anchor = F.when(F.col("_k") == 0, F.xxhash64(F.lit(0), F.substring(longest, F.lit(1), F.lit(half))))
@@ -51,7 +57,11 @@ def snippet_overlap(texts: DataFrame, key: str, snippets: DataFrame, snippet_key
     words = F.split("_t", " ")
     grams = [_inner_grams(words, k) if k else _long_word_grams(words, half) for k in kinds] or [F.array().cast("array<bigint>")]
     posted = norm.select("_a", F.explode(F.concat(*(F.coalesce(g, F.array().cast("array<bigint>")) for g in grams))).alias("_h"))
-    met = posted.join(anchors, "_h").select("_a", "_b").distinct()
+    few = lambda df, n: F.broadcast(df) if n <= MOST_BROADCAST else df
+    path = scratch(texts.sparkSession, "met")
+    posted.join(few(anchors, sum(counts.values())), "_h").select("_a", "_b").distinct().write.parquet(path)
+    met = texts.sparkSession.read.parquet(path)
+    met = few(met, met.count())
     told = own.select(F.col(snippet_key).alias("_bb"), "_s")
     with_text = met.join(norm.withColumnRenamed("_a", "_aa"), F.col("_a").eqNullSafe(F.col("_aa")))
     found = with_text.join(told, F.col("_b").eqNullSafe(F.col("_bb"))).filter(F.contains("_t", F.col("_s")))

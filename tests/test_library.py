@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone import registry
 from lodestone.functions import text, tokens
-from lodestone.operators import allocation, graphs, guards, matching, ranking, rollups, traces
+from lodestone.operators import allocation, graphs, guards, matching, ranking, rollups, traces, validation
 from lodestone.sources import readers, writers
 from lodestone.streaming import attempts
 from lodestone.tables import derived
@@ -235,3 +235,34 @@ def test_derived_traces_break_every_gate(spark):
     source = rows.filter("record_id % 100 <> 98").select("record_id", "content_id", "prompt")
     gates = {r.gate: r.n for r in traces.trace_gate(rows.drop("content_id", "prompt", "label"), source, 1).collect()}
     assert all(gates.values())
+
+
+def test_snippets_without_broadcasts(spark, monkeypatch):
+    texts = [(k, f"one two three {k % 5} four five six seven eight {k}") for k in range(40)]
+    snippets = [(i, f"three {i} four five six seven") for i in range(7)]
+    t, s = spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame(snippets, "i long, text string")
+    run = lambda: {(r.k, r.i) for r in matching.snippet_overlap(t, "k", s, "i").collect()}
+    one = run()
+    assert one == {(k, k % 5) for k in range(40)}
+    monkeypatch.setattr(matching, "MOST_BROADCAST", 0)
+    assert run() == one
+
+
+def test_checks_of_empty_tables(spark):
+    heads = "line_no long, id string, intervention_id string, task string, language_id string, split string, source string, license string, messages array<struct<role:string,content:string>>"
+    bench = spark.createDataFrame([(1, "a snippet of more than twenty-five characters")], "item_id long, text string")
+    assert validation.dataset_problems(spark.createDataFrame([], heads), {"task": "x"}, "train", bench, "item_id").count() == 0
+    odd = spark.createDataFrame([(1, "a", "i", "x", "l", "train", "s", "m", None), (2, "b", "i", "x", "l", "train", "s", "m", []), (3, "c", "i", "x", "l", "train", "s", "m", [(None, None), ("assistant", "fine")])], heads)
+    got = {r.line_no: r.problems for r in validation.dataset_problems(odd, {"task": "x"}, "train", bench, "item_id").collect()}
+    assert got == {1: ["missing messages"], 2: ["too_few"], 3: ["role", "content", "no_user", "duplicate_prompt"]}
+    rows = "line_no long, schema string, mock_note string, record_id string, dataset_id string, teacher_model string, teacher_pass_rate double, messages array<struct<role:string,content:string>>"
+    source = spark.createDataFrame([("r", "d", "ask")], "record_id string, dataset_id string, expected string")
+    assert validation.distill_problems(spark.createDataFrame([], rows), source).count() == 0
+    good = spark.createDataFrame([(1, validation.DISTILL_SCHEMA, None, "r", "d", "t", 1.0, [("user", "ask"), ("assistant", "```python\nx\n```")]), (2, None, None, None, None, None, None, None)], rows)
+    assert {r.line_no: r.problems for r in validation.distill_problems(good, source).collect()} == {1: [], 2: ["schema", "record_id"]}
+    cache = spark.createDataFrame([], "question_id long, prompt string, output_list array<string>, code_list array<string>")
+    assert {r.problem: r.n for r in validation.cache_preflight(cache, spark.range(2).toDF("question_id"), 2, "go").collect()}["missing"] == 2
+    traced = "record_id long, sibling int, labels array<string>, answer string, verifiable boolean, completion string"
+    gates = traces.trace_gate(spark.createDataFrame([], traced), spark.createDataFrame([], "record_id long, content_id long, prompt string")).collect()
+    assert len(gates) == len(traces.GATES) and all(r.n == 0 and r.passed for r in gates)
+    assert spark.createDataFrame([(None, None)], "v string, s array<string>").select(validation.cell_problems("v", "s")).first()[0] == ["sets"]
