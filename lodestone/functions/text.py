@@ -59,7 +59,7 @@ def _group(text: Column, pattern: str, choices: list[str], group: int = 1) -> Co
 
 def answer_lines(c: Column | str, choices: list[str]) -> Column:
     """Labels named on lines that start with `Answer:`, in order."""
-    pattern = rf"(?im)^{NOISE}Answer:\s*\*{{0,2}}\s*({_choices(choices)})(?=$|[^\w])"
+    pattern = rf"(?imU)^{NOISE}Answer:\s*\*{{0,2}}\s*({_choices(choices)})(?=$|[^\w])"
     return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(pattern), F.lit(1)), lambda x: canonical(x, choices))
 
 

@@ -52,14 +52,24 @@ query("strip_wrapper", "SELECT doc_id, CASE WHEN starts_with(text, 'The ') THEN
 query("strip_speaker", "SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM conversations")(
     lambda spark, sf_dir: load(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip_speaker(F.concat(F.initcap("role"), F.lit(': "'), "text", F.lit('"'))).alias("bare"))
 )
-# Answers by pattern of the derived responses: what each of the twelve kinds must give.
-_KIND = "SELECT doc_id AS rid, CASE doc_id % 12 {} END AS {} FROM documents"
-query("answer_lines", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'A,B' WHEN 3 THEN 'A' WHEN 10 THEN 'A' ELSE ''", "labels"))(over("responses", "rid", labels=lambda: F.array_join(text.answer_lines("raw", AB), ",")))
-query("terminal_answer", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'B' WHEN 10 THEN 'A'", "label"))(over("responses", "rid", label=lambda: text.terminal_answer("raw", AB)))
-query("terminal_choice", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'B' WHEN 4 THEN 'B' WHEN 10 THEN 'A'", "label"))(over("responses", "rid", label=lambda: text.terminal_choice("raw", AB)))
-query("multi_answer_flag", "SELECT doc_id AS rid, doc_id % 12 = 2 AS multiple FROM documents")(over("responses", "rid", multiple=lambda: text.multi_answer_flag("raw", AB)))
-query("parse_forced_choice", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 4 THEN 'B' WHEN 5 THEN 'A' WHEN 9 THEN 'A' WHEN 10 THEN 'A' ELSE 'unparseable'", "label"))(over("responses", "rid", label=lambda: text.parse_forced_choice("raw", AB)))
-query("parse_freeform", _KIND.format("WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'B' WHEN 4 THEN 'B' WHEN 5 THEN 'A' WHEN 9 THEN 'A' WHEN 10 THEN 'A' ELSE CASE WHEN doc_id % 5 = 0 THEN 'A' ELSE 'unparseable' END", "label"))(over("responses", "rid", label=lambda: text.parse_freeform("raw", F.when(F.col("rid") % 5 == 0, "a"), AB)))
+# Answers by their patterns, over whole texts: lines, the last of them, lines that are nothing but an answer, labels that stand as words.
+_RAW = "coalesce(raw, '')"
+_NOISE, _TAIL, _WORD = r"""[ \t>*_"''`#-]*""", r"""[ \t.,;:!?*_"''`)\]]*""", r"[\p{L}\p{M}\p{N}\p{Pc}]"
+_LAST = f"coalesce(list_filter(regexp_split_to_array({_RAW}, '\\r?\\n'), lambda x: trim(x) <> '')[-1], '')"
+_ONLY = rf"nullif(upper(regexp_extract({_LAST}, '(?i)^{_NOISE}Answer:\s*\*{{0,2}}\s*(A|B){_TAIL}$', 1)), '')"
+_BARE = rf"nullif(upper(regexp_extract({_LAST}, '(?i)^{_NOISE}(A|B){_TAIL}$', 1)), '')"
+_ANSWERS = rf"list_transform(regexp_extract_all({_RAW}, '(?im)^{_NOISE}Answer:[\s\x{{0B}}\x{{85}}\x{{A0}}]*\*{{0,2}}[\s\x{{0B}}\x{{85}}\x{{A0}}]*(A|B)(?:$|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])', 1), lambda x: upper(x))"
+_SAID = f"trim({_RAW}, ' ' || chr(10) || chr(9) || chr(13))"
+_NAMED = f"list_filter(['A', 'B'], lambda k: regexp_matches({_SAID}, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}])' || k || '([^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]|$)'))"
+_PLAIN = f"CASE WHEN upper({_SAID}) IN ('A', 'B') THEN upper({_SAID}) WHEN len({_NAMED}) = 1 THEN {_NAMED}[1] END"
+query("answer_lines", oracle(f"SELECT rid, array_to_string({_ANSWERS}, ',') AS labels FROM replies"))(over("replies", "rid", labels=lambda: F.array_join(text.answer_lines("raw", AB), ",")))
+query("terminal_answer", oracle(f"SELECT rid, {_ONLY} AS label FROM replies"))(over("replies", "rid", label=lambda: text.terminal_answer("raw", AB)))
+query("terminal_choice", oracle(f"SELECT rid, coalesce({_ONLY}, {_BARE}) AS label FROM replies"))(over("replies", "rid", label=lambda: text.terminal_choice("raw", AB)))
+query("multi_answer_flag", oracle(f"SELECT rid, len(list_distinct({_ANSWERS})) > 1 AS multiple FROM replies"))(over("replies", "rid", multiple=lambda: text.multi_answer_flag("raw", AB)))
+query("parse_forced_choice", oracle(f"SELECT rid, coalesce({_PLAIN}, 'unparseable') AS label, coalesce({_ONLY}, {_BARE}, 'unparseable') AS terminal, coalesce({_ONLY}, 'unparseable') AS reasoning FROM replies"))(
+    over("replies", "rid", label=lambda: text.parse_forced_choice("raw", AB), terminal=lambda: text.parse_forced_choice("raw", AB, "terminal"), reasoning=lambda: text.parse_forced_choice("raw", AB, "reasoning"))
+)
+query("parse_freeform", oracle(f"SELECT rid, coalesce({_ONLY}, {_BARE}, {_PLAIN}, CASE WHEN rid % 5 = 0 THEN 'A' ELSE 'unparseable' END) AS label FROM replies"))(over("replies", "rid", label=lambda: text.parse_freeform("raw", F.when(F.col("rid") % 5 == 0, "a"), AB)))
 query("parse_forecast", "SELECT event_id, CASE k % 4 WHEN 0 THEN 'MORE' WHEN 1 THEN 'LESS' WHEN 2 THEN 'SAME' ELSE 'unparseable' END AS label FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)")(
     lambda spark, sf_dir: derived(spark, sf_dir, "acts").withColumn("raw", F.concat(F.lit("Thinking.\nAnswer: "), F.element_at(F.array(*map(F.lit, ("more", "LESS", "Same", "unsure"))), (F.col("k") % 4 + 1).cast("int")))).select("event_id", text.parse_forced_choice("raw", ["MORE", "LESS", "SAME"], "terminal").alias("label"))
 )
@@ -71,17 +81,25 @@ query("rejoin_reasoning", oracle("SELECT rid, CASE WHEN raw IS NOT NULL AND rid
 query("split_think", oracle("""SELECT cid, CASE WHEN strpos(content, '</think>') > 0 THEN regexp_replace(split_part(content, '</think>', 1), '^\\s*<think>', '') WHEN strpos(content, '<think>') > 0 THEN split_part(content, '<think>', 2) ELSE content END AS reasoning,
   CASE WHEN strpos(content, '</think>') > 0 THEN substr(content, strpos(content, '</think>') + 8) ELSE '' END AS visible FROM completions"""))(over("completions", "cid", reasoning=lambda: text.split_think("content")["reasoning"], visible=lambda: text.split_think("content")["visible"]))
 query("truncate_reasoning", oracle("SELECT cid, CASE cid % 8 WHEN 1 THEN '<think>... [total 22 symbols]</think>' || split_part(content, '</think>', 2) WHEN 6 THEN '<think>... [total 17 symbols]</think>' ELSE content END AS short FROM completions"))(over("completions", "cid", short=lambda: text.truncate_reasoning("content", 20)))
-_CODE = "CASE cid % 8 WHEN 0 THEN 'y := 2' WHEN 1 THEN 'let z = 3;' || chr(10) || '// YOUR CODE HERE' WHEN 4 THEN 'plain' ELSE trim(content) END"
-query("extract_code", oracle(f"SELECT cid, {_CODE} AS code FROM completions"))(over("completions", "cid", code=lambda: text.extract_code("content")))
-query("extract_code_first", oracle("SELECT cid, CASE cid % 8 WHEN 0 THEN 'x = 1' || chr(10) WHEN 1 THEN 'let z = 3;' || chr(10) || chr(10) WHEN 4 THEN chr(10) || 'plain' || chr(10) ELSE '' END AS code FROM completions"))(over("completions", "cid", code=lambda: text.extract_code_first("content")))
-_CODE_STATUS = "CASE WHEN cid % 8 = 5 THEN 'empty' WHEN cid % 8 = 2 OR finish_reason = 'length' THEN 'truncated' ELSE 'ok' END AS status FROM completions"
-query("extract_code_status", oracle(f"SELECT cid, CASE cid % 8 WHEN 2 THEN 'cut off' ELSE {_CODE} END AS code, {_CODE_STATUS}"))(
-    over("completions", "cid", code=lambda: text.extract_code_status("content", "finish_reason")["code"], status=lambda: text.extract_code_status("content", "finish_reason")["status"])
+_FENCED = r"regexp_extract_all(coalesce(content, ''), '(?s)```([a-zA-Z0-9_+-]*)\n(.*?)```', {})"
+_STRIPPED = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_AFTER = _STRIPPED.format("substr(content, strpos(content, '</think>') + 8)")
+_CODE = _STRIPPED.format(f"CASE WHEN len({_FENCED.format(2)}) > 0 THEN {_FENCED.format(2)}[-1] ELSE coalesce(content, '') END")
+_FENCES = "(length(coalesce(content, '')) - length(replace(coalesce(content, ''), '```', ''))) // 3"
+_OPEN = rf"(regexp_matches(coalesce(content, ''), '```[a-zA-Z0-9_+-]*\n') AND {_FENCES} % 2 = 1)"
+_REST = _STRIPPED.format(r"regexp_split_to_array(content, '```[a-zA-Z0-9_+-]*\n')[-1]")
+_BEST = f"CASE WHEN {_STRIPPED.format('content')} = '' THEN '' WHEN {_OPEN} THEN {_REST} ELSE {_CODE} END"
+_STATE = f"CASE WHEN {_STRIPPED.format('content')} = '' THEN 'empty' WHEN {_OPEN} OR coalesce(finish_reason, '') = 'length' THEN 'truncated' WHEN ({_CODE}) = '' THEN 'empty' ELSE 'ok' END"
+_OWN = f"list_filter(list_zip({_FENCED.format(1)}, {_FENCED.format(2)}), lambda x: lower(x[1]) IN ('python', 'py'))"
+query("extract_code", oracle(f"SELECT cid, {_CODE} AS code FROM programs"))(over("programs", "cid", code=lambda: text.extract_code("content")))
+query("extract_code_first", oracle(rf"SELECT cid, regexp_replace(regexp_extract(CASE WHEN strpos(content, '</think>') > 0 THEN {_AFTER} ELSE content END, '(?is)```(\s*({text.TAGS})\s*\n)?(.*?)```', 3), '(?is)(#+|//+) YOUR CODE HERE', '', 'g') AS code FROM programs"))(over("programs", "cid", code=lambda: text.extract_code_first("content")))
+query("extract_code_status", oracle(f"SELECT cid, {_BEST} AS code, {_STATE} AS status FROM programs"))(
+    over("programs", "cid", code=lambda: text.extract_code_status("content", "finish_reason")["code"], status=lambda: text.extract_code_status("content", "finish_reason")["status"])
 )
-query("extract_code_lang", oracle(f"SELECT cid, CASE WHEN cid % 8 = 2 THEN 'cut off' WHEN cid % 8 = 0 AND finish_reason <> 'length' THEN 'x = 1' ELSE {_CODE} END AS code, {_CODE_STATUS}"))(
-    over("completions", "cid", code=lambda: text.extract_code_lang("content", "finish_reason", ["python", "py"])["code"], status=lambda: text.extract_code_lang("content", "finish_reason", ["python", "py"])["status"])
+query("extract_code_lang", oracle(f"SELECT cid, CASE WHEN {_STATE} = 'ok' AND len({_OWN}) > 0 THEN {_STRIPPED.format(_OWN + '[-1][2]')} ELSE {_BEST} END AS code, {_STATE} AS status FROM programs"))(
+    over("programs", "cid", code=lambda: text.extract_code_lang("content", "finish_reason", ["python", "py"])["code"], status=lambda: text.extract_code_lang("content", "finish_reason", ["python", "py"])["status"])
 )
-query("exact_fence", "SELECT doc_id AS cid, doc_id % 8 = 4 AS exact FROM documents")(over("completions", "cid", exact=lambda: text.exact_fence("content")))
+query("exact_fence", oracle(rf"SELECT cid, regexp_full_match(content, '(?s)\s*```[A-Za-z0-9_+#.-]*[ \t]*\n.*\n```\s*') AND {_FENCES} = 2 AS exact FROM programs"))(over("programs", "cid", exact=lambda: text.exact_fence("content")))
 query("bullets_to_prose", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'One item. Last ' || doc_id || chr(10) || '</think>A' WHEN 1 THEN 'first second' || chr(10) || '</think>B' ELSE 'no tag' END AS prose FROM documents")(
     docs(prose=lambda: text.bullets_to_prose(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Plan:\n- **One** item.\n\n 3. Last "), F.col("doc_id"), F.lit("</think>A"))).when(F.col("doc_id") % 3 == 1, "first\n second\n</think>B").otherwise("no tag")))
 )
@@ -116,13 +134,21 @@ query("apply_review", f"SELECT route, count(*) AS n FROM (SELECT CASE WHEN verdi
     lambda spark, sf_dir: _review(spark, sf_dir).groupBy(F.when(F.col("verdict") == "DROP", "dropped").when(F.length("prompt") < 8, "screened").when(F.col("doc_id") % 10 == 0, "unsure").otherwise("kept").alias("route")).agg(F.count("*").alias("n"))
 )
 
-# Output comparison: what each of the nine kinds of pairs must give.
-_PAIR = "SELECT event_id AS oid, event_id % 9 IN ({}) AS equal FROM events"
-query("out_tokens", _PAIR.format("0, 3, 6, 8"))(over("outputs", "oid", equal=lambda: compare.out_tokens("got", "want")))
-query("out_exact_lines", _PAIR.format("0"))(over("outputs", "oid", equal=lambda: compare.out_exact_lines("got", "want")))
-query("out_ci_tokens", _PAIR.format("0, 3, 4, 6, 7, 8"))(over("outputs", "oid", equal=lambda: compare.out_ci_tokens("got", "want")))
-query("out_float_tokens", _PAIR.format("0, 1, 3, 6, 8"))(over("outputs", "oid", equal=lambda: compare.out_float_tokens("got", "want")))
-query("out_lcb", _PAIR.format("0, 1, 3, 4"))(over("outputs", "oid", equal=lambda: compare.out_lcb("got", "want")))
+# Output comparison over whole texts that differ in blanks, case, line ends, numbers and flags.
+_TOKENS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '\s+'), lambda x: x <> '')"
+_TEXT_LINES = r"list_transform(regexp_split_to_array(regexp_replace(coalesce({}, ''), '\s+$', ''), '\r\n|\r|\n'), lambda x: regexp_replace(x, '\s+$', ''))"
+_TRIMMED = "list_transform(string_split(trim(coalesce({}, ''), ' ' || chr(10) || chr(9) || chr(13)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)))"
+_NUMERIC, _ODD = f"regexp_full_match({{}}, '{compare.NUMBER}')", f"regexp_full_match({{}}, '{compare.NOT_FINITE}')"
+_SAME_NUMBER = f"""CASE WHEN ({_NUMERIC.format('z[1]')} OR {_ODD.format('z[1]')}) AND ({_NUMERIC.format('z[2]')} OR {_ODD.format('z[2]')})
+  THEN NOT {_ODD.format('z[1]')} AND NOT {_ODD.format('z[2]')} AND abs(TRY_CAST(z[1] AS DOUBLE) - TRY_CAST(z[2] AS DOUBLE)) <= greatest(1e-6, 1e-6 * greatest(abs(TRY_CAST(z[1] AS DOUBLE)), abs(TRY_CAST(z[2] AS DOUBLE)))) ELSE z[1] = z[2] END"""
+_FLAGS = "(z[1] IN ('True', 'true') AND z[2] IN ('True', 'true')) OR (z[1] IN ('False', 'false') AND z[2] IN ('False', 'false'))"
+_DECIMALS = f"(len({_TOKENS.format('z[1]')}) > 0 AND len({_TOKENS.format('z[1]')}) = len({_TOKENS.format('z[2]')}) AND len(list_filter(list_zip({_TOKENS.format('z[1]')}, {_TOKENS.format('z[2]')}), lambda t: NOT coalesce(abs(TRY_CAST(t[1] AS DECIMAL(38,18)) - TRY_CAST(t[2] AS DECIMAL(38,18))) <= 0.00001, false))) = 0)"
+_BOTH = lambda form: f"len({form.format('got')}) = len({form.format('want')}) AND len(list_filter(list_zip({form.format('got')}, {form.format('want')}), lambda z: NOT ({{}}))) = 0"
+query("out_tokens", oracle(f"SELECT oid, {_TOKENS.format('got')} = {_TOKENS.format('want')} AS equal FROM pairs"))(over("pairs", "oid", equal=lambda: compare.out_tokens("got", "want")))
+query("out_exact_lines", oracle(f"SELECT oid, {_TEXT_LINES.format('got')} = {_TEXT_LINES.format('want')} AS equal FROM pairs"))(over("pairs", "oid", equal=lambda: compare.out_exact_lines("got", "want")))
+query("out_ci_tokens", oracle(f"SELECT oid, {_TOKENS.format('lower(got)')} = {_TOKENS.format('lower(want)')} AS equal FROM pairs"))(over("pairs", "oid", equal=lambda: compare.out_ci_tokens("got", "want")))
+query("out_float_tokens", oracle("SELECT oid, " + _BOTH(_TOKENS).format(_SAME_NUMBER) + " AS equal FROM pairs"))(over("pairs", "oid", equal=lambda: compare.out_float_tokens("got", "want")))
+query("out_lcb", oracle("SELECT oid, " + _BOTH(_TRIMMED).format(f"z[1] = z[2] OR {_FLAGS} OR {_DECIMALS}") + " AS equal FROM pairs"))(over("pairs", "oid", equal=lambda: compare.out_lcb("got", "want")))
 
 
 def _passed(spark, sf_dir):

@@ -43,10 +43,6 @@ DERIVED = {
         WHEN 2 THEN concat('```python', chr(10), 'cut off') WHEN 3 THEN 'no code at all' WHEN 4 THEN concat('```', chr(10), 'plain', chr(10), '```')
         WHEN 5 THEN '' WHEN 6 THEN concat('<think>never closed', chr(10), 'more') ELSE concat('thinking</think>', chr(10), 'shown') END AS content,
         CASE doc_id % 5 WHEN 0 THEN 'length' ELSE 'stop' END AS finish_reason FROM documents""",
-    "outputs": """SELECT event_id AS oid, CASE event_id % 9 WHEN 0 THEN '1 2 3' WHEN 1 THEN '10.00001' WHEN 2 THEN '10.0001' WHEN 3 THEN concat(' 10.01 ', chr(10)) WHEN 4 THEN 'True' WHEN 5 THEN 'True'
-        WHEN 6 THEN concat('1  2', chr(10), '3', chr(10)) WHEN 7 THEN 'yes' ELSE '10.01 20.02 30.03' END AS got,
-        CASE event_id % 9 WHEN 0 THEN '1 2 3' WHEN 1 THEN '10.00002' WHEN 2 THEN '10.0002' WHEN 3 THEN '10.01' WHEN 4 THEN 'true' WHEN 5 THEN 'false'
-        WHEN 6 THEN '1 2 3' WHEN 7 THEN 'YES' ELSE concat('10.01', chr(10), '20.02', chr(10), '30.03') END AS want FROM events""",
     "runs": """SELECT event_id AS pos, user_id AS record_id, CASE k % 8 WHEN 1 THEN 124 WHEN 2 THEN 137 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN NULL ELSE 0 END AS exit_code,
         CASE k % 8 WHEN 1 THEN 'TimeoutExpired: 5 s' WHEN 2 THEN 'java.lang.OutOfMemoryError' WHEN 3 THEN 'panic at line 3' WHEN 4 THEN 'SyntaxError: token' WHEN 5 THEN 'ValueError' ELSE '' END AS stderr, k FROM acts""",
     "traces": """SELECT record_id, content_id, sibling, labels, verifiable, prompt, label, CASE WHEN record_id % 26 = 14 THEN 'C' WHEN record_id % 13 = 9 THEN NULL ELSE label END AS answer,
@@ -85,6 +81,17 @@ DERIVED = {
         concat(CASE WHEN doc_id % 7 = 1 THEN 'They ' ELSE 'You ' END, substr(text, 1, CAST(116 + doc_id % 30 AS INT)), CASE WHEN doc_id % 21 = 4 THEN ' ' ELSE '' END) AS one,
         CASE WHEN doc_id % 13 = 2 THEN '  ' WHEN doc_id % 13 = 3 THEN concat('you TODO ', substr(text, 1, 130)) ELSE concat('you ', CASE WHEN doc_id % 4 = 1 THEN 'value ' WHEN doc_id % 4 = 2 THEN 'care about ' ELSE '' END, substr(text, 20, 120)) END AS two,
         CASE WHEN doc_id % 11 = 5 THEN NULL ELSE concat('you keep ', CASE doc_id % 7 WHEN 0 THEN 'Security' WHEN 1 THEN 'the elders' WHEN 2 THEN 'power' WHEN 3 THEN 'self-direction' ELSE 'on' END, ', ', substr(text, 40, 110)) END AS three FROM documents""",
+    "replies": """SELECT doc_id AS rid, CASE doc_id % 14
+        WHEN 0 THEN concat(text, chr(10), 'Answer: A') WHEN 1 THEN concat(text, chr(10), '**Answer: b**') WHEN 2 THEN concat('Answer: A', chr(10), text, chr(10), 'Answer: B') WHEN 3 THEN concat(text, chr(10), 'Answer: A (or B).') WHEN 4 THEN ' b '
+        WHEN 5 THEN concat('I prefer A to the rest. ', text) WHEN 6 THEN concat(text, ' A or B') WHEN 7 THEN '' WHEN 8 THEN NULL WHEN 9 THEN concat('<think>', text, chr(10), '</think>Answer: A') WHEN 10 THEN concat(text, chr(10), '> Answer: A.', chr(10), chr(10), ' ', chr(10))
+        WHEN 11 THEN concat(text, chr(10), '(b).') WHEN 12 THEN concat(text, chr(10), 'Answer: Bé', chr(10), '# answer:  **a') ELSE text END AS raw FROM documents""",
+    "programs": """SELECT doc_id AS cid, CASE WHEN doc_id % 5 = 0 THEN 'length' WHEN doc_id % 5 = 1 THEN NULL ELSE 'stop' END AS finish_reason, CASE doc_id % 10
+        WHEN 0 THEN concat('Text', chr(10), '```python', chr(10), text, chr(10), '```', chr(10), 'and', chr(10), '```go', chr(10), 'y := 2', chr(10), '```') WHEN 1 THEN concat('<think>', text, '</think>', '```rust', chr(10), text, chr(10), '// YOUR CODE HERE', chr(10), '```')
+        WHEN 2 THEN concat('```python', chr(10), text) WHEN 3 THEN text WHEN 4 THEN concat('```', chr(10), text, chr(10), '```', chr(10)) WHEN 5 THEN ' ' WHEN 6 THEN concat('<think>', text) WHEN 7 THEN concat(text, '</think>', chr(10), text)
+        WHEN 8 THEN concat('```c++', chr(10), text, chr(10), '``` then ```', chr(10), 'cut') ELSE concat('``` ', text, '```') END AS content FROM documents""",
+    "pairs": """SELECT oid, got, CASE oid % 14 WHEN 0 THEN got WHEN 1 THEN concat(' ', got, chr(10)) WHEN 2 THEN replace(replace(got, 'e', 'E'), 'n', 'N') WHEN 3 THEN replace(got, ' ', '  ') WHEN 4 THEN concat(got, ' x') WHEN 5 THEN concat(got, ' ', chr(10), chr(10)) WHEN 6 THEN replace(got, chr(10), concat(chr(13), chr(10)))
+        WHEN 7 THEN replace(got, '.25', '.2500000001') WHEN 8 THEN replace(got, '.25', '.250005') WHEN 9 THEN replace(got, '.25', '.26') WHEN 10 THEN replace(got, 'true', 'True') WHEN 11 THEN replace(got, ' 7.25', ' nan') WHEN 12 THEN NULL ELSE replace(got, ' 7.25', ' 725e-2') END AS want
+        FROM (SELECT doc_id AS oid, concat(CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat(text, chr(10)) END, 'true', chr(10), doc_id % 1000, '.25 7.25') AS got FROM documents) d""",
 }
 _JSON = {"spark": "get_json_object(props, '$.k')", "duckdb": "json_extract_string(props, '$.k')"}
 
