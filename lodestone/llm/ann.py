@@ -114,6 +114,26 @@ def radius(files: Files, order: np.ndarray, share: float, least: int, total: int
     return np.iinfo(np.int32).max if want >= files.n else int(np.partition(files.footrule(order), want - 1)[want - 1])
 
 
+MOST_RANGES = 100
+
+
+def live_ranges(live: dict[int, bool]) -> Column:
+    """Whether a shard lies in one of the runs of shards that some query can reach, by number, as a filter that the scan can use; over `MOST_RANGES` runs the nearest ones become one."""
+    shards = sorted(live)
+    runs: list[list[int]] = []
+    for k, shard in enumerate(shards):
+        if live[shard]:
+            if runs and k and live[shards[k - 1]]:
+                runs[-1][1] = shard
+            else:
+                runs.append([shard, shard])
+    step = -(-len(runs) // MOST_RANGES) or 1
+    found = F.lit(False)
+    for k in range(0, len(runs), step):
+        found = found | F.col("shard").between(runs[k][0], runs[min(k + step, len(runs)) - 1][1])
+    return found
+
+
 CLASS = "rep long, embedding array<double>, ids array<long>, k1 long, k2 long, p0 int, p1 int, prefix binary"
 
 
@@ -274,9 +294,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         sent = context.broadcast(block)
         part = index.select("shard", "rep", "embedding", "prefix", "ids")
         if directory is not None:
-            live = [s for s, best in directory.items() if reachable(best, block[2], block[3]).any()]
-            if len(live) < len(directory):
-                part = part.filter(F.col("shard").isin(live))
+            part = part.filter(live_ranges({s: bool(reachable(best, block[2], block[3]).any()) for s, best in directory.items()}))
         n_pivots = len(pivots.points)
         part.mapInArrow(lambda it, sent=sent: search_rows(it, sent.value, n_pivots, k), "query long, score double, ids array<long>").write.mode("append").parquet(path)
         sent.unpersist()

@@ -561,6 +561,17 @@ def test_clusters_need_a_small_share(spark):
     assert ann.measured_share(spark, index, index, sample, pivots, 20) < 0.05
 
 
+def test_ranges_hold_all_live_shards(spark, monkeypatch):
+    rnd = random.Random(1)
+    live = {k * 3: rnd.random() < 0.4 for k in range(200)}
+    table = spark.createDataFrame([(k,) for k in live], "shard long")
+    want = {k for k, v in live.items() if v}
+    assert {r.shard for r in table.filter(ann.live_ranges(live)).collect()} == want
+    monkeypatch.setattr(ann, "MOST_RANGES", 5)
+    assert {r.shard for r in table.filter(ann.live_ranges(live)).collect()} >= want
+    assert table.filter(ann.live_ranges(dict.fromkeys(live, False))).count() == 0
+
+
 def test_directory_skips_only_what_nothing_reaches():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(300, 6)) * 0.1 + c for c in np.eye(6) * 4])
