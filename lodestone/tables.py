@@ -72,11 +72,12 @@ DERIVED = {
         CASE WHEN doc_id % 41 = 5 THEN 'other' ELSE 'set' END AS dataset_id, CASE WHEN doc_id % 43 = 6 THEN 'REPLACE-WITH-REAL-TEACHER-MODEL-ID' WHEN doc_id % 43 = 7 THEN '' ELSE 'teacher' END AS teacher_model, CASE WHEN doc_id % 47 = 8 THEN 0.5 ELSE 1.0 END AS teacher_pass_rate,
         CASE WHEN doc_id % 53 = 9 THEN 1 WHEN doc_id % 53 = 10 THEN 3 ELSE 2 END AS n_messages, CASE WHEN doc_id % 59 = 11 THEN 'system' ELSE 'user' END AS first_role, CASE WHEN doc_id % 61 = 12 THEN concat(text, ' ') ELSE text END AS asked,
         CASE WHEN doc_id % 7 = 1 THEN concat('Here:', chr(10), '```python', chr(10), text, chr(10), '```') WHEN doc_id % 7 = 2 THEN concat(' ```python', chr(10), text, '```', chr(10)) WHEN doc_id % 7 = 3 THEN text ELSE concat('```python', chr(10), text, chr(10), '```') END AS answer FROM documents""",
-    "distill_source": "SELECT concat('r', doc_id) AS record_id, 'set' AS dataset_id, text AS expected FROM documents WHERE doc_id % 67 <> 13",
-    "cache": """SELECT question_id, n_out, n_code, translate(CASE WHEN question_id % 19 = 1 THEN 'not json' WHEN question_id % 19 = 2 THEN '[("role": "system", "content": "x")]' WHEN question_id % 19 = 3 THEN NULL WHEN question_id % 19 = 4 THEN '("role": "user")' ELSE '[("role": "system"), ("role": "user", "content": "q")]' END, '()', concat(chr(123), chr(125))) AS prompt,
-        CASE question_id % 13 WHEN 1 THEN '' WHEN 2 THEN concat('Sure.', chr(10), '```go', chr(10), t, chr(10), '```') WHEN 3 THEN concat('```rust', chr(10), t, chr(10), '```') WHEN 4 THEN concat('```go', chr(10), t, chr(10), '```', chr(10), '```go', chr(10), t, chr(10), '```') ELSE concat('```go', chr(10), t, chr(10), '```') END AS output,
-        CASE question_id % 13 WHEN 1 THEN '' WHEN 5 THEN ' ' ELSE t END AS code
-        FROM (SELECT doc_id AS question_id, CASE WHEN doc_id % 17 = 6 THEN 1 ELSE 2 END AS n_out, CASE WHEN doc_id % 17 = 7 THEN 3 ELSE 2 END AS n_code, text AS t FROM documents WHERE doc_id % 20 <> 7) d""",
+    "distill_source": "SELECT concat(CASE WHEN doc_id % 67 = 13 THEN 'elsewhere' ELSE 'r' END, doc_id) AS record_id, 'set' AS dataset_id, text AS expected FROM documents",
+    "cache": """SELECT CASE WHEN n % 20 = 7 THEN -1 - n ELSE n END AS question_id, n_out, n_code, translate(CASE WHEN n % 19 = 1 THEN 'not json' WHEN n % 19 = 2 THEN '[("role": "system", "content": "x")]' WHEN n % 19 = 3 THEN NULL WHEN n % 19 = 4 THEN '("role": "user")' ELSE '[("role": "system"), ("role": "user", "content": "q")]' END, '()', concat(chr(123), chr(125))) AS prompt,
+        CASE n % 13 WHEN 1 THEN '' WHEN 2 THEN concat('Sure.', chr(10), '```go', chr(10), t, chr(10), '```') WHEN 3 THEN concat('```rust', chr(10), t, chr(10), '```') WHEN 4 THEN concat('```go', chr(10), t, chr(10), '```', chr(10), '```go', chr(10), t, chr(10), '```') ELSE concat('```go', chr(10), t, chr(10), '```') END AS output,
+        CASE n % 13 WHEN 1 THEN '' WHEN 5 THEN ' ' ELSE t END AS code
+        FROM (SELECT doc_id AS n, CASE WHEN doc_id % 17 = 6 THEN 1 ELSE 2 END AS n_out, CASE WHEN doc_id % 17 = 7 THEN 3 ELSE 2 END AS n_code, text AS t FROM documents) d""",
+    "cache_questions": "SELECT CASE WHEN doc_id % 33 = 8 THEN -1000000000 - doc_id ELSE doc_id END AS question_id FROM documents",
     "cells": """SELECT doc_id AS cell, CASE doc_id % 10 WHEN 0 THEN 'Self-Direction' WHEN 1 THEN 'Security' WHEN 2 THEN 'Stimulation' WHEN 3 THEN 'Conformity' WHEN 4 THEN 'Hedonism' WHEN 5 THEN 'Tradition' WHEN 6 THEN 'Achievement' WHEN 7 THEN 'Benevolence' WHEN 8 THEN 'Power' ELSE 'Universalism' END AS value,
         concat(CASE WHEN doc_id % 7 = 1 THEN 'They ' ELSE 'You ' END, substr(text, 1, CAST(116 + doc_id % 30 AS INT)), CASE WHEN doc_id % 21 = 4 THEN ' ' ELSE '' END) AS one,
         CASE WHEN doc_id % 13 = 2 THEN '  ' WHEN doc_id % 13 = 3 THEN concat('you TODO ', substr(text, 1, 130)) ELSE concat('you ', CASE WHEN doc_id % 4 = 1 THEN 'value ' WHEN doc_id % 4 = 2 THEN 'care about ' ELSE '' END, substr(text, 20, 120)) END AS two,
