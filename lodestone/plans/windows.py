@@ -65,9 +65,9 @@ def _(spark, sf_dir):
     return ranking.ranked(docs, "doc_id").select("doc_id", F.when(F.col("_rank") <= sizes[0], 0).when(F.col("_rank") <= sizes[0] + sizes[1], 1).otherwise(2).alias("stage"))
 
 
-@query("prefix_n", oracle("SELECT doc_id FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 100"))
+@query("prefix_n", oracle("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100"))
 def _(spark, sf_dir):
-    return load(spark, sf_dir, "documents").filter("lang = 'fr'").select("doc_id").orderBy("doc_id").limit(100)
+    return load(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").limit(100)
 
 
 @query("half_trend", oracle("WITH l AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events), t AS (SELECT user_id, value, ntile(2) OVER (PARTITION BY user_id ORDER BY r DESC) AS half FROM l WHERE r <= 40) SELECT user_id, round(avg(value) FILTER (half = 1), 6) AS first_half, round(avg(value) FILTER (half = 2), 6) AS last_half FROM t GROUP BY user_id"))
