@@ -68,6 +68,42 @@ def test_similar_pairs_against_all_pairs(spark):
     assert got == {k: (first[g, t or ""], links[first[g, t or ""]]) for k, g, t in rows}
 
 
+def test_matched_characters_are_those_of_difflib():
+    rnd = random.Random(12)
+    pairs = []
+    for _ in range(400):
+        letters = "abcdefghijklmnopqrstuvwxyz"[: rnd.choice((2, 4, 26))]
+        x, y = ("".join(rnd.choice(letters) for _ in range(rnd.choice((0, 1, 5, 60, 199, 200, 400)))) for _ in range(2))
+        if rnd.random() < 0.6:
+            y = x
+            for _ in range(rnd.randrange(12)):
+                at = rnd.randrange(len(y) + 1)
+                y = y[:at] + rnd.choice(["Q", "\U0001f600", "ab", "zZ#", ""]) + y[at + rnd.randrange(6) :]
+        pairs.append((x, y))
+    firsts, seconds = [matching._codes(x) for x, _ in pairs], [matching._Second(y) for _, y in pairs]
+    ratios = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in pairs]
+    got = matching.matched(firsts, seconds, [0] * len(pairs))
+    assert [2.0 * m / len(x + y) if x + y else 1.0 for m, (x, y) in zip(got, pairs, strict=True)] == ratios
+    for least in (0.3, 0.7, 0.9):
+        needs = [matching.needed(len(x) + len(y), least) for x, y in pairs]
+        for whole in (True, False):
+            assert [m >= 0 for m in matching.matched(firsts, seconds, needs, whole)] == [r >= least for r in ratios]
+
+
+def test_texts_that_share_a_half_are_decided_soon(spark):
+    rnd = random.Random(13)
+    shared = words(rnd, 170)
+    rows = [(k, "g", f"{shared} {words(rnd, 170)}") for k in range(300)] + [(900, "g", None), (901, "g", "")]
+    rows += [(1000 + k, "g", rows[k][2] + "!") for k in range(5)]
+    began = time.time()
+    got = {r.id: r.n_links for r in matching.linked_in_group(spark.createDataFrame(rows, "id long, grp string, text string"), 0.7).collect()}
+    assert time.time() - began < 90
+    texts = {k: t for k, _, t in rows}
+    alike = lambda x, y: difflib.SequenceMatcher(None, texts[x], texts[y]).ratio() >= 0.7
+    assert all(alike(k, 1000 + k) for k in range(5)) and not any(alike(k, k + 1) for k in range(20))
+    assert got == {k: int(k < 5 or k >= 1000) for k in texts}
+
+
 def test_greedy_assign_against_the_plain_walk(spark):
     rnd = random.Random(8)
     rows = [(f"f{q % 3}", q, q * 10 + s, f"f{q % 3}|{s}", f"f{q % 3}|{s}|{rnd.randrange(3)}") for q in range(90) for s in range(3)]
