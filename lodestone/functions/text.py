@@ -325,11 +325,11 @@ def strip_speaker(c: Column | str) -> Column:
     return F.when(bare.rlike('(?s)^["“].*["”]$') & (F.length(bare) >= 2), _strip(F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
 
 
-def clean_html_text(c: Column | str) -> Column:
-    """Two rounds of all named and numeric entities (an Arrow function), zero-width characters out, blank lines squeezed."""
-    from .arrays import html_unescape
+def clean_html_text(c: Column | str, closed: bool = False) -> Column:
+    """Two rounds of all named and numeric entities (an Arrow function; `closed`: only those with their semicolon), zero-width characters out, blank lines squeezed."""
+    from .arrays import html_unescape, html_unescape_closed
 
-    text = html_unescape(F.coalesce(col(c), F.lit("")))
+    text = (html_unescape_closed if closed else html_unescape)(F.coalesce(col(c), F.lit("")))
     return _strip(F.regexp_replace(F.regexp_replace(text, r"[\x{200B}-\x{200F}\x{FEFF}]|&#x200[bB];", ""), "\n{3,}", "\n\n"))
 
 

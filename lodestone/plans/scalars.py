@@ -38,7 +38,7 @@ query("word_count", "SELECT doc_id, len(list_filter(regexp_split_to_array(text,
 _ONE = "replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"  # the entities that pages hold; the ampersand last
 _TWICE = _ONE.format(_ONE.format("html"))
 query("clean_html_text", rf"""SELECT page_id, md5(trim(regexp_replace(regexp_replace({_TWICE}, '[\x{{200B}}-\x{{200F}}\x{{FEFF}}]|&#x200[bB];', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS h FROM pages""".replace('\\"', '"'))(
-    lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_html_text("html").cast("binary")).alias("h"))
+    lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.when(F.col("html").isNotNull(), F.md5(text.clean_html_text("html", closed=True).cast("binary"))).alias("h"))
 )
 query("html_unescape", f"SELECT page_id, md5({_TWICE}) AS h FROM pages".replace('\\"', '"'))(lambda spark, sf_dir: load(spark, sf_dir, "pages").select("page_id", F.md5(arrays.html_unescape("html").cast("binary")).alias("h")))
 _KEPT = "list_filter(parts, lambda s: trim(s) <> '' AND NOT regexp_matches(s, '(?i)(^|[^A-Za-z0-9_])(of|License)([^A-Za-z0-9_]|$)'))"

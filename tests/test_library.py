@@ -8,6 +8,7 @@ import time
 from collections import Counter, defaultdict
 
 import pytest
+from duck import assert_same
 from pyspark.sql import functions as F
 
 from lodestone import registry
@@ -104,6 +105,21 @@ def test_texts_that_share_a_half_are_decided_soon(spark):
     assert got == {k: int(k < 5 or k >= 1000) for k in texts}
 
 
+CUT = [(1, "R&amp;D &amp;quot;x&amp;quot; cut&amp</title>&copy 1 &copy; 2"), (2, "&amp;amp</title>\n\n\n\n&middot;&am"), (3, None), (4, ""), (5, "&amp;amp;amp; &amp;copy &quot; \u200b")]
+
+
+def held_against_sql_on_cut_entities(spark, tmp_path, name):
+    spark.createDataFrame(CUT, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/spark")
+    next((tmp_path / "spark").glob("part-*.parquet")).rename(tmp_path / "pages.parquet")
+    return assert_same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLES[name], str(tmp_path))
+
+
+def test_clean_html_text_on_cut_entities(spark, tmp_path):
+    assert held_against_sql_on_cut_entities(spark, tmp_path, "clean_html_text") == len(CUT)
+    got = spark.createDataFrame([("a&lt;b &#38;amp &notit; &#x26;copy &lt",)], "t string").select(text.clean_html_text("t", closed=True).alias("c"), text.clean_html_text("t").alias("o")).first()
+    assert got.c == "a<b &amp &notit; &copy &lt" and got.o == "a<b & ¬it; © <"
+
+
 def test_greedy_assign_against_the_plain_walk(spark):
     rnd = random.Random(8)
     rows = [(f"f{q % 3}", q, q * 10 + s, f"f{q % 3}|{s}", f"f{q % 3}|{s}|{rnd.randrange(3)}") for q in range(90) for s in range(3)]
