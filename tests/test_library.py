@@ -105,6 +105,64 @@ def test_texts_that_share_a_half_are_decided_soon(spark):
     assert got == {k: int(k < 5 or k >= 1000) for k in texts}
 
 
+def altered(rnd, text, every, letters):
+    """The text with about one in `every` characters exchanged."""
+    out = list(text)
+    for at in range(rnd.randrange(every), len(out), every):
+        out[at] = rnd.choice(letters)
+    return "".join(out)
+
+
+def many_letters(rnd, n, letters):
+    return "".join(rnd.choice(letters) for _ in range(n))
+
+
+def test_pairs_with_few_common_runs_are_found_in_any_blocks(spark, monkeypatch):
+    """Texts with a ratio of 0.7 that share hardly a run of eight characters, on both sides of difflib's length for frequent characters and in many blocks."""
+    rnd = random.Random(17)
+    rows, wide = [], [chr(0x4E00 + k) for k in range(300)]
+    for size, letters in ((120, "abcdefghijklmnopqrstuvwxyz"), (190, wide[:40]), (210, wide), (600, wide), (600, [*"etaoinshr ", *wide])):
+        base = many_letters(rnd, size, letters)
+        for _ in range(6):
+            cut = altered(rnd, base, rnd.choice((4, 5, 6, 7)), letters)
+            rows.append((len(rows), "g" if size % 200 else None, cut[: len(cut) - rnd.choice((0, 0, size // 3))]))
+        rows.append((len(rows), "g" if size % 200 else None, base))
+    texts = {k: (g, t) for k, g, t in rows}
+    assert len({t for _, t in texts.values()}) == len(rows)
+    want = {(a, b) for a, b in itertools.combinations(texts, 2) if texts[a][0] == texts[b][0] and difflib.SequenceMatcher(None, texts[a][1], texts[b][1]).ratio() >= 0.7}
+    runs = lambda t: {t[k : k + 8] for k in range(len(t) - 7)}
+    few = [(a, b) for a, b in want if 10 * len(runs(texts[a][1]) & runs(texts[b][1])) < len(runs(texts[a][1]) | runs(texts[b][1]))]
+    assert len(few) > 10
+    monkeypatch.setattr(matching, "BLOCK_TEXTS", 3)
+    df = spark.createDataFrame(rows, "id long, grp string, text string")
+    assert [(r.id_a, r.id_b) for r in matching.similar_in_group(df, 0.7).orderBy("id_a", "id_b").collect()] == sorted(want)
+    links = Counter(x for pair in want for x in pair)
+    assert {r.id: r.n_links for r in matching.linked_in_group(df, 0.7).collect()} == {k: links[k] for k in texts}
+
+
+def test_bounds_leave_out_no_pair():
+    rnd = random.Random(18)
+    found = kept = met = 0
+    for _ in range(12):
+        letters = "abcdefghijklmnopqrstuvwxyz ABCDE,.\n"[: rnd.choice((2, 5, 12, 35))] + rnd.choice(("", "\U0001f600\u00e9\u6f22"))
+        draw = lambda n: "".join(rnd.choice(letters if rnd.random() < 0.3 else letters[:8]) for _ in range(n))  # noqa: B023, E731
+        base = draw(rnd.choice((30, 150, 199, 205, 500, 900)))
+        texts = [draw(300), draw(1)]
+        for _ in range(10):
+            y = base
+            for _ in range(rnd.randrange(len(base) // 6 + 2)):
+                at = rnd.randrange(len(y) + 1)
+                y = y[:at] + draw(rnd.randrange(3)) + y[at + rnd.randrange(4) :]
+            texts.append(y * rnd.choice((1, 1, 1, 2)) or "x")
+        ratios = {(i, j): difflib.SequenceMatcher(None, texts[i], texts[j]).ratio() for j in range(len(texts)) for i in range(j)}
+        for least in (0.3, 0.7, 0.9, 1.0):
+            want = {p for p, r in ratios.items() if r >= least}
+            got = {(int(i), k) for on, k in matching.bounded([matching._codes(t) for t in texts], texts, list(range(len(texts))), least) for i in on}
+            assert want <= got
+            found, kept, met = found + len(want), kept + len(got), met + len(ratios)
+    assert 200 < found <= kept < met
+
+
 CUT = [(1, "R&amp;D &amp;quot;x&amp;quot; cut&amp</title>&copy 1 &copy; 2"), (2, "&amp;amp</title>\n\n\n\n&middot;&am"), (3, None), (4, ""), (5, "&amp;amp;amp; &amp;copy &quot; \u200b")]
 
 
